@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, mixing, quality, sharding, simhash
+from tessera.llm import decontaminate, licenses, lines, maxent, mixing, quality, sharding, simhash, substrings, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_licenses": licenses.op2_licenses,
+    "op3_urls": urls.op3_urls,
+    "op4_substrings": substrings.op4_substrings,
+    "op5_lines": lines.op5_lines,
     "op6_quality": quality.op6_quality,
     "op7_simhash": simhash.op7_simhash,
     "op8_sharding": sharding.op8_sharding,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_maxent": maxent.op10_maxent,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op3_urls": urls.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
