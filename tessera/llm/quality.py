@@ -48,7 +48,7 @@ def _distance(p: Column, q: Column) -> Column:
 def _words(whole: Column) -> Column:
     for c in "\t\n\x0b\f\r":  # one separator, so that split() needs no regular expression
         whole = F.replace(whole, F.lit(c), F.lit(" "))
-    return F.filter(F.split(whole, " "), lambda w: w != "")
+    return F.array_remove(F.split(whole, " "), "")
 
 
 def _profile(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -86,23 +86,28 @@ def _references(profiles: DataFrame, lang: str, min_words: int) -> DataFrame:
     return out.select("r_lang", F.array(*[f"c{i}" for i in range(7)]).alias("r_classes"), F.array_compact(F.array(*[f"w{i}" for i in range(n_common)])).alias("r_common"))
 
 
-def _repetition(docs: DataFrame, text: str, window: int = 8) -> DataFrame:
+def _repetition(docs: DataFrame, text: str) -> DataFrame:
     """docs, which have p_words, with n_dup_lines and n_repeat_words."""
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("p_lines", F.filter(F.split(whole, "\n"), lambda x: x.rlike(f"[^{BLANK}]")))
     out = out.withColumn("n_dup_lines", (F.size("p_lines") - F.size(F.array_distinct("p_lines"))).cast("long"))
-    out = out.withColumn("p_gram", F.transform("p_words", lambda w: F.xxhash64(w)))
-    for step in (1, 2, 4):  # windows of 2, 4 and then 8 words, each hashed from the two halves
-        shifted = F.slice("p_gram", step + 1, F.greatest(F.col("p_n") - step, F.lit(0)))
-        out = out.withColumn("p_gram", F.zip_with("p_gram", shifted, lambda a, b: F.xxhash64(a, b)))
-    out = out.withColumn("p_gram", F.slice("p_gram", 1, F.greatest(F.col("p_n") - (window - 1), F.lit(0))))
+    def doubled(gram: str, step: int) -> Column:
+        return F.zip_with(gram, F.slice(gram, step + 1, F.greatest(F.col("p_n") - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+    def whole_windows(gram: str, size: int) -> Column:
+        return F.slice(gram, 1, F.greatest(F.col("p_n") - (size - 1), F.lit(0)))
+
+    # Windows of 2, 4 and then 8 words are hashed from their halves; a text in which none of 4 is repeated has none of 8.
+    out = out.withColumn("p_two", doubled("p_words", 1)).withColumn("p_four", doubled("p_two", 2)).withColumn("p_four", whole_windows("p_four", 4))
+    some = F.size(F.array_distinct("p_four")) < F.size("p_four")
+    out = out.withColumn("p_gram", F.when(some, doubled("p_four", 4))).withColumn("p_gram", whole_windows("p_gram", 8))
     repeated = F.size(F.array_distinct("p_gram")) < F.size("p_gram")
     ranked = F.sort_array(F.transform("p_gram", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     out = out.withColumn("p_ranked", F.when(repeated, ranked))
     twins = F.zip_with("p_ranked", F.slice("p_ranked", 2, F.greatest(F.size("p_ranked") - 1, F.lit(0))), lambda a, b: F.when(a.g == b.g, F.array(a.i, b.i)))
     out = out.withColumn("p_at", F.sort_array(F.array_distinct(F.flatten(F.array_compact(twins)))))
     following = F.slice("p_at", 2, F.greatest(F.size("p_at") - 1, F.lit(0)))
-    covered = F.zip_with("p_at", following, lambda a, b: F.when(b.isNull(), window).otherwise(F.least(b - a, F.lit(window))))
+    covered = F.zip_with("p_at", following, lambda a, b: F.when(b.isNull(), 8).otherwise(F.least(b - a, F.lit(8))))
     return out.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
 
 
@@ -123,16 +128,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", carry: bool =
     """docs with a struct column `quality`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
     word_distance (null where not judged), base_failed and kept. Columns of docs named like ours are kept as they are.
 
-    carry=False leaves out the texts: each is then read once, its measures are checkpointed, and references and
-    verdicts are taken from these. With the texts carried, they are read twice and never shuffled.
+    Rows are checkpointed with their measures, from which references and verdicts are then taken, so each text is gone
+    through once, and is never shuffled. carry=False leaves out the texts.
     """
     columns = [c for c in docs.columns if c != "quality" and (carry or c != text)]
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("p_row"), F.col(text).alias("p_text"), F.col(lang).alias("p_lang"))
     measured = _repetition(_profile(own, "p_text", "p_lang"), "p_text").select("p_row", "p_lang", "p_n", "p_chars", "p_symbols", "p_classes", "p_common", "n_dup_lines", "n_repeat_words")
-    profiles = _profile(own.drop("p_row"), "p_text", "p_lang")
-    if not carry:
-        profiles = measured = cut(measured)
-    refs = small(cut(_references(profiles, "p_lang", min_words)))
+    measured = cut(measured)
+    refs = small(cut(_references(measured, "p_lang", min_words)))
     out = _verdict(measured, refs, min_words, max_class_distance, max_word_distance)
     return out.select(*[F.col("p_row").getField(c).alias(c) for c in columns], "quality")
 
