@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.catalog import FRAMES, MARKUP, query
 from tessera.sources.frames import frames, markup
 
-BY = Window.partitionBy("series_id").orderBy("a", "b")
+
+
+def _by() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("a", "b")
 
 
 def coalesce(spans: DataFrame, tolerance: int = 1) -> DataFrame:
     """Spans joined where the next begins at most `tolerance` after the end; 1 joins neighbours, more closes gaps."""
-    reach = F.max("b").over(BY.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("b").over(_by().rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", (reach.isNull() | (F.col("a") > reach + tolerance)).cast("int"))
-    grouped = marked.withColumn("g", F.sum("new").over(BY.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = marked.withColumn("g", F.sum("new").over(_by().rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy("series_id", "g").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("g")
 
 
@@ -23,7 +26,7 @@ def complement(spans: DataFrame, whole: DataFrame) -> DataFrame:
     """What spans leave of each series of whole (series_id, a, b)."""
     ends = whole.select("series_id", (F.col("b") + 1).alias("a"), (F.col("b") + 1).alias("b"))
     cut = coalesce(spans).unionByName(ends)
-    last = F.max("b").over(BY.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max("b").over(_by().rowsBetween(Window.unboundedPreceding, -1))
     out = cut.select("series_id", F.coalesce(last + 1, F.lit(0)).alias("a"), (F.col("a") - 1).alias("b"))
     return out.where("a <= b")
 
