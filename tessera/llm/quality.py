@@ -142,9 +142,31 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", carry: bool =
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = judge(table(spark, sf_dir, "documents"), carry=False)
-    return q.select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept", F.round("quality.class_distance", 4).alias("class_distance"), F.round("quality.word_distance", 4).alias("word_distance"))
+    return q.select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "quality.base_failed", "quality.kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
     return judge(docs).where("quality.kept").select(*docs.columns)
+
+
+_LISTED = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}])" for k, v in COMMON.items())
+#: DuckDB SQL for op6_quality.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{BLANK}]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win FROM d, range(1, len(w) - 6) r(i)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS k FROM x),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM g, range(i, i + 8) r(p) WHERE k > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, lang, w, len(w)::BIGINT AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) AS total, len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols,
+    len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^{BLANK}]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^{BLANK}]')))) AS n_dup_lines,
+    len(regexp_extract_all(t, '[a-z]')) AS low, len(regexp_extract_all(t, '[A-Z]')) AS up, len(regexp_extract_all(t, '[0-9]')) AS dig, len(regexp_extract_all(t, '[^\\x00-\\x7F]')) AS far FROM d),
+l(lang, listed) AS (VALUES {_LISTED}),
+b AS (SELECT doc_id, lang, n_words, 'c' AS kind, unnest([1, 2, 3, 4, 5, 6, 7]) AS bin, unnest([low, total - word_chars, up, dig, n_symbols, far, word_chars - low - up - dig - n_symbols - far]) / greatest(total, 1) AS share FROM m
+    UNION ALL SELECT doc_id, m.lang, n_words, 'w', k, CASE WHEN k < 13 THEN len(list_filter(w, lambda v: v = listed[k])) ELSE n_words - len(list_filter(w, lambda v: list_contains(listed, v))) END / greatest(n_words, 1) FROM m JOIN l ON m.lang = l.lang, range(1, 14) r(k)),
+f AS (SELECT lang, kind, bin, avg(share) AS q FROM b WHERE n_words >= {MIN_WORDS} GROUP BY ALL),
+j AS (SELECT doc_id, b.kind, sqrt(greatest(sum(CASE WHEN share > 0 THEN share * log2(share / ((share + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((share + q) / 2)) ELSE 0 END) / 2, 0)) AS js
+    FROM b JOIN f ON b.kind = f.kind AND b.bin = f.bin AND b.lang IS NOT DISTINCT FROM f.lang WHERE n_words >= {MIN_WORDS} GROUP BY ALL),
+a AS (SELECT DISTINCT doc_id FROM j WHERE (kind = 'c' AND js > {MAX_CLASS_DISTANCE}) OR (kind = 'w' AND js > {MAX_WORD_DISTANCE})),
+o AS (SELECT m.doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, a.doc_id IS NOT NULL AS odd FROM m LEFT JOIN h ON m.doc_id = h.doc_id LEFT JOIN a ON m.doc_id = a.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT odd AS kept FROM o
+"""

@@ -18,6 +18,6 @@ QUERIES = {
     "op10_maxent": maxent.op10_maxent,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op3_urls": urls.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op3_urls": urls.ORACLE, "op4_substrings": substrings.ORACLE, "op6_quality": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

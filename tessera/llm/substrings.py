@@ -166,3 +166,16 @@ def cut_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = cut_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL for op4_substrings.
+ORACLE = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM d, range(1, len(w) - 11) r(i)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM x),
+h AS (SELECT DISTINCT doc_id, p FROM m, range(i, i + 13) r(p) WHERE doc_id > least),
+q AS (SELECT doc_id, p, w[p] AS word FROM d, range(1, len(w) + 1) r(p)),
+k AS (SELECT q.doc_id, q.p, q.word, h.p IS NOT NULL AS gone FROM q LEFT JOIN h ON h.doc_id = q.doc_id AND h.p = q.p),
+s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""
