@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut, table
+from tessera.llm.base import cut, small, table
 from tessera.llm.graph import components
 from tessera.llm.words import chunks
 
 BLOCKS = 6
 LIMIT = 4
 SHINGLE = 4
+#: What the pipeline's stage takes: more bits, and so more and narrower blocks.
+STAGE_LIMIT, STAGE_BLOCKS = 8, 11
 SEED = 42
 #: Rows of one key that one task compares; more are dealt out as pairs of parts of so many rows.
 PART_ROWS = 4096
@@ -160,24 +162,24 @@ def _key_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Rec
 def linked(prints: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataFrame:
     """`node` and `root` for every print, a column of distinct longs, that has another one within `limit` bits."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - limit)):
-        parts = [F.shiftrightunsigned("print", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in chosen]
-        keys.append(F.xxhash64(F.lit(t), *parts))
-    rows = prints.select("print", F.explode(F.array(*keys)).alias("key"))
+    bits = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
+    masks = [sum(bits[i] for i in chosen) for chosen in combinations(range(blocks), blocks - limit)]
+    masks = F.array(*[F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in masks])
+    keys = F.transform(masks, lambda m: F.xxhash64(m, F.col("print").bitwiseAND(m)))
+    rows = prints.select("print", F.explode(keys).alias("key"))
     hot = rows.groupBy("key").count().where(F.col("count") > PART_ROWS).select("key", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("n"))
-    dealt = rows.join(cut(hot), "key", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.hash("print"), "n"))
+    dealt = rows.join(small(cut(hot)), "key", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.hash("print"), "n"))
     dealt = dealt.select("key", "print", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return components(dealt.mapInArrow(lambda x: _key_links(x, limit), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT, k: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: int = LIMIT, k: int = SHINGLE, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, print and component_id, the smallest doc_id that links lead to, for every row of docs."""
     prints = cut(fingerprints(docs, k))
     distinct = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    roots = cut(linked(cut(distinct.select("print")), limit))
+    roots = cut(linked(cut(distinct.select("print")), limit, blocks))
     named = distinct.join(roots, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     named = cut(named)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -190,8 +192,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with its smallest doc_id. Shingles are of five words here, as no contract says otherwise."""
-    first = near_duplicates(docs, k=5).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    """One document of each component: that with its smallest doc_id.
+
+    Shingles are of five words, and prints link at STAGE_LIMIT bits. A similarity of 0.9 in shingles is seven bits on
+    average, one of 0.8 ten, so copies nearer than 0.9 are found for the most part, and the farthest only in part.
+    """
+    first = near_duplicates(docs, STAGE_LIMIT, 5, STAGE_BLOCKS).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.withColumn("first_row", F.row_number().over(order)).where("first_row = 1").select(*docs.columns)

@@ -231,7 +231,7 @@ def fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash(docs, rows, none):
+def test_simhash(spark, docs, rows, none):
     prints = [fingerprint(r[1]) for r in rows]
     label = list(range(len(rows)))
     changed = True
@@ -249,6 +249,9 @@ def test_simhash(docs, rows, none):
     got = simhash.near_duplicates(clash(docs, "print", "root")).collect()
     assert multiset((r.doc_id, r["print"] % 2**64, r.component_id) for r in got) == multiset(want)
     assert simhash.near_duplicates(none).count() == 0
+    far = [0, 0xFF, 0xFFFF << 40, 0xFFFF << 40 | 0xFF << 56, 1 << 62, 0x1FF << 20]
+    wide = simhash.linked(spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in far], "print long"), 8, 11)
+    assert {r.node % 2**64 for r in wide.collect()} == set(far[:5])
     kept = simhash.stage(None, docs, "").collect()
     assert len({r.doc_id for r in kept}) == len(kept) and docs.columns == kept[0].__fields__
 
