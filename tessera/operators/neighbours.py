@@ -284,3 +284,60 @@ def component_labels(spark, d):
     kn = window_knn(frames(spark, d)).where("rank = 1")
     id_ = lambda c: F.col("series_id") * 1000 + F.col(c)
     return components(kn.select(id_("start").alias("a"), id_("nbr").alias("b")).distinct())
+
+
+def spread(items, size: int, k: int | None = None):
+    """A fold over sorted structs (dist, at): the first ones that lie `size` apart from all taken, k at most."""
+    none = F.array().cast("array<struct<dist:double,at:int>>")
+
+    def step(a, s):
+        free = F.forall(a, lambda x: F.abs(x.at - s.at) >= size)
+        return F.when(free & (F.size(a) < k) if k else free, F.concat(a, F.array(s))).otherwise(a)
+
+    return F.aggregate(items, none, step)
+
+
+@query("disjoint_knn")
+def disjoint_knn(spark, d, size: int = 8, step: int = 4, k: int = 3):
+    """Each window's nearest windows of its series that overlap neither it nor each other; fewer than k where no more are left."""
+    w = sliding(frames(spark, d), size, step)
+    met = w.select("series_id", "start", "xs").join(w.select("series_id", F.col("start").alias("nbr"), F.col("xs").alias("ys")), "series_id").where(F.abs(F.col("start") - F.col("nbr")) >= size)
+    near = met.groupBy("series_id", "start").agg(F.sort_array(F.collect_list(F.struct(euclid(F.col("xs"), F.col("ys")).alias("dist"), F.col("nbr").cast("int").alias("at")))).alias("s"))
+    out = near.select("series_id", "start", F.posexplode(spread("s", size, k)).alias("rank", "n"))
+    return out.select("series_id", "start", (F.col("rank") + 1).alias("rank"), F.col("n.at").alias("nbr"), F.round("n.dist", 5).alias("dist"))
+
+
+@query("edit_greedy")
+def edit_greedy(spark, d):
+    """Occurrences of a pattern by edit distance, the nearest first, that do not overlap."""
+    from tessera.operators.symbols import edit_distance_search
+
+    hits = edit_distance_search(spark, d).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct(F.col("dist").cast("double").alias("dist"), F.col("start").cast("int").alias("at")))).alias("s"))
+    return hits.select("series_id", F.explode(spread("s", 6)).alias("n")).select("series_id", F.col("n.at").alias("start"), F.col("n.dist").alias("dist"))
+
+
+@query("seed_dl", SEARCH.replace("least(sqrt", "greatest(sqrt").replace("WHERE dist < 100", "WHERE dist < 160") + " SELECT series_id, count(*) AS n, round(avg(dist) / 8, 5) AS dl FROM hit GROUP BY series_id")
+def seed_dl(spark, d, size: int = 8, radius: float = 160.0):
+    """The mean of occurrences' larger distance to two seeds, by length."""
+    w = sliding(frames(spark, d), size)
+    a = w.where("start = 0").select("series_id", F.col("xs").alias("a"))
+    b = w.where(F.col("start") == 2 * size).select("series_id", F.col("xs").alias("b"))
+    far = F.greatest(euclid(F.col("xs"), F.col("a")), euclid(F.col("xs"), F.col("b"))).alias("far")
+    met = w.join(a, "series_id").join(b, "series_id").select("series_id", far).where(F.col("far") < radius)
+    return met.groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.avg("far") / size, 5).alias("dl"))
+
+
+def _knn_sql(size: int, n: str) -> str:
+    return f"""w{n} AS (SELECT * FROM (SELECT series_id, t AS start, list(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS xs FROM fr) WHERE len(xs) = {size} AND start % 4 = 0),
+d{n} AS (SELECT series_id, start, round(dist / {size}, 6) AS dist FROM (SELECT a.series_id, a.start, b.start AS nbr, sqrt(list_sum([(a.xs[i] - b.xs[i]) * (a.xs[i] - b.xs[i]) FOR i IN range(1, {size + 1})])) AS dist FROM w{n} a JOIN w{n} b ON a.series_id = b.series_id AND abs(a.start - b.start) >= {size}) QUALIFY row_number() OVER (PARTITION BY series_id, start ORDER BY dist, nbr) = 3)"""
+
+
+@query("length_winner", f"WITH {FRAMES}, {_knn_sql(8, '8')}, {_knn_sql(12, '12')}, g AS (SELECT l.series_id, l.start, s.dist AS short, l.dist AS long FROM d12 l JOIN d8 s ON s.series_id = l.series_id AND s.start = l.start) SELECT series_id, start, CASE WHEN long <= short THEN 1 WHEN (long - short) / short < 0.1 THEN 2 WHEN (long - short) / short > 0.5 THEN 4 ELSE 5 END AS rule, CASE WHEN long <= short OR (long - short) / short < 0.1 THEN 12 ELSE 8 END AS len FROM g")
+def length_winner(spark, d):
+    """Of two seeds at one place, which stays: the longer if it is as dense, or nearly; else the denser."""
+    rows = frames(spark, d)
+    dk = lambda size: window_knn(rows, size).where("rank = 3").select("series_id", "start", F.round(F.col("dist") / size, 6).alias(f"d{size}"))
+    g = dk(8).join(dk(12), ["series_id", "start"])
+    gap = (F.col("d12") - F.col("d8")) / F.col("d8")
+    rule = F.when(F.col("d12") <= F.col("d8"), 1).when(gap < 0.1, 2).when(gap > 0.5, 4).otherwise(5)
+    return g.select("series_id", "start", rule.alias("rule"), F.when(rule <= 2, 12).otherwise(8).alias("len"))

@@ -16,9 +16,9 @@ from tessera.sources.frames import frames, markup, series, symbols
 PARTS, ALPHABET = 4, 4
 
 
-def sax(rows: DataFrame, size: int = 8, parts: int = PARTS, n: int = ALPHABET, step: int = 1) -> DataFrame:
+def sax(rows: DataFrame, size: int = 8, parts: int = PARTS, n: int = ALPHABET, step: int = 1, value: str = "x") -> DataFrame:
     """series_id, start and word: symbols of the means of each window's parts, after each window is normalised."""
-    w = sliding(rows, size, step)
+    w = sliding(rows, size, step, value)
     w = w.withColumn("m", total(F.col("xs")) / size)
     w = w.withColumn("sd", F.sqrt(F.aggregate("xs", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))) / (size - 1)))
     w = w.withColumn("p", paa(F.col("xs"), size, parts))
@@ -268,3 +268,35 @@ def augment_lengths(spark, d):
     more = F.floor((F.col("stop") - F.col("start")) / 2) * F.col("k")
     out = m.select("series_id", (F.col("start") - more).alias("a"), (F.col("stop") + more).alias("b"), "total").where("a >= 0 and b <= total")
     return out.select("series_id", F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("len")).distinct()
+
+
+def _dim_sql(dim: int, value: str) -> str:
+    both = SAX.replace("x) OVER o AS xs", f"{value}) OVER o AS xs")
+    for name in ("w8", "wm", "ws", "wp", "sx"):
+        both = both.replace(f"{name} AS", f"{name}{dim} AS").replace(f"FROM {name} ", f"FROM {name}{dim} ").replace(f"FROM {name})", f"FROM {name}{dim})")
+    return both
+
+
+@query("dim_collision_rowsums", f"WITH {FRAMES}, {_dim_sql(0, 'x')}, {_dim_sql(1, 'h')}, l AS (SELECT 0 AS dim, series_id, start, word FROM sx0 WHERE start % 8 = 0 UNION ALL SELECT 1, series_id, start, word FROM sx1 WHERE start % 8 = 0), rd(round, i, j) AS (VALUES (0, 1, 2), (1, 1, 3), (2, 1, 4), (3, 2, 3), (4, 2, 4), (5, 3, 4)), pk AS (SELECT dim, series_id, start, round, substr(word, i, 1) || substr(word, j, 1) AS key FROM l, rd), b AS (SELECT dim, round, key, count(*) AS n FROM pk GROUP BY ALL) SELECT dim, series_id, start, sum(n - 1)::BIGINT AS hits FROM pk JOIN b USING (dim, round, key) GROUP BY ALL")
+def dim_collision_rowsums(spark, d):
+    """Collisions of each window, dimension by dimension."""
+    rows = frames(spark, d)
+    words = sax(rows, step=8).withColumn("dim", F.lit(0)).unionByName(sax(rows, step=8, value="h").withColumn("dim", F.lit(1)))
+    p = projected(words)
+    n = p.groupBy("dim", "round", "key").agg(F.count("*").alias("n"))
+    return p.join(n, ["dim", "round", "key"]).groupBy("dim", "series_id", "start").agg(F.sum(F.col("n") - 1).alias("hits"))
+
+
+@query("right_maximal", f"WITH {FRAMES}, {SUBS}, c AS (SELECT sub, n::INT AS n, count(*) AS k FROM sb GROUP BY ALL HAVING count(*) >= 2) SELECT sub, n, k FROM c WHERE n < 5 AND NOT EXISTS (SELECT 1 FROM c e WHERE e.n = c.n + 1 AND e.k = c.k AND regexp_replace(e.sub, ',[^,]*$', '') = c.sub)")
+def right_maximal(spark, d):
+    """Repeated substrings that no longer one with as many occurrences begins with."""
+    c = substring_counts(spark, d)
+    longer = c.where("n > 1").select(F.regexp_replace("sub", ",[^,]*$", "").alias("p"), F.col("k").alias("pk"))
+    return c.where("n < 5").join(longer, (F.col("sub") == F.col("p")) & (F.col("k") == F.col("pk")), "left_anti")
+
+
+@query("labels_to_motifs", f"WITH {MARKUP} SELECT dense_rank() OVER (ORDER BY tag) - 1 AS motif_id, series_id, start, stop - start AS len FROM mk")
+def labels_to_motifs(spark, d):
+    """Each class of labels as a motif."""
+    m = symbols(markup(spark, d))
+    return m.select(F.col("sym").cast("long").alias("motif_id"), "series_id", "start", (F.col("stop") - F.col("start")).alias("len"))

@@ -297,3 +297,15 @@ def motif_radius(spark, d):
     r = met.groupBy("motif").agg((F.max(euclid(F.col("xs"), F.col("ys"))) / 2).alias("radius"))
     n = m.groupBy("motif").agg(F.count("*").alias("n"))
     return n.join(r, "motif", "left").select("motif", "n", F.round("radius", 5).alias("radius"), F.round(F.col("n") / F.col("radius"), 6).alias("density"))
+
+
+@query("auto_pipeline")
+def auto_pipeline(spark, d):
+    """Discovery, joining of motifs that follow one another, and growth, as one table: how each row was found, its series, start and length."""
+    m = checkpointed(hash_motifs(spark, d))
+    out = m.select(F.lit("hash").alias("by"), "series_id", "start", "len")
+    a = m.select("series_id", F.col("start").alias("s"), F.explode(F.array(F.col("start") + F.col("len"), F.col("start") + F.col("len") + 1)).alias("start"))
+    b = m.select("series_id", "start", "len")
+    joined = a.join(b, ["series_id", "start"]).select(F.lit("affix").alias("by"), "series_id", F.col("s").alias("start"), (F.col("start") + F.col("len") - F.col("s")).alias("len"))
+    grown = seed_growth(spark, d).select(F.lit("growth").alias("by"), F.col("series_id").cast("long").alias("series_id"), "start", "len")
+    return out.unionByName(joined).unionByName(grown)

@@ -243,3 +243,17 @@ def state_means_scaled(spark, d):
     m = class_models(examples(rows)).join(lim, "dim")
     level = F.least(F.greatest((F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
     return m.select("tag", "state", "dim", F.round(level, 5).alias("level"))
+
+
+@query("model_replay")
+def model_replay(spark, d, rounds: int = 2):
+    """Decoding and re-estimation by turns: models are built anew from the segments that the last ones decoded."""
+    rows = frames(spark, d)
+    e = examples(rows)
+    found = decode(rows, *built(class_models(e), e))
+    for _ in range(rounds):
+        held = checkpointed(found).select("series_id", F.col("tag").alias("found"), F.col("start").alias("a"), F.col("stop").alias("b"))
+        met = rows.select("series_id", "t", "x", "h").join(held, "series_id").where("t >= a and t < b")
+        e = met.select("series_id", F.col("found").alias("tag"), "t", "x", "h", F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("n"), (F.col("t") - F.col("a")).alias("o"))
+        found = decode(rows, *built(class_models(e), e))
+    return found
