@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut, small, table
+from tessera.llm.base import cut, partitions, table
 from tessera.llm.words import Words, chunks, mix, split
 
 BITS = 13
@@ -37,7 +37,7 @@ CLASSES = 1 + FREQUENT + SHAPES
 CHUNK = 6 << 20
 TRAIN_CHUNK = 1 << 20
 BATCH = 8192
-RATE = 0.5
+RATE = 2.0
 END = np.uint64(0x1F83D9ABFB41BD6B)
 BEGIN = np.uint64(0x5BE0CD19137E2179)
 NO_ID = -(2**63)
@@ -102,25 +102,41 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(shape[at].astype(np.int32)), pa.array(np.add.reduceat(count, at)), pa.array(high[at]), binary], ["token", "shape", "n", "high", "postings"])
 
 
-SUMS = "kind int, id long, shape int, x double, n long, m long"
+SUMS = "kind int, id long, shape int, x double, n long, packed binary"
+ENTRY = np.dtype([("doc", np.int64), ("x", np.float64), ("known", np.int32), ("rows", np.int32)])
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by token. Out: kind 0, a document's sum of log10(c + 1), known tokens and ends (its rows); 1, a shape's tokens and different tokens; 2, frequent tokens."""
+def _added(entries: np.ndarray) -> np.ndarray:
+    """One entry a document: sums of log10(c + 1), of known tokens and of ends, which are its rows."""
+    docs, inverse = np.unique(entries["doc"], return_inverse=True)
+    out = np.zeros(len(docs), ENTRY)
+    out["doc"] = docs
+    for name in ("x", "known", "rows"):
+        out[name] = np.bincount(inverse, entries[name], len(docs))
+    return out
+
+
+def _sums(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by token. Out: kind 0, for each block of documents the entries of those met here, packed; 1, a shape's tokens and different tokens; 2, frequent tokens."""
     words, different = np.zeros(SHAPES + 1, np.int64), np.zeros(SHAPES + 1, np.int64)
     frequent: list[tuple[int, int, int]] = []
     waiting: list[tuple[np.ndarray, ...]] = []
 
-    def rows(kind, ids, shape, x, n, m=0) -> pa.RecordBatch:
+    def rows(kind, ids, shape, x, n, packed=None) -> pa.RecordBatch:
         size = len(ids)
         full = lambda v, t: pa.array(np.broadcast_to(np.asarray(v, t), size))
-        return pa.RecordBatch.from_arrays([full(kind, np.int32), full(ids, np.int64), full(shape, np.int32), full(x, np.float64), full(n, np.int64), full(m, np.int64)], ["kind", "id", "shape", "x", "n", "m"])
+        return pa.RecordBatch.from_arrays([full(kind, np.int32), full(ids, np.int64), full(shape, np.int32), full(x, np.float64), full(n, np.int64), pa.array(packed or [None] * size, pa.binary())], ["kind", "id", "shape", "x", "n", "packed"])
 
     def flush() -> Iterator[pa.RecordBatch]:
-        doc, x, known, ends = (np.concatenate(v) for v in zip(*waiting))
+        entries = np.zeros(sum(len(x[0]) for x in waiting), ENTRY)
+        for name, parts in zip(ENTRY.names, zip(*waiting)):
+            entries[name] = np.concatenate(parts)
         waiting.clear()
-        unique, inverse = np.unique(doc, return_inverse=True)
-        yield rows(0, unique, -1, np.bincount(inverse, x), np.bincount(inverse, known).astype(np.int64), np.bincount(inverse, ends).astype(np.int64))
+        entries = _added(entries)
+        block = (mix(entries["doc"].copy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        at = np.flatnonzero(np.diff(block[order], prepend=-1))
+        yield rows(0, block[order][at], -1, 0.0, 0, [x.tobytes() for x in np.split(entries[order], at[1:])])
 
     def settle(part: pa.Table) -> None:
         token, shape, n, high = (part.column(c).to_numpy() for c in ("token", "shape", "n", "high"))
@@ -168,6 +184,28 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(2, token, shape, 0.0, n)
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each document of this task's blocks, added; other rows as they are, with n in `known`."""
+    held: list[np.ndarray] = []
+
+    def out(kind, ids, shape, x, known, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(v, t), len(ids))) for v, t in ((kind, np.int32), (ids, np.int64), (shape, np.int32), (x, np.float64), (known, np.int64), (n, np.int64))], ["kind", "id", "shape", "x", "n", "rows"])
+
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        packed = batch.column("packed").filter(pa.array(kind == 0)).to_pylist()
+        held += [np.frombuffer(x, ENTRY) for x in packed]
+        if sum(map(len, held)) > 2_000_000:
+            held = [_added(np.concatenate(held))]
+        other = batch.filter(pa.array(kind != 0))
+        if other.num_rows:
+            k, i, s, x, n = (other.column(c).to_numpy() for c in ("kind", "id", "shape", "x", "n"))
+            yield out(k, i, s, x, n, 0)
+    if held:
+        e = _added(np.concatenate(held))
+        yield out(0, e["doc"].copy(), -1, e["x"].copy(), e["known"].copy(), e["rows"].copy())
+
+
 @dataclass
 class Classes:
     """Frequent tokens, sorted by hash, with their classes and counts; and for each shape the logarithm of its total."""
@@ -259,9 +297,10 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFr
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), (fold == held).alias("held_out"))
 
     rows = own.mapInArrow(_postings, "token long, shape int, n long, high long, postings binary")
-    found = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_sums, SUMS)
-    found = cut(found.groupBy("kind", "id", "shape").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("m").alias("m")))
-    shapes = {r["shape"]: (r["n"], r["x"]) for r in found.where("kind = 1").collect()}
+    blocks = partitions(own)
+    found = rows.repartition("token").sortWithinPartitions("token").mapInArrow(lambda x: _sums(x, blocks), SUMS)
+    found = cut(found.repartition("kind", "id").mapInArrow(_documents, "kind int, id long, shape int, x double, n long, rows long"))
+    shapes = {r["shape"]: (r["n"], r["x"]) for r in found.where("kind = 1").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()}
     top = found.where(f"kind = 2 and n > 0 and shape < {SHAPES}").orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
     train, vocabulary = (sum(x[i] for x in shapes.values()) for i in (0, 1))
     totals = np.array([sum(shapes.get(s, (0, 0))) for s in range(SHAPES + 1)], float)
@@ -281,7 +320,7 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFr
     shared = spark.sparkContext.broadcast((classes, weights))
 
     parts = own.mapInArrow(lambda x: _score(x, *shared.value), "doc_id long, held_out boolean, n_tokens long, part double")
-    sums = found.where("kind = 0").select(F.col("id").alias("s_id"), (F.col("x") / F.col("m")).alias("x"), F.floor(F.col("n") / F.col("m")).alias("known"))
+    sums = found.where("kind = 0").select(F.col("id").alias("s_id"), (F.col("x") / F.col("rows")).alias("x"), F.floor(F.col("n") / F.col("rows")).alias("known"))
     done = parts.join(sums, F.col("doc_id") == F.col("s_id"))
     out_of = F.lit(float(np.log10(train + vocabulary + 1)))
     return done.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(train)).cast("long").alias("train_tokens"), (F.col("x") - F.col("n_tokens") * out_of).alias("base_score"), (F.col("x") + F.col("part")).alias("score"))
