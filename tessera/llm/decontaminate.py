@@ -108,19 +108,20 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str =
         before = docs.drop(name)
         docs = before.mapInArrow(each, before.withColumn(name, F.lit(None).cast(HIT)).schema)
         if i:
-            docs = _merged(docs, out, name)
+            docs = _merged(docs, out, name, text)
     return docs
 
 
-def _merged(docs: DataFrame, out: str, other: str) -> DataFrame:
+def _merged(docs: DataFrame, out: str, other: str, text: str) -> DataFrame:
     """The hits of two automata as one: spans are joined where they overlap, and words recounted in them.
 
     n_hit is of the larger union: words of spans, counted again from the text.
     """
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            a, b, texts = (batch.column(c).to_pylist() for c in (out, other, "text"))
-            for x, y, text in zip(a, b, texts):
+        for batch in chunks(batches, text=text):
+            a, b, texts = (batch.column(c).to_pylist() for c in (out, other, text))
+            for x, y, whole in zip(a, b, texts):
                 if y["spans"]:
                     x["items"] = sorted({*x["items"], *y["items"]})
                     spans = sorted((s["start"], s["end"]) for s in [*x["spans"], *y["spans"]])
@@ -131,7 +132,7 @@ def _merged(docs: DataFrame, out: str, other: str) -> DataFrame:
                         else:
                             joined.append((s, e))
                     x["spans"] = [{"start": s, "end": e} for s, e in joined]
-                    x["n_hit"] = sum(len(WORD.findall(text[s:e])) for s, e in joined)
+                    x["n_hit"] = sum(len(WORD.findall(whole[s:e])) for s, e in joined)
             keep = [c for c in batch.schema.names if c not in (out, other)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(a, batch.schema.field(out).type)], [*keep, out])
 

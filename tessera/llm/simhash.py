@@ -192,12 +192,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with its smallest doc_id.
+    """One document of each component: that with its smallest doc_id. Of repeated rows one stays; rows without a doc_id stay if no other such row has their text.
 
     Shingles are of five words, and prints link at STAGE_LIMIT bits. A similarity of 0.9 in shingles is seven bits on
     average, one of 0.8 ten, so copies nearer than 0.9 are found for the most part, and the farthest only in part.
     """
-    first = near_duplicates(docs, STAGE_LIMIT, 5, STAGE_BLOCKS).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.withColumn("first_row", F.row_number().over(order)).where("first_row = 1").select(*docs.columns)
+    found = near_duplicates(docs, STAGE_LIMIT, 5, STAGE_BLOCKS)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("simhash_first_id")).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col("simhash_first_id"), "left").where(F.col("simhash_first_id").isNotNull() | F.col("doc_id").isNull())
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn("simhash_first_row", F.row_number().over(order)).where("simhash_first_row = 1").select(*docs.columns)

@@ -253,7 +253,8 @@ def test_simhash(spark, docs, rows, none):
     wide = simhash.linked(spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in far], "print long"), 8, 11)
     assert {r.node % 2**64 for r in wide.collect()} == set(far[:5])
     kept = simhash.stage(None, docs, "").collect()
-    assert len({r.doc_id for r in kept}) == len(kept) and docs.columns == kept[0].__fields__
+    assert len({(r.doc_id, r.text) for r in kept}) == len(kept) and docs.columns == kept[0].__fields__
+    assert sum(r.doc_id is None for r in kept) == 2 and [r.doc_id for r in kept].count(81) == 1
 
 
 def test_forest():
