@@ -34,6 +34,8 @@ SEED = 42
 #: Rows of one key that one task compares; more are dealt out as pairs of parts of so many rows.
 PART_ROWS = 4096
 FAN = 8
+#: Groups of so many prints at most are compared all with all, without a tree.
+FEW = 24
 
 
 def fingerprint(words: list[bytes], k: int = SHINGLE, seed: int = SEED) -> int:
@@ -130,19 +132,22 @@ def _key_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Rec
     def groups(rows: np.ndarray) -> pa.RecordBatch:
         key, prints = rows[:3], rows[3].view(np.uint64)
         new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
-        a, b = [], []
-        lengths = np.diff(new)
-        for at, n in zip(new[:-1][lengths > 1].tolist(), lengths[lengths > 1].tolist()):
-            own = prints[at : at + n]
-            if n == 2:
-                if int(own[0] ^ own[1]).bit_count() <= limit:
-                    a.append(own[:1]), b.append(own[1:])
-                continue
-            own = own[np.argsort(gray_rank(own))]
-            root = forest(own, limit)
-            held = root != np.arange(n)
-            a.append(own[held]), b.append(own[root[held]])
-        a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+        sizes = np.diff(new)
+        trees = Forest(len(prints))
+        few = np.repeat((sizes > 1) & (sizes <= FEW), sizes)
+        last = np.repeat(new[1:], sizes)
+        at = np.flatnonzero(few)
+        for step in range(1, FEW):  # all small groups at the same time, each row with the one `step` rows on
+            at = at[at + step < last[at]]
+            if not len(at):
+                break
+            near = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= limit]
+            trees.link(near, near + step)
+        for begin, n in zip(new[:-1][sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+            order = begin + np.argsort(gray_rank(prints[begin : begin + n]))
+            trees.link(order, order[forest(prints[order], limit)])
+        held = trees.root != np.arange(len(prints))
+        a, b = prints[held].view(np.int64), prints[trees.root[held]].view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:

@@ -272,8 +272,8 @@ def test_forest():
 
 def test_hot_keys(spark, monkeypatch):
     """Keys of more rows than a part are compared in pairs of parts, and nothing is lost."""
-    monkeypatch.setattr(simhash, "PART_ROWS", 8)
-    x = sorted({(1 << i) | (1 << j) for i in range(8) for j in range(8)})
+    monkeypatch.setattr(simhash, "PART_ROWS", 32)
+    x = sorted({(1 << i) | (1 << j) for i in range(14) for j in range(14)})
     got = simhash.linked(spark.createDataFrame([(v,) for v in x], "print long"))
     assert {(r.node, r.root) for r in got.collect()} == {(v, min(x)) for v in x}
 
