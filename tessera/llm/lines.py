@@ -107,10 +107,20 @@ def _index(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[who]), pa.array(sketch[who]), pa.array(np.full(len(who), index))], ["key", "id", "sketch", "is_index"])
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line of a chunk once."""
+    for batch in chunks(batches, text="line"):
+        first = np.unique(batch.column("id").to_numpy(), return_index=True)[1]
+        yield batch.take(pa.array(np.sort(first)))
+
+
 def _meet(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Pairs of ids that meet on a key and whose sketches are near; rows come sorted by key."""
 
     def pairs(key, ids, sketch, index) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((~index, ids, key))  # a line that many chunks send meets others once
+        once = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])])
+        key, ids, sketch, index = (x[order[once]] for x in (key, ids, sketch, index))
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         group = np.repeat(np.arange(len(at) - 1), np.diff(at))
         left = np.flatnonzero(index & (np.diff(at)[group] > 1))
@@ -209,7 +219,7 @@ def near_lines(lines: DataFrame, limit: int = LIMIT, min_chars: int = MIN_CHARS)
     sent = sent.repartition("key").sortWithinPartitions("key")
     pairs = cut(sent.mapInArrow(lambda x: _meet(x, limit), "a long, b long").distinct())
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    strings = cut(long.join(wanted, F.col("id") == F.col("w")).groupBy("id").agg(F.any_value("line").alias("line")))
+    strings = cut(long.mapInArrow(_once, "id long, line string").join(wanted, F.col("id") == F.col("w")).groupBy("id").agg(F.any_value("line").alias("line")))
     met = pairs.join(strings.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(strings.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
     return met.select("a", "b", "a_line", "b_line").mapInArrow(lambda x: _verify(x, limit), "a long, b long")
 
@@ -233,10 +243,10 @@ def dedup_lines(docs: DataFrame, limit: int = LIMIT, min_chars: int = MIN_CHARS)
 def drop_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with `text` without the lines that occur before, or near before; rows that share a doc_id lose the same lines."""
     here = F.struct("doc_id", "line_no")
-    gone = dedup_lines(docs, limit).where(here != F.col("near_of")).groupBy("doc_id").agg(F.collect_set("line_no").alias("l_gone"))
-    gone = gone.select(F.col("doc_id").alias("l_id"), "l_gone")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("l_id")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("l_gone", F.array().cast("array<int>")), i))
+    gone = dedup_lines(docs, limit).where(here != F.col("near_of")).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines_gone"))
+    gone = gone.select(F.col("doc_id").alias("lines_id"), "lines_gone")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("lines_id")), "left")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("lines_gone", F.array().cast("array<int>")), i))
     return joined.select(*[(F.array_join(left, "\n").alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
 
 
