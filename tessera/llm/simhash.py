@@ -126,7 +126,7 @@ def forest(prints: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 
 
 def _key_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key, i and j; the links of each such group, as stars."""
+    """Rows come sorted by key, i, j and print; the links of each such group, as stars around the smallest print, so that keys agree on them."""
     kept: list[np.ndarray] = []
 
     def groups(rows: np.ndarray) -> pa.RecordBatch:
@@ -176,7 +176,7 @@ def linked(prints: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataF
     dealt = rows.join(small(cut(hot)), "key", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.hash("print"), "n"))
     dealt = dealt.select("key", "print", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "print")
     return components(dealt.mapInArrow(lambda x: _key_links(x, limit), "a long, b long"))
 
 
