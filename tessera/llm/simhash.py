@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.base import cut, small, table
 from tessera.llm.graph import components
+from tessera.llm.jaccard import near_copies
 from tessera.llm.words import chunks
 
 BLOCKS = 6
 LIMIT = 4
 SHINGLE = 4
-#: What the pipeline's stage takes: more bits, and so more and narrower blocks.
-STAGE_LIMIT, STAGE_BLOCKS = 8, 11
 SEED = 42
 #: Rows of one key that one task compares; more are dealt out as pairs of parts of so many rows.
 PART_ROWS = 4096
@@ -199,10 +198,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with its smallest doc_id. Of repeated rows one stays; rows without a doc_id stay if no other such row has their text.
 
-    Shingles are of five words, and prints link at STAGE_LIMIT bits. A similarity of 0.9 in shingles is seven bits on
-    average, one of 0.8 ten, so copies nearer than 0.9 are found for the most part, and the farthest only in part.
+    Links are of 0.8 or more in the Jaccard similarity of five-word shingles, by `jaccard.near_copies`; prints of 64
+    bits cannot tell 0.8 from 0.7.
     """
-    found = near_duplicates(docs, STAGE_LIMIT, 5, STAGE_BLOCKS)
+    found = near_copies(docs)
     first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("simhash_first_id")).distinct()
     kept = docs.join(first, F.col("doc_id") == F.col("simhash_first_id"), "left").where(F.col("simhash_first_id").isNotNull() | F.col("doc_id").isNull())
     order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
