@@ -44,6 +44,8 @@ NOTICES = {
 TAG = "spdx license identifier"
 TAGGED = re.compile(r"spdx[^a-z0-9\n]*license[^a-z0-9\n]*identifier[^a-z0-9\n(]*([^\n]*)", re.IGNORECASE)
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
+#: What comment signs put before the words of a line.
+LEADER = re.compile(r"^[^A-Za-z0-9()]*")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 PERMISSIVE = ("mit", "apache", "bsd", "isc", "cc0", "cc-by-4", "unlicense", "bsl", "zlib", "0bsd")
 BASE_WEIGHT, TAG_WEIGHT = 0.8, 0.95
@@ -84,6 +86,46 @@ def postfix(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
+def walk(line: str, operand: bool = True, depth: int = 0) -> tuple[list[str], bool, int, bool]:
+    """The identifiers of a line up to where prose begins, whether one is expected next, how many brackets are open, and whether prose was met."""
+    names: list[str] = []
+    for token in TOKEN.findall(line):
+        low = token.lower()
+        if low in PRECEDENCE:
+            operand = True
+        elif token == ")":
+            if not depth:
+                return names, operand, depth, True
+            operand, depth = False, depth - 1
+        elif not operand:
+            return names, operand, depth, True
+        elif token == "(":
+            depth += 1
+        else:
+            names.append(low)
+            operand = False
+    return names, operand, depth, False
+
+
+def expressions_of(text: str) -> Iterator[tuple[str, list[str]]]:
+    """What stands after each tag, and the identifiers that it names. Lines are joined while brackets are open or an operator ends the line; a blank line, a further tag or a line of prose ends it."""
+    for tag in TAGGED.finditer(text):
+        parts, at = [tag[1]], tag.end()
+        names, operand, depth, prose = walk(tag[1])
+        while not prose and TOKEN.search(parts[-1]) and (operand or depth) and at < len(text):
+            end = text.find("\n", at + 1)
+            line = LEADER.sub("", text[at + 1 : end if end >= 0 else len(text)])
+            if not line or TAGGED.match(line):
+                break
+            more, operand, left, prose = walk(line, operand, depth)
+            words = [x.lower() for x in TOKEN.findall(line)[:2]]
+            if prose and (left or len(words) == 2 and not {"(", ")", *PRECEDENCE} & set(words)):
+                break
+            names, depth, at = names + more, left, end if end >= 0 else len(text)
+            parts.append(line)
+        yield " ".join(parts), names
+
+
 def evaluate(tokens: list[str]) -> tuple[frozenset[str], bool]:
     """The licences of an expression in postfix, and whether its terms can be met by permissive ones alone."""
     stack: list[tuple[frozenset[str], bool]] = []
@@ -124,10 +166,10 @@ class Scanner:
             else:
                 sure[label] = max(weight, sure.get(label, 0.0))
         if tagged:
-            for rest in TAGGED.findall(text):
+            for rest, names in expressions_of(text):
                 tokens = postfix(rest)
                 if tokens is None:
-                    found, own = frozenset(x.lower() for x in TOKEN.findall(rest)[:1] if x not in "()"), False
+                    found, own = frozenset(names), False
                 else:
                     found, own = evaluate(tokens)
                     expressions.append(" ".join(tokens))
