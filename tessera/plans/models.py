@@ -22,6 +22,14 @@ FLOOR = 1e-3
 CLASSES_AT_MOST = 10_000
 
 
+def bounded(rows: DataFrame, most: int) -> list:
+    """All rows, of which there are `most` at most; more are an error, as a part of them would give wrong results."""
+    out = rows.limit(most + 1).collect()
+    if len(out) > most:
+        raise ValueError(f"over {most} rows of classes or pairs of classes")
+    return out
+
+
 def examples(rows: DataFrame) -> DataFrame:
     """Frames of runs of equal tags: series_id, tag, start, t, x, h, and o, n, the place in the run and its length."""
     by = Window.partitionBy("series_id", "tag").orderBy("t")
@@ -48,7 +56,7 @@ def class_hmm_states(spark, d):
 
 def built(models: DataFrame, e: DataFrame, states: int = STATES) -> tuple[list[str], list[hmm.Hmm]]:
     """The models of classes as objects: left-right, with stays from mean lengths; a class for each, so a small collect."""
-    rows = models.limit(CLASSES_AT_MOST * states * 2).collect()
+    rows = bounded(models, CLASSES_AT_MOST * states * 2)
     dwell = {r["tag"]: r["m"] for r in e.where("o = 0").groupBy("tag").agg(F.avg("n").alias("m")).collect()}
     names = sorted({r["tag"] for r in rows})
     out = []
@@ -103,7 +111,7 @@ def hmm_spot_scores(spark, d):
 @query("best_label_mapping")
 def best_label_mapping(spark, d):
     """The one-to-one naming of decoded classes that agrees with most frames."""
-    m = hmm_spot_scores(spark, d).limit(CLASSES_AT_MOST).collect()  # pairs of classes
+    m = bounded(hmm_spot_scores(spark, d), CLASSES_AT_MOST)  # pairs of classes
     truth, found = sorted({r["truth"] for r in m}), sorted({r["found"] for r in m})
     gain = np.zeros((len(truth), max(len(truth), len(found))))
     for r in m:
@@ -206,7 +214,7 @@ def tree_clusters(spark, d, k: int = 8):
 def _merges(spark, d, how: str):
     from tessera.operators.neighbours import group_distance
 
-    rows = group_distance(spark, d).limit(CLASSES_AT_MOST).collect()  # pairs of labels
+    rows = bounded(group_distance(spark, d), CLASSES_AT_MOST)  # pairs of labels
     labels = sorted({r["l1"] for r in rows} | {r["l2"] for r in rows})
     dist = np.full((len(labels), len(labels)), np.inf)
     for r in rows:
