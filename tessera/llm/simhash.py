@@ -1,9 +1,10 @@
 """SimHash near-duplicates: fingerprints linked at a few differing bits, found by a Gray-order hierarchical index.
 
 Fingerprints are cut into `BLOCKS` blocks of bits; two that differ in at most `limit` bits agree on all but `limit`
-blocks, so each choice of BLOCKS - limit blocks is a key that deals them to tasks. Within a key they are sorted by
-Gray rank, runs of them share masked bit patterns in the upper nodes of a tree, and pairs of nodes whose shared
-patterns already differ too much are pruned as a whole. Each key yields a spanning forest only, never its pairs.
+blocks, so each choice of BLOCKS - limit blocks is a key that deals them to tasks. A task sorts its rows by key and
+Gray rank and builds one tree over them: runs of rows share masked bit patterns in the upper nodes, and pairs of nodes
+of different keys, or whose shared patterns already differ too much, are pruned as a whole. Each key yields a
+spanning forest only, never its pairs.
 
 Nulls and odd rows: a null text is an empty one, with fingerprint zero, linked like any other; rows without a
 doc_id are linked but name no component (a component of such rows alone has a null id). Copies share a fingerprint
@@ -18,12 +19,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.base import cut, small, table
 from tessera.llm.graph import components
 from tessera.llm.jaccard import near_copies
+from tessera.llm.tree import gray_order, gray_rank, near_pairs, whole_groups
 from tessera.llm.words import chunks
 
 BLOCKS = 6
@@ -32,9 +34,8 @@ SHINGLE = 4
 SEED = 42
 #: Rows of one key that one task compares; more are dealt out as pairs of parts of so many rows.
 PART_ROWS = 4096
-FAN = 8
-#: Groups of so many prints at most are compared all with all, without a tree.
-FEW = 24
+#: The ids of rows that go are broadcast up to so many, eight bytes each.
+LISTED_ROWS = 1_000_000
 
 
 def fingerprint(words: list[bytes], k: int = SHINGLE, seed: int = SEED) -> int:
@@ -63,12 +64,6 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, print long")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    for s in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> np.uint64(s))
-    return x
-
-
 class Forest:
     """Union-find over positions, a block of links at a time."""
 
@@ -90,77 +85,24 @@ class Forest:
 
 def forest(prints: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """For each of some distinct prints, which are sorted by Gray rank, the position of its tree's first."""
-    n, trees = len(prints), Forest(len(prints))
-    levels = []  # of nodes from the leaves up: the bits that all below share, and their values
-    mask, bits = np.full(n, ~np.uint64(0)), prints
-    while True:
-        levels.append((mask, bits))
-        if len(mask) <= FAN:
-            break
-        at = np.arange(0, len(mask), FAN)
-        odd = np.bitwise_or.reduceat(bits ^ np.repeat(bits[at], FAN)[: len(bits)], at)
-        mask = np.bitwise_and.reduceat(mask, at) & ~odd
-        bits = bits[at] & mask
-    top = np.arange(len(levels[-1][0]))
-    a, b = (x.ravel() for x in np.meshgrid(top, top, indexing="ij"))
-    todo = [(len(levels) - 1, a[a <= b], b[a <= b])]
-    while todo:
-        level, a, b = todo.pop()
-        if len(a) > 200_000:
-            todo += [(level, a[i : i + 100_000], b[i : i + 100_000]) for i in range(0, len(a), 100_000)]
-            continue
-        mask, bits = levels[level]
-        near = np.bitwise_count((bits[a] ^ bits[b]) & mask[a] & mask[b]) <= limit
-        a, b = a[near], b[near]
-        if not level:
-            trees.link(a, b)
-            continue
-        below = len(levels[level - 1][0])
-        down = np.arange(FAN)
-        a = np.repeat(a[:, None] * FAN + down, FAN, axis=1).ravel()
-        b = np.tile(b[:, None] * FAN + down, (1, FAN)).ravel()
-        inside = (a < below) & (b < below) & (a <= b)
-        todo.append((level - 1, a[inside], b[inside]))
+    trees = Forest(len(prints))
+    for a, b in near_pairs(prints[:, None], np.zeros(len(prints), np.int64), limit):
+        trees.link(a, b)
     return trees.root
 
 
 def _key_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key, i, j and print; the links of each such group, as stars around the smallest print, so that keys agree on them."""
-    kept: list[np.ndarray] = []
-
-    def groups(rows: np.ndarray) -> pa.RecordBatch:
-        key, prints = rows[:3], rows[3].view(np.uint64)
-        new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
-        sizes = np.diff(new)
-        trees = Forest(len(prints))
-        few = np.repeat((sizes > 1) & (sizes <= FEW), sizes)
-        last = np.repeat(new[1:], sizes)
-        at = np.flatnonzero(few)
-        for step in range(1, FEW):  # all small groups at the same time, each row with the one `step` rows on
-            at = at[at + step < last[at]]
-            if not len(at):
-                break
-            near = at[np.bitwise_count(prints[at] ^ prints[at + step]) <= limit]
-            trees.link(near, near + step)
-        for begin, n in zip(new[:-1][sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
-            order = begin + np.argsort(gray_rank(prints[begin : begin + n]))
-            trees.link(order, order[forest(prints[order], limit)])
+    """Rows come sorted by key, i and j; the links of each such group, as stars around the smallest print, so that keys agree on them."""
+    for table in whole_groups(batches, ("key", "i", "j")):
+        prints, group = table.column("print").to_numpy(), table.column("group").to_numpy()
+        alike = np.lexsort((prints, group))
+        prints, group = prints[alike], group[alike]  # the smallest print of a tree is then its first
+        words = np.ascontiguousarray(prints).view(np.uint64)[:, None]
+        order, trees = gray_order(words, group), Forest(len(prints))
+        for a, b in near_pairs(words[order], group[order], limit):
+            trees.link(order[a], order[b])
         held = trees.root != np.arange(len(prints))
-        a, b = prints[held].view(np.int64), prints[trees.root[held]].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "i", "j", "print")])
-        if not rows.shape[1]:
-            continue
-        kept.append(rows)
-        if (rows[:3, 0] != rows[:3, -1]).any():
-            rows = np.concatenate(kept, axis=1)
-            last = int(np.flatnonzero((rows[:3] != rows[:3, -1:]).any(0))[-1]) + 1
-            kept = [rows[:, last:]]
-            yield groups(rows[:, :last])
-    if kept:
-        yield groups(np.concatenate(kept, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(prints[held]), pa.array(prints[trees.root[held]])], ["a", "b"])
 
 
 def linked(prints: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataFrame:
@@ -175,7 +117,7 @@ def linked(prints: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataF
     dealt = rows.join(small(cut(hot)), "key", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.hash("print"), "n"))
     dealt = dealt.select("key", "print", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "print")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "print")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return components(dealt.mapInArrow(lambda x: _key_links(x, limit), "a long, b long"))
 
 
@@ -198,11 +140,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with its smallest doc_id. Of repeated rows one stays; rows without a doc_id stay if no other such row has their text.
 
-    Links are of 0.8 or more in the Jaccard similarity of five-word shingles, by `jaccard.near_copies`; prints of 64
-    bits cannot tell 0.8 from 0.7.
+    Links are of 0.8 or more in the Jaccard similarity of five-word shingles, by `jaccard.near_copies`: prints of 64
+    bits cannot tell 0.8 from 0.7, so its prints have 256, and what the tree finds is held against the shingles.
+    Texts are not shuffled while the rows that go, or are there twice, can be broadcast.
     """
-    found = near_copies(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("simhash_first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("simhash_first_id"), "left").where(F.col("simhash_first_id").isNotNull() | F.col("doc_id").isNull())
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.withColumn("simhash_first_row", F.row_number().over(order)).where("simhash_first_row = 1").select(*docs.columns)
+    own, hashed = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    found = cut(near_copies(docs))
+    per_id = found.where("doc_id is not null").groupBy("doc_id", "component_id").count().groupBy("doc_id").agg(F.sum("count").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+    per_id = cut(per_id.where("n > 1 or first = 0").select("doc_id", (F.col("first") == 1).alias("twice")))
+    gone, twice = (small(x.select(F.col("doc_id").alias("id")), LISTED_ROWS) for x in (per_id, per_id.where("twice")))
+    once = docs.where(own.isNotNull()).join(gone, own == gone["id"], "left_anti")
+    lost, again = docs.where(own.isNull()), docs.where(own.isNotNull()).join(twice, own == twice["id"], "left_semi")
+    plain = [F.col(f"`{c}`").cast("string") if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    rows = lost.union(again).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("id"), hashed.alias("hash"), F.struct(*plain).alias("place"))
+    rows = rows.groupBy("id", "hash").agg(F.min_by("row", "place").alias("row"))
+    return once.union(rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
