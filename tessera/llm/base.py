@@ -16,13 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder `spark.checkpoint.dir`; only where that is unset (tests) one of our own is made."""
+    """The shared folder `spark.checkpoint.dir`. Where that is unset one of our own is made on a local master (tests); elsewhere it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with a number after it the first that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)

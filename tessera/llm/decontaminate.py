@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessera.llm.base import table
+from tessera.llm.base import fresh, table
 from tessera.llm.words import chunks
 
 WINDOW = 10
@@ -148,7 +148,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no window of the benchmark occurs."""
-    return mark(docs, table(spark, sf_dir, "benchmark")).where("benchmark_hits.n_hit = 0").select(*docs.columns)
+    out = fresh(docs, "benchmark_hits")
+    return mark(docs, table(spark, sf_dir, "benchmark"), out=out).where(f"{out}.n_hit = 0").select(*[f"`{c}`" for c in docs.columns])
 
 
 #: DuckDB SQL for op9_decontaminate.

@@ -7,14 +7,24 @@ that alone (skip) and both together, each in a table of 2**BITS rows. Each task
 texts by mini-batches of gradient updates; the tasks' weights are averaged row by row, by how often each was updated,
 in a grouping. Texts are scored in sparse numpy batches. Within a class, tokens have add-one unigram probabilities.
 
-Counts: tokens are counted and their postings (documents and frequencies) gathered by chunks of text; a chunk sends a
-row for each different token, so a frequent word costs a row a chunk. Where a token's rows meet, its count is known,
-and sums of logarithms go back to the documents. Nothing that grows with the corpus passes the driver: it sees class
-totals, the frequent words, and the averaged weights, 3 * 2**BITS + 1 rows of CLASSES numbers.
+Counts: each chunk of text sends a row for each different token, which a grouping sums. The tokens that most documents
+have, `LISTED` at most, are sent back with their counts, and their logarithms are added where the text is. All others
+are in few documents: they are sent as postings (documents and frequencies) to where their counts are known, and sums
+of logarithms go back to the documents. Ends are counted by row. So no token's postings gather over a bounded share.
+Nothing else that grows with the corpus passes the driver: it sees class totals, the listed tokens, and the averaged
+weights, 3 * 2**BITS + 1 rows of CLASSES numbers.
+
+Training rows are dealt by a hash of their doc_id and text to shards of about `SHARD_TOKENS`, each in a stated order,
+in `ROUNDS` parts; every part begins with the weights averaged after the last. So scores do not depend on how rows lay.
 
 Tokens are told apart by 64-bit hashes. Nulls and odd rows: a null text is an empty one, which has its end token; a
-null doc_id counts as the text ''. Rows that share a doc_id share the mean of their sums of logarithms (for repeated
-rows: their own). An empty table gives an empty one; a corpus with no training row scores by its add-one terms alone.
+null doc_id counts as the text ''. Rows that share a doc_id are scored each by itself; other columns than doc_id and
+text are not returned. An empty table gives an empty one; a corpus with no training row scores by its add-one terms
+alone.
+
+What is left out: within a class, tokens have unigram probabilities, so context tells words of one class apart by
+nothing but their counts, and adds log2(CLASSES) = 5 bits a token at most. A second softmax over the words of a class
+would double the time of training and scoring.
 """
 
 from __future__ import annotations
@@ -27,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut, partitions, table
+from tessera.llm.base import cut, partitions, small, table
 from tessera.llm.words import Words, chunks, mix, split
 
 BITS = 13
@@ -42,6 +52,10 @@ END = np.uint64(0x1F83D9ABFB41BD6B)
 BEGIN = np.uint64(0x5BE0CD19137E2179)
 NO_ID = -(2**63)
 FOLDS, HELD = 7, 2
+#: At most so many tokens are listed: those in more than a LISTED-th of all pairs of a document and its token.
+LISTED = 1 << 18
+SHARD_TOKENS, SHARDS_AT_MOST = 1 << 20, 8192
+ROUNDS = 2
 
 
 @dataclass
@@ -67,27 +81,60 @@ def tokens(words: Words) -> Tokens:
     return Tokens(hashes, shape, text, words.first[:-1] + np.arange(texts))
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each token of a chunk: how often training texts have it, and its postings: low halves of doc_ids, then frequencies."""
+@dataclass
+class Listed:
+    """The tokens that most documents have, sorted by hash, and log10(c + 1) of each; -1 where c is zero."""
+
+    token: np.ndarray
+    log_count: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens are listed, and the logarithms of those that are."""
+        if not len(self.token):
+            return np.zeros(len(hashes), bool), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.token, hashes), len(self.token) - 1)
+        same = self.token[at] == hashes
+        return same, self.log_count[at[same]]
+
+
+def _by_document(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, shape, text and frequency of each token of each text, without ends, sorted by hash and text."""
+    words = np.flatnonzero(t.shape != SHAPES)
+    order = words[np.lexsort((t.text[words], t.hash[words]))]
+    h, d = t.hash[order], t.text[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return h[new], t.shape[order][new], d[new], np.diff(np.append(new, len(h)))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each token of a chunk: how often training texts have it, and how many texts do."""
     for batch in chunks(batches, CHUNK):
-        t = tokens(split(batch.column("text"), lower=True))
-        ids = batch.column("doc_id").to_numpy()
-        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.lexsort((t.text, t.hash))
-        h, d = t.hash[order], t.text[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
-        times = np.diff(np.append(new, len(h)))
+        h, shape, d, times = _by_document(tokens(split(batch.column("text"), lower=True)))
+        if len(h):
+            times = np.where(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[d], 0, times)
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(shape[at].astype(np.int32)), pa.array(np.add.reduceat(times, at)), pa.array(np.diff(np.append(at, len(h))))], ["token", "shape", "n", "texts"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch], listed: Listed) -> Iterator[pa.RecordBatch]:
+    """A row for each token of a chunk that is not listed: how often training texts have it, and its postings: low halves of keys, then frequencies."""
+    for batch in chunks(batches, CHUNK):
+        h, _, d, times = _by_document(tokens(split(batch.column("text"), lower=True)))
+        rare = ~listed.of(h)[0]
+        h, d, times = h[rare], d[rare], times[rare]
+        if not len(h):
+            continue
         parts = -(-times // 255)  # a frequency is one byte; larger ones take several postings
-        who = np.repeat(np.arange(len(new)), parts)
+        who = np.repeat(np.arange(len(h)), parts)
         last = np.cumsum(parts) - 1
         freq = np.full(len(who), 255, np.int64)
         freq[last] = times - 255 * (parts - 1)
-        h, doc, shape = h[new][who], ids[d[new][who]], t.shape[order][new][who]
-        count = np.where(held[d[new][who]], 0, freq)
+        held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        h, doc, count = h[who], batch.column("key").to_numpy()[d[who]], np.where(held[d[who]], 0, freq)
         high, low = doc >> 32, (doc & 0xFFFFFFFF).astype(np.uint32)
         if (high != high[0]).any():
             order = np.lexsort((high, h))
-            h, shape, count, high, low, freq = (x[order] for x in (h, shape, count, high, low, freq))
+            h, count, high, low, freq = (x[order] for x in (h, count, high, low, freq))
         at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (high[1:] != high[:-1])]))
         sizes = np.diff(np.append(at, len(h)))
         ends = np.cumsum(sizes)
@@ -99,68 +146,52 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data[base + 4 * np.repeat(sizes, sizes) + inside] = freq
         offsets = np.concatenate([[0], 5 * ends]).astype(np.int32)
         binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(shape[at].astype(np.int32)), pa.array(np.add.reduceat(count, at)), pa.array(high[at]), binary], ["token", "shape", "n", "high", "postings"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.add.reduceat(count, at)), pa.array(high[at]), binary], ["token", "n", "high", "postings"])
 
 
-SUMS = "kind int, id long, shape int, x double, n long, packed binary"
-ENTRY = np.dtype([("doc", np.int64), ("x", np.float64), ("known", np.int32), ("rows", np.int32)])
+ENTRY = np.dtype([("key", np.int64), ("x", np.float64), ("known", np.int32)])
 
 
 def _added(entries: np.ndarray) -> np.ndarray:
-    """One entry a document: sums of log10(c + 1), of known tokens and of ends, which are its rows."""
-    docs, inverse = np.unique(entries["doc"], return_inverse=True)
-    out = np.zeros(len(docs), ENTRY)
-    out["doc"] = docs
-    for name in ("x", "known", "rows"):
-        out[name] = np.bincount(inverse, entries[name], len(docs))
+    """One entry a key: sums of log10(c + 1) and of known tokens."""
+    keys, inverse = np.unique(entries["key"], return_inverse=True)
+    out = np.zeros(len(keys), ENTRY)
+    out["key"] = keys
+    for name in ("x", "known"):
+        out[name] = np.bincount(inverse, entries[name], len(keys))
     return out
 
 
 def _sums(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by token. Out: kind 0, for each block of documents the entries of those met here, packed; 1, a shape's tokens and different tokens; 2, frequent tokens."""
-    words, different = np.zeros(SHAPES + 1, np.int64), np.zeros(SHAPES + 1, np.int64)
-    frequent: list[tuple[int, int, int]] = []
+    """Rows come sorted by token. Out: for each block of keys the entries of those met here, packed."""
     waiting: list[tuple[np.ndarray, ...]] = []
 
-    def rows(kind, ids, shape, x, n, packed=None) -> pa.RecordBatch:
-        size = len(ids)
-        full = lambda v, t: pa.array(np.broadcast_to(np.asarray(v, t), size))
-        return pa.RecordBatch.from_arrays([full(kind, np.int32), full(ids, np.int64), full(shape, np.int32), full(x, np.float64), full(n, np.int64), pa.array(packed or [None] * size, pa.binary())], ["kind", "id", "shape", "x", "n", "packed"])
-
     def flush() -> Iterator[pa.RecordBatch]:
         entries = np.zeros(sum(len(x[0]) for x in waiting), ENTRY)
         for name, parts in zip(ENTRY.names, zip(*waiting)):
             entries[name] = np.concatenate(parts)
         waiting.clear()
         entries = _added(entries)
-        block = (mix(entries["doc"].copy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+        block = (mix(entries["key"].copy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         at = np.flatnonzero(np.diff(block[order], prepend=-1))
-        yield rows(0, block[order][at], -1, 0.0, 0, [x.tobytes() for x in np.split(entries[order], at[1:])])
+        yield pa.RecordBatch.from_arrays([pa.array(block[order][at]), pa.array([x.tobytes() for x in np.split(entries[order], at[1:])], pa.binary())], ["block", "packed"])
 
     def settle(part: pa.Table) -> None:
-        token, shape, n, high = (part.column(c).to_numpy() for c in ("token", "shape", "n", "high"))
+        token, n, high = (part.column(c).to_numpy() for c in ("token", "n", "high"))
         binary = part.column("postings").combine_chunks()
         binary = binary.chunk(0) if isinstance(binary, pa.ChunkedArray) else binary
         offsets = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
         data = np.frombuffer(binary.buffers()[2], np.uint8)
         at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        total = np.add.reduceat(n, at)
-        seen = total > 0
-        words[:] += np.bincount(shape[at], total, SHAPES + 1).astype(np.int64)
-        different[:] += np.bincount(shape[at][seen], minlength=SHAPES + 1)
-        best = np.argsort(-total, kind="stable")[: FREQUENT + 1]
-        frequent.extend((int(token[at[i]]), int(total[i]), int(shape[at[i]])) for i in best)
-        frequent.sort(key=lambda r: (-r[1], r[0]))
-        del frequent[FREQUENT + 1 :]
-        c = np.repeat(total, np.diff(np.append(at, len(token))))
+        c = np.repeat(np.add.reduceat(n, at), np.diff(np.append(at, len(token))))
         sizes = np.diff(offsets) // 5
         inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         base = np.repeat(offsets[:-1], sizes)
         low = sum(data[base + 4 * inside + k].astype(np.int64) << (8 * k) for k in range(4))
         freq = data[base + 4 * np.repeat(sizes, sizes) + inside].astype(np.float64)
         c = np.repeat(c, sizes)
-        waiting.append(((np.repeat(high, sizes) << 32) | low, freq * np.log10(c + 1.0), freq * (c > 0), freq * np.repeat(shape == SHAPES, sizes)))
+        waiting.append(((np.repeat(high, sizes) << 32) | low, freq * np.log10(c + 1.0), freq * (c > 0)))
 
     kept: list[pa.RecordBatch] = []
     for batch in batches:
@@ -178,32 +209,18 @@ def _sums(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordB
         settle(pa.Table.from_batches(kept))
     if waiting:
         yield from flush()
-    yield rows(1, np.arange(SHAPES + 1), np.arange(SHAPES + 1), different.astype(float), words)
-    if frequent:
-        token, n, shape = (np.array(x) for x in zip(*frequent))
-        yield rows(2, token, shape, 0.0, n)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of each document of this task's blocks, added; other rows as they are, with n in `known`."""
+    """The entries of each key of this task's blocks, added."""
     held: list[np.ndarray] = []
-
-    def out(kind, ids, shape, x, known, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(v, t), len(ids))) for v, t in ((kind, np.int32), (ids, np.int64), (shape, np.int32), (x, np.float64), (known, np.int64), (n, np.int64))], ["kind", "id", "shape", "x", "n", "rows"])
-
     for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        packed = batch.column("packed").filter(pa.array(kind == 0)).to_pylist()
-        held += [np.frombuffer(x, ENTRY) for x in packed]
+        held += [np.frombuffer(x, ENTRY) for x in batch.column("packed").to_pylist()]
         if sum(map(len, held)) > 2_000_000:
             held = [_added(np.concatenate(held))]
-        other = batch.filter(pa.array(kind != 0))
-        if other.num_rows:
-            k, i, s, x, n = (other.column(c).to_numpy() for c in ("kind", "id", "shape", "x", "n"))
-            yield out(k, i, s, x, n, 0)
     if held:
         e = _added(np.concatenate(held))
-        yield out(0, e["doc"].copy(), -1, e["x"].copy(), e["known"].copy(), e["rows"].copy())
+        yield pa.RecordBatch.from_arrays([pa.array(e["key"].copy()), pa.array(e["x"].copy()), pa.array(e["known"].astype(np.int64))], ["key", "x", "known"])
 
 
 @dataclass
@@ -249,10 +266,9 @@ def _log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _train(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.RecordBatch]:
-    """Weights after one pass of gradient updates over this task's texts, times their updates, and the updates."""
-    weights = np.zeros((3 * 2**BITS + 1, CLASSES), np.float32)
-    updates = np.zeros(len(weights), np.int64)
+def _train(batches: Iterator[pa.RecordBatch], classes: Classes, begin: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Weights after one pass of gradient updates over this task's texts, from `begin`, times their updates, and the updates. seen: updates before."""
+    weights, updates = begin.copy(), np.zeros(len(begin), np.int64)
     for batch in chunks(batches, TRAIN_CHUNK):
         t = tokens(split(batch.column("text"), lower=True))
         features, (target, _) = _features(t), classes.of(t)
@@ -267,14 +283,15 @@ def _train(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.R
                 step = np.add.reduceat(slope[order], new)
                 own, n = own[new], np.diff(np.append(new, len(order)))
                 updates[own] += n
-                weights[own] -= (RATE / np.sqrt(n * updates[own]))[:, None].astype(np.float32) * step
+                weights[own] -= (RATE / np.sqrt(n * (seen[own] + updates[own])))[:, None].astype(np.float32) * step
             updates[-1] += len(y)
-            weights[-1] -= RATE / np.sqrt(len(y) * updates[-1]) * slope.sum(0)
+            weights[-1] -= RATE / np.sqrt(len(y) * (seen[-1] + updates[-1])) * slope.sum(0)
     rows = np.flatnonzero(updates)
     yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(updates[rows]), *[pa.array((weights[rows, c] * updates[rows]).astype(np.float32)) for c in range(CLASSES)]], ["row", "n", *[f"w{c}" for c in range(CLASSES)]])
 
 
-def _score(batches: Iterator[pa.RecordBatch], classes: Classes, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], classes: Classes, weights: np.ndarray, listed: Listed) -> Iterator[pa.RecordBatch]:
+    """Each row's share of the model's classes, and the sums of log10(c + 1) and of known tokens over listed ones."""
     for batch in chunks(batches, TRAIN_CHUNK):
         t = tokens(split(batch.column("text"), lower=True))
         features, (target, minus) = _features(t), classes.of(t)
@@ -284,7 +301,35 @@ def _score(batches: Iterator[pa.RecordBatch], classes: Classes, weights: np.ndar
             value[at : at + BATCH] = _log_softmax(weights, features[:, at : at + BATCH])[np.arange(len(y)), y]
         value = value / np.log(10) - minus
         n = np.diff(np.append(t.starts, len(target)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(np.add.reduceat(value, t.starts))], ["doc_id", "held_out", "n_tokens", "part"])
+        same, logs = listed.of(t.hash)
+        x = np.bincount(t.text[same], np.maximum(logs, 0), len(n)).astype(float)
+        known = np.bincount(t.text[same], logs >= 0, len(n)).astype(np.int64)
+        made = [pa.array(n), pa.array(np.add.reduceat(value, t.starts)), pa.array(x), pa.array(known)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "key", "copies", "held_out")], *made], ["doc_id", "key", "copies", "held_out", "n_tokens", "part", "x", "known"])
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows (id, hash) with `key`, which only rows of equal id and hash share, and `copies`, how many do.
+
+    A key is the id where all its rows have one text; the others get numbers beyond all ids.
+    """
+    ids = cut(rows.groupBy("id", "hash").agg(F.count("*").alias("copies")))
+    many = ids.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1")
+    odd = ids.join(many, "id", "left").where("texts > 1 or copies > 1")
+    odd = cut(odd.select(F.col("id").alias("o_id"), F.col("hash").alias("o_hash"), F.col("copies").alias("o_copies"), (F.col("texts") > 1).alias("many"), F.monotonically_increasing_id().alias("number")))
+    if odd.isEmpty():
+        return rows.select("*", F.col("id").alias("key"), F.lit(1).cast("long").alias("copies"))
+    ends = ids.where(F.col("id") != NO_ID).agg(F.min("id").alias("least"), F.max("id").alias("most")).first()
+    least, most, room = ends["least"] or 0, ends["most"] or 0, 1 << 54
+    if most + room < 2**63:
+        first = most + 1
+    elif least - room > NO_ID:
+        first = NO_ID + 1
+    else:
+        raise ValueError("doc_ids leave no room for keys of rows that share a doc_id")
+    odd = odd.select("o_id", "o_hash", "o_copies", F.when(F.col("many"), F.lit(first) + F.col("number")).otherwise(F.col("o_id")).alias("o_key"))
+    met = rows.join(small(odd), (F.col("id") == F.col("o_id")) & (F.col("hash") == F.col("o_hash")), "left")
+    return met.select(*rows.columns, F.coalesce("o_key", "id").alias("key"), F.coalesce("o_copies", F.lit(1)).alias("copies"))
 
 
 def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
@@ -293,37 +338,57 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFr
     The model learns from rows whose doc_id's crc32 leaves another remainder than `held` by `folds`.
     """
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), (fold == held).alias("held_out"))
-
-    rows = own.mapInArrow(_postings, "token long, shape int, n long, high long, postings binary")
-    blocks = partitions(own)
-    found = rows.repartition("token").sortWithinPartitions("token").mapInArrow(lambda x: _sums(x, blocks), SUMS)
-    found = cut(found.repartition("kind", "id").mapInArrow(_documents, "kind int, id long, shape int, x double, n long, rows long"))
-    shapes = {r["shape"]: (r["n"], r["x"]) for r in found.where("kind = 1").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()}
-    top = found.where(f"kind = 2 and n > 0 and shape < {SHAPES}").orderBy(F.desc("n"), "id").limit(FREQUENT).collect()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"), (fold == held).alias("held_out")))
+
+    counts = own.select("text", "held_out").mapInArrow(_counts, "token long, shape int, n long, texts long")
+    counts = cut(counts.groupBy("token").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"), F.sum("texts").alias("texts")))
+    ends = own.where("not held_out").count()
+    shapes = {r["shape"]: (r["n"], r["seen"]) for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("seen")).collect()}
+    shapes[SHAPES] = (ends, int(ends > 0))
     train, vocabulary = (sum(x[i] for x in shapes.values()) for i in (0, 1))
+    top = counts.where("n > 0").orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
     totals = np.array([sum(shapes.get(s, (0, 0))) for s in range(SHAPES + 1)], float)
     for r in top:
         totals[r["shape"]] -= r["n"] + 1
-    ends = shapes.get(SHAPES, (0, 0))[0]
     log_total = np.log10(totals + 1)
     log_total[SHAPES] = np.log10(ends + 1.0)  # an end is alone in its class
-    order = sorted(range(len(top)), key=lambda i: top[i]["id"] % 2**64)
-    classes = Classes(np.array([top[i]["id"] % 2**64 for i in order], np.uint64), np.array([1 + i for i in order], np.int64), np.log10([top[i]["n"] + 1.0 for i in order]), log_total)
-
-    trained = own.where("not held_out").mapInArrow(lambda x: _train(x, classes), "row int, n long, " + ", ".join(f"w{c} float" for c in range(CLASSES)))
-    mean = trained.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(f"w{c}").alias(f"w{c}") for c in range(CLASSES)])
-    weights = np.zeros((3 * 2**BITS + 1, CLASSES), np.float32)
-    for r in mean.collect():
-        weights[r[0]] = np.array(r[2:]) / r[1]
-    shared = spark.sparkContext.broadcast((classes, weights))
-
-    parts = own.mapInArrow(lambda x: _score(x, *shared.value), "doc_id long, held_out boolean, n_tokens long, part double")
-    sums = found.where("kind = 0").select(F.col("id").alias("s_id"), (F.col("x") / F.col("rows")).alias("x"), F.floor(F.col("n") / F.col("rows")).alias("known"))
-    done = parts.join(sums, F.col("doc_id") == F.col("s_id"))
+    order = sorted(range(len(top)), key=lambda i: top[i]["token"] % 2**64)
+    classes = Classes(np.array([top[i]["token"] % 2**64 for i in order], np.uint64), np.array([1 + i for i in order], np.int64), np.log10([top[i]["n"] + 1.0 for i in order]), log_total)
+
+    pairs = counts.agg(F.sum("texts")).first()[0] or 0
+    common = counts.where(F.col("texts") > pairs / LISTED).select("token", "n").toPandas()
+    token, n = common["token"].to_numpy(np.int64).view(np.uint64), common["n"].to_numpy(np.float64)
+    by = np.argsort(token)
+    listed = send(Listed(token[by], np.where(n > 0, np.log10(n + 1.0), -1.0)[by]))
+    rows = own.select("key", "text", "held_out").mapInArrow(lambda x: _postings(x, listed.value), "token long, n long, high long, postings binary")
+    blocks = partitions(own)
+    found = rows.repartition("token").sortWithinPartitions("token").mapInArrow(lambda x: _sums(x, blocks), "block long, packed binary")
+    found = cut(found.repartition("block").mapInArrow(_documents, "key long, x double, known long"))
+
+    weights, seen = np.zeros((3 * 2**BITS + 1, CLASSES), np.float32), np.zeros(3 * 2**BITS + 1, np.int64)
+    shards = min(SHARDS_AT_MOST, -(-train // (ROUNDS * SHARD_TOKENS)) or 1)
+    for i in range(ROUNDS):
+        begin = send((classes, weights, seen))
+        part = own.where(~F.col("held_out") & (F.pmod(F.xxhash64("hash", "id"), F.lit(ROUNDS)) == i)).select("id", "hash", "text")
+        part = part.repartition(shards, "id", "hash").sortWithinPartitions("id", "hash").select("text")
+        trained = part.mapInArrow(lambda x, begin=begin: _train(x, *begin.value), "row int, n long, " + ", ".join(f"w{c} float" for c in range(CLASSES)))
+        mean = trained.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(f"w{c}").alias(f"w{c}") for c in range(CLASSES)])
+        weights, seen = weights.copy(), seen.copy()
+        for r in mean.collect():
+            weights[r[0]] = np.array(r[2:]) / r[1]
+            seen[r[0]] += -(-r[1] // shards)
+    shared = send((classes, weights))
+
+    parts = own.select("doc_id", "key", "copies", "held_out", "text").mapInArrow(lambda x: _score(x, *shared.value, listed.value), "doc_id long, key long, copies long, held_out boolean, n_tokens long, part double, x double, known long")
+    sums = found.select(F.col("key").alias("s_key"), F.col("x").alias("s_x"), F.col("known").alias("s_known"))
+    done = parts.join(sums, F.col("key") == F.col("s_key"), "left")
+    x = F.col("x") + F.lit(float(log_total[SHAPES])) + F.coalesce(F.col("s_x") / F.col("copies"), F.lit(0.0))
+    known = F.col("known") + int(ends > 0) + F.coalesce(F.floor(F.col("s_known") / F.col("copies")), F.lit(0))
     out_of = F.lit(float(np.log10(train + vocabulary + 1)))
-    return done.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(train)).cast("long").alias("train_tokens"), (F.col("x") - F.col("n_tokens") * out_of).alias("base_score"), (F.col("x") + F.col("part")).alias("score"))
+    return done.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(int(train)).cast("long").alias("train_tokens"), (x - F.col("n_tokens") * out_of).alias("base_score"), (x + F.col("part")).alias("score"))
 
 
 def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:

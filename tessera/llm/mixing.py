@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut, small, table
+from tessera.llm.base import cut, fresh, small, table
 
 SHARE = 1.5
 CAP = 2
@@ -102,8 +102,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    mixed = mix(docs).where("mixed.copies > 0")
-    return mixed.withColumn("mixed", F.explode(F.sequence(F.lit(1), F.col("mixed.copies")))).select(*docs.columns)
+    out = fresh(docs, "mixed")
+    mixed = mix(docs, out=out).where(f"{out}.copies > 0")
+    return mixed.withColumn(out, F.explode(F.sequence(F.lit(1), F.col(f"{out}.copies")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 #: DuckDB SQL for op1_mixing.

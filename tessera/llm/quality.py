@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut, small, table
+from tessera.llm.base import cut, fresh, small, table
 
 #: Words that are common in any text of the language.
 COMMON = {
@@ -124,20 +124,20 @@ def _verdict(measured: DataFrame, refs: DataFrame, min_words: int, max_class_dis
     return out.withColumn("quality", F.struct(*parts))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", carry: bool = True, min_words: int = MIN_WORDS, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """docs with a struct column `quality`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
-    word_distance (null where not judged), base_failed and kept. Columns of docs named like ours are kept as they are.
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", carry: bool = True, min_words: int = MIN_WORDS, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, out: str = "quality") -> DataFrame:
+    """docs with a struct column `out`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
+    word_distance (null where not judged), base_failed and kept. Columns of docs named like ours are kept as they are, but for one named `out`, which is replaced.
 
     Rows are checkpointed with their measures, from which references and verdicts are then taken, so each text is gone
     through once, and is never shuffled. carry=False leaves out the texts.
     """
-    columns = [c for c in docs.columns if c != "quality" and (carry or c != text)]
+    columns = [c for c in docs.columns if c.lower() != out.lower() and (carry or c != text)]
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("p_row"), F.col(text).alias("p_text"), F.col(lang).alias("p_lang"))
     measured = _repetition(_profile(own, "p_text", "p_lang"), "p_text").select("p_row", "p_lang", "p_n", "p_chars", "p_symbols", "p_classes", "p_common", "n_dup_lines", "n_repeat_words")
     measured = cut(measured)
     refs = small(cut(_references(measured, "p_lang", min_words)))
-    out = _verdict(measured, refs, min_words, max_class_distance, max_word_distance)
-    return out.select(*[F.col("p_row").getField(c).alias(c) for c in columns], "quality")
+    judged = _verdict(measured, refs, min_words, max_class_distance, max_word_distance)
+    return judged.select(*[F.col("p_row").getField(c).alias(c) for c in columns], F.col("quality").alias(out))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
-    return judge(docs).where("quality.kept").select(*docs.columns)
+    out = fresh(docs, "quality")
+    return judge(docs, out=out).where(f"{out}.kept").select(*[f"`{c}`" for c in docs.columns])
 
 
 _LISTED = ", ".join(f"('{k}', [{', '.join(repr(w) for w in v)}])" for k, v in COMMON.items())

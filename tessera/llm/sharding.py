@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut, small, table
+from tessera.llm.base import cut, fresh, small, table
 
 SHARDS = 8
 BLOCK_GROUPS = 2000
-SLICES = 256
+#: Rows of a shard that are numbered in one group; a shard has as many such slices as its share of all rows asks for.
+SLICE_ROWS = 8192
 
 
 def differencing(tuples: list[list[int]]) -> list[list[int]]:
@@ -95,11 +96,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", carry: bool
     if not carry:
         own = cut(own)
     shard_of = assign(cut(own.groupBy("id").agg(F.sum("size").alias("size"))), shards)
-    placed = own.join(shard_of, "id")
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("doc_id", "id"), F.lit(SLICES)).cast("int"))
+    slices = -(-own.count() // (shards * SLICE_ROWS)) or 1
+    slice_ = F.pmod(F.xxhash64("doc_id", "id"), F.lit(slices))
+    placed = own.join(shard_of, "id").withColumn("slice", slice_)
     if carry:
         counts = own.select("doc_id", "id").join(shard_of, "id")
-        counts = counts.withColumn("slice", F.pmod(F.xxhash64("doc_id", "id"), F.lit(SLICES)).cast("int"))
+        counts = counts.withColumn("slice", slice_)
     else:
         placed = counts = cut(placed)
     filled = counts.groupBy("shard", "slice").count()
@@ -107,7 +109,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", carry: bool
     filled = cut(filled.select(F.col("shard").alias("f_shard"), F.col("slice").alias("f_slice"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")))
     within = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("doc_id", "crc", "id"))
     placed = placed.withColumn("within", within).join(small(filled), (F.col("shard") == F.col("f_shard")) & (F.col("slice") == F.col("f_slice")))
-    slot = (F.col("before") + F.col("within") - 1).cast("int")
+    slot = (F.col("before") + F.col("within") - 1).cast("long")
     return placed.select(*[F.col("s_row").getField(c).alias(c) for c in columns], F.struct("size", F.col("crc").alias("text_crc32"), "shard", slot.alias("slot")).alias(out))
 
 
@@ -124,6 +126,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot."""
-    done = shard(docs)
-    return done.select(*docs.columns, "sharded.shard", "sharded.slot")
+    """The documents with their shard and slot; columns of these names that they had before are replaced."""
+    out = fresh(docs, "sharded")
+    own = [f"`{c}`" for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return shard(docs, out=out).select(*own, f"{out}.shard", f"{out}.slot")

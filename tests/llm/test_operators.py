@@ -305,6 +305,12 @@ def test_sharding(docs, rows, none, monkeypatch, spark):
     for r in got:
         where[r.crc].add(r.shard)
         slots[r.shard].append(r.slot)
+    sums = collections.Counter()
+    for r in got:
+        sums[r.shard] += r.size
+    second, biggest = sorted(sum(r.size for r in got if r.crc == c) for c in where)[-2:]
+    assert max(sums.values()) <= max(biggest, sum(sums.values()) / 8) + second
+    assert dict(sharding.shard(docs).select("sharded.*").dtypes) == {"size": "bigint", "text_crc32": "bigint", "shard": "int", "slot": "bigint"}
     assert all(len(s) == 1 for s in where.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard(none).count() == 0
     assert multiset(sharding.stage(spark, docs, "").select("doc_id", "text").collect()) == multiset((r[0], r[1]) for r in rows)
@@ -374,18 +380,27 @@ def test_maxent_base(docs, rows, none):
             train.update(t)
     n, v = sum(train.values()), len(train)
     base = lambda t: sum(math.log10((train[x] + 1) / (n + v + 1)) for x in t)
-    sums = collections.defaultdict(list)
-    for d, _, t in texts:
-        sums[d].append((sum(math.log10(train[x] + 1) for x in t), sum(train[x] > 0 for x in t)))
-    mean = {d: (sum(x for x, _ in s) / len(s), sum(k for _, k in s) // len(s)) for d, s in sums.items()}
-    want = [(d, h, len(t), mean[d][1], n, round(mean[d][0] - len(t) * math.log10(n + v + 1), 6)) for d, h, t in texts]
+    want = [(d, h, len(t), sum(train[x] > 0 for x in t), n, round(base(t), 6)) for d, h, t in texts]
     got = maxent.score_texts(clash(docs, "token", "part", "held_out")).collect()
     assert multiset((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == multiset(want)
     assert all(math.isfinite(r.score) and (r.score < 0 or r.doc_id is None) for r in got)
-    assert [base(t) for d, _, t in texts if d == 80][0] == pytest.approx([r.base_score for r in got if r.doc_id == 80][0])
     assert maxent.score_texts(none).count() == 0
 
 
+@pytest.mark.parametrize("listed", [1 << 18, 8, 1])
+def test_maxent_rows_and_partitions(spark, monkeypatch, listed):
+    """Rows that share a doc_id have their own sums, whether their tokens are listed or not, and scores do not depend on partitions."""
+    monkeypatch.setattr(maxent, "LISTED", listed)
+    monkeypatch.setattr(maxent, "SHARD_TOKENS", 40)
+    made = [(1, "the cat sat on the mat"), (1, "zebra"), (1, "zebra"), (2, "the cat"), (2, "the cat"), (None, "cat"), (None, "dog"), (3, "a b " * 300), (2**62, "the"), (-5, "cat sat"), (0, "Q"), (0, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    train = collections.Counter(x for d, t in made if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2 for x in [*lower(t).split(), None])
+    want = [(d, sum(train[x] > 0 for x in [*lower(t).split(), None]), round(sum(math.log10((train[x] + 1) / (sum(train.values()) + len(train) + 1)) for x in [*lower(t).split(), None]), 6)) for d, t in made]
+    one, many = (maxent.score_texts(docs.repartition(n)).collect() for n in (1, 7))
+    assert multiset((r.doc_id, r.n_known, round(r.base_score, 6)) for r in one) == multiset(want)
+    assert multiset((r.doc_id, r.n_tokens, round(r.score, 4)) for r in one) == multiset((r.doc_id, r.n_tokens, round(r.score, 4)) for r in many)
+
+
 def test_maxent_beats_counts(spark):
     """Where words come in two kinds that do not mix, held-out texts are likelier under the model."""
     rng = np.random.default_rng(3)
@@ -403,3 +418,19 @@ def test_maxent_is_a_distribution():
     weights = rng.normal(size=(3 * 2**maxent.BITS + 1, maxent.CLASSES)).astype(np.float32)
     f = rng.integers(0, len(weights), (3, 5))
     assert np.allclose(np.exp(maxent._log_softmax(weights, f)).sum(1), 1, atol=1e-5)
+
+
+# stages: columns of any name and kind
+
+
+@pytest.mark.parametrize("stage", [quality.stage, simhash.stage, decontaminate.stage, mixing.stage, sharding.stage])
+def test_stage_with_clashing_and_map_columns(spark, data, docs, none, stage):
+    own = clash(docs, "quality", "mixed", "shard", "slot", "simhash_first_id", "benchmark_hits", "id", "hash", "print", "row", "place").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    out = stage(spark, own, data)
+    rows = out.collect()
+    assert rows and all(r["m"] == {"k": 1} for r in rows)
+    if stage is sharding.stage:
+        assert sorted(out.columns) == sorted(own.columns) and {r.shard for r in rows} <= set(range(8))
+    else:
+        assert out.columns == own.columns and {r.quality for r in rows} == {r.mixed for r in rows} == {r.shard for r in rows} == {"own"}
+    assert stage(spark, none, data).count() == 0
