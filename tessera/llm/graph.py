@@ -24,7 +24,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         little = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = cut(little.union(least.select("a", F.col("m").alias("b"))).distinct())
