@@ -1,155 +1,131 @@
-"""Distances between windows and vectors: neighbours, ranges, densities, occurrences, greedy selection and components."""
+"""Queries on distances between windows and vectors: neighbours, ranges, densities, occurrences, greedy selection and components.
 
-from __future__ import annotations
+Windows that are queries are those whose id (series * 2**32 + start) is divisible by 50; every window of every series
+at every start is searched.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import FRAMES, MARKUP, query
 from tessera.functions.dtw import dtw
-from tessera.functions.vectors import euclid, lower_bound, projection, squared_distance, total
-from tessera.operators.windows import WINDOW8, sliding
-from tessera.sources.frames import frames, load, markup, series
+from tessera.functions.vectors import lower_bound, projection, squared_distance
+from tessera.operators.search import asked, indexed, nearest, unpacked, windows, within
+from tessera.operators.symbols import AVERAGE, LETTERS, WARPED, scored
+from tessera.operators.windows import WINDOW8
+from tessera.sources.frames import frames, load
 
 TAU = 1.2
+SIZE = 8
 
 
 def vectors(spark, d) -> DataFrame:
     return load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
-EMB = "em AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
-DIST = "sqrt(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, 65)]))"
-
+def _table(spark, d) -> DataFrame:
+    return vectors(spark, d).select(F.col("vec_id").alias("id"), "v")
 
-def against(queries: DataFrame, table: DataFrame, how: str, k: int = 0, tau: float = 0.0) -> DataFrame:
-    """Each query's nearest k rows, or all within tau: vec_id, nbr_id and dist, without itself.
 
-    A stated set of queries against all rows, in blocks: each query goes to every block of the table once, and a task
-    holds the table rows of a batch and the queries. Queries are few by statement; they are sent by broadcast after
-    their number is checked.
-    """
-    rows = queries.select("vec_id", "v").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("over 100000 queries; give them in parts")
-    ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    shared = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        for batch in batches:
-            if not len(q):
-                continue
-            own, x = batch["vec_id"].to_numpy(), np.stack(batch["v"].to_numpy())
-            for at in range(0, len(q), 256):
-                dist = np.sqrt(((q[at : at + 256, None, :] - x[None]) ** 2).sum(2)) if len(x) < 2000 else np.sqrt(np.maximum((q[at : at + 256] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * q[at : at + 256] @ x.T, 0))
-                dist[ids[at : at + 256, None] == own] = np.inf
-                if how == "range":
-                    a, b = np.nonzero(dist <= tau)
-                else:
-                    b = np.argpartition(dist, min(k, len(x)) - 1, axis=1)[:, :k]
-                    a = np.repeat(np.arange(len(dist)), b.shape[1])
-                    b = b.ravel()
-                    finite = np.isfinite(dist[a, b])
-                    a, b = a[finite], b[finite]
-                yield pd.DataFrame({"vec_id": ids[at + a], "nbr_id": own[b], "dist": dist[a, b]})
-
-    found = table.select("vec_id", "v").mapInPandas(each, "vec_id long, nbr_id long, dist double")
-    if how == "range":
-        return found
-    order = Window.partitionBy("vec_id").orderBy("dist", "nbr_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+EMB = "em AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+DIST = "sqrt(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, 65)]))"
 
 
 @query("knn_l2", f"WITH {EMB}, p AS (SELECT a.vec_id, b.vec_id AS nbr_id, {DIST} AS dist FROM em a, em b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT vec_id, nbr_id, round(dist, 5) AS dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr_id) AS rank FROM p QUALIFY rank <= 5")
 def knn_l2(spark, d):
-    v = vectors(spark, d)
-    return against(v.where("vec_id % 50 = 0"), v, "knn", k=5).select("vec_id", "nbr_id", F.round("dist", 5).alias("dist"), "rank")
+    v = _table(spark, d)
+    return nearest(asked(v), v, 5).select(F.col("id").alias("vec_id"), F.col("nbr").alias("nbr_id"), F.round("dist", 5).alias("dist"), "rank")
 
 
 @query("range_search", f"WITH {EMB} SELECT a.vec_id, b.vec_id AS nbr_id, round({DIST}, 5) AS dist FROM em a, em b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND {DIST} <= {TAU}")
 def range_search(spark, d):
-    v = vectors(spark, d)
-    return against(v.where("vec_id % 50 = 0"), v, "range", tau=TAU).select("vec_id", "nbr_id", F.round("dist", 5).alias("dist"))
+    v = _table(spark, d)
+    return within(asked(v), v, TAU).select(F.col("id").alias("vec_id"), F.col("nbr").alias("nbr_id"), F.round("dist", 5).alias("dist"))
 
 
 KDE = f"WITH {EMB}, p AS (SELECT a.vec_id, b.vec_id AS nbr_id, {DIST} AS dist FROM em a, em b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND {DIST} <= {TAU}), k AS (SELECT vec_id, count(*) AS n, sum(exp(-0.5 * dist * dist / ({TAU} / 3))) AS density FROM p GROUP BY 1)"
 
 
+def density(near: DataFrame, radius: float) -> DataFrame:
+    """id, n and density: a Gaussian of variance radius / 3 over all rows within the radius of each query."""
+    return near.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.exp(-0.5 * F.col("dist") * F.col("dist") / (radius / 3))).alias("density"))
+
+
 @query("kde_density", f"{KDE} SELECT vec_id, n, round(density, 5) AS density FROM k")
 def kde_density(spark, d):
-    """Kernel density at each query: a Gaussian of variance tau / 3 over all vectors within tau."""
-    v = vectors(spark, d)
-    near = against(v.where("vec_id % 50 = 0"), v, "range", tau=TAU)
-    return near.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum(F.exp(-0.5 * F.col("dist") * F.col("dist") / (TAU / 3))), 5).alias("density"))
+    v = _table(spark, d)
+    return density(within(asked(v), v, TAU), TAU).select(F.col("id").alias("vec_id"), "n", F.round("density", 5).alias("density"))
 
 
-@query("density_curve", f"WITH {EMB}, p AS (SELECT a.vec_id, {DIST} AS dist, b.vec_id AS nbr FROM em a, em b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nbr) AS rank FROM p QUALIFY rank <= 10) SELECT vec_id, rank, round((rank + 1) / dist, 4) AS density FROM r")
-def density_curve(spark, d):
-    v = vectors(spark, d)
-    near = against(v.where("vec_id % 50 = 0"), v, "knn", k=10)
-    return near.select("vec_id", "rank", F.round((F.col("rank") + 1) / F.col("dist"), 4).alias("density"))
+W = f"WITH {FRAMES}, {WINDOW8}, w AS (SELECT series_id, start, series_id * 4294967296 + start AS id, xs FROM w8 WHERE len(xs) = 8)"
+APART = "(a.series_id <> b.series_id OR abs(a.start - b.start) >= 8)"
+L2 = "sqrt(list_sum([(a.xs[i] - b.xs[i]) * (a.xs[i] - b.xs[i]) FOR i IN range(1, 9)]))"
+KNN = f"{W}, p AS (SELECT a.id, b.id AS nbr, {L2} AS dist FROM w a JOIN w b ON a.id % 50 = 0 AND {APART}), kn AS (SELECT id, nbr, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM p QUALIFY rank <= 3)"
+AT = "id // 4294967296 AS series_id, (id % 4294967296)::INT AS start"
+NBR = "nbr // 4294967296 AS nbr_series, (nbr % 4294967296)::INT AS nbr_start"
 
 
-SERIES_KNN = f"""WITH {FRAMES}, {WINDOW8}, w AS (SELECT series_id, start, xs FROM w8 WHERE len(xs) = 8 AND start % 4 = 0),
-p AS (SELECT a.series_id, a.start, b.start AS nbr, sqrt(list_sum([(a.xs[i] - b.xs[i]) * (a.xs[i] - b.xs[i]) FOR i IN range(1, 9)])) AS dist FROM w a JOIN w b ON a.series_id = b.series_id AND abs(a.start - b.start) >= 8),
-kn AS (SELECT *, row_number() OVER (PARTITION BY series_id, start ORDER BY dist, nbr) AS rank FROM p QUALIFY rank <= 3)"""
+def _at() -> list[Column]:
+    return unpacked("id", "series_id", "start")
 
 
-def window_knn(rows: DataFrame, size: int = 8, step: int = 4, k: int = 3) -> DataFrame:
-    """Each window's k nearest windows of its own series that it does not overlap. A series' windows bound the join."""
-    w = sliding(rows, size, step)
-    b = w.select("series_id", F.col("start").alias("nbr"), F.col("xs").alias("ys"))
-    met = w.select("series_id", "start", "xs").join(b, "series_id").where(F.abs(F.col("start") - F.col("nbr")) >= size)
-    met = met.select("series_id", "start", "nbr", euclid(F.col("xs"), F.col("ys")).alias("dist"))
-    order = Window.partitionBy("series_id", "start").orderBy("dist", "nbr")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _nbr() -> list[Column]:
+    return unpacked("nbr", "nbr_series", "nbr_start")
 
 
-@query("window_knn", f"{SERIES_KNN} SELECT series_id, start, nbr, round(dist, 5) AS dist, rank FROM kn")
+def window_knn(rows: DataFrame, size: int = SIZE, k: int = 3, metric: str = "l2") -> DataFrame:
+    """id, nbr, dist and rank: nearest windows of all series that do not overlap the query."""
+    w = windows(rows, size)
+    return nearest(asked(w), w, k, metric, size)
+
+
+@query("window_knn", f"{KNN} SELECT {AT}, {NBR}, round(dist, 5) AS dist, rank FROM kn")
 def window_knn_query(spark, d):
-    return window_knn(frames(spark, d)).select("series_id", "start", "nbr", F.round("dist", 5).alias("dist"), "rank")
+    return window_knn(frames(spark, d)).select(*_at(), *_nbr(), F.round("dist", 5).alias("dist"), "rank")
+
 
+OPTIMA = f"{KNN}, p2 AS (SELECT a.id, {L2} AS dist, b.id AS nbr FROM w a JOIN w b ON a.id IN (SELECT nbr FROM kn) AND {APART}), d2 AS (SELECT id, dist FROM p2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, nbr) = 3), lo AS (SELECT q.id, q.dist FROM kn q WHERE q.rank = 3 AND NOT EXISTS (SELECT 1 FROM kn k JOIN d2 ON d2.id = k.nbr WHERE k.id = q.id AND d2.dist < q.dist))"
 
-LOCAL = f"{SERIES_KNN}, dk AS (SELECT series_id, start, dist FROM kn WHERE rank = 3)"
 
+def optima(rows: DataFrame, size: int = SIZE, k: int = 3) -> DataFrame:
+    """id and dist: queries none of whose neighbours has a smaller distance to its own k-th; neighbours are searched for in turn."""
+    w = windows(rows, size)
+    kn = nearest(asked(w), w, k, "l2", size)
+    theirs = nearest(w.join(kn.select(F.col("nbr").alias("id")).distinct(), "id", "left_semi"), w, k, "l2", size)
+    theirs = theirs.where(F.col("rank") == k).select(F.col("id").alias("nbr"), F.col("dist").alias("theirs"))
+    dk = kn.where(F.col("rank") == k).select("id", "dist")
+    better = kn.select("id", "nbr").join(theirs, "nbr").groupBy("id").agg(F.min("theirs").alias("theirs"))
+    return dk.join(better, "id", "left").where("theirs is null or theirs >= dist").select("id", "dist")
 
-@query("local_optima", f"{LOCAL} SELECT d.series_id, d.start, round(d.dist, 5) AS dist FROM dk d WHERE NOT EXISTS (SELECT 1 FROM kn k JOIN dk n ON n.series_id = k.series_id AND n.start = k.nbr WHERE k.series_id = d.series_id AND k.start = d.start AND n.dist < d.dist)")
+
+@query("local_optima", f"{OPTIMA} SELECT {AT}, round(dist, 5) AS dist FROM lo")
 def local_optima(spark, d):
-    """Windows none of whose neighbours has a smaller distance to its own k-th: an anti join."""
-    kn = window_knn(frames(spark, d))
-    dk = kn.where("rank = 3").select("series_id", "start", "dist")
-    near = kn.select("series_id", "start", "nbr").join(dk.select("series_id", F.col("start").alias("nbr"), F.col("dist").alias("n_dist")), ["series_id", "nbr"])
-    near = near.select(F.col("series_id").alias("s"), F.col("start").alias("b"), "n_dist")
-    lost = (F.col("series_id") == F.col("s")) & (F.col("start") == F.col("b")) & (F.col("n_dist") < F.col("dist"))
-    return dk.join(near, lost, "left_anti").select("series_id", "start", F.round("dist", 5).alias("dist"))
+    return optima(frames(spark, d)).select(*_at(), F.round("dist", 5).alias("dist"))
 
 
-@query("seed_density", f"{LOCAL} SELECT series_id, start, round(dist, 5) AS dist, row_number() OVER (PARTITION BY series_id ORDER BY dist, start) AS place FROM dk")
+@query("seed_density", f"{KNN} SELECT {AT}, round(dist, 5) AS dist FROM kn WHERE rank = 3")
 def seed_density(spark, d):
-    order = Window.partitionBy("series_id").orderBy("dist", "start")
-    dk = window_knn(frames(spark, d)).where("rank = 3")
-    return dk.select("series_id", "start", F.round("dist", 5).alias("dist"), F.row_number().over(order).alias("place"))
+    """Windows in order of the distance to their third neighbour: the densest first."""
+    return window_knn(frames(spark, d)).where("rank = 3").orderBy("dist", "id").select(*_at(), F.round("dist", 5).alias("dist"))
 
 
-@query("cluster_distance", f"{SERIES_KNN}, o AS (SELECT series_id, start, start AS member FROM kn WHERE rank = 1 UNION ALL SELECT series_id, start, nbr FROM kn WHERE rank = 1) SELECT a.series_id, min(round(sqrt(list_sum([(x.xs[i] - y.xs[i]) * (x.xs[i] - y.xs[i]) FOR i IN range(1, 9)])), 5)) AS dist, a.start AS s1, b.start AS s2 FROM o a JOIN o b ON a.series_id = b.series_id AND b.start = a.start + 4 JOIN w x ON x.series_id = a.series_id AND x.start = a.member JOIN w y ON y.series_id = b.series_id AND y.start = b.member GROUP BY a.series_id, a.start, b.start")
-def cluster_distance(spark, d):
-    """The least distance between the members (a window and its neighbour) of adjacent windows' clusters."""
-    rows = frames(spark, d)
-    kn = window_knn(rows).where("rank = 1")
-    members = kn.select("series_id", "start", F.explode(F.array("start", "nbr")).alias("m"))
-    w = sliding(rows, 8, 4).select("series_id", F.col("start").alias("m"), "xs")
-    members = members.join(w, ["series_id", "m"])
-    a = members.select("series_id", F.col("start").alias("s1"), (F.col("start") + 4).alias("s2"), "xs")
-    b = members.select("series_id", F.col("start").alias("s2"), F.col("xs").alias("ys"))
-    return a.join(b, ["series_id", "s2"]).groupBy("series_id", "s1", "s2").agg(F.min(F.round(euclid(F.col("xs"), F.col("ys")), 5)).alias("dist"))
+CLOSE = 60.0
 
 
-GROUPS = f"WITH {EMB}, s AS (SELECT * FROM em WHERE vec_id % 10 = 0), p AS (SELECT a.label AS l1, b.label AS l2, {DIST} AS dist FROM s a JOIN s b ON a.label <= b.label AND (a.label < b.label OR a.vec_id < b.vec_id))"
+@query("cluster_distance", f"{KNN}, o AS (SELECT id, id AS m FROM kn WHERE rank = 1 UNION SELECT id, nbr FROM kn WHERE rank = 1), ds AS (SELECT DISTINCT m FROM o), r AS (SELECT a.id AS m1, b.id AS m2, {L2} AS dist FROM w a JOIN ds x ON x.m = a.id, w b JOIN ds y ON y.m = b.id WHERE a.id = b.id OR {L2} <= {CLOSE}) SELECT x.id AS id1, y.id AS id2, round(min(dist), 5) AS dist FROM r JOIN o x ON x.m = r.m1 JOIN o y ON y.m = r.m2 WHERE x.id < y.id GROUP BY ALL")
+def cluster_distance(spark, d, radius: float = CLOSE):
+    """The least distance between the members (a query and its nearest window) of two queries' clusters, where it is `radius` at most."""
+    w = windows(frames(spark, d))
+    kn = nearest(asked(w), w, 1, "l2", SIZE)
+    members = kn.select("id", F.explode(F.array("id", "nbr")).alias("m"))
+    held = w.join(members.select(F.col("m").alias("id")).distinct(), "id", "left_semi")
+    near = within(held, held, radius).select(F.col("id").alias("m1"), F.col("nbr").alias("m2"), "dist")
+    near = near.union(members.select("m", "m", F.lit(0.0)).distinct())
+    a, b = (members.select(F.col("id").alias(f"id{i}"), F.col("m").alias(f"m{i}")) for i in (1, 2))
+    return near.join(a, "m1").join(b, "m2").where("id1 < id2").groupBy("id1", "id2").agg(F.round(F.min("dist"), 5).alias("dist"))
 
 
 @query("group_distance", f"WITH {EMB}, g AS (SELECT label, unnest(range(1, 65)) AS i, unnest(v) AS x FROM em), m AS (SELECT label, i, avg(x) AS m, var_pop(x) AS s, count(*) AS n FROM g GROUP BY ALL) SELECT a.label AS l1, b.label AS l2, round(sum((a.m - b.m) * (a.m - b.m) + a.s + b.s), 5) AS mean_ssd FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL")
@@ -174,18 +150,31 @@ def projection_length(spark, d):
     return vectors(spark, d).select("vec_id", F.round(projection(F.col("v")), 6).alias("len"))
 
 
-RADIUS = 40.0
-SEARCH = f"""WITH {FRAMES}, {WINDOW8}, w AS (SELECT series_id, start, xs FROM w8 WHERE len(xs) = 8), s AS (SELECT series_id, xs AS a FROM w WHERE start = 0), s2 AS (SELECT series_id, xs AS b FROM w WHERE start = 16),
-h AS (SELECT w.series_id, w.start, least(sqrt(list_sum([(w.xs[i] - a[i]) * (w.xs[i] - a[i]) FOR i IN range(1, 9)])), sqrt(list_sum([(w.xs[i] - b[i]) * (w.xs[i] - b[i]) FOR i IN range(1, 9)]))) AS dist FROM w JOIN s USING (series_id) JOIN s2 USING (series_id)), hit AS (SELECT * FROM h WHERE dist < 100)"""
+#: The closest pair of a query and a window, as seeds; windows of all series that lie nearer than RADIUS to either are occurrences.
+RADIUS = 100.0
+SEEDS = f"{KNN}, sd AS (SELECT id AS s1, nbr AS s2 FROM kn WHERE rank = 1 ORDER BY dist, id LIMIT 1), sx AS (SELECT b.id AS s, b.xs FROM w b, sd WHERE b.id IN (sd.s1, sd.s2)), di AS (SELECT a.series_id, a.start, a.id, {L2} AS dist FROM w a, sx b)"
+HITS = f"{SEEDS}, hit AS (SELECT series_id, start, min(dist) AS dist FROM di GROUP BY ALL HAVING min(dist) < {RADIUS})"
+
 
+def closest(rows: DataFrame, size: int = SIZE) -> DataFrame:
+    """The two windows of the closest pair, as rows (id, v)."""
+    w = windows(rows, size)
+    pair = window_knn(rows, size, 1).orderBy("dist", "id").limit(1)
+    return w.join(F.broadcast(pair.select(F.explode(F.array("id", "nbr")).alias("id"))), "id")
 
-def occurrences(rows: DataFrame, size: int = 8, radius: float = 100.0) -> DataFrame:
-    """Windows within `radius` of either of two seeds of their series: those that start at 0 and at 2 * size."""
-    w = sliding(rows, size)
-    a = w.where("start = 0").select("series_id", F.col("xs").alias("a"))
-    b = w.where(F.col("start") == 2 * size).select("series_id", F.col("xs").alias("b"))
-    met = w.join(a, "series_id").join(b, "series_id")
-    return met.select("series_id", "start", F.least(euclid(F.col("xs"), F.col("a")), euclid(F.col("xs"), F.col("b"))).alias("dist")).where(F.col("dist") < radius)
+
+def to_seeds(rows: DataFrame, seeds: DataFrame, size: int = SIZE) -> DataFrame:
+    """series_id, start, near and far: each window's distances to the nearer and the farther of two seeds."""
+    w, s = windows(rows, size), F.broadcast(seeds.agg(F.collect_list("v").alias("s")))  # one row
+    dist = F.transform("s", lambda v: F.sqrt(squared_distance(F.col("v"), v)))
+    met = w.join(s).select("id", dist.alias("dist"))
+    return met.select(*_at(), F.array_min("dist").alias("near"), F.array_max("dist").alias("far"))
+
+
+def occurrences(rows: DataFrame, size: int = SIZE, radius: float = RADIUS) -> DataFrame:
+    """series_id, start and dist of all windows within `radius` of either seed of the closest pair."""
+    met = to_seeds(rows, closest(rows, size), size)
+    return met.where(F.col("near") < radius).select("series_id", "start", F.col("near").alias("dist"))
 
 
 def sweep(hits: DataFrame, size: int) -> DataFrame:
@@ -196,18 +185,25 @@ def sweep(hits: DataFrame, size: int) -> DataFrame:
     return hits.groupBy("series_id").agg(starts.cast("array<int>").alias("starts")).select("series_id", F.explode(taken).alias("start"))
 
 
-@query("range_occurrences", f"{SEARCH} SELECT series_id, start, round(dist, 5) AS dist FROM hit")
+@query("range_occurrences", f"{HITS} SELECT series_id, start, round(dist, 5) AS dist FROM hit")
 def range_occurrences(spark, d):
     return occurrences(frames(spark, d)).select("series_id", "start", F.round("dist", 5).alias("dist"))
 
 
-@query("greedy_sweep", SEARCH.replace("WITH ", "WITH RECURSIVE ", 1) + ", g AS (SELECT series_id, min(start) AS start FROM hit GROUP BY series_id UNION ALL SELECT g.series_id, (SELECT min(h.start) FROM hit h WHERE h.series_id = g.series_id AND h.start >= g.start + 8) FROM g WHERE g.start IS NOT NULL) SELECT series_id, start::INT AS start FROM g WHERE start IS NOT NULL")
+@query("greedy_sweep", HITS.replace("WITH ", "WITH RECURSIVE ", 1) + ", g AS (SELECT series_id, min(start) AS start FROM hit GROUP BY series_id UNION ALL SELECT g.series_id, (SELECT min(h.start) FROM hit h WHERE h.series_id = g.series_id AND h.start >= g.start + 8) FROM g WHERE g.start IS NOT NULL) SELECT series_id, start::INT AS start FROM g WHERE start IS NOT NULL")
 def greedy_sweep(spark, d):
-    return sweep(occurrences(frames(spark, d)), 8)
+    return sweep(occurrences(frames(spark, d)), SIZE)
+
+
+def greedy_sql(rows: str, by: str = "dist, start", size: int = 8) -> str:
+    """SQL for the greedy choice, within each series, of rows (series_id, start, dist) that lie `size` apart; the table is `taken`."""
+    return f"""h2 AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY {by}) AS r FROM {rows}),
+g AS (SELECT series_id, r, [start] AS t FROM h2 WHERE r = 1 UNION ALL SELECT h2.series_id, h2.r, CASE WHEN len(list_filter(g.t, lambda x: abs(x - h2.start) < {size})) = 0 THEN list_append(g.t, h2.start) ELSE g.t END FROM g JOIN h2 ON h2.series_id = g.series_id AND h2.r = g.r + 1),
+taken AS (SELECT series_id, unnest(arg_max(t, r)) AS start FROM g GROUP BY series_id)"""
 
 
-@query("greedy_by_distance")
-def greedy_by_distance(spark, d, size: int = 8):
+@query("greedy_by_distance", HITS.replace("WITH ", "WITH RECURSIVE ", 1) + f", {greedy_sql('hit')} SELECT series_id, start::INT AS start, round(dist, 5) AS dist FROM taken JOIN hit USING (series_id, start)")
+def greedy_by_distance(spark, d, size: int = SIZE):
     """Of each series' hits, the nearest first, each that overlaps none taken before; ties by start."""
 
     def each(g: pd.DataFrame) -> pd.DataFrame:
@@ -218,46 +214,78 @@ def greedy_by_distance(spark, d, size: int = 8):
                 taken.append(s)
         return g[g["start"].isin(taken)]
 
-    return occurrences(frames(spark, d)).groupBy("series_id").applyInPandas(each, "series_id long, start int, dist double")
+    kept = occurrences(frames(spark, d)).groupBy("series_id").applyInPandas(each, "series_id long, start int, dist double")
+    return kept.select("series_id", "start", F.round("dist", 5).alias("dist"))
 
 
-@query("lower_bounds", f"WITH {FRAMES}, {WINDOW8}, w AS (SELECT series_id, start, xs FROM w8 WHERE len(xs) = 8 AND start % 8 = 0) SELECT a.series_id, a.start, round(list_sum([greatest(0, b.xs[i] - list_max(a.xs[greatest(i - 1, 1):least(i + 1, 8)]), list_min(a.xs[greatest(i - 1, 1):least(i + 1, 8)]) - b.xs[i]) ** 2 FOR i IN range(1, 9)]), 4) AS lb FROM w a JOIN w b ON a.series_id = b.series_id AND b.start = a.start + 8")
+def warped_sql(rows: str, size: int = 8) -> str:
+    """SQL that gives `dtw`, the warping distance within one frame of the diagonal, to rows with the lists xs and ys: three cells of each line of the table at a time."""
+    cost = lambda i, j: f"(xs[{i + 1}] - ys[{j + 1}]) * (xs[{i + 1}] - ys[{j + 1}])"
+    out = f"(SELECT *, NULL::DOUBLE AS c0, {cost(0, 0)} AS c1, {cost(0, 0)} + {cost(0, 1)} AS c2 FROM {rows})"
+    for i in range(1, size):
+        up = f"(SELECT * EXCLUDE (c0, c1, c2), {cost(i, i - 1)} + least(c0, c1) AS n0, c1, c2 FROM {out})"
+        up = f"(SELECT *, {cost(i, i)} + least(n0, c1, c2) AS n1 FROM {up})"
+        last = f"{cost(i, i + 1)} + least(c2, n1)" if i + 1 < size else "NULL::DOUBLE"
+        out = f"(SELECT * EXCLUDE (n0, n1, c1, c2), n0 AS c0, n1 AS c1, {last} AS c2 FROM {up})"
+    return f"SELECT * EXCLUDE (c0, c1, c2), c1 AS dtw FROM {out}"
+
+
+LB = "list_sum([greatest(0, ys[i] - list_max(xs[greatest(i - 1, 1):least(i + 1, 8)]), list_min(xs[greatest(i - 1, 1):least(i + 1, 8)]) - ys[i]) ** 2 FOR i IN range(1, 9)])"
+PAIRS = f"{KNN}, pr AS (SELECT kn.id, kn.nbr, kn.rank, a.xs, b.xs AS ys FROM kn JOIN w a ON a.id = kn.id JOIN w b ON b.id = kn.nbr)"
+
+
+def _pairs(spark, d) -> DataFrame:
+    rows = frames(spark, d)
+    w = windows(rows)
+    met = window_knn(rows).join(w.withColumnRenamed("v", "xs"), "id")
+    return met.join(w.select(F.col("id").alias("nbr"), F.col("v").alias("ys")), "nbr")
+
+
+@query("lower_bounds", f"{PAIRS} SELECT {AT}, {NBR}, round({LB}, 4) AS lb FROM pr")
 def lower_bounds(spark, d):
-    """LB_Keogh of each window and the next one after it."""
-    w = sliding(frames(spark, d), 8, 8)
-    b = w.select("series_id", (F.col("start") - 8).alias("start"), F.col("xs").alias("ys"))
-    return w.join(b, ["series_id", "start"]).select("series_id", "start", F.round(lower_bound(F.col("xs"), F.col("ys"), 8, 1), 4).alias("lb"))
+    """LB_Keogh of each query window and its nearest."""
+    return _pairs(spark, d).select(*_at(), *_nbr(), F.round(lower_bound(F.col("xs"), F.col("ys"), 8, 1), 4).alias("lb"))
 
 
-@query("dtw_pairs")
+@query("dtw_pairs", f"{PAIRS} SELECT {AT}, {NBR}, round(dtw, 4) AS dtw, round({LB}, 4) AS lb, round(list_sum([(xs[i] - ys[i]) * (xs[i] - ys[i]) FOR i IN range(1, 9)]), 4) AS ssd FROM ({warped_sql('pr')})")
 def dtw_pairs(spark, d):
-    """DTW, its lower bound and the Euclidean distance of each window and the next one after it."""
-    w = sliding(frames(spark, d), 8, 8)
-    b = w.select("series_id", (F.col("start") - 8).alias("start"), F.col("xs").alias("ys"))
-    met = w.join(b, ["series_id", "start"])
-    return met.select("series_id", "start", dtw("xs", "ys").alias("dtw"), lower_bound(F.col("xs"), F.col("ys"), 8, 1).alias("lb"), squared_distance(F.col("xs"), F.col("ys")).alias("ssd"))
+    """DTW, its lower bound and the squared distance of each query window and its nearest: never below, never above."""
+    measured = {"dtw": dtw("xs", "ys"), "lb": lower_bound(F.col("xs"), F.col("ys"), 8, 1), "ssd": squared_distance(F.col("xs"), F.col("ys"))}
+    return _pairs(spark, d).select(*_at(), *_nbr(), *[F.round(c, 4).alias(n) for n, c in measured.items()])
 
 
-@query("dtw_knn")
-def dtw_knn(spark, d, size: int = 8, k: int = 3):
-    """Nearest windows by DTW: of the 4k nearest by Euclidean distance, the k best after warping."""
-    rows = frames(spark, d)
-    near = window_knn(rows, size, 4, 4 * k)
-    w = sliding(rows, size, 4).select("series_id", "start", "xs")
-    met = near.join(w, ["series_id", "start"]).join(w.select("series_id", F.col("start").alias("nbr"), F.col("xs").alias("ys")), ["series_id", "nbr"])
-    met = met.select("series_id", "start", "nbr", (dtw("xs", "ys") / size).alias("dist"))
-    order = Window.partitionBy("series_id", "start").orderBy("dist", "nbr")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+WARPED_KNN = f"{W}, pr AS (SELECT a.id, b.id AS nbr, a.xs, b.xs AS ys FROM w a JOIN w b ON a.id % 50 = 0 AND {APART}), dw AS ({warped_sql('pr')})"
+
+
+@query("dtw_knn", f"{WARPED_KNN} SELECT {AT}, {NBR}, round(dtw / 8, 5) AS dist, row_number() OVER (PARTITION BY id ORDER BY dtw, nbr) AS rank FROM dw QUALIFY rank <= 3")
+def dtw_knn(spark, d):
+    """Nearest windows by warping distance. Exact: a pair is left unmeasured only if its lower bound passes the query's third best."""
+    return window_knn(frames(spark, d), metric="dtw").select(*_at(), *_nbr(), F.round("dist", 5).alias("dist"), "rank")
+
 
+@query("descriptor_knn")
+def descriptor_knn(spark, d, k: int = 5):
+    """Approximate neighbours: an index on descriptors (means of four segments), then warping distances of the 4k nearest."""
+    w = windows(frames(spark, d))
+    return indexed(asked(w), w, k, by="ssd", parts=4, apart=SIZE).select(*_at(), *_nbr(), "dist", "rank")
 
-@query("motif_mean_error", f"WITH {MARKUP}, e AS (SELECT m.tag, f.t - m.start AS o, f.x FROM mk m JOIN fr f ON f.series_id = m.series_id AND f.t >= m.start AND f.t < m.stop AND f.t < m.start + 3) , c AS (SELECT tag, o, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM e GROUP BY ALL) SELECT tag, round(sum(v * n) / sum(n), 5) AS dl FROM c GROUP BY tag")
+
+@query("attractor_knn")
+def attractor_knn(spark, d, k: int = 5):
+    """Approximate neighbours: windows belong to the attractor nearest by warping distance."""
+    w = windows(frames(spark, d))
+    return indexed(asked(w), w, k, n_pivots=32, probes=12, by="dtw", apart=SIZE).select(*_at(), *_nbr(), "dist", "rank")
+
+
+@query("motif_mean_error", f"WITH {MARKUP}, e AS (SELECT m.tag, f.t - m.start AS o, unnest([0, 1]) AS dim, unnest([f.x, f.h]) AS x FROM mk m JOIN fr f ON f.series_id = m.series_id AND f.t >= m.start AND f.t < m.stop), c AS (SELECT tag, o, dim, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM e GROUP BY ALL) SELECT tag, round(sum(v * n) / sum(n), 5) AS dl FROM c GROUP BY tag")
 def motif_mean_error(spark, d):
-    """The mean squared error of occurrences to their motif's mean, offset by offset."""
+    """The mean squared error of occurrences to their motif's mean, over all offsets and dimensions."""
     rows = frames(spark, d)
     by = Window.partitionBy("series_id", "tag").orderBy("t")
     e = rows.withColumn("g", F.col("t") - F.row_number().over(by))
     o = F.row_number().over(Window.partitionBy("series_id", "tag", "g").orderBy("t"))
-    c = e.select("tag", "x", o.alias("o")).where("o <= 3").groupBy("tag", "o").agg(F.var_pop("x").alias("v"), F.count("*").alias("n"))
+    long = e.select("tag", o.alias("o"), F.array("x", "h").alias("v")).select("tag", "o", F.posexplode("v").alias("dim", "v"))
+    c = long.groupBy("tag", "o", "dim").agg(F.var_pop("v").alias("v"), F.count("*").alias("n"))
     return c.groupBy("tag").agg(F.round(F.sum(F.col("v") * F.col("n")) / F.sum("n"), 5).alias("dl"))
 
 
@@ -278,66 +306,70 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-@query("components", f"{SERIES_KNN.replace('WITH ', 'WITH RECURSIVE ', 1)}, ed AS (SELECT DISTINCT series_id * 1000 + start AS a, series_id * 1000 + nbr AS b FROM kn WHERE rank = 1), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), re AS (SELECT a AS node, a AS root FROM bo UNION SELECT bo.b, re.root FROM re JOIN bo ON bo.a = re.node) SELECT node, min(root) AS root FROM re GROUP BY node")
+@query("components", f"{KNN.replace('WITH ', 'WITH RECURSIVE ', 1)}, ed AS (SELECT id AS a, nbr AS b FROM kn WHERE rank = 1), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), re AS (SELECT a AS node, a AS root FROM bo UNION SELECT bo.b, re.root FROM re JOIN bo ON bo.a = re.node) SELECT node, min(root) AS root FROM re GROUP BY node")
 def component_labels(spark, d):
-    """Clusters of windows whose nearest neighbours link them."""
-    kn = window_knn(frames(spark, d)).where("rank = 1")
-    id_ = lambda c: F.col("series_id") * 1000 + F.col(c)
-    return components(kn.select(id_("start").alias("a"), id_("nbr").alias("b")).distinct())
+    """Clusters of query windows and their nearest windows that links join."""
+    return components(window_knn(frames(spark, d), k=1).select(F.col("id").alias("a"), F.col("nbr").alias("b")))
+
+
+def disjoint(rows: DataFrame, size: int = SIZE, k: int = 3) -> DataFrame:
+    """id, rank, nbr and dist: each query's nearest windows that overlap neither it nor each other.
+
+    One that is taken bars 2 * size - 2 others at most, so the first (k - 1) * (2 * size - 1) + 1 neighbours hold them all.
+    """
+    near = window_knn(rows, size, (k - 1) * (2 * size - 1) + 1)
+    none = F.array().cast("array<struct<dist:double,nbr:bigint>>")
+    apart = lambda a, b: (F.floor(a.nbr / (1 << 32)) != F.floor(b.nbr / (1 << 32))) | (F.abs(a.nbr - b.nbr) >= size)
+    step = lambda a, s: F.when((F.size(a) < k) & F.forall(a, lambda x: apart(x, s)), F.concat(a, F.array(s))).otherwise(a)
+    s = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("dist", "nbr"))).alias("s"))
+    return s.select("id", F.posexplode(F.aggregate("s", none, step)).alias("rank", "n")).select("id", (F.col("rank") + 1).alias("rank"), "n.nbr", "n.dist")
 
 
-def spread(items, size: int, k: int | None = None):
-    """A fold over sorted structs (dist, at): the first ones that lie `size` apart from all taken, k at most."""
-    none = F.array().cast("array<struct<dist:double,at:int>>")
+FREE = "(x.nbr // 4294967296 <> y.nbr // 4294967296 OR abs(x.nbr - y.nbr) >= 8)"
+DISJOINT = f"""{KNN.replace('rank <= 3', 'rank <= 31')}, k1 AS (SELECT * FROM kn WHERE rank = 1), k2 AS (SELECT y.* FROM k1 x JOIN kn y ON x.id = y.id AND {FREE} QUALIFY row_number() OVER (PARTITION BY y.id ORDER BY y.rank) = 1),
+k3 AS (SELECT y.* FROM k1 x JOIN kn y ON x.id = y.id AND {FREE} JOIN k2 ON k2.id = y.id AND (k2.nbr // 4294967296 <> y.nbr // 4294967296 OR abs(k2.nbr - y.nbr) >= 8) QUALIFY row_number() OVER (PARTITION BY y.id ORDER BY y.rank) = 1), dj AS (SELECT 1 AS rank, id, nbr, dist FROM k1 UNION ALL SELECT 2, id, nbr, dist FROM k2 UNION ALL SELECT 3, id, nbr, dist FROM k3)"""
 
-    def step(a, s):
-        free = F.forall(a, lambda x: F.abs(x.at - s.at) >= size)
-        return F.when(free & (F.size(a) < k) if k else free, F.concat(a, F.array(s))).otherwise(a)
 
-    return F.aggregate(items, none, step)
+@query("disjoint_knn", f"{DISJOINT} SELECT {AT}, {NBR}, rank, round(dist, 5) AS dist FROM dj")
+def disjoint_knn(spark, d):
+    return disjoint(frames(spark, d)).select(*_at(), *_nbr(), "rank", F.round("dist", 5).alias("dist"))
 
 
-@query("disjoint_knn")
-def disjoint_knn(spark, d, size: int = 8, step: int = 4, k: int = 3):
-    """Each window's nearest windows of its series that overlap neither it nor each other; fewer than k where no more are left."""
-    w = sliding(frames(spark, d), size, step)
-    met = w.select("series_id", "start", "xs").join(w.select("series_id", F.col("start").alias("nbr"), F.col("xs").alias("ys")), "series_id").where(F.abs(F.col("start") - F.col("nbr")) >= size)
-    near = met.groupBy("series_id", "start").agg(F.sort_array(F.collect_list(F.struct(euclid(F.col("xs"), F.col("ys")).alias("dist"), F.col("nbr").cast("int").alias("at")))).alias("s"))
-    out = near.select("series_id", "start", F.posexplode(spread("s", size, k)).alias("rank", "n"))
-    return out.select("series_id", "start", (F.col("rank") + 1).alias("rank"), F.col("n.at").alias("nbr"), F.round("n.dist", 5).alias("dist"))
+@query("density_curve", f"{DISJOINT} SELECT {AT}, rank, round((rank + 1) / dist, 4) AS density FROM dj")
+def density_curve(spark, d):
+    """How dense a neighbourhood is at each of its disjoint members: members so far, by the distance."""
+    return disjoint(frames(spark, d)).select(*_at(), "rank", F.round((F.col("rank") + 1) / F.col("dist"), 4).alias("density"))
 
 
-@query("edit_greedy")
+@query("edit_greedy", f"WITH RECURSIVE {MARKUP}, {LETTERS}, {WARPED}, {AVERAGE}, h2 AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY dist, start, len) AS r FROM ed), g AS (SELECT series_id, r, [[start, len]] AS t FROM h2 WHERE r = 1 UNION ALL SELECT h2.series_id, h2.r, CASE WHEN len(list_filter(g.t, lambda x: h2.start < x[1] + x[2] AND x[1] < h2.start + h2.len)) = 0 THEN list_append(g.t, [h2.start, h2.len]) ELSE g.t END FROM g JOIN h2 ON h2.series_id = g.series_id AND h2.r = g.r + 1), tk AS (SELECT series_id, unnest(arg_max(t, r)) AS x FROM g GROUP BY series_id) SELECT series_id, x[1]::INT AS start, x[2]::INT AS len FROM tk")
 def edit_greedy(spark, d):
     """Occurrences of a pattern by edit distance, the nearest first, that do not overlap."""
-    from tessera.operators.symbols import edit_distance_search
+    none = F.array().cast("array<struct<dist:bigint,start:int,len:int>>")
+    free = lambda a, s: F.forall(a, lambda x: (s.start >= x.start + x.len) | (x.start >= s.start + s.len))
+    step = lambda a, s: F.when(free(a, s), F.concat(a, F.array(s))).otherwise(a)
+    hits = scored(frames(spark, d)).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("dist", "start", "len"))).alias("s"))
+    return hits.select("series_id", F.explode(F.aggregate("s", none, step)).alias("n")).select("series_id", "n.start", "n.len")
 
-    hits = edit_distance_search(spark, d).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct(F.col("dist").cast("double").alias("dist"), F.col("start").cast("int").alias("at")))).alias("s"))
-    return hits.select("series_id", F.explode(spread("s", 6)).alias("n")).select("series_id", F.col("n.at").alias("start"), F.col("n.dist").alias("dist"))
 
-
-@query("seed_dl", SEARCH.replace("least(sqrt", "greatest(sqrt").replace("WHERE dist < 100", "WHERE dist < 160") + " SELECT series_id, count(*) AS n, round(avg(dist) / 8, 5) AS dl FROM hit GROUP BY series_id")
-def seed_dl(spark, d, size: int = 8, radius: float = 160.0):
+@query("seed_dl", f"{SEEDS}, fa AS (SELECT series_id, start, max(dist) AS far FROM di GROUP BY ALL HAVING max(dist) < 130) SELECT count(*) AS n, round(avg(far) / 8, 5) AS dl FROM fa")
+def seed_dl(spark, d, radius: float = 130.0):
     """The mean of occurrences' larger distance to two seeds, by length."""
-    w = sliding(frames(spark, d), size)
-    a = w.where("start = 0").select("series_id", F.col("xs").alias("a"))
-    b = w.where(F.col("start") == 2 * size).select("series_id", F.col("xs").alias("b"))
-    far = F.greatest(euclid(F.col("xs"), F.col("a")), euclid(F.col("xs"), F.col("b"))).alias("far")
-    met = w.join(a, "series_id").join(b, "series_id").select("series_id", far).where(F.col("far") < radius)
-    return met.groupBy("series_id").agg(F.count("*").alias("n"), F.round(F.avg("far") / size, 5).alias("dl"))
+    rows = frames(spark, d)
+    far = to_seeds(rows, closest(rows)).where(F.col("far") < radius)
+    return far.agg(F.count("*").alias("n"), F.round(F.avg("far") / SIZE, 5).alias("dl"))
 
 
 def _knn_sql(size: int, n: str) -> str:
-    return f"""w{n} AS (SELECT * FROM (SELECT series_id, t AS start, list(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS xs FROM fr) WHERE len(xs) = {size} AND start % 4 = 0),
-d{n} AS (SELECT series_id, start, round(dist / {size}, 6) AS dist FROM (SELECT a.series_id, a.start, b.start AS nbr, sqrt(list_sum([(a.xs[i] - b.xs[i]) * (a.xs[i] - b.xs[i]) FOR i IN range(1, {size + 1})])) AS dist FROM w{n} a JOIN w{n} b ON a.series_id = b.series_id AND abs(a.start - b.start) >= {size}) QUALIFY row_number() OVER (PARTITION BY series_id, start ORDER BY dist, nbr) = 3)"""
+    return f"""w{n} AS (SELECT series_id, start, series_id * 4294967296 + start AS id, xs FROM (SELECT series_id, t AS start, list(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS xs FROM fr) WHERE len(xs) = {size}),
+d{n} AS (SELECT id, round(dist / {size}, 6) AS dist FROM (SELECT a.id, b.id AS nbr, sqrt(list_sum([(a.xs[i] - b.xs[i]) * (a.xs[i] - b.xs[i]) FOR i IN range(1, {size + 1})])) AS dist FROM w{n} a JOIN w{n} b ON a.id % 50 = 0 AND (a.series_id <> b.series_id OR abs(a.start - b.start) >= {size})) QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, nbr) = 3)"""
 
 
-@query("length_winner", f"WITH {FRAMES}, {_knn_sql(8, '8')}, {_knn_sql(12, '12')}, g AS (SELECT l.series_id, l.start, s.dist AS short, l.dist AS long FROM d12 l JOIN d8 s ON s.series_id = l.series_id AND s.start = l.start) SELECT series_id, start, CASE WHEN long <= short THEN 1 WHEN (long - short) / short < 0.1 THEN 2 WHEN (long - short) / short > 0.5 THEN 4 ELSE 5 END AS rule, CASE WHEN long <= short OR (long - short) / short < 0.1 THEN 12 ELSE 8 END AS len FROM g")
+@query("length_winner", f"WITH {FRAMES}, {_knn_sql(8, '8')}, {_knn_sql(12, '12')}, g AS (SELECT id, s.dist AS short, l.dist AS long FROM d12 l JOIN d8 s USING (id)) SELECT {AT}, CASE WHEN long <= short THEN 1 WHEN (long - short) / short < 0.1 THEN 2 WHEN (long - short) / short > 0.5 THEN 4 ELSE 5 END AS rule, CASE WHEN long <= short OR (long - short) / short < 0.1 THEN 12 ELSE 8 END AS len FROM g")
 def length_winner(spark, d):
     """Of two seeds at one place, which stays: the longer if it is as dense, or nearly; else the denser."""
     rows = frames(spark, d)
-    dk = lambda size: window_knn(rows, size).where("rank = 3").select("series_id", "start", F.round(F.col("dist") / size, 6).alias(f"d{size}"))
-    g = dk(8).join(dk(12), ["series_id", "start"])
+    dk = lambda size: window_knn(rows, size).where("rank = 3").select("id", F.round(F.col("dist") / size, 6).alias(f"d{size}"))
+    g = dk(8).join(dk(12), "id")
     gap = (F.col("d12") - F.col("d8")) / F.col("d8")
     rule = F.when(F.col("d12") <= F.col("d8"), 1).when(gap < 0.1, 2).when(gap > 0.5, 4).otherwise(5)
-    return g.select("series_id", "start", rule.alias("rule"), F.when(rule <= 2, 12).otherwise(8).alias("len"))
+    return g.select(*_at(), rule.alias("rule"), F.when(rule <= 2, 12).otherwise(8).alias("len"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import FRAMES, MARKUP, query
 from tessera.functions.vectors import paa, symbol, total
 from tessera.operators.windows import WINDOW8, at_offsets, sliding
-from tessera.sources.frames import frames, markup, series, symbols
+from tessera.sources.frames import frames, markup, runs, series, symbols
 
 PARTS, ALPHABET = 4, 4
 
@@ -37,10 +37,10 @@ def sax_words(spark, d):
     return sax(frames(spark, d)).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("sax_positions", f"WITH {FRAMES}, {SAX} SELECT series_id, start, word, count(*) OVER (PARTITION BY word) AS n FROM sx WHERE start % 4 = 0")
+@query("sax_positions", f"WITH {FRAMES}, {SAX} SELECT series_id, start, word, count(*) OVER (PARTITION BY word) AS n FROM sx")
 def sax_positions(spark, d):
     """Where each word occurs, and how often; counts are joined, so a frequent word is not gathered in one task."""
-    s = sax(frames(spark, d), step=4)
+    s = sax(frames(spark, d))
     n = s.groupBy("word").agg(F.count("*").alias("n"))
     return s.join(n, "word").select("series_id", "start", "word", "n")
 
@@ -51,60 +51,112 @@ def exact_pairs(spark, d):
     return n.agg(F.count("*").alias("words"), F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("pairs"))
 
 
+#: A choice of columns is taken if it makes no more than this share of all pairs collide.
+MOST_PAIRS = 0.02
+
+
 def projected(words: DataFrame, parts: int = PARTS, columns: int = 2) -> DataFrame:
     """words with a row for each choice of columns: `round` and `key`, the letters that the round keeps."""
     keys = [F.struct(F.lit(i).alias("round"), F.concat(*[F.substring("word", c + 1, 1) for c in cols]).alias("key")) for i, cols in enumerate(combinations(range(parts), columns))]
     return words.select("*", F.inline(F.array(*keys)))
 
 
-PROJECTED = f"{SAX}, l AS (SELECT *, start + 1000 * series_id AS id FROM sx WHERE start % 8 = 0), rd(round, i, j) AS (VALUES (0, 1, 2), (1, 1, 3), (2, 1, 4), (3, 2, 3), (4, 2, 4), (5, 3, 4)), pk AS (SELECT series_id, start, id, round, substr(word, i, 1) || substr(word, j, 1) AS key FROM l, rd)"
+def word_counts(words: DataFrame) -> DataFrame:
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def guard(counts: DataFrame, parts: int = PARTS) -> DataFrame:
+    """columns, pairs and share for each number of columns: of all pairs of windows, those that would collide in a round, from the counts of words alone."""
+    out = None
+    for columns in range(2, parts + 1):
+        n = projected(counts, parts, columns).groupBy("round", "key").agg(F.sum("n").alias("n"))
+        per = n.groupBy("round").agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("pairs"), F.sum("n").alias("k"))
+        part = per.agg(F.max("pairs").alias("pairs"), F.max(F.col("pairs") / (F.col("k") * (F.col("k") - 1) / 2)).alias("share")).withColumn("columns", F.lit(columns))
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
+def guarded_columns(counts: DataFrame, parts: int = PARTS, most: float = MOST_PAIRS) -> int:
+    """The least number of columns whose worst round keeps within the limit; all of them if none does."""
+    found = guard(counts, parts).where(F.col("share") <= most).agg(F.min("columns")).first()[0]
+    return found or parts
 
-def _projected(spark, d) -> DataFrame:
-    s = sax(frames(spark, d), step=8).withColumn("id", F.col("start") + 1000 * F.col("series_id"))
-    return projected(s)
 
+PROJECTED = f"{SAX}, rd(round, i, j) AS (VALUES (0, 1, 2), (1, 1, 3), (2, 1, 4), (3, 2, 3), (4, 2, 4), (5, 3, 4)), pk AS (SELECT series_id, start, word, round, substr(word, i, 1) || substr(word, j, 1) AS key FROM sx, rd)"
+GUARD = f"""WITH {FRAMES}, {SAX}, cs(columns, round, ix) AS (VALUES (2, 0, [1, 2]), (2, 1, [1, 3]), (2, 2, [1, 4]), (2, 3, [2, 3]), (2, 4, [2, 4]), (2, 5, [3, 4]), (3, 0, [1, 2, 3]), (3, 1, [1, 2, 4]), (3, 2, [1, 3, 4]), (3, 3, [2, 3, 4]), (4, 0, [1, 2, 3, 4])),
+b AS (SELECT columns, round, array_to_string([substr(word, i, 1) FOR i IN ix], '') AS key, count(*)::BIGINT AS n FROM sx, cs GROUP BY ALL), t AS (SELECT columns, round, sum(n * (n - 1) // 2)::BIGINT AS pairs, sum(n * (n - 1) // 2) / (sum(n) * (sum(n) - 1) / 2) AS share FROM b GROUP BY ALL)"""
 
-@query("collision_guard", f"WITH {FRAMES}, {PROJECTED}, b AS (SELECT round, count(*)::BIGINT AS n FROM pk GROUP BY round, key), t AS (SELECT count(*)::BIGINT AS k FROM l) SELECT round, sum(n * (n - 1) // 2)::BIGINT AS pairs, round(sum(n * (n - 1) // 2) / (k * (k - 1) / 2), 6) AS share FROM b, t GROUP BY round, k")
+
+@query("collision_guard", f"{GUARD} SELECT columns::INT AS columns, max(pairs) AS pairs, round(max(share), 6) AS share, max(share) <= {MOST_PAIRS} AND columns = (SELECT min(columns) FROM (SELECT columns FROM t GROUP BY 1 HAVING max(share) <= {MOST_PAIRS})) AS used FROM t GROUP BY columns")
 def collision_guard(spark, d):
-    """Pairs that each round would make, from bucket sizes alone, before any is made: rounds over a limit are done again with more columns."""
-    p = _projected(spark, d)
-    n = p.groupBy("round", "key").agg(F.count("*").alias("n"))
-    pairs = n.groupBy("round").agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("pairs"), F.sum("n").alias("k"))
-    return pairs.select("round", "pairs", F.round(F.col("pairs") / (F.col("k") * (F.col("k") - 1) / 2), 6).alias("share"))
+    """Pairs that the worst round would make, before any is made: where they pass the limit, more columns are kept, and the first number within it is used."""
+    counts = word_counts(sax(frames(spark, d)))
+    used = guarded_columns(counts)
+    return guard(counts).select("columns", "pairs", F.round("share", 6).alias("share"), (F.col("columns") == used).alias("used"))
+
 
+def row_sums(words: DataFrame, columns: int = 2) -> DataFrame:
+    """words (series_id, start, word) with `hits`: collisions of each window with all others of all series, from the counts of words."""
+    p = projected(word_counts(words), columns=columns)
+    n = p.groupBy("round", "key").agg(F.sum("n").alias("in_key"))
+    hits = p.join(n, ["round", "key"]).groupBy("word").agg(F.sum(F.col("in_key") - 1).alias("hits"))
+    return words.join(hits, "word")
 
-@query("collision_rowsums", f"WITH {FRAMES}, {PROJECTED}, b AS (SELECT round, key, count(*) AS n FROM pk GROUP BY ALL) SELECT id, sum(n - 1)::BIGINT AS hits FROM pk JOIN b USING (round, key) GROUP BY id")
+
+@query("collision_rowsums", f"WITH {FRAMES}, {PROJECTED}, b AS (SELECT round, key, count(*) AS n FROM pk GROUP BY ALL) SELECT series_id, start, sum(n - 1)::BIGINT AS hits FROM pk JOIN b USING (round, key) GROUP BY ALL")
 def collision_rowsums(spark, d):
-    """Collisions of each window with all others, from bucket sizes, with no pair made."""
-    p = _projected(spark, d)
-    n = p.groupBy("round", "key").agg(F.count("*").alias("n"))
-    return p.join(n, ["round", "key"]).groupBy("id").agg(F.sum(F.col("n") - 1).alias("hits"))
+    """Collisions of each window with all others, with no pair made."""
+    return row_sums(sax(frames(spark, d))).select("series_id", "start", "hits")
 
 
-@query("best_row", f"WITH {FRAMES}, {PROJECTED}, b AS (SELECT round, key, count(*) AS n FROM pk GROUP BY ALL), r AS (SELECT id, sum(n - 1)::BIGINT AS hits FROM pk JOIN b USING (round, key) GROUP BY id) SELECT id, hits FROM r WHERE hits >= 2 ORDER BY hits DESC, id LIMIT 1")
+@query("best_row", f"WITH {FRAMES}, {PROJECTED}, b AS (SELECT round, key, count(*) AS n FROM pk GROUP BY ALL), r AS (SELECT series_id, start, sum(n - 1)::BIGINT AS hits FROM pk JOIN b USING (round, key) GROUP BY ALL) SELECT series_id, start, hits FROM r WHERE hits >= 2 ORDER BY hits DESC, series_id, start LIMIT 1")
 def best_row(spark, d):
-    return collision_rowsums(spark, d).where("hits >= 2").orderBy(F.desc("hits"), "id").limit(1)
-
+    return collision_rowsums(spark, d).where("hits >= 2").orderBy(F.desc("hits"), "series_id", "start").limit(1)
 
-PAIRS = f"{PROJECTED}, cp AS (SELECT x.id AS a, y.id AS b, count(*) AS hits FROM pk x JOIN pk y ON x.series_id = y.series_id AND x.round = y.round AND x.key = y.key AND x.id < y.id GROUP BY ALL)"
 
+def word_collisions(counts: DataFrame, columns: int = 2) -> DataFrame:
+    """Pairs of words (word1 <= word2) with hits, the rounds in which they collide, and the windows n1 and n2 of each.
 
-def collisions(p: DataFrame) -> DataFrame:
-    """a < b and hits: pairs of one series that share keys, and in how many rounds. Within a series, buckets have its length for a bound."""
-    b = p.select("series_id", "round", "key", F.col("id").alias("b"))
-    return p.select("series_id", "round", "key", F.col("id").alias("a")).join(b, ["series_id", "round", "key"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("hits"))
+    There are as many rows as pairs of words, of which an alphabet and a length allow few, whatever the number of windows.
+    """
+    p = projected(counts, columns=columns)
+    a, b = (p.select("round", "key", F.col("word").alias(f"word{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    return a.join(b, ["round", "key"]).where("word1 <= word2").groupBy("word1", "word2", "n1", "n2").agg(F.count("*").alias("hits"))
 
 
-@query("collision_pairs", f"WITH {FRAMES}, {PAIRS} SELECT a, b, hits FROM cp")
+@query("collision_pairs", f"WITH {FRAMES}, {PROJECTED}, wn AS (SELECT word, count(*) AS n FROM sx GROUP BY 1), kw AS (SELECT DISTINCT word, round, key FROM pk) SELECT x.word AS word1, y.word AS word2, a.n AS n1, b.n AS n2, count(*) AS hits FROM kw x JOIN kw y ON x.round = y.round AND x.key = y.key AND x.word <= y.word JOIN wn a ON a.word = x.word JOIN wn b ON b.word = y.word GROUP BY ALL")
 def collision_pairs(spark, d):
-    return collisions(_projected(spark, d))
-
-
-@query("best_collision", f"WITH {FRAMES}, {PAIRS} SELECT a, b, hits FROM cp WHERE b - a >= 8 ORDER BY hits DESC, a, b LIMIT 1")
+    """Collisions of all windows of all series, as pairs of words: each stands for n1 * n2 pairs of windows."""
+    return word_collisions(word_counts(sax(frames(spark, d))))
+
+
+#: A window is barred by 2 * size - 1 others at most, so these first ones of each word hold the best pair.
+FIRST = 64
+
+
+def top_collision(words: DataFrame, size: int = 8, columns: int = 2) -> DataFrame:
+    """One row (series1, start1, series2, start2, hits): the pair of windows with most hits that do not overlap, the first by series and start."""
+    pairs = word_collisions(word_counts(words), columns)
+    order = Window.partitionBy("word").orderBy("series_id", "start")
+    first = words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIRST)
+    one = first.select(F.col("word").alias("word1"), F.struct("series_id", "start").alias("w1"))
+    two = first.select(F.col("word").alias("word2"), F.struct("series_id", "start").alias("w2"))
+    levels = [r["hits"] for r in pairs.select("hits").distinct().orderBy(F.desc("hits")).collect()]  # at most one a round
+    best = None
+    for hits in levels:
+        met = pairs.where(F.col("hits") == hits).select("word1", "word2", "hits").join(one, "word1").join(two, "word2")
+        met = met.where("w1 <> w2 and (w1.series_id <> w2.series_id or abs(w1.start - w2.start) >= %d)" % size)
+        met = met.select("hits", F.least("w1", "w2").alias("a"), F.greatest("w1", "w2").alias("b")).groupBy("hits").agg(F.min(F.struct("a", "b")).alias("p"))
+        best = met.select(F.col("p.a.series_id").alias("series1"), F.col("p.a.start").alias("start1"), F.col("p.b.series_id").alias("series2"), F.col("p.b.start").alias("start2"), "hits")
+        if not best.isEmpty():
+            break
+    return best if best is not None else words.limit(0).select(F.col("series_id").alias("series1"), F.col("start").alias("start1"), F.col("series_id").alias("series2"), F.col("start").alias("start2"), F.lit(0).cast("long").alias("hits"))
+
+
+@query("best_collision", f"WITH {FRAMES}, {PROJECTED} SELECT x.series_id AS series1, x.start AS start1, y.series_id AS series2, y.start AS start2, count(*) AS hits FROM pk x JOIN pk y ON x.round = y.round AND x.key = y.key AND (x.series_id < y.series_id OR (x.series_id = y.series_id AND x.start <= y.start - 8)) GROUP BY ALL ORDER BY hits DESC, series1, start1, series2, start2 LIMIT 1")
 def best_collision(spark, d):
-    """The pair with most hits that is no trivial match, by its windows' distance in the series."""
-    return collision_pairs(spark, d).where("b - a >= 8").orderBy(F.desc("hits"), "a", "b").limit(1)
+    """The pair with most hits that is no trivial match."""
+    return top_collision(sax(frames(spark, d)))
 
 
 def expected_collisions(k: Column, size: int, alphabet: int, rounds: int, differ: int) -> Column:
@@ -126,81 +178,161 @@ def collapsed(xs: Column) -> Column:
     return F.transform(F.filter(F.transform(xs, lambda x, i: F.struct(x.alias("x"), ((i == 0) | (F.get(xs, i - 1) != x)).alias("new"))), lambda r: r.new), lambda r: r.x)
 
 
-HASH = f"""w AS (SELECT series_id, t AS start, list(tag) OVER o AS q FROM fr WINDOW o AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)), hw AS (SELECT series_id, start, q, list_transform(list_filter(range(1, 7), lambda i: i = 1 OR q[i] <> q[i - 1]), lambda i: q[i]) AS c FROM w WHERE len(q) = 6),
-he AS (SELECT series_id, start, array_to_string(c, '') AS hash, len(list_distinct(q)) AS uniq, len(c) - 1 AS trans, [start]::INT[] AS z FROM hw)"""
+def letters(rows: DataFrame, key: str = "tag") -> tuple[Column, list[str]]:
+    """A letter for each symbol, from a on in the order of their names, and the names. An alphabet is small by its nature; over 10,000 symbols are an error."""
+    names = sorted(r[0] for r in rows.select(key).distinct().where(F.col(key).isNotNull()).limit(10_001).collect())
+    if len(names) > 10_000:
+        raise ValueError("over 10000 symbols")
+    if not names:
+        return F.lit("a"), names
+    return F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(chr(97 + i)))]), F.col(key)), names
+
+
+LETTERS = "al AS (SELECT tag, chr((96 + row_number() OVER (ORDER BY tag))::INT) AS l FROM (SELECT DISTINCT tag FROM fr)), fl AS (SELECT series_id, t, l FROM fr JOIN al USING (tag))"
+HASH = f"""{LETTERS}, w AS (SELECT series_id, t AS start, list(l) OVER o AS q FROM fl WINDOW o AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)), hc AS (SELECT series_id, start, q, list_filter(range(1, 7), lambda i: i = 1 OR q[i] <> q[i - 1]) AS p FROM w WHERE len(q) = 6),
+he AS (SELECT series_id, start, array_to_string([q[i] FOR i IN p], '') AS hash, len(list_distinct(q)) AS uniq, len(p) - 1 AS trans, list_sum([ln(coalesce(p[k + 1], 7) - p[k]) FOR k IN range(1, len(p) + 1)]) AS lruns FROM hc)"""
 
 
 def hashed(rows: DataFrame, size: int = 6) -> DataFrame:
-    """series_id, start, hash (symbols without repeats, so runs may stretch), uniq and trans of each window of symbols."""
-    w = sliding(rows, size, 1, "tag").withColumn("c", collapsed(F.col("xs")))
-    return w.select("series_id", "start", F.array_join("c", "").alias("hash"), F.size(F.array_distinct("xs")).alias("uniq"), (F.size("c") - 1).alias("trans"))
+    """series_id, start, hash (letters of symbols without repeats, so runs may stretch), uniq, trans and lruns, the sum of logarithms of run lengths, of each window."""
+    w = sliding(rows.withColumn("l", letters(rows)[0]), size, 1, "l").withColumn("c", collapsed(F.col("xs")))
+    at = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == 0) | (F.get("xs", i) != F.get("xs", i - 1)))
+    w = w.withColumn("at", at)
+    runs = F.zip_with("at", F.slice("at", 2, size), lambda a, b: F.ln((F.coalesce(b, F.lit(size)) - a).cast("double")))
+    lruns = F.aggregate(runs, F.lit(0.0), lambda a, x: a + x)
+    return w.select("series_id", "start", F.array_join("c", "").alias("hash"), F.size(F.array_distinct("xs")).alias("uniq"), (F.size("c") - 1).alias("trans"), lruns.alias("lruns"))
 
 
-ENTRIES = f"{HASH}, en AS (SELECT hash, count(*) AS n, count(DISTINCT series_id) AS n_series, max(uniq) AS uniq, max(trans) AS trans FROM he WHERE uniq >= 2 AND trans >= 2 GROUP BY hash HAVING count(*) >= 5)"
+ENTRIES = f"""{HASH}, hf AS (SELECT * FROM he WHERE uniq >= 2 AND trans >= 2 AND hash IN (SELECT hash FROM he WHERE uniq >= 2 AND trans >= 2 GROUP BY hash HAVING count(*) >= 5)),
+sw AS (SELECT hash, series_id, min(start) AS start FROM hf GROUP BY ALL UNION ALL SELECT sw.hash, sw.series_id, (SELECT min(h.start) FROM hf h WHERE h.hash = sw.hash AND h.series_id = sw.series_id AND h.start >= sw.start + 6) FROM sw WHERE sw.start IS NOT NULL),
+oc AS (SELECT hf.* FROM sw JOIN hf USING (hash, series_id, start)),
+en AS (SELECT hash, n_fixed, n_dtw, uniq, trans, lruns FROM (SELECT hash, count(*) AS n_fixed, max(uniq) AS uniq, max(trans) AS trans FROM hf GROUP BY 1) JOIN (SELECT hash, count(*) AS n_dtw, sum(lruns) AS lruns FROM oc GROUP BY 1) USING (hash) WHERE n_dtw >= 3)"""
+HASHED = f"WITH RECURSIVE {FRAMES}, {ENTRIES}"
 
 
-def entries(h: DataFrame, least: int = 5) -> DataFrame:
-    """Hashes of windows with two symbols and two changes at least, that occur `least` times."""
-    return h.where("uniq >= 2 and trans >= 2").groupBy("hash").agg(F.count("*").alias("n"), F.countDistinct("series_id").alias("n_series"), F.max("uniq").alias("uniq"), F.max("trans").alias("trans")).where(F.col("n") >= least)
+def swept(h: DataFrame, size: int = 6) -> DataFrame:
+    """Of the windows of each hash, in each series, those from left to right that overlap none taken before."""
+    none = F.array().cast("array<struct<start:int,lruns:double>>")
+    rows = h.groupBy("hash", "series_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), "lruns"))).alias("s"))
+    taken = F.aggregate("s", none, lambda a, x: F.when((F.size(a) == 0) | (x.start >= F.element_at(a, -1).start + size), F.concat(a, F.array(x))).otherwise(a))
+    return rows.select("hash", "series_id", F.explode(taken).alias("x")).select("hash", "series_id", "x.start", "x.lruns")
 
 
-@query("hash_entries", f"WITH {FRAMES}, {ENTRIES} SELECT hash, n, n_series, uniq, trans FROM en")
+def entries(h: DataFrame, size: int = 6, least: int = 5, least_dtw: int = 3) -> DataFrame:
+    """hash, n_fixed (windows), n_dtw (occurrences that do not overlap), uniq, trans and lruns of hashes with two symbols and two changes at least."""
+    h = h.where("uniq >= 2 and trans >= 2")
+    n = h.groupBy("hash").agg(F.count("*").alias("n_fixed"), F.max("uniq").alias("uniq"), F.max("trans").alias("trans")).where(F.col("n_fixed") >= least)
+    o = swept(h.join(n.select("hash"), "hash", "left_semi"), size).groupBy("hash").agg(F.count("*").alias("n_dtw"), F.sum("lruns").alias("lruns"))
+    return n.join(o, "hash").where(F.col("n_dtw") >= least_dtw).select("hash", "n_fixed", "n_dtw", "uniq", "trans", "lruns")
+
+
+@query("hash_entries", f"{HASHED} SELECT hash, n_fixed, n_dtw, uniq, trans FROM en")
 def hash_entries(spark, d):
-    return entries(hashed(frames(spark, d)))
+    return entries(hashed(frames(spark, d))).drop("lruns")
+
+
+def mdl(size: int = 6, symbols_: int = 5) -> list[Column]:
+    """Description lengths of an entry: frames coded by its symbols and occurrences by one more symbol; and that of its occurrences' runs."""
+    plain = -F.ln("uniq") * F.col("n_dtw") * size + F.col("n_dtw") * F.ln(F.lit(symbols_ + 1.0))
+    runs = -(F.col("n_dtw") * (F.col("trans") + 1) * F.ln("uniq") + F.col("lruns"))
+    return [F.round(plain, 6).alias("mdl"), F.round(runs, 6).alias("mdl_rle")]
 
 
-@query("hash_mdl", f"WITH {FRAMES}, {ENTRIES} SELECT hash, round(-ln(uniq) * n * 6 + n * ln(5 + 1), 6) AS mdl, round(-n * (trans + 1) * ln(uniq) - n * ln(6 - trans), 6) AS mdl_rle FROM en")
+MDL = "round(-ln(uniq) * n_dtw * 6 + n_dtw * ln((SELECT count(*) FROM al) + 1), 6) AS mdl, round(-(n_dtw * (trans + 1) * ln(uniq) + lruns), 6) AS mdl_rle"
+
+
+def _described(spark, d) -> DataFrame:
+    rows = frames(spark, d)
+    return entries(hashed(rows)).select("*", *mdl(6, len(letters(rows)[1])))
+
+
+@query("hash_mdl", f"{HASHED} SELECT hash, {MDL} FROM en")
 def hash_mdl(spark, d):
-    """Description lengths: frames coded by symbols, against occurrences coded by entry; and that of runs."""
-    e = hash_entries(spark, d)
-    mdl = -F.ln(F.col("uniq")) * F.col("n") * 6 + F.col("n") * F.ln(F.lit(6.0))
-    rle = -F.col("n") * (F.col("trans") + 1) * F.ln(F.col("uniq")) - F.col("n") * F.ln(6 - F.col("trans"))
-    return e.select("hash", F.round(mdl, 6).alias("mdl"), F.round(rle, 6).alias("mdl_rle"))
+    return _described(spark, d).select("hash", "mdl", "mdl_rle")
 
 
+#: Keys of each order of entries; a minus stands for the largest first.
 ORDERS = {
-    "occs": ("n DESC, n_series DESC, trans DESC, uniq DESC, mdl, hash", ["-n", "-n_series", "-trans", "-uniq", "mdl", "hash"]),
-    "trans": ("trans DESC, uniq DESC, n DESC, n_series DESC, mdl, hash", ["-trans", "-uniq", "-n", "-n_series", "mdl", "hash"]),
-    "mdl": ("mdl, trans DESC, uniq DESC, n DESC, n_series DESC, hash", ["mdl", "-trans", "-uniq", "-n", "-n_series", "hash"]),
-    "mdl_rle": ("mdl_rle, trans DESC, uniq DESC, n DESC, n_series DESC, hash", ["mdl_rle", "-trans", "-uniq", "-n", "-n_series", "hash"]),
-    "string": ("hash, n_series DESC, n DESC, mdl, trans DESC, uniq DESC", ["hash", "-n_series", "-n", "mdl", "-trans", "-uniq"]),
+    "occs": ["-n_dtw", "-n_fixed", "-trans", "-uniq", "mdl", "hash"],
+    "trans": ["-trans", "-uniq", "-n_dtw", "-n_fixed", "mdl", "hash"],
+    "mdl": ["mdl", "-trans", "-uniq", "-n_dtw", "-n_fixed", "hash"],
+    "mdl_rle": ["mdl_rle", "-trans", "-uniq", "-n_dtw", "-n_fixed", "hash"],
+    "string": ["hash", "-n_fixed", "-n_dtw", "mdl", "-trans", "-uniq"],
 }
 
 
 def _sorted(mode: str):
     def run(spark, d):
-        e = hash_entries(spark, d).join(hash_mdl(spark, d), "hash")
-        keys = [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in ORDERS[mode][1]]
-        return e.orderBy(*keys).limit(20).select("hash", "n", "mdl", "mdl_rle")
+        keys = [F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in ORDERS[mode]]
+        return _described(spark, d).orderBy(*keys).select("hash", "n_fixed", "n_dtw", "mdl", "mdl_rle")
 
+    run.__doc__ = f"All entries in the order of {', '.join(ORDERS[mode])}."
     return run
 
 
-for _mode, (_sql, _) in ORDERS.items():
-    query(f"hash_top_by_{_mode}", f"WITH {FRAMES}, {ENTRIES}, m AS (SELECT *, round(-ln(uniq) * n * 6 + n * ln(5 + 1), 6) AS mdl, round(-n * (trans + 1) * ln(uniq) - n * ln(6 - trans), 6) AS mdl_rle FROM en) SELECT hash, n, mdl, mdl_rle FROM m ORDER BY {_sql} LIMIT 20")(_sorted(_mode))
+for _mode in ORDERS:
+    query(f"hash_top_by_{_mode}", f"{HASHED} SELECT hash, n_fixed, n_dtw, {MDL} FROM en")(_sorted(_mode))
+
+
+#: A pattern of symbols, how far a run may stretch, and how many symbols may be others.
+PATTERN, STRETCH, OTHERS = ("click", "view", "error"), 3, 1
+WARPED = f"""rn AS (SELECT series_id, tag, start, stop - start AS n, list(tag) OVER o AS tags, list(stop - start) OVER o AS lens FROM mk WINDOW o AS (PARTITION BY series_id ORDER BY start ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+wo AS (SELECT series_id, start + n - k AS start, [k, lens[2], least(lens[3], 3)] AS lens, tags, (tags[1] <> 'click')::INT + (tags[2] <> 'view')::INT + (tags[3] <> 'error')::INT AS others FROM rn, range(1, 4) r(k) WHERE len(tags) = 3 AND k <= n AND lens[2] <= 3 AND (tags[1] <> 'click')::INT + (tags[2] <> 'view')::INT + (tags[3] <> 'error')::INT <= 1),
+wq AS (SELECT series_id, start, list_sum(lens)::INT AS len, others, lens, array_to_string([repeat(l, lens[i]::INT) FOR l, i IN tags], '') AS s FROM (SELECT wo.* EXCLUDE (tags), [a.l, b.l, c.l] AS tags FROM wo JOIN al a ON a.tag = wo.tags[1] JOIN al b ON b.tag = wo.tags[2] JOIN al c ON c.tag = wo.tags[3]))"""
+
 
+def warped(rows: DataFrame, pattern: tuple[str, ...] = PATTERN, stretch: int = STRETCH, others: int = OTHERS) -> DataFrame:
+    """series_id, start, len, others, lens and s: places where the pattern's symbols follow one another, each held for 1 to `stretch` frames, with at most `others` of them replaced.
 
-@query("warped_occurrences", f"WITH {FRAMES}, {HASH} SELECT series_id, start FROM he WHERE hash = 'clickviewerror'")
+    An occurrence may begin inside a run; runs between its ends are taken whole. s has the letters of its frames.
+    """
+    m, letter = len(pattern), letters(rows)[0]
+    order = Window.partitionBy("series_id").orderBy("start").rowsBetween(0, m - 1)
+    r = runs(rows).withColumn("n", (F.col("stop") - F.col("start")).cast("int"))
+    r = r.select("series_id", "start", "n", F.collect_list(F.struct("tag", letter.alias("l"), "n")).over(order).alias("q")).where(F.size("q") == m)
+    wrong = sum(((F.get("q", F.lit(i))["tag"] != p).cast("int") for i, p in enumerate(pattern)), F.lit(0))
+    r = r.withColumn("others", wrong).where(F.col("others") <= others)
+    for i in range(1, m - 1):
+        r = r.where(F.get("q", F.lit(i))["n"] <= stretch)
+    r = r.withColumn("k", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(stretch)))))
+    lens = F.transform("q", lambda x, i: F.when(i == 0, F.col("k")).otherwise(F.least(x["n"], F.lit(stretch))))
+    r = r.withColumn("lens", lens).withColumn("s", F.array_join(F.zip_with("q", "lens", lambda x, n: F.repeat(x["l"], n)), ""))
+    return r.select("series_id", (F.col("start") + F.col("n") - F.col("k")).cast("int").alias("start"), F.aggregate("lens", F.lit(0), lambda a, x: a + x).alias("len"), "others", "lens", "s")
+
+
+@query("warped_occurrences", f"WITH {MARKUP}, {LETTERS}, {WARPED} SELECT series_id, start::INT AS start, len, others FROM wq")
 def warped_occurrences(spark, d):
-    """Places where a pattern of symbols occurs with runs stretched at will."""
-    return hashed(frames(spark, d)).where("hash = 'clickviewerror'").select("series_id", "start")
+    """Places where a pattern of symbols occurs with runs stretched and one symbol replaced."""
+    return warped(frames(spark, d)).select("series_id", "start", "len", "others")
+
+
+AVERAGE = "av AS (SELECT repeat((SELECT l FROM al WHERE tag = 'click'), round(avg(lens[1]))::INT) || repeat((SELECT l FROM al WHERE tag = 'view'), round(avg(lens[2]))::INT) || repeat((SELECT l FROM al WHERE tag = 'error'), round(avg(lens[3]))::INT) AS a FROM wq), ed AS (SELECT series_id, start::INT AS start, len, levenshtein(s, a) AS dist FROM wq, av)"
 
 
-@query("edit_distance_search", f"WITH {FRAMES}, {HASH} SELECT series_id, start, levenshtein(hash, 'clickviewerror') AS dist FROM he WHERE levenshtein(hash, 'clickviewerror') <= 4")
+def scored(rows: DataFrame, pattern: tuple[str, ...] = PATTERN) -> DataFrame:
+    """Warped occurrences with dist, the edit distance of their letters to the average string: each symbol of the pattern held for its mean run."""
+    found = warped(rows, pattern)
+    letter = dict(zip(names := letters(rows)[1], map(chr, range(97, 97 + len(names)))))
+    means = found.agg(*[F.round(F.avg(F.get("lens", F.lit(i)))).cast("int").alias(f"m{i}") for i in range(len(pattern))])  # one row
+    average = F.concat(*[F.repeat(F.lit(letter.get(p, "?")), F.col(f"m{i}")) for i, p in enumerate(pattern)])
+    met = found.join(F.broadcast(means.select(average.alias("average"))))
+    return met.select("series_id", "start", "len", F.levenshtein("s", "average").cast("long").alias("dist"))
+
+
+@query("edit_distance_search", f"WITH {MARKUP}, {LETTERS}, {WARPED}, {AVERAGE} SELECT series_id, start, len, dist FROM ed")
 def edit_distance_search(spark, d):
-    h = hashed(frames(spark, d)).select("series_id", "start", F.levenshtein("hash", F.lit("clickviewerror")).cast("long").alias("dist"))
-    return h.where("dist <= 4")
+    return scored(frames(spark, d))
 
 
-AFFIX = f"WITH {FRAMES}, {HASH}, o AS (SELECT series_id, start FROM he WHERE hash = 'clickviewerror')"
+AFFIX = f"WITH {MARKUP}, {LETTERS}, {WARPED}, o AS (SELECT series_id, start, len FROM wq)"
 
 
-@query("affix_counts", f"{AFFIX} SELECT 'before' AS side, f.tag, count(*) AS n FROM o JOIN fr f ON f.series_id = o.series_id AND f.t = o.start - 1 GROUP BY ALL UNION ALL SELECT 'after', f.tag, count(*) FROM o JOIN fr f ON f.series_id = o.series_id AND f.t = o.start + 6 GROUP BY ALL")
+@query("affix_counts", f"{AFFIX} SELECT 'before' AS side, f.tag, count(*) AS n FROM o JOIN fr f ON f.series_id = o.series_id AND f.t = o.start - 1 GROUP BY ALL UNION ALL SELECT 'after', f.tag, count(*) FROM o JOIN fr f ON f.series_id = o.series_id AND f.t = o.start + o.len GROUP BY ALL")
 def affix_counts(spark, d):
     """Symbols just before and after each occurrence."""
     rows = frames(spark, d)
     o = warped_occurrences(spark, d)
-    at = o.select("series_id", F.lit("before").alias("side"), (F.col("start") - 1).alias("t")).union(o.select("series_id", F.lit("after"), F.col("start") + 6))
+    at = o.select("series_id", F.lit("before").alias("side"), (F.col("start") - 1).alias("t")).union(o.select("series_id", F.lit("after"), F.col("start") + F.col("len")))
     return rows.join(at, ["series_id", "t"]).groupBy("side", "tag").agg(F.count("*").alias("n"))
 
 
@@ -230,13 +362,13 @@ def substring_counts(spark, d):
     return substrings(frames(spark, d)).groupBy("sub", "n").agg(F.count("*").alias("k")).where("k >= 2")
 
 
-@query("count_dl", f"WITH {FRAMES}, {SUBS}, c AS (SELECT sub, n::BIGINT AS n, count(*) AS k FROM sb GROUP BY ALL HAVING count(*) >= 2), z AS (SELECT count(*) AS total FROM fr) SELECT sub, n + k + (total - n * k) AS dl FROM c, z ORDER BY dl, k DESC, n, sub LIMIT 30")
+@query("count_dl", f"WITH {FRAMES}, {SUBS}, c AS (SELECT sub, n::BIGINT AS n, count(*) AS k FROM sb GROUP BY ALL HAVING count(*) >= 2), z AS (SELECT count(*) AS total FROM fr) SELECT sub, n + k + (total - n * k) AS dl FROM c, z")
 def count_dl(spark, d):
-    """Substrings by the length of a description that names them once: shortest first, a top-30 report."""
+    """Substrings by the length of a description that names them once: shortest first."""
     rows = frames(spark, d)
     c = substring_counts(spark, d).join(F.broadcast(rows.agg(F.count("*").alias("total"))))
     dl = (F.col("n") + F.col("k") + (F.col("total") - F.col("n") * F.col("k"))).alias("dl")
-    return c.select("sub", dl, "k", "n").orderBy("dl", F.desc("k"), "n", "sub").limit(30).select("sub", "dl")
+    return c.select("sub", dl, "k", "n").orderBy("dl", F.desc("k"), "n", "sub").select("sub", "dl")
 
 
 @query("prefix_trie", f"WITH {FRAMES}, {SUBS} SELECT sub, n::INT AS n, count(*) AS k, count(DISTINCT series_id) AS n_series FROM sb WHERE n >= 2 AND len(list_distinct(string_split(sub, ','))) >= 2 GROUP BY ALL HAVING count(*) >= 20")
@@ -260,14 +392,22 @@ def name_index(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("source", F.regexp_extract("source", "^.*(\\d+).*$", 1).alias("idx")).distinct()
 
 
-@query("augment_lengths", f"WITH {MARKUP}, n AS (SELECT series_id, count(*) AS total FROM fr GROUP BY 1), a AS (SELECT m.series_id, m.start - (m.stop - m.start) // 2 * k AS a, m.stop + (m.stop - m.start) // 2 * k AS b, total FROM mk m JOIN n USING (series_id), range(3) r(k) WHERE m.stop - m.start >= 2) SELECT DISTINCT series_id, a AS start, b - a AS len FROM a WHERE a >= 0 AND b <= total")
+AUGMENTED = """a AS (SELECT m.series_id, start, stop - start AS len, total FROM mk m JOIN (SELECT series_id, count(*) AS total FROM fr GROUP BY 1) USING (series_id)),
+b AS (SELECT series_id, start, len, total, 'own' AS kind FROM a UNION ALL SELECT series_id, start + floor(len / 4 + 0.5)::BIGINT, CASE WHEN (len // 2) % 2 = 0 THEN len // 2 + 1 ELSE len // 2 END, total, 'half' FROM a UNION ALL SELECT series_id, start - floor(len / 4 + 0.5)::BIGINT, floor(len * 1.5)::BIGINT, total, 'more' FROM a
+UNION ALL SELECT series_id, start + floor(len / 8 + 0.5)::BIGINT, floor(len * 0.75 + 0.5)::BIGINT, total, 'half' FROM a UNION ALL SELECT series_id, start - floor(len / 8 + 0.5)::BIGINT, floor(len * 1.25)::BIGINT, total, 'more' FROM a)"""
+
+
+@query("augment_lengths", f"WITH {MARKUP}, {AUGMENTED} SELECT DISTINCT series_id, start, len FROM b WHERE kind = 'own' OR (kind = 'half' AND len > 2) OR (kind = 'more' AND start >= 0 AND start + len <= total)")
 def augment_lengths(spark, d):
-    """Occurrences made longer at both ends by halves of their length, where these fit."""
+    """Occurrences at other lengths about their middle: half (made odd) and three quarters if over two frames, five quarters and one and a half where these fit."""
     total_ = frames(spark, d).groupBy("series_id").agg(F.count("*").alias("total"))
-    m = markup(spark, d).where("stop - start >= 2").join(total_, "series_id").withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
-    more = F.floor((F.col("stop") - F.col("start")) / 2) * F.col("k")
-    out = m.select("series_id", (F.col("start") - more).alias("a"), (F.col("stop") + more).alias("b"), "total").where("a >= 0 and b <= total")
-    return out.select("series_id", F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("len")).distinct()
+    m = markup(spark, d).join(total_, "series_id").select("series_id", "start", (F.col("stop") - F.col("start")).alias("len"), "total")
+    n, to = F.col("len"), lambda x: F.floor(x).cast("long")
+    half = to(n / 2) + F.when(to(n / 2) % 2 == 0, 1).otherwise(0)
+    sizes = [(F.lit(0), n, "own"), (to(n / 4 + 0.5), half, "half"), (-to(n / 4 + 0.5), to(n * 1.5), "more"), (to(n / 8 + 0.5), to(n * 0.75 + 0.5), "half"), (-to(n / 8 + 0.5), to(n * 1.25), "more")]
+    rows = [F.struct((F.col("start") + by).alias("start"), size.cast("long").alias("len"), F.lit(kind).alias("kind")) for by, size, kind in sizes]
+    out = m.select("series_id", "total", F.inline(F.array(*rows)))
+    return out.where("kind = 'own' or (kind = 'half' and len > 2) or (kind = 'more' and start >= 0 and start + len <= total)").select("series_id", "start", "len").distinct()
 
 
 def _dim_sql(dim: int, value: str) -> str:
@@ -277,14 +417,15 @@ def _dim_sql(dim: int, value: str) -> str:
     return both
 
 
-@query("dim_collision_rowsums", f"WITH {FRAMES}, {_dim_sql(0, 'x')}, {_dim_sql(1, 'h')}, l AS (SELECT 0 AS dim, series_id, start, word FROM sx0 WHERE start % 8 = 0 UNION ALL SELECT 1, series_id, start, word FROM sx1 WHERE start % 8 = 0), rd(round, i, j) AS (VALUES (0, 1, 2), (1, 1, 3), (2, 1, 4), (3, 2, 3), (4, 2, 4), (5, 3, 4)), pk AS (SELECT dim, series_id, start, round, substr(word, i, 1) || substr(word, j, 1) AS key FROM l, rd), b AS (SELECT dim, round, key, count(*) AS n FROM pk GROUP BY ALL) SELECT dim, series_id, start, sum(n - 1)::BIGINT AS hits FROM pk JOIN b USING (dim, round, key) GROUP BY ALL")
+@query("dim_collision_rowsums", f"WITH {FRAMES}, {_dim_sql(0, 'x')}, {_dim_sql(1, 'h')}, l AS (SELECT 0 AS dim, series_id, start, word FROM sx0 UNION ALL SELECT 1, series_id, start, word FROM sx1), rd(round, i, j) AS (VALUES (0, 1, 2), (1, 1, 3), (2, 1, 4), (3, 2, 3), (4, 2, 4), (5, 3, 4)), pk AS (SELECT dim, series_id, start, round, substr(word, i, 1) || substr(word, j, 1) AS key FROM l, rd), b AS (SELECT dim, round, key, count(*) AS n FROM pk GROUP BY ALL) SELECT dim, series_id, start, sum(n - 1)::BIGINT AS hits FROM pk JOIN b USING (dim, round, key) GROUP BY ALL")
 def dim_collision_rowsums(spark, d):
     """Collisions of each window, dimension by dimension."""
     rows = frames(spark, d)
-    words = sax(rows, step=8).withColumn("dim", F.lit(0)).unionByName(sax(rows, step=8, value="h").withColumn("dim", F.lit(1)))
-    p = projected(words)
-    n = p.groupBy("dim", "round", "key").agg(F.count("*").alias("n"))
-    return p.join(n, ["dim", "round", "key"]).groupBy("dim", "series_id", "start").agg(F.sum(F.col("n") - 1).alias("hits"))
+    words = sax(rows).withColumn("dim", F.lit(0)).unionByName(sax(rows, value="h").withColumn("dim", F.lit(1)))
+    p = projected(words.groupBy("dim", "word").agg(F.count("*").alias("n")))
+    n = p.groupBy("dim", "round", "key").agg(F.sum("n").alias("in_key"))
+    hits = p.join(n, ["dim", "round", "key"]).groupBy("dim", "word").agg(F.sum(F.col("in_key") - 1).alias("hits"))
+    return words.join(hits, ["dim", "word"]).select("dim", "series_id", "start", "hits")
 
 
 @query("right_maximal", f"WITH {FRAMES}, {SUBS}, c AS (SELECT sub, n::INT AS n, count(*) AS k FROM sb GROUP BY ALL HAVING count(*) >= 2) SELECT sub, n, k FROM c WHERE n < 5 AND NOT EXISTS (SELECT 1 FROM c e WHERE e.n = c.n + 1 AND e.k = c.k AND regexp_replace(e.sub, ',[^,]*$', '') = c.sub)")
