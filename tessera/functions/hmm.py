@@ -22,31 +22,96 @@ class Hmm:
         return -0.5 * (np.log(2 * np.pi * self.var) + d * d / self.var).sum(2)
 
 
-def left_right(examples: list[np.ndarray], states: int, floor: np.ndarray, leave: float = 0.2) -> Hmm:
-    """A left-right model with skips: each example is cut into as many even segments as there are states."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(states)]
-    for x in examples:
-        for s, part in enumerate(np.array_split(x, states)):
-            if len(part):
-                parts[s].append(part)
-    every = np.concatenate(examples)
-    data = [np.concatenate(p) if p else every for p in parts]
-    mean = np.stack([p.mean(0) for p in data])
-    var = np.maximum(np.stack([p.var(0) for p in data]), floor)
-    dwell = max(1.0, np.mean([len(x) for x in examples]) / states)
-    stay = 1 - 1 / dwell if dwell > 1 else 0.05
-    trans = np.full((states, states), -np.inf)
+def odd(n: int) -> int:
+    return n + 1 if n % 2 == 0 else n
+
+
+def overlapping(x: np.ndarray, parts: int, share: float = 0.25) -> list[np.ndarray]:
+    """x cut into `parts` even pieces, each longer by `share` of a piece on both sides; no piece is empty."""
+    width = len(x) / parts
+    ends = [(max(0, int(np.floor((i - share) * width))), min(len(x), int(np.ceil((i + 1 + share) * width)))) for i in range(parts)]
+    return [x[min(a, len(x) - 1) : max(b, min(a, len(x) - 1) + 1)] for a, b in ends]
+
+
+def left_right(examples: list[np.ndarray], states: int, floor: np.ndarray, stay: float, leave: float = 0.2, skip: float = 0.1) -> Hmm:
+    """A left-right model: each example is cut into overlapping segments, one a state; states may be skipped."""
+    parts = list(zip(*[overlapping(x, states) for x in examples]))
+    mean = np.stack([np.concatenate(p).mean(0) for p in parts])
+    var = np.maximum(np.stack([np.concatenate(p).var(0) for p in parts]), floor)
+    trans = np.zeros((states, states))
     for s in range(states):
-        trans[s, s] = np.log(max(stay, 0.05))
+        trans[s, s] = stay
         if s + 1 < states:
-            trans[s, s + 1] = np.log((1 - stay) * 0.9 + 1e-9)
+            trans[s, s + 1] = (1 - stay) * (1 - skip if s + 2 < states else 1)
         if s + 2 < states:
-            trans[s, s + 2] = np.log((1 - stay) * 0.1 + 1e-9)
-    start = np.full(states, -np.inf)
-    start[0] = 0.0
-    out = np.full(states, -np.inf)
-    out[-1] = np.log(leave)
-    return Hmm(mean, var, trans, start, out)
+            trans[s, s + 2] = (1 - stay) * skip
+    start, out = np.full(states, -np.inf), np.full(states, -np.inf)
+    start[0], out[-1] = 0.0, np.log(leave)
+    with np.errstate(divide="ignore"):
+        return Hmm(mean, var, np.log(trans), start, out)
+
+
+def trained(model: Hmm, examples: list[np.ndarray], floor: np.ndarray, rounds: int = 3, keep_var: bool = False) -> Hmm:
+    """Re-estimated means, variances and transitions over all paths through the examples."""
+    for _ in range(rounds):
+        n, s, q, moves = 0.0, 0.0, 0.0, 0.0
+        for x in examples:
+            p, m, _ = forward_backward(model, x)
+            n, s, q, moves = n + p.sum(0), s + p.T @ x, q + p.T @ (x * x), moves + m
+        n = np.maximum(n, 1e-9)[:, None]
+        mean = s / n
+        var = model.var if keep_var else np.maximum(q / n - mean**2, floor)
+        total = moves.sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            trans = np.where(total > 1e-9, np.log(moves / total), model.trans)
+        model = Hmm(mean, var, trans, model.start, model.leave)
+    return model
+
+
+def blended(model: Hmm, trans: np.ndarray, share: float = 0.5) -> Hmm:
+    """Transitions mixed with others, as chances."""
+    with np.errstate(divide="ignore"):
+        return Hmm(model.mean, model.var, np.log(share * np.exp(trans) + (1 - share) * np.exp(model.trans)), model.start, model.leave)
+
+
+def _stay(length: float, states: int) -> float:
+    return max(1 - (states - 1) / length, 0.1) if states > 1 else max(1 - 1 / length, 0.1)
+
+
+def from_occurrences(examples: list[np.ndarray], floor: np.ndarray) -> Hmm:
+    """A model of several occurrences: as many states as their mean length, but no more than twice the shortest less one, and odd."""
+    lengths = [len(x) for x in examples]
+    states = odd(max(1, min(2 * min(lengths) - 1, int(np.mean(lengths)))))
+    first = left_right(examples, states, floor, _stay(np.mean(lengths), states))
+    return blended(trained(first, examples, floor), first.trans)
+
+
+def from_group(examples: list[np.ndarray], floor: np.ndarray, share: float = 0.98) -> Hmm:
+    """A model of a group without re-estimation: each state's deviation is mixed with the mean over states."""
+    states = odd(max(1, int(np.mean([len(x) for x in examples]) * 0.75)))
+    m = left_right(examples, states, floor, _stay(np.mean([len(x) for x in examples]), states))
+    sd = share * np.sqrt(m.var) + (1 - share) * np.sqrt(m.var).mean(0)
+    return Hmm(m.mean, np.maximum(sd**2, floor), m.trans, m.start, m.leave)
+
+
+def from_window(x: np.ndarray, var: np.ndarray) -> Hmm:
+    """A model of one window: states for three quarters of its length, all with the variance given."""
+    states = odd(max(3, round(len(x) * 0.75)))
+    first = left_right([x], states, var, _stay(len(x), states))
+    first.var[:] = var
+    return blended(trained(first, [x], var, keep_var=True), first.trans)
+
+
+def mixture(paths: list[Hmm]) -> Hmm:
+    """Models side by side as one: any of them is entered with the same chance and left from its own end."""
+    n, at = sum(len(m.mean) for m in paths), 0
+    trans, start, leave = np.full((n, n), -np.inf), np.full(n, -np.inf), np.full(n, -np.inf)
+    for m in paths:
+        k = len(m.mean)
+        trans[at : at + k, at : at + k] = m.trans
+        start[at : at + k], leave[at : at + k] = m.start - np.log(len(paths)), m.leave
+        at += k
+    return Hmm(np.concatenate([m.mean for m in paths]), np.concatenate([m.var for m in paths]), trans, start, leave)
 
 
 def background(mean: np.ndarray, var: np.ndarray, leave: float = 0.2) -> Hmm:
@@ -83,6 +148,33 @@ def viterbi(model: Hmm, x: np.ndarray) -> tuple[np.ndarray, float]:
     return path, float(score.max())
 
 
+def viterbi_many(model: Hmm, xs: list[np.ndarray], block: int = 64) -> tuple[list[np.ndarray], list[float]]:
+    """The best path and its log likelihood for each of several series, those of similar length at the same time."""
+    paths, scores = [np.zeros(0, int)] * len(xs), [0.0] * len(xs)
+    order = sorted(range(len(xs)), key=lambda i: -len(xs[i]))
+    for at in range(0, len(order), block):
+        some = [i for i in order[at : at + block] if len(xs[i])]
+        if not some:
+            continue
+        sizes = np.array([len(xs[i]) for i in some])
+        e = np.zeros((len(some), sizes[0], len(model.mean)))
+        for row, i in enumerate(some):
+            e[row, : sizes[row]] = model.emit(xs[i])
+        back, score = np.zeros(e.shape, np.int32), model.start + e[:, 0]
+        for t in range(1, sizes[0]):
+            on = int(np.searchsorted(-sizes, -t))  # the longer series come first
+            step = score[:on, :, None] + model.trans
+            back[:on, t] = step.argmax(1)
+            score[:on] = step.max(1) + e[:on, t]
+        for row, i in enumerate(some):
+            path = np.empty(sizes[row], int)
+            path[-1] = score[row].argmax()
+            for t in range(sizes[row] - 1, 0, -1):
+                path[t - 1] = back[row, t, path[t]]
+            paths[i], scores[i] = path, float(score[row].max())
+    return paths, scores
+
+
 def forward_backward(model: Hmm, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """State probabilities of each frame, summed transition probabilities, and the log likelihood."""
     e, t_end = model.emit(x), len(x)

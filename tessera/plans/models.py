@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import FRAMES, MARKUP, query
 from tessera.functions import hmm
+from tessera.functions.vectors import squared_distance
 from tessera.operators.stats import event_scores, frame_confusion, matched  # noqa: F401
 from tessera.plans.rounds import checkpointed
 from tessera.sources.frames import frames, load, markup
@@ -76,21 +77,31 @@ def built(models: DataFrame, e: DataFrame, states: int = STATES) -> tuple[list[s
     return names, out
 
 
+def whole_series(rows: DataFrame) -> DataFrame:
+    """series_id, t and v: the frames (x, h) of each series in one row. A series, not the table, is what one row holds."""
+    pairs = F.sort_array(F.collect_list(F.struct("t", F.array("x", "h").alias("v"))))
+    return rows.groupBy("series_id").agg(pairs.alias("p")).select("series_id", F.transform("p", lambda p: p.t).alias("t"), F.transform("p", lambda p: p.v).alias("v"))
+
+
+def _arrays(column: pd.Series) -> list[np.ndarray]:
+    return [np.stack(list(v)).astype(float) for v in column]
+
+
 def decode(rows: DataFrame, names: list[str], models: list[hmm.Hmm]) -> DataFrame:
-    """series_id, tag, start, stop and ll: the best joint path of all models through each series."""
+    """series_id, tag, start, stop and ll: the best joint path of all models through each series, those of a batch at the same time."""
     joint, owner = hmm.join(models)
     first = np.concatenate([np.arange(len(m.mean)) == 0 for m in models])
     shared = rows.sparkSession.sparkContext.broadcast((joint, owner, first, names))
 
-    def each(g: pd.DataFrame) -> pd.DataFrame:
+    def each(batches):
         joint, owner, first, names = shared.value
-        g = g.sort_values("t")
-        path, ll = hmm.viterbi(joint, g[["x", "h"]].to_numpy(float))
-        runs = hmm.segments(path, owner, first)
-        t = g["t"].to_numpy()
-        return pd.DataFrame({"series_id": g["series_id"].iloc[0], "tag": [names[m] for m, _, _ in runs], "start": [t[a] for _, a, _ in runs], "stop": [t[b - 1] + 1 for _, _, b in runs], "ll": ll})
+        for g in batches:
+            out = []
+            for series, t, path, ll in zip(g["series_id"], g["t"], *hmm.viterbi_many(joint, _arrays(g["v"]))):
+                out += [(series, names[m], int(t[a]), int(t[b - 1]) + 1, ll) for m, a, b in hmm.segments(path, owner, first)]
+            yield pd.DataFrame(out, columns=["series_id", "tag", "start", "stop", "ll"])
 
-    return rows.select("series_id", "t", "x", "h").groupBy("series_id").applyInPandas(each, "series_id long, tag string, start int, stop int, ll double")
+    return whole_series(rows).mapInPandas(each, "series_id long, tag string, start int, stop int, ll double")
 
 
 @query("hmm_decode")
@@ -120,47 +131,118 @@ def best_label_mapping(spark, d):
     return spark.createDataFrame(rows, "truth string, found string, frames long").coalesce(1)
 
 
+def supervised_models(e: DataFrame) -> DataFrame:
+    """Class models with 2 * (shortest run) - 1 states each."""
+    least = e.where("o = 0").groupBy("tag").agg((2 * F.min("n") - 1).alias("states"))
+    s = e.join(F.broadcast(least), "tag").withColumn("state", F.floor(F.col("o") * F.col("states") / F.col("n")).cast("int"))  # a row a class
+    long = s.select("tag", "state", F.posexplode(F.array("x", "h")).alias("dim", "v"))
+    return long.groupBy("tag", "state", "dim").agg(F.avg("v").alias("mean"), F.greatest(F.var_pop("v"), F.lit(FLOOR)).alias("var"), F.count("*").alias("n"))
+
+
 @query("supervised_hmm_events")
 def supervised_hmm_events(spark, d):
     """Correct events of each class: decoded segments that share half of the shorter of them and a label of the class."""
-    labels = markup(spark, d)
-    same = matched(labels, hmm_decode(spark, d).drop("ll")).where("truth = found and 2 * (least(a2, b2) - greatest(a1, b1)) >= least(a2 - a1, b2 - b1)")
+    rows, labels = frames(spark, d), markup(spark, d)
+    e = examples(rows)
+    found = decode(rows, *built(supervised_models(e), e)).drop("ll")
+    same = matched(labels, found).where("truth = found and 2 * (least(a2, b2) - greatest(a1, b1)) >= least(a2 - a1, b2 - b1)")
     hits = same.select(F.col("truth").alias("tag"), "series_id", "a1").distinct().groupBy("tag").agg(F.count("*").alias("correct"))
     out = labels.groupBy("tag").agg(F.count("*").alias("labels")).join(hits, "tag", "left").fillna(0, ["correct"])
     return out.withColumn("recall", F.round(F.col("correct") / F.col("labels"), 6))
 
 
+def example_scores(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Decoded segments with z, the log-likelihood by frame under their class's Gaussians against the distribution of this over its labelled examples."""
+    rows = frames(spark, d)
+    e = examples(rows)
+    m = class_models(e, 1).select("tag", "dim", "mean", "var")
+
+    def scored(r: DataFrame) -> DataFrame:
+        long = r.select("series_id", "tag", "start", "t", F.posexplode(F.array("x", "h")).alias("dim", "v")).join(F.broadcast(m), ["tag", "dim"])
+        one = -0.5 * (F.ln(2 * F.pi() * F.col("var")) + (F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")) / F.col("var"))
+        return long.groupBy("series_id", "tag", "start").agg((F.sum(one) / F.countDistinct("t")).alias("s"))
+
+    own = scored(e).groupBy("tag").agg(F.avg("s").alias("m"), F.stddev_samp("s").alias("sd"))
+    found = checkpointed(decode(rows, *built(class_models(e), e)))
+    at = rows.join(found.select("series_id", F.col("tag").alias("found"), "start", "stop"), "series_id").where("t >= start and t < stop")
+    z = scored(at.select("series_id", F.col("found").alias("tag"), "start", "t", "x", "h")).join(F.broadcast(own), "tag")
+    return found, z.select("series_id", "tag", "start", ((F.col("s") - F.col("m")) / F.col("sd")).alias("z"))
+
+
+@query("rescored_spots")
+def rescored_spots(spark, d, least: float = -2.0):
+    """Decoded segments that are not much less likely under their class than its own examples are."""
+    found, z = example_scores(spark, d)
+    return found.join(z, ["series_id", "tag", "start"]).where(F.col("z") >= least).select("series_id", "tag", "start", "stop", "z")
+
+
+def expectations(rows: DataFrame, joint: hmm.Hmm) -> list:
+    """Expected counts, sums and squares of each state and dimension (kind 0), and of moves between states (kind 1), over all series: a row for each."""
+    shared = rows.sparkSession.sparkContext.broadcast(joint)
+
+    def expect(batches):
+        for g in batches:
+            n, s, q, moves = 0.0, 0.0, 0.0, 0.0
+            for x in _arrays(g["v"]):
+                p, m, _ = hmm.forward_backward(shared.value, x)
+                n, s, q, moves = n + p.sum(0), s + p.T @ x, q + p.T @ (x * x), moves + m
+            if not len(g):
+                continue
+            k, dims = s.shape
+            i, j = np.nonzero(moves > 0)
+            yield pd.concat([pd.DataFrame({"kind": 0, "i": np.repeat(np.arange(k), dims), "j": np.tile(np.arange(dims), k), "n": np.repeat(n, dims), "s": s.ravel(), "q": q.ravel()}), pd.DataFrame({"kind": 1, "i": i, "j": j, "n": moves[i, j], "s": 0.0, "q": 0.0})])
+
+    got = whole_series(rows).mapInPandas(expect, "kind int, i int, j int, n double, s double, q double")
+    return got.groupBy("kind", "i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+
+
+def reestimated(models: list[hmm.Hmm], counts: list) -> list[hmm.Hmm]:
+    """Models with means, variances, transitions and chances to leave by expected counts."""
+    total, at, out = sum(len(m.mean) for m in models), 0, []
+    moves = np.zeros((total, total))
+    by = {(r["i"], r["j"]): r for r in counts if r["kind"] == 0}
+    for r in counts:
+        if r["kind"] == 1:
+            moves[r["i"], r["j"]] = r["n"]
+    for m in models:
+        k, dims = m.mean.shape
+        n = np.array([[by[at + s, j]["n"] for j in range(dims)] for s in range(k)])
+        mean = np.array([[by[at + s, j]["s"] for j in range(dims)] for s in range(k)]) / np.maximum(n, 1e-9)
+        var = np.maximum(np.array([[by[at + s, j]["q"] for j in range(dims)] for s in range(k)]) / np.maximum(n, 1e-9) - mean**2, FLOOR)
+        own, every = moves[at : at + k, at : at + k], moves[at : at + k].sum(1)
+        again = np.exp(m.leave)[:, None] * np.exp(m.start) / max(len(models), 1)  # moves within may also be an exit and a new entry
+        own = own * np.exp(m.trans) / np.maximum(np.exp(m.trans) + again, 1e-12)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            trans = np.where(every[:, None] > 1e-9, np.log(own / every[:, None]), m.trans)
+            leave = np.where((every > 1e-9) & np.isfinite(m.leave), np.log(np.maximum(1 - own.sum(1) / every, 1e-6)), m.leave)
+        out.append(hmm.Hmm(mean, var, trans, m.start, leave))
+        at += k
+    return out
+
+
 @query("em_segmentation")
 def em_segmentation(spark, d, rounds: int = 3):
     """Expectation-maximisation of a joint model: each series gives expected counts, which groupings sum; then segments."""
-    rows = frames(spark, d)
+    rows = checkpointed(frames(spark, d))
     e = examples(rows)
     names, models = built(class_models(e), e)
-    schema = "state int, dim int, n double, s double, q double"
     for _ in range(rounds):
-        joint, _owner = hmm.join(models)
-        shared = spark.sparkContext.broadcast(joint)
-
-        def expect(g: pd.DataFrame) -> pd.DataFrame:
-            x = g.sort_values("t")[["x", "h"]].to_numpy(float)
-            p, _, _ = hmm.forward_backward(shared.value, x)
-            n, s, q = p.sum(0), p.T @ x, p.T @ (x * x)
-            k, dims = s.shape
-            return pd.DataFrame({"state": np.repeat(np.arange(k), dims), "dim": np.tile(np.arange(dims), k), "n": np.repeat(n, dims), "s": s.ravel(), "q": q.ravel()})
-
-        got = rows.select("series_id", "t", "x", "h").groupBy("series_id").applyInPandas(expect, schema).groupBy("state", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
-        by = {(r["state"], r["dim"]): r for r in got}
-        at = 0
-        for m in models:
-            for s in range(len(m.mean)):
-                for k in range(2):
-                    r = by[at, k]
-                    m.mean[s, k] = r["s"] / max(r["n"], 1e-9)
-                    m.var[s, k] = max(FLOOR, r["q"] / max(r["n"], 1e-9) - m.mean[s, k] ** 2)
-                at += 1
+        models = reestimated(models, expectations(rows, hmm.join(models)[0]))
     return decode(rows, names, models)
 
 
+def likelihoods(rows: DataFrame, sets: list[list[hmm.Hmm]], names: list[int]) -> DataFrame:
+    """model and ll: the log likelihood of all series' best paths by each set of models, joined."""
+    shared = rows.sparkSession.sparkContext.broadcast([hmm.join(s)[0] for s in sets])
+
+    def score(batches):
+        for g in batches:
+            xs = _arrays(g["v"])
+            yield pd.DataFrame({"model": names, "ll": [float(sum(hmm.viterbi_many(m, xs)[1])) for m in shared.value]})
+
+    return whole_series(rows).mapInPandas(score, "model int, ll double").groupBy("model").agg(F.sum("ll").alias("ll"))
+
+
 @query("greedy_cover")
 def greedy_cover(spark, d, take: int = 3):
     """Models chosen one after another, each the one that raises the total likelihood most beside a wide background."""
@@ -169,46 +251,94 @@ def greedy_cover(spark, d, take: int = 3):
     names, models = built(class_models(e), e)
     g = rows.agg(F.avg("x").alias("mx"), F.avg("h").alias("mh"), F.var_pop("x").alias("vx"), F.var_pop("h").alias("vh")).first()
     wide = hmm.background(np.array([g["mx"], g["mh"]]), 5 * np.array([g["vx"], g["vh"]]))
-    shared = spark.sparkContext.broadcast((models, wide))
     chosen: list[int] = []
     out = []
     for place in range(min(take, len(models))):
         left, held = [i for i in range(len(models)) if i not in chosen], list(chosen)
 
-        def score(g: pd.DataFrame) -> pd.DataFrame:
-            models, wide = shared.value
-            x = g.sort_values("t")[["x", "h"]].to_numpy(float)
-            return pd.DataFrame([(i, hmm.viterbi(hmm.join([wide, *[models[c] for c in held], models[i]])[0], x)[1]) for i in left], columns=["model", "ll"])
-
-        total = rows.select("series_id", "t", "x", "h").groupBy("series_id").applyInPandas(score, "model int, ll double").groupBy("model").agg(F.sum("ll").alias("ll"))
+        total = likelihoods(rows, [[wide, *[models[c] for c in held], models[i]] for i in left], left)
         best = total.orderBy(F.desc("ll"), "model").first()
         chosen.append(best["model"])
         out.append((place, names[best["model"]], float(best["ll"])))
     return spark.createDataFrame(out, "place int, tag string, ll double").coalesce(1)
 
 
+def mixture_fit(rows: DataFrame, k: int, restarts: int = 3, rounds: int = 12, floor: float = FLOOR) -> tuple[float, list[tuple[float, list[float], list[float]]]]:
+    """A mixture of k diagonal Gaussians over frames (v, an array): the best of several restarts, with its log likelihood.
+
+    Each round is one grouping: every frame's shares in the components are an expression of the last round's
+    parameters, and counts, sums and squares are added. A restart begins with the frames whose hashes are least.
+    """
+    spread = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("s")).orderBy("i").collect()
+    var = [max(floor, r["s"]) for r in spread]
+    best = (-np.inf, [])
+    for seed in range(restarts):
+        start = rows.orderBy(F.xxhash64(F.lit(seed), "v"), "v").select("v").distinct().limit(k).collect()
+        parts = [(1 / len(start), list(r["v"]), list(var)) for r in start]
+        for _ in range(rounds):
+            logs = [F.lit(float(np.log(w))) + sum((-0.5 * (F.lit(float(np.log(2 * np.pi * s))) + (F.get("v", F.lit(i)) - m) * (F.get("v", F.lit(i)) - m) / s) for i, (m, s) in enumerate(zip(mean, var_))), F.lit(0.0)) for w, mean, var_ in parts]
+            r = rows.select("v", F.array(*logs).alias("l")).withColumn("top", F.array_max("l"))
+            r = r.withColumn("total", F.col("top") + F.ln(F.aggregate("l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))))
+            sums = [F.sum("total").alias("ll"), F.count("*").alias("n")]
+            for c in range(len(parts)):
+                share = F.exp(F.get("l", F.lit(c)) - F.col("total"))
+                sums.append(F.sum(share).alias(f"n{c}"))
+                for i in range(len(var)):
+                    x = F.get("v", F.lit(i))
+                    sums += [F.sum(share * x).alias(f"s{c}_{i}"), F.sum(share * x * x).alias(f"q{c}_{i}")]
+            got = r.agg(*sums).first()
+            if got["ll"] > best[0]:
+                best = (got["ll"], parts)
+            new = []
+            for c in range(len(parts)):
+                n = max(got[f"n{c}"], 1e-9)
+                mean = [got[f"s{c}_{i}"] / n for i in range(len(var))]
+                new.append((max(n / got["n"], 1e-12), mean, [max(floor, got[f"q{c}_{i}"] / n - mean[i] ** 2) for i in range(len(var))]))
+            parts = new
+    return best
+
+
 @query("gmm_background")
-def gmm_background(spark, d, k: int = 3, restarts: int = 3):
-    """A mixture of Gaussians over all frames, the best of several restarts; variances are floored and widened."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = checkpointed(VectorAssembler(inputCols=["x", "h"], outputCol="features").transform(frames(spark, d)).select("features"))
-    fits = [GaussianMixture(k=k, seed=s, maxIter=20).fit(rows) for s in range(restarts)]
-    best = max(fits, key=lambda f: f.summary.logLikelihood)
-    out = [(i, float(w), *[float(x) for x in g.mean], *[max(FLOOR, 5 * float(x)) for x in g.cov.toArray().diagonal()]) for i, (w, g) in enumerate(zip(best.weights, best.gaussians))]
+def gmm_background(spark, d, k: int = 3, widen: float = 5.0):
+    """A mixture of Gaussians over all frames, its variances widened and floored."""
+    rows = checkpointed(frames(spark, d).select(F.array("x", "h").alias("v")))
+    _, parts = mixture_fit(rows, k)
+    out = [(i, float(w), *map(float, mean), *[max(FLOOR, widen * s) for s in var]) for i, (w, mean, var) in enumerate(parts)]
     return spark.createDataFrame(out, "component int, weight double, mean_x double, mean_h double, var_x double, var_h double").coalesce(1)
 
 
-@query("tree_clusters")
-def tree_clusters(spark, d, k: int = 8):
-    """Vectors split in two again and again; the cluster of each."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
+def tree_split(rows: DataFrame, levels: int, rounds: int = 3) -> DataFrame:
+    """id, v and leaf: rows split in two again and again, all nodes of a level at the same time.
+
+    A node's two centres begin as its row farthest from its mean and the row farthest from that one, and are moved to
+    their rows' means `rounds` times. A node has as many rows in the driver's view as it has centres: two.
+    """
+    mean = lambda df, *by: df.select(*by, F.posexplode("v").alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("x")).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("c"))
+    rows = checkpointed(rows.select("id", "v", F.lit(0).alias("leaf")))
+    far = lambda a, b: F.round(squared_distance(a, b), 9)
+    for _ in range(levels):
+        m = mean(rows, "leaf")
+        one = rows.join(F.broadcast(m), "leaf").groupBy("leaf").agg(F.max_by("v", F.struct(far(F.col("v"), F.col("c")), -F.col("id"))).alias("a"))
+        pair = rows.join(F.broadcast(one), "leaf").groupBy("leaf").agg(F.first("a").alias("a"), F.max_by("v", F.struct(far(F.col("v"), F.col("a")), -F.col("id"))).alias("b"))
+        pair = checkpointed(pair)
+        for last in [False] * rounds + [True]:
+            side = rows.join(F.broadcast(pair), "leaf").withColumn("side", (far(F.col("v"), F.col("b")) < far(F.col("v"), F.col("a"))).cast("int"))
+            if last:
+                rows = checkpointed(side.select("id", "v", (2 * F.col("leaf") + F.col("side")).alias("leaf")))
+                break
+            moved = mean(side, "leaf", "side").groupBy("leaf").agg(F.max(F.when(F.col("side") == 0, F.col("c"))).alias("na"), F.max(F.when(F.col("side") == 1, F.col("c"))).alias("nb"))
+            pair = checkpointed(pair.join(moved, "leaf").select("leaf", F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b")))
+    return rows
 
-    v = load(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = BisectingKMeans(k=k, seed=1).fit(v)
-    return model.transform(v).select("vec_id", F.col("prediction").alias("cluster"))
+
+@query("tree_clusters")
+def tree_clusters(spark, d, levels: int = 3):
+    """Vectors split in two again and again; the leaf of each, and whether it is the leaf's prototype, the one nearest to its mean."""
+    v = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = tree_split(v, levels)
+    m = rows.select("leaf", F.posexplode("v").alias("i", "x")).groupBy("leaf", "i").agg(F.avg("x").alias("x")).groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p.x).alias("c"))
+    best = rows.join(F.broadcast(m), "leaf").groupBy("leaf").agg(F.min_by("id", F.struct(F.round(squared_distance(F.col("v"), F.col("c")), 9), "id")).alias("best"))
+    return rows.join(F.broadcast(best), "leaf").select(F.col("id").alias("vec_id"), F.col("leaf").alias("cluster"), (F.col("id") == F.col("best")).alias("prototype"))
 
 
 def _merges(spark, d, how: str):
@@ -243,6 +373,23 @@ def growth_test(spark, d):
     return s.select("tag", F.round((F.col("m0") - F.col("m1")) / F.sqrt(F.col("v0") / F.col("n0") + F.col("v1") / F.col("n1")), 5).alias("t"))
 
 
+@query("growth_accepted")
+def growth_accepted(spark, d, level: float = 0.05):
+    """Whether the first frames of examples may be grown onto the rest: Welch's t, its degrees of freedom, its one-sided chance, and the test at `level`."""
+    e = examples(frames(spark, d))
+    first, rest = F.when(F.col("o") == 0, F.col("x")), F.when(F.col("o") > 0, F.col("x"))
+    s = e.groupBy("tag").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate((first, rest)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
+    a, b = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
+    df = (a + b) * (a + b) / (a * a / (F.col("n0") - 1) + b * b / (F.col("n1") - 1))
+    s = s.select("tag", ((F.col("m0") - F.col("m1")) / F.sqrt(a + b)).alias("t"), df.alias("df"))
+
+    @F.pandas_udf("double")
+    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([hmm.t_tail(x, n) if np.isfinite(x) and np.isfinite(n) else np.nan for x, n in zip(t, df)])
+
+    return s.withColumn("p", tail("t", "df")).withColumn("accepted", F.col("p") >= level)
+
+
 @query("state_means_scaled", f"{STATE_SQL.replace('SELECT tag, state, dim, round(avg(v), 5) AS mean, round(greatest(var_pop(v), 1e-3), 5) AS var, count(*) AS n FROM e GROUP BY ALL', 'SELECT * FROM e')}".replace("SELECT * FROM e", ", st AS (SELECT tag, state, dim, avg(v) AS mean FROM e GROUP BY ALL), lim AS (SELECT dim, min(v) AS lo, max(v) AS hi FROM e GROUP BY dim) SELECT tag, state, dim, round(least(greatest((mean - lo) / (hi - lo), 0), 1), 5) AS level FROM st JOIN lim USING (dim)"))
 def state_means_scaled(spark, d):
     """State means within the global range of their dimension, clamped."""
