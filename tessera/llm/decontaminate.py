@@ -3,8 +3,10 @@
 Texts are lower-cased and cut to words, joined by single blanks; a window is found as a string between blanks, so the
 automaton sees whole words only. Offsets are mapped back to the original text for the spans that are returned.
 
-The automaton is broadcast. Its size is checked: items are dealt into slices of at most `SLICE_BYTES` of text, each an
-automaton of its own, and the hits of several slices are joined per document.
+The items are broadcast, and each Python worker builds the automaton once. Its size is checked: items are dealt by a
+hash into slices of about `SLICE_BYTES` of text, each an automaton of its own, and the hits of several slices are
+joined per document. The driver collects one slice at a time. Windows overlap, so an automaton takes about 360 MB for
+1 MB of items (measured), 180 MB for a slice; a slice is one more pass over the texts. Items of over a slice stay whole.
 
 Nulls and odd rows: null texts and items have no words; an item without item_id marks words but is not listed; equal
 item_ids count once. Repeated rows get equal results, empty tables give no rows or no hits, and other columns pass
@@ -13,8 +15,8 @@ through.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,7 +30,7 @@ from tessera.llm.base import fresh, table
 from tessera.llm.words import chunks
 
 WINDOW = 10
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 1 << 19
 #: Maps bytes of text: capitals to small letters, all other ASCII but letters and digits to blanks.
 PLAIN = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -78,13 +80,25 @@ class Scanner:
         return len(words), int(hit.sum()), sorted(items), [(places[a][0], places[b - 1][1]) for a, b in bounds.tolist()]
 
 
-def _slices(benchmark: DataFrame) -> list[list[tuple[str | None, str | None]]]:
-    """The items, dealt so that no slice has more than SLICE_BYTES of text or one item."""
+def _slices(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The items, a slice at a time."""
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // SLICE_BYTES) or 1
     dealt = rows.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [[(r[0], r[1]) for r in dealt.where(F.col("slice") == i).select("item_id", "text").collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r[0], r[1]) for r in dealt.where(F.col("slice") == i).select("item_id", "text").collect()]
+
+
+_built: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, items: list[tuple[str | None, str | None]], size: int) -> Scanner:
+    """The scanner of a slice, which a worker keeps until it is asked for another one."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Scanner(windows(items, size))
+    return _built[name]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", out: str = "benchmark_hits") -> DataFrame:
@@ -94,9 +108,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str =
     for i, items in enumerate(_slices(benchmark)):
         name = out if not i else f"{out}_{i}"
         shared = docs.sparkSession.sparkContext.broadcast(items)
+        slice_id = str(uuid.uuid4())
 
-        def each(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
-            scan = Scanner(windows(shared.value, size))
+        def each(batches: Iterator[pa.RecordBatch], shared=shared, name=name, slice_id=slice_id) -> Iterator[pa.RecordBatch]:
+            scan = _scanner(slice_id, shared.value, size)
             kind = arrow.field(out).type
             for batch in chunks(batches, text=text):
                 found = [dict(zip(("n_words", "n_hit", "items", "spans"), scan(x))) for x in batch.column(text).to_pylist()]

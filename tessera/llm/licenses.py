@@ -1,7 +1,8 @@
 """License scans: Aho-Corasick finds notice phrases and identifier tags, and tagged expressions are parsed and evaluated.
 
 Texts are lower-cased and cut to words of letters and digits; a phrase counts wherever its words stand consecutively.
-After an identifier tag the rest of the line is read as an expression of `and`, `or` and `with`, brackets included, by
+Where a tag stands comes from the automaton too: its words are mapped to their places in the text, and must share a
+line. After an identifier tag the rest of the line is read as an expression of `and`, `or` and `with`, brackets included, by
 the shunting-yard algorithm; what it evaluates to is the set of its licences, and whether one may choose a permissive
 one. The automaton is built from the fixed phrases below, so its size does not depend on the data.
 
@@ -12,6 +13,7 @@ identifiers that it names. Repeated rows get equal results, an empty table an em
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.base import table
-from tessera.llm.decontaminate import plain_words
+from tessera.llm.decontaminate import WORD, plain_words
 from tessera.llm.words import chunks
 
 #: The base phrases and their labels.
@@ -42,7 +44,8 @@ NOTICES = {
     "all rights reserved": ("proprietary", 0.3),
 }
 TAG = "spdx license identifier"
-TAGGED = re.compile(r"spdx[^a-z0-9\n]*license[^a-z0-9\n]*identifier[^a-z0-9\n(]*([^\n]*)", re.IGNORECASE)
+#: What may stand between a tag and its expression.
+BEFORE = re.compile(r"^[^A-Za-z0-9(]*")
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*")
 #: What comment signs put before the words of a line.
 LEADER = re.compile(r"^[^A-Za-z0-9()]*")
@@ -107,21 +110,37 @@ def walk(line: str, operand: bool = True, depth: int = 0) -> tuple[list[str], bo
     return names, operand, depth, False
 
 
-def expressions_of(text: str) -> Iterator[tuple[str, list[str]]]:
+def tags_of(text: str, numbers: list[int]) -> list[tuple[int, int]]:
+    """Start and end in the text of the tags whose first words have these numbers, ascending; those broken by a line's end are left out."""
+    places, wanted = {}, {n for first in numbers for n in (first, first + len(TAG.split()) - 1)}
+    for n, word in enumerate(WORD.finditer(text)):
+        if n in wanted:
+            places[n] = word.span()
+            if len(places) == len(wanted):
+                break
+    spans = [(places[n][0], places[n + len(TAG.split()) - 1][1]) for n in numbers]
+    return [(a, b) for a, b in spans if "\n" not in text[a:b]]
+
+
+def expressions_of(text: str, tags: list[tuple[int, int]]) -> Iterator[tuple[str, list[str]]]:
     """What stands after each tag, and the identifiers that it names. Lines are joined while brackets are open or an operator ends the line; a blank line, a further tag or a line of prose ends it."""
-    for tag in TAGGED.finditer(text):
-        parts, at = [tag[1]], tag.end()
-        names, operand, depth, prose = walk(tag[1])
+    starts = sorted(a for a, _ in tags)
+    for _, stop in tags:
+        at = text.find("\n", stop)
+        at = at if at >= 0 else len(text)
+        first = BEFORE.sub("", text[stop:at])
+        parts, (names, operand, depth, prose) = [first], walk(first)
         while not prose and TOKEN.search(parts[-1]) and (operand or depth) and at < len(text):
             end = text.find("\n", at + 1)
-            line = LEADER.sub("", text[at + 1 : end if end >= 0 else len(text)])
-            if not line or TAGGED.match(line):
+            end = end if end >= 0 else len(text)
+            line = LEADER.sub("", text[at + 1 : end])
+            if not line or (i := bisect_left(starts, at)) < len(starts) and starts[i] < end:
                 break
             more, operand, left, prose = walk(line, operand, depth)
             words = [x.lower() for x in TOKEN.findall(line)[:2]]
             if prose and (left or len(words) == 2 and not {"(", ")", *PRECEDENCE} & set(words)):
                 break
-            names, depth, at = names + more, left, end if end >= 0 else len(text)
+            names, depth, at = names + more, left, end
             parts.append(line)
         yield " ".join(parts), names
 
@@ -155,18 +174,23 @@ class Scanner:
         words = plain_words(text)
         line = f" {b' '.join(words).decode()} "
         n_base, places, base, sure, expressions, free = 0, [], set(), {}, [], None
-        tagged = False
+        tags = []
         for end, (phrase, label, weight, is_base) in self.automaton.iter(line):
             if is_base:
                 n_base += 1
                 base.add(label)
                 places.append(end - len(phrase) - 1)
             if label is None:
-                tagged = True
+                tags.append(end - len(phrase) - 1)
             else:
                 sure[label] = max(weight, sure.get(label, 0.0))
-        if tagged:
-            for rest, names in expressions_of(text):
+        if tags:
+            at, n, numbers = 0, 0, []
+            for place in tags:  # blanks before a place are words before it
+                n += line.count(" ", at, place)
+                at = place
+                numbers.append(n)
+            for rest, names in expressions_of(text, tags_of(text, numbers)):
                 tokens = postfix(rest)
                 if tokens is None:
                     found, own = frozenset(names), False

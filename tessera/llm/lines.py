@@ -241,13 +241,13 @@ def dedup_lines(docs: DataFrame, limit: int = LIMIT, min_chars: int = MIN_CHARS)
 
 
 def drop_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """docs with `text` without the lines that occur before, or near before; rows that share a doc_id lose the same lines."""
+    """docs with `text` without the lines that occur before, or near before; rows that share a doc_id lose the same lines. Other columns pass through, whatever their names."""
     here = F.struct("doc_id", "line_no")
-    gone = dedup_lines(docs, limit).where(here != F.col("near_of")).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines_gone"))
-    gone = gone.select(F.col("doc_id").alias("lines_id"), "lines_gone")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("lines_id")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("lines_gone", F.array().cast("array<int>")), i))
-    return joined.select(*[(F.array_join(left, "\n").alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    gone = dedup_lines(docs, limit).where(here != F.col("near_of")).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    row = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = row.join(gone.withColumnRenamed("doc_id", "g_id"), F.col("doc_id").eqNullSafe(F.col("g_id")), "left")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    return joined.select(*[F.array_join(left, "\n").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     columns = [c for c in pages.columns if c != out]
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("u_row"), *[c.alias(n) for c, n in zip(_parts(F.col(url)), ("u_host", "u_path"))])
     rows = rows.withColumn("u_key", F.when(F.col("u_host") == "", F.lit("")).otherwise(_key(F.col("u_host"))))
-    rows = rows.withColumn("u_slice", F.pmod(F.xxhash64("u_row"), F.lit(slices)))
+    own = [F.col("u_row").getField(c) for c, kind in pages.dtypes if c in columns and "map<" not in kind and "variant" not in kind]  # of equal urls too, rows of other ids go to other slices
+    rows = rows.withColumn("u_slice", F.pmod(F.xxhash64(*own), F.lit(slices)))
     marks = _boundaries(rules).withColumn("u_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
     sweep = rows.select("*", F.lit(1).alias("u_kind")).unionByName(marks.select(F.col("b_key").alias("u_key"), "b_stack", "u_slice", F.lit(0).alias("u_kind")), allowMissingColumns=True)
     order = Window.partitionBy("u_slice").orderBy("u_key", "u_kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,7 +77,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string").coalesce(1)
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, ("host", "path", "verdict"))]) for r in RULES])))
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 

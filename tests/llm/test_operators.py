@@ -108,6 +108,8 @@ def test_urls(spark):
         rule, verdict = max(fits)[1:] if fits else (None, "allow")
         assert tuple(r.judged) == (host, path, rule, verdict)
     assert urls.filter_urls(pages.limit(0), rules).count() == 0
+    mapped = urls.filter_urls(pages.withColumn("m", F.create_map(F.lit("k"), F.lit(1))), rules).collect()
+    assert multiset(r.judged for r in mapped) == multiset(r.judged for r in got) and all(r.m == {"k": 1} for r in mapped)
     assert {r.judged.rule for r in urls.filter_urls(pages, rules.limit(0)).collect()} == {None}
 
 
@@ -191,7 +193,8 @@ def test_lines(spark, none):
     assert sorted((fix((r.doc_id, r.line_no)), fix(r.copy_of), fix(r.near_of)) for r in got) == want
     assert any(c != n for _, c, n in want)
     assert lines.dedup_lines(none).count() == 0
-    assert lines.drop_lines(df).count() == len(made)
+    dropped = lines.drop_lines(clash(df, "lines_gone", "gone", "row", "g_id")).collect()
+    assert len(dropped) == len(made) and {r.gone for r in dropped} == {"own"}
 
 
 # 6 quality
