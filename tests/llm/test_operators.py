@@ -68,6 +68,27 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_inclusion(spark):
+    """Over many sources of equal make, documents are taken as often as their chances say, and certain ones always."""
+    sizes, n = [1, 2, 3, 5, 8, 13, 21, 34, 55, 400] * 3, 240
+    made = [(s * 1000 + i, " ".join(["w"] * k), f"{s:05d}") for s in range(n) for i, k in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(made, "doc_id long, text string, source string"), share=0.5, weights=(1,)).collect()
+    left, sure = 0.5 * sum(sizes), []
+    while True:
+        rest = [k for k in sizes if k not in sure]
+        scale = (left - sum(k for k in sizes if k in sure)) / sum(k * math.floor(1024 * k**0.5) for k in rest)
+        if scale * math.floor(1024 * max(rest) ** 0.5) < 1:
+            break
+        sure.append(max(rest))
+    taken = collections.Counter()
+    for r in got:
+        assert r.mixed.target == pytest.approx(left) and r.mixed.copies <= 1
+        taken[r.mixed.size] += r.mixed.copies
+    for k in set(sizes):
+        p, m = 1.0 if k in sure else scale * math.floor(1024 * k**0.5), 3 * n
+        assert abs(taken[k] / m - p) <= 5 * math.sqrt(p * (1 - p) / m) + 0.03, (k, taken[k] / m, p)
+
+
 def test_mixing_oracle(spark, data):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
