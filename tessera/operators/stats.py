@@ -191,16 +191,25 @@ def negative_runs(spark, d):
     return b.select("series_id", "t", _round(F.sum("dx").over(Window.partitionBy("series_id", "g").orderBy("t")), "fall"))
 
 
-@query("calc_stop", f"""{FALLS}, m AS (SELECT series_id, g, min(fall) AS low FROM c GROUP BY ALL), k AS (SELECT series_id, g FROM m QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY low, g) = 1)
-SELECT b.series_id, ceil(round(sum(t * -dx) / sum(-dx), 9))::BIGINT AS stop FROM b JOIN k USING (series_id, g) WHERE dx < 0 GROUP BY 1""")
-def calc_stop(spark, d):
-    """Where a series falls most: the run of differences with the least sum, and its weighted centre, rounded up."""
+def _smoothed_sql(times: int = 5) -> str:
+    names = ["fr", *[f"s{i}" for i in range(times)]]
+    return ", ".join(f"{b} AS (SELECT series_id, t, round(avg(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS x FROM {a})" for a, b in zip(names, names[1:]))
+
+
+@query("calc_stop", f"""WITH {FRAMES}, {_smoothed_sql()}, a AS (SELECT series_id, t, round(x - lag(x) OVER (PARTITION BY series_id ORDER BY t), 6) AS dx FROM s4), b AS (SELECT *, sum((dx >= 0)::INT) OVER (PARTITION BY series_id ORDER BY t) AS g FROM a WHERE dx IS NOT NULL),
+m AS (SELECT series_id, g, round(sum(dx), 6) AS low FROM b WHERE dx < 0 GROUP BY ALL), k AS (SELECT series_id, g FROM m QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY low, g) = 1)
+SELECT b.series_id, ceil(round(sum(t * -dx) / sum(-dx), 6))::BIGINT AS stop FROM b JOIN k USING (series_id, g) WHERE dx < 0 GROUP BY 1""")
+def calc_stop(spark, d, times: int = 5):
+    """Where a smoothed series falls most: the run of differences with the least sum, and its weighted centre, rounded up."""
     order = Window.partitionBy("series_id").orderBy("t")
-    a = frames(spark, d).select("series_id", "t", (F.col("x") - F.lag("x").over(order)).alias("dx")).where("dx is not null")
+    rows = frames(spark, d).select("series_id", "t", "x")
+    for _ in range(times):
+        rows = rows.withColumn("x", F.round(F.avg("x").over(order.rowsBetween(-2, 2)), 6))
+    a = rows.select("series_id", "t", F.round(F.col("x") - F.lag("x").over(order), 6).alias("dx")).where("dx is not null")
     b = a.withColumn("g", F.sum((F.col("dx") >= 0).cast("int")).over(order)).where("dx < 0")
-    runs = b.groupBy("series_id", "g").agg(F.sum("dx").alias("low"), (F.sum(F.col("t") * -F.col("dx")) / F.sum(-F.col("dx"))).alias("centre"))
+    runs = b.groupBy("series_id", "g").agg(F.round(F.sum("dx"), 6).alias("low"), (F.sum(F.col("t") * -F.col("dx")) / F.sum(-F.col("dx"))).alias("centre"))
     best = F.min_by("centre", F.struct("low", "g"))
-    return runs.groupBy("series_id").agg(F.ceil(F.round(best, 9)).alias("stop"))
+    return runs.groupBy("series_id").agg(F.ceil(F.round(best, 6)).alias("stop"))
 
 
 @query("run_segments", f"WITH {MARKUP} SELECT series_id, tag, start, stop FROM mk WHERE tag <> 'view'")

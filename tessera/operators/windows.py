@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,43 @@ def window_series_map(spark, d):
     return multi(frames(spark, d), [8], 4).select("win_id", "series_id", "start")
 
 
+LOCATED = "n AS (SELECT series_id, count(*) AS n FROM fr GROUP BY series_id), w AS (SELECT series_id, t AS start FROM n, range(0, n - 7) r(t)), i AS (SELECT row_number() OVER (ORDER BY series_id, start) - 1 AS win_id, series_id, start FROM w)"
+
+
+@query("window_locations", f"WITH {FRAMES}, {LOCATED} SELECT win_id, series_id, start FROM i")
+def window_locations(spark, d, size: int = 8):
+    """Each global window number with its place: the series whose first number is the last one not above it.
+
+    Series say which numbers are theirs, and numbers are joined with them, so no range is searched.
+    """
+    rows = frames(spark, d)
+    per = rows.groupBy("series_id").agg(F.count("*").alias("n"))
+    before = Window.orderBy("series_id").rowsBetween(Window.unboundedPreceding, -1)  # a row a series
+    many = F.greatest(F.col("n") - size + 1, F.lit(0))
+    per = per.select("series_id", many.alias("k"), F.coalesce(F.sum(many).over(before), F.lit(0)).alias("first"))
+    owned = per.where("k > 0").select("series_id", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("k") - 1)).alias("win_id"))
+    asked = multi(rows, [size]).select("win_id")
+    return asked.join(owned, "win_id").select("win_id", "series_id", (F.col("win_id") - F.col("first")).alias("start"))
+
+
+def dim_groups(control: str) -> list[list[int]]:
+    """Groups of dimensions from words of letters: capitals stand for dimensions from 0 on, small letters for those from 26 on."""
+    groups = []
+    for word in re.split("[, \\r\\n\\t]+", control.strip(", \r\n\t")):
+        if not re.fullmatch("[A-Za-z]+", word):
+            raise ValueError(f"no letters: {word!r}")
+        groups.append([ord(c) - 65 if c <= "Z" else 26 + ord(c) - 97 for c in word])
+    return groups
+
+
+@query("dim_group_means", f"WITH {FRAMES}, c AS (SELECT tag, dense_rank() OVER (ORDER BY tag) - 1 AS code FROM (SELECT DISTINCT tag FROM fr)) SELECT series_id, t, unnest([0, 1]) AS grp, round(unnest([(x + h) / 2, code::DOUBLE]), 6) AS mean FROM fr JOIN c USING (tag)")
+def dim_group_means(spark, d, control: str = "AB C"):
+    """The mean of each group of dimensions in each frame."""
+    rows = symbols(frames(spark, d)).select("series_id", "t", F.array("x", "h", F.col("sym").cast("double")).alias("v"))
+    means = [sum((F.get("v", F.lit(i)) for i in g[1:]), F.get("v", F.lit(g[0]))) / len(g) for g in dim_groups(control)]
+    return rows.select("series_id", "t", F.posexplode(F.array(*means)).alias("grp", "mean")).withColumn("mean", F.round("mean", 6))
+
+
 @query("linear_index", f"""WITH {FRAMES}, n AS (SELECT series_id, count(*) AS n FROM fr GROUP BY series_id), b AS (SELECT series_id, coalesce(sum(n) OVER (ORDER BY series_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first, row_number() OVER (ORDER BY series_id) - 1 AS k FROM n)
 SELECT series_id, t, first + t AS lin, first + k + t AS lin_term FROM fr JOIN b USING (series_id)""")
 def linear_index(spark, d):
@@ -202,9 +241,12 @@ def chop(spark, d, least: int = 4):
     return left.where(F.col("stop") - F.col("start") >= least).withColumn("part", part)
 
 
-@query("concat_class_series", f"WITH {MARKUP} SELECT m.tag, f.series_id, f.t, row_number() OVER (PARTITION BY m.tag, f.series_id ORDER BY f.t) - 1 AS k, f.x FROM mk m JOIN fr f ON f.series_id = m.series_id AND f.t >= m.start AND f.t < m.stop")
+@query("concat_class_series", f"WITH {FRAMES} SELECT tag, series_id, t, row_number() OVER (PARTITION BY tag ORDER BY series_id, t) - 1 AS k, x FROM fr")
 def concat_class_series(spark, d):
-    """All examples of a class one after another, within each series."""
+    """All examples of a class one after another, over all series: a series' frames begin after those of the series before it, which counts give."""
     rows = frames(spark, d)
     order = Window.partitionBy("tag", "series_id").orderBy("t")
-    return rows.select("tag", "series_id", "t", (F.row_number().over(order) - 1).alias("k"), "x")
+    before = Window.partitionBy("tag").orderBy("series_id").rowsBetween(Window.unboundedPreceding, -1)  # a row a series
+    first = rows.groupBy("tag", "series_id").agg(F.count("*").alias("n")).select("tag", "series_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = rows.select("tag", "series_id", "t", (F.row_number().over(order) - 1).alias("k"), "x")
+    return own.join(first, ["tag", "series_id"]).select("tag", "series_id", "t", (F.col("first") + F.col("k")).alias("k"), "x")

@@ -6,9 +6,11 @@ decoding is by a function of one whole series, to which the models are sent. The
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import FRAMES, MARKUP, query
@@ -112,6 +114,79 @@ def hmm_decode(spark, d):
     return decode(rows, *built(class_models(e), e))
 
 
+@query("state_distributions")
+def state_distributions(spark, d):
+    """What falls in each state of each class once every series is aligned with all models: frames, and mean and variance of each dimension."""
+    rows = frames(spark, d)
+    e = examples(rows)
+    names, models = built(class_models(e), e)
+    joint, owner = hmm.join(models)
+    begin = np.concatenate([[0], np.cumsum([len(m.mean) for m in models])])
+    shared = spark.sparkContext.broadcast((joint, owner, begin, names))
+
+    def each(batches):
+        joint, owner, begin, names = shared.value
+        for g in batches:
+            xs = _arrays(g["v"])
+            for x, path in zip(xs, hmm.viterbi_many(joint, xs)[0]):
+                m = owner[path]
+                yield pd.DataFrame({"tag": [names[i] for i in m], "state": path - begin[m], "x": x[:, 0], "h": x[:, 1]})
+
+    long = whole_series(rows).mapInPandas(each, "tag string, state int, x double, h double").select("tag", "state", F.posexplode(F.array("x", "h")).alias("dim", "v"))
+    return long.groupBy("tag", "state", "dim").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+
+
+@dataclass
+class Gaussian:
+    """A probability model of frames: any class with `fit` and `log_likelihood` can take its place."""
+
+    mean: list[float]
+    var: list[float]
+
+    @classmethod
+    def fit(cls, rows: DataFrame) -> Gaussian:
+        got = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.greatest(F.var_pop("x"), F.lit(FLOOR)).alias("s")).orderBy("i").collect()
+        return cls([r["m"] for r in got], [r["s"] for r in got])
+
+    def log_likelihood(self, v: str) -> Column:
+        terms = [-0.5 * (F.lit(float(np.log(2 * np.pi * s))) + (F.get(v, F.lit(i)) - m) * (F.get(v, F.lit(i)) - m) / s) for i, (m, s) in enumerate(zip(self.mean, self.var))]
+        return sum(terms[1:], terms[0])
+
+
+@dataclass
+class Mixture:
+    parts: list[tuple[float, Gaussian]]
+
+    @classmethod
+    def fit(cls, rows: DataFrame, k: int = 2) -> Mixture:
+        return cls([(w, Gaussian(mean, var)) for w, mean, var in mixture_fit(rows, k, restarts=1, rounds=6)[1]])
+
+    def log_likelihood(self, v: str) -> Column:
+        logs = F.array(*[F.lit(float(np.log(w))) + g.log_likelihood(v) for w, g in self.parts])
+        top = F.array_max(logs)
+        return top + F.ln(F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+
+def model_scores(rows: DataFrame, fit) -> DataFrame:
+    """tag, n and ll: the mean log-likelihood of each class's frames (tag, v) under its own model, which `fit` makes of them. A class for each, at most CLASSES_AT_MOST."""
+    tags = sorted(r["tag"] for r in bounded(rows.select("tag").distinct(), CLASSES_AT_MOST))
+    scored = [rows.where(F.col("tag") == t).select("tag", fit(rows.where(F.col("tag") == t)).log_likelihood("v").alias("ll")) for t in tags]
+    out = scored[0] if scored else rows.select("tag", F.lit(0.0).alias("ll"))
+    for s in scored[1:]:
+        out = out.union(s)
+    return out.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg("ll"), 6).alias("ll"))
+
+
+@query("gaussian_scores", f"WITH {FRAMES}, g AS (SELECT tag, avg(x) AS mx, greatest(var_pop(x), 1e-3) AS vx, avg(h) AS mh, greatest(var_pop(h), 1e-3) AS vh FROM fr GROUP BY tag) SELECT tag, count(*) AS n, round(avg(-0.5 * (ln(2 * pi() * vx) + (x - mx) * (x - mx) / vx) - 0.5 * (ln(2 * pi() * vh) + (h - mh) * (h - mh) / vh)), 6) AS ll FROM fr JOIN g USING (tag) GROUP BY tag")
+def gaussian_scores(spark, d):
+    return model_scores(checkpointed(frames(spark, d).select("tag", F.array("x", "h").alias("v"))), Gaussian.fit)
+
+
+@query("mixture_scores")
+def mixture_scores(spark, d):
+    return model_scores(checkpointed(frames(spark, d).select("tag", F.array("x", "h").alias("v"))), Mixture.fit)
+
+
 @query("hmm_spot_scores")
 def hmm_spot_scores(spark, d):
     """Overlap in frames of decoded classes with labels."""

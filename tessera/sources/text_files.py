@@ -6,6 +6,8 @@ Files are read and written by Spark alone, so any file system will do. A file wh
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,27 @@ def neighbour_lines(knn: DataFrame) -> DataFrame:
     return knn.groupBy("win_id").agg(F.array_join(F.transform(pairs, lambda r: r.p), " ").alias("line"))
 
 
+def neighbour_header(spark: SparkSession, path: str) -> dict[str, int]:
+    """The header of a file of neighbours: n, k, low, high and step, or n, k, size and step where all windows have one length."""
+    line = spark.read.text(path, wholetext=True).select(_lines().alias("l")).select(F.get("l", F.lit(0))).first()[0]
+    values = [int(float(x)) for x in line.split()]
+    return dict(zip(("n", "k", "low", "high", "step") if len(values) == 5 else ("n", "k", "size", "step"), values))
+
+
+#: A text file of neighbours is of one row; more windows are written as Parquet.
+LINES_AT_MOST = 1_000_000
+
+
+def write_neighbours(knn: DataFrame, path: str, *sizes: int) -> None:
+    """One text file: a header of the number of windows, that of neighbours and the sizes given, then a line a window. Windows are numbered from 0 without gaps."""
+    n = knn.agg(F.countDistinct("win_id"), F.max("rank")).first()
+    if n[0] > LINES_AT_MOST:
+        raise ValueError(f"over {LINES_AT_MOST} windows; write them as Parquet")
+    head = " ".join(map(str, (n[0], n[1] or 0, *sizes)))
+    lines = neighbour_lines(knn).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("win_id", "line"))), lambda r: r.line), "\n").alias("l"))
+    lines.select(F.concat(F.lit(head + "\n"), "l").alias("value")).coalesce(1).write.text(path)
+
+
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     """motif_id, hash, n_fixed, mdl, series_id, start, len: a count; for each motif a line of hash, fixed count, occurrences and mdl, then a line an occurrence."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(_lines()).alias("n", "line")).where("n > 0")
@@ -104,6 +127,61 @@ def write_labels(labels: DataFrame, path: str) -> None:
     labels.groupBy("series_id").agg(F.array_join(F.transform(rows, lambda r: r.line), "\n").alias("value")).write.partitionBy("series_id").text(path)
 
 
+def write_cuts(spans: DataFrame, path: str) -> None:
+    """The pieces (series_id, a, b) that series were cut into, lines of a quoted series, first and last frame."""
+    spans.select(F.format_string('"%s" %d %d', F.col("series_id").cast("string"), "a", "b").alias("value")).write.text(path)
+
+
+def definition(entries: list[dict[str, str]]) -> str:
+    """The text of a definition: a block of names and values for each entry."""
+    return "\n\n".join("\n".join(["<data>", *[f"{k} = {v}" for k, v in e.items()], "</data>"]) for e in entries) + "\n"
+
+
+def looped_definition(entry: dict[str, str], n: int) -> str:
+    """The text of a definition of n series by one block in a loop: `i` in brackets and behind a dollar stands for their number."""
+    return "\n".join([f"!(for,i,1,1,{n})", "<data>", *[f"{k} = {v}" for k, v in entry.items()], "</data>", "!(endfor)"]) + "\n"
+
+
+def read_definition(spark: SparkSession, path: str) -> list[dict[str, str]]:
+    """The entries of a definition file, its loops (first, step, last) unrolled and comments left out. It describes data sets and is as small as their list."""
+    lines = [x.split("#")[0].strip() for x in spark.read.text(path, wholetext=True).first()[0].splitlines()]
+
+    def unrolled(lines: list[str]) -> list[str]:
+        out, at = [], 0
+        while at < len(lines):
+            if loop := re.fullmatch(r"!\(for,(\w+),(-?\d+),(-?\d+),(-?\d+)\)", lines[at]):
+                end, depth = at + 1, 1
+                while depth:
+                    depth += lines[end].startswith("!(for,") - (lines[end] == "!(endfor)")
+                    end += 1
+                body, (name, first, step, last) = lines[at + 1 : end - 1], loop.groups()
+                for i in range(int(first), int(last) + 1, int(step)):
+                    out += unrolled([x.replace(f"$({name})", str(i)) for x in body])
+                at = end
+            else:
+                out.append(lines[at])
+                at += 1
+        return out
+
+    entries: list[dict[str, str]] = []
+    for line in unrolled(lines):
+        if line == "<data>":
+            entries.append({})
+        elif "=" in line and entries:
+            key, value = line.split("=", 1)
+            entries[-1][key.strip()] = value.strip()
+    return entries
+
+
+def write_dataset(rows: DataFrame, labels: DataFrame, path: str, name: str = "set", value: str = "x") -> None:
+    """A data set as folders of text: raw series, their labels, and a looped definition of both for series numbered from 1."""
+    write_raw(rows, f"{path}/raw", value)
+    write_labels(labels, f"{path}/labels")
+    n = rows.agg(F.countDistinct("series_id")).first()[0]
+    entry = {"name": f"{name}_$(i)", "data": "raw/series_id=$(i)", "dataLoader": "DLRaw", "labels": "labels/series_id=$(i)", "labelLoader": "MLGeneral"}
+    rows.sparkSession.range(1).select(F.lit(looped_definition(entry, n)).alias("value")).coalesce(1).write.text(f"{path}/def")
+
+
 def read_indices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").cast("long").alias("win_id"))
 
