@@ -54,7 +54,7 @@ NO_ID = -(2**63)
 FOLDS, HELD = 7, 2
 #: At most so many tokens are listed: those in more than a LISTED-th of all pairs of a document and its token.
 LISTED = 1 << 18
-SHARD_TOKENS, SHARDS_AT_MOST = 1 << 20, 8192
+SHARD_TOKENS, SHARDS_AT_MOST = 1 << 19, 8192
 ROUNDS = 2
 
 
@@ -267,10 +267,15 @@ def _log_softmax(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
 
 
 def _train(batches: Iterator[pa.RecordBatch], classes: Classes, begin: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Weights after one pass of gradient updates over this task's texts, from `begin`, times their updates, and the updates. seen: updates before."""
-    weights, updates = begin.copy(), np.zeros(len(begin), np.int64)
-    for batch in chunks(batches, TRAIN_CHUNK):
-        t = tokens(split(batch.column("text"), lower=True))
+    """For each shard, whose rows come together: weights after one pass of gradient updates over its texts, from `begin`, times their updates, and the updates. seen: updates before."""
+    weights, updates, shard = begin.copy(), np.zeros(len(begin), np.int64), None
+
+    def done() -> pa.RecordBatch:
+        rows = np.flatnonzero(updates)
+        return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(updates[rows]), *[pa.array((weights[rows, c] * updates[rows]).astype(np.float32)) for c in range(CLASSES)]], ["row", "n", *[f"w{c}" for c in range(CLASSES)]])
+
+    def learn(texts: pa.Array) -> None:
+        t = tokens(split(texts, lower=True))
         features, (target, _) = _features(t), classes.of(t)
         for at in range(0, len(target), BATCH):
             f, y = features[:, at : at + BATCH], target[at : at + BATCH]
@@ -286,8 +291,19 @@ def _train(batches: Iterator[pa.RecordBatch], classes: Classes, begin: np.ndarra
                 weights[own] -= (RATE / np.sqrt(n * (seen[own] + updates[own])))[:, None].astype(np.float32) * step
             updates[-1] += len(y)
             weights[-1] -= RATE / np.sqrt(len(y) * (seen[-1] + updates[-1])) * slope.sum(0)
-    rows = np.flatnonzero(updates)
-    yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(updates[rows]), *[pa.array((weights[rows, c] * updates[rows]).astype(np.float32)) for c in range(CLASSES)]], ["row", "n", *[f"w{c}" for c in range(CLASSES)]])
+
+    for batch in chunks(batches, TRAIN_CHUNK):
+        shards = batch.column("shard").to_numpy()
+        ends = [*(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for at, until in zip([0, *ends], ends):
+            if shards[at] != shard:
+                if shard is not None:
+                    yield done()
+                    weights[:], updates[:] = begin, 0
+                shard = shards[at]
+            learn(batch.column("text").slice(at, until - at))
+    if shard is not None:
+        yield done()
 
 
 def _score(batches: Iterator[pa.RecordBatch], classes: Classes, weights: np.ndarray, listed: Listed) -> Iterator[pa.RecordBatch]:
@@ -372,8 +388,9 @@ def score_texts(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFr
     shards = min(SHARDS_AT_MOST, -(-train // (ROUNDS * SHARD_TOKENS)) or 1)
     for i in range(ROUNDS):
         begin = send((classes, weights, seen))
-        part = own.where(~F.col("held_out") & (F.pmod(F.xxhash64("hash", "id"), F.lit(ROUNDS)) == i)).select("id", "hash", "text")
-        part = part.repartition(shards, "id", "hash").sortWithinPartitions("id", "hash").select("text")
+        part = own.where(~F.col("held_out") & (F.pmod(F.xxhash64("hash", "id"), F.lit(ROUNDS)) == i))
+        part = part.select(F.pmod(F.xxhash64("id", "hash"), F.lit(shards)).alias("shard"), "id", "hash", "text")
+        part = part.repartition("shard").sortWithinPartitions("shard", "id", "hash").select("shard", "text")
         trained = part.mapInArrow(lambda x, begin=begin: _train(x, *begin.value), "row int, n long, " + ", ".join(f"w{c} float" for c in range(CLASSES)))
         mean = trained.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(f"w{c}").alias(f"w{c}") for c in range(CLASSES)])
         weights, seen = weights.copy(), seen.copy()
