@@ -207,11 +207,12 @@ def pivots(table: DataFrame, n: int) -> DataFrame:
     return table.orderBy(F.xxhash64("id"), "id").limit(n)
 
 
-def indexed(queries: DataFrame, table: DataFrame, k: int, n_pivots: int = 64, probes: int = 16, metric: str = "dtw", by: str = "l2", parts: int = 0, apart: int = 0) -> DataFrame:
+def indexed(queries: DataFrame, table: DataFrame, k: int, n_pivots: int = 64, probes: int = 16, metric: str = "dtw", by: str = "l2", parts: int = 0, more: int = 4, apart: int = 0) -> DataFrame:
     """id, nbr, dist and rank: approximate nearest rows by an index of pivots.
 
     Every row belongs to its nearest pivot by the metric `by` (of means of `parts` segments, if given). A query visits
-    the `probes` pivots nearest to it; of their rows the 4 * k nearest by `by` are measured by `metric`. The index is
+    the `probes` pivots nearest to it; of their rows the more * k nearest by `by` are measured by `metric`, or all of them if
+    `more` is 0, but for those whose lower bound passes the k-th best. The index is
     fit on `n_pivots` rows; all rows are indexed.
     """
     low, fine = METRICS[by], METRICS[metric]
@@ -238,14 +239,22 @@ def indexed(queries: DataFrame, table: DataFrame, k: int, n_pivots: int = 64, pr
                 step = max(1, BLOCK_PAIRS // len(rows))
                 for at in range(0, len(mine), step):
                     some = mine[at : at + step]
-                    dist = low(short(q[some]), short(x[rows]), _barred(ids[some], own[rows], apart))
-                    kth = np.partition(dist, 4 * k - 1, axis=1)[:, 4 * k - 1] if len(rows) > 4 * k else np.full(len(some), np.inf)
-                    a, b = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
-                    exact = fine.warp(q[some[a]], x[rows[b]]) if isinstance(fine, Warped) else dist[a, b]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some[a]]), pa.array(own[rows[b]]), pa.array(dist[a, b]), pa.array(exact)], ["id", "nbr", "rough", "dist"])
+                    barred = _barred(ids[some], own[rows], apart)
+                    if not more:
+                        exact = fine(q[some], x[rows], barred, None, k)
+                        kth = np.partition(exact, k - 1, axis=1)[:, k - 1] if len(rows) > k else np.full(len(some), np.inf)
+                        a, b = np.nonzero((exact <= kth[:, None]) & np.isfinite(exact))
+                        rough = exact = exact[a, b]
+                    else:
+                        dist = low(short(q[some]), short(x[rows]), barred)
+                        kth = np.partition(dist, more * k - 1, axis=1)[:, more * k - 1] if len(rows) > more * k else np.full(len(some), np.inf)
+                        a, b = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
+                        rough = dist[a, b]
+                        exact = fine.warp(q[some[a]], x[rows[b]]) if isinstance(fine, Warped) else rough
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some[a]]), pa.array(own[rows[b]]), pa.array(rough), pa.array(exact)], ["id", "nbr", "rough", "dist"])
 
     found = _in_parts(queries, table, each, "id long, nbr long, rough double, dist double")
     first = Window.partitionBy("id").orderBy("rough", "nbr")
-    found = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= 4 * k)
+    found = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= (more or 1) * k)
     order = Window.partitionBy("id").orderBy("dist", "nbr")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "nbr", "dist", "rank")

@@ -108,13 +108,63 @@ def test_knee():
     assert knee([1.0]) == 0
 
 
+def planted(spark, n=60, at=(8, 40), series=1, noise=1.0, shape=(0, 9, 0, 9, 0, 9, 0, 9)):
+    """Synthetic series (series_id, t, x): noise with one shape at the places given, in every series."""
+    rng, rows = np.random.default_rng(3), []
+    for s in range(series):
+        x = rng.normal(0, noise, n)
+        for a in at:
+            x[a : a + 8] = shape
+        rows += [(s, t, float(v)) for t, v in enumerate(x)]
+    return spark.createDataFrame(rows, "series_id long, t int, x double")
+
+
 def test_planted_motif(spark):
-    """A shape planted twice in noise is the exemplar search's pair."""
-    from tessera.operators.neighbours import window_knn
-
-    rng = np.random.default_rng(3)
-    x = rng.normal(0, 1, 60)
-    x[8:16] = x[40:48] = [0, 9, 0, 9, 0, 9, 0, 9]
-    rows = spark.createDataFrame([(0, t, float(v)) for t, v in enumerate(x)], "series_id int, t int, x double")
-    best = window_knn(rows, 8, 4, 1).orderBy("dist", "start").first()
-    assert (best.start, best.nbr) == (8, 40)
+    """A shape planted twice in noise is its own nearest window."""
+    from tessera.operators.search import nearest, windows
+
+    w = windows(planted(spark))
+    best = nearest(w, w, 1, apart=8).orderBy("dist", "id").first()
+    assert (best.id, best.nbr) == (8, 40)
+
+
+def test_viterbi_of_many_series():
+    rng = np.random.default_rng(2)
+    joint, _ = hmm.join([hmm.background(np.zeros(2), np.ones(2)), hmm.left_right([rng.normal(3, 1, (9, 2))], 3, np.ones(2), 0.5), hmm.from_window(rng.normal(size=(8, 2)), np.ones(2))])
+    xs = [rng.normal(0, 2, (n, 2)) for n in (1, 30, 7, 30, 2, 55)]
+    paths, scores = hmm.viterbi_many(joint, xs, block=4)
+    for x, path, score in zip(xs, paths, scores):
+        want, ll = hmm.viterbi(joint, x)
+        assert np.array_equal(path, want) and score == pytest.approx(ll)
+
+
+def test_models_of_examples():
+    rng = np.random.default_rng(4)
+    shape = np.stack([np.linspace(0, 20, 9), np.linspace(5, -5, 9)], axis=1)
+    xs = [shape + rng.normal(0, 0.3, shape.shape) for _ in range(6)]
+    floor = np.full(2, 0.01)
+    m = hmm.from_occurrences(xs, floor)
+    assert len(m.mean) == 9 and np.all(np.diff(m.mean[:, 0]) > 0) and np.allclose(np.exp(m.trans)[:-1].sum(1), 1, atol=1e-6)
+    first = hmm.left_right(xs, 9, floor, 0.3)
+    total = lambda model: sum(hmm.forward_backward(model, x)[2] for x in xs)
+    scores = [total(hmm.trained(first, xs, floor, n)) for n in range(4)]
+    assert all(b >= a - 1e-6 for a, b in zip(scores, scores[1:]))
+    assert total(m) > total(hmm.from_window(rng.normal(10, 5, (9, 2)), np.full(2, 4.0)))
+    g = hmm.from_group(xs, floor)
+    assert len(g.mean) % 2 == 1
+    mix = hmm.mixture([m, g])
+    assert len(mix.mean) == len(m.mean) + len(g.mean) and np.exp(mix.start).sum() == pytest.approx(1)
+    assert hmm.forward_backward(mix, xs[0])[2] <= np.logaddexp(total(m), 0) + 1e9
+
+
+def test_overlapping_pieces():
+    assert [p.tolist() for p in hmm.overlapping(np.arange(8), 4, 0.25)] == [[0, 1, 2], [1, 2, 3, 4], [3, 4, 5, 6], [5, 6, 7]]
+    assert all(len(p) for p in hmm.overlapping(np.arange(2), 5))
+
+
+def test_dim_groups():
+    from tessera.operators.windows import dim_groups
+
+    assert dim_groups("AB, C ab") == [[0, 1], [2], [26, 27]]
+    with pytest.raises(ValueError):
+        dim_groups("A1")
