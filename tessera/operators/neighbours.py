@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tessera.catalog import FRAMES, MARKUP, query
 from tessera.functions.dtw import dtw
 from tessera.functions.vectors import lower_bound, projection, squared_distance
-from tessera.operators.search import asked, indexed, nearest, unpacked, windows, within
+from tessera.operators.search import asked, indexed, nearest, packed, pair_stats, unpacked, windows, within
+from tessera.operators.spans import complement, of_tag, whole
 from tessera.operators.symbols import AVERAGE, LETTERS, WARPED, scored
 from tessera.operators.windows import WINDOW8
-from tessera.sources.frames import frames, load
+from tessera.sources.frames import frames, load, runs
 
 TAU = 1.2
 SIZE = 8
@@ -76,6 +77,18 @@ def _nbr() -> list[Column]:
     return unpacked("nbr", "nbr_series", "nbr_start")
 
 
+def warped_sql(rows: str, size: int = 8) -> str:
+    """SQL that gives `dtw`, the warping distance within one frame of the diagonal, to rows with the lists xs and ys: three cells of each line of the table at a time."""
+    cost = lambda i, j: f"(xs[{i + 1}] - ys[{j + 1}]) * (xs[{i + 1}] - ys[{j + 1}])"
+    out = f"(SELECT *, NULL::DOUBLE AS c0, {cost(0, 0)} AS c1, {cost(0, 0)} + {cost(0, 1)} AS c2 FROM {rows})"
+    for i in range(1, size):
+        up = f"(SELECT * EXCLUDE (c0, c1, c2), {cost(i, i - 1)} + least(c0, c1) AS n0, c1, c2 FROM {out})"
+        up = f"(SELECT *, {cost(i, i)} + least(n0, c1, c2) AS n1 FROM {up})"
+        last = f"{cost(i, i + 1)} + least(c2, n1)" if i + 1 < size else "NULL::DOUBLE"
+        out = f"(SELECT * EXCLUDE (n0, n1, c1, c2), n0 AS c0, n1 AS c1, {last} AS c2 FROM {up})"
+    return f"SELECT * EXCLUDE (c0, c1, c2), c1 AS dtw FROM {out}"
+
+
 def window_knn(rows: DataFrame, size: int = SIZE, k: int = 3, metric: str = "l2") -> DataFrame:
     """id, nbr, dist and rank: nearest windows of all series that do not overlap the query."""
     w = windows(rows, size)
@@ -145,6 +158,23 @@ def intra_class(spark, d):
     return g.groupBy("label").agg(F.max("n").alias("n"), F.round(F.sum(2 * F.col("s")), 5).alias("mean_ssd"))
 
 
+@query("group_extremes", f"WITH {EMB} SELECT a.label::VARCHAR AS g1, b.label::VARCHAR AS g2, count(*) AS n, round(min({DIST}), 5) AS low, round(avg({DIST}), 5) AS mean, round(max({DIST}), 5) AS high FROM em a JOIN em b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL")
+def group_extremes(spark, d):
+    """The least, mean and greatest distance of the queries of each group to all rows of each group."""
+    v = vectors(spark, d).select(F.col("vec_id").alias("id"), "v", F.col("label").alias("g"))
+    got = pair_stats(asked(v), v)
+    return got.select("g1", "g2", "n", *[F.round(c, 5).alias(c) for c in ("low", "mean", "high")])
+
+
+@query("class_warping", f"{W}, wt AS (SELECT w.*, fr.tag FROM w JOIN fr ON fr.series_id = w.series_id AND fr.t = w.start), pr AS (SELECT a.tag, b.tag AS tag2, a.xs, b.xs AS ys FROM wt a JOIN wt b ON a.id % 50 = 0 AND {APART}), dw AS ({warped_sql('pr')}) SELECT tag AS g1, tag2 AS g2, count(*) AS n, round(min(dtw), 4) / 8 AS low, round(avg(dtw) / 8, 3) AS mean, round(max(dtw), 4) / 8 AS high FROM dw GROUP BY ALL")
+def class_warping(spark, d):
+    """The least, mean and greatest warping distance, by length, of query windows to all windows, by the classes of their first frames."""
+    rows = frames(spark, d)
+    w = windows(rows).join(rows.select(packed("series_id", "t").alias("id"), F.col("tag").alias("g")), "id")
+    got = pair_stats(asked(w), w, "dtw", SIZE)
+    return got.select("g1", "g2", "n", (F.round(F.col("low") * SIZE, 4) / SIZE).alias("low"), F.round("mean", 3).alias("mean"), (F.round(F.col("high") * SIZE, 4) / SIZE).alias("high"))
+
+
 @query("projection_length", f"WITH {EMB} SELECT vec_id, round(list_sum(v) / 8, 6) AS len FROM em")
 def projection_length(spark, d):
     return vectors(spark, d).select("vec_id", F.round(projection(F.col("v")), 6).alias("len"))
@@ -202,6 +232,16 @@ g AS (SELECT series_id, r, [start] AS t FROM h2 WHERE r = 1 UNION ALL SELECT h2.
 taken AS (SELECT series_id, unnest(arg_max(t, r)) AS start FROM g GROUP BY series_id)"""
 
 
+@query("safe_occurrences", f"{HITS}, bad AS (SELECT series_id, t FROM fr WHERE tag = 'error') SELECT series_id, start, round(dist, 5) AS dist FROM hit WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.series_id = hit.series_id AND bad.t >= hit.start AND bad.t < hit.start + 8)")
+def safe_occurrences(spark, d, size: int = SIZE):
+    """Occurrences that lie whole in spans that are free, here those without errors."""
+    rows = frames(spark, d)
+    free = complement(of_tag(runs(rows), "error"), whole(rows)).select(F.col("series_id").alias("s"), "a", "b")
+    hits = occurrences(rows, size)
+    inside = (F.col("series_id") == F.col("s")) & (F.col("a") <= F.col("start")) & (F.col("start") + size - 1 <= F.col("b"))
+    return hits.join(free, inside).select("series_id", "start", F.round("dist", 5).alias("dist"))
+
+
 @query("greedy_by_distance", HITS.replace("WITH ", "WITH RECURSIVE ", 1) + f", {greedy_sql('hit')} SELECT series_id, start::INT AS start, round(dist, 5) AS dist FROM taken JOIN hit USING (series_id, start)")
 def greedy_by_distance(spark, d, size: int = SIZE):
     """Of each series' hits, the nearest first, each that overlaps none taken before; ties by start."""
@@ -218,18 +258,6 @@ def greedy_by_distance(spark, d, size: int = SIZE):
     return kept.select("series_id", "start", F.round("dist", 5).alias("dist"))
 
 
-def warped_sql(rows: str, size: int = 8) -> str:
-    """SQL that gives `dtw`, the warping distance within one frame of the diagonal, to rows with the lists xs and ys: three cells of each line of the table at a time."""
-    cost = lambda i, j: f"(xs[{i + 1}] - ys[{j + 1}]) * (xs[{i + 1}] - ys[{j + 1}])"
-    out = f"(SELECT *, NULL::DOUBLE AS c0, {cost(0, 0)} AS c1, {cost(0, 0)} + {cost(0, 1)} AS c2 FROM {rows})"
-    for i in range(1, size):
-        up = f"(SELECT * EXCLUDE (c0, c1, c2), {cost(i, i - 1)} + least(c0, c1) AS n0, c1, c2 FROM {out})"
-        up = f"(SELECT *, {cost(i, i)} + least(n0, c1, c2) AS n1 FROM {up})"
-        last = f"{cost(i, i + 1)} + least(c2, n1)" if i + 1 < size else "NULL::DOUBLE"
-        out = f"(SELECT * EXCLUDE (n0, n1, c1, c2), n0 AS c0, n1 AS c1, {last} AS c2 FROM {up})"
-    return f"SELECT * EXCLUDE (c0, c1, c2), c1 AS dtw FROM {out}"
-
-
 LB = "list_sum([greatest(0, ys[i] - list_max(xs[greatest(i - 1, 1):least(i + 1, 8)]), list_min(xs[greatest(i - 1, 1):least(i + 1, 8)]) - ys[i]) ** 2 FOR i IN range(1, 9)])"
 PAIRS = f"{KNN}, pr AS (SELECT kn.id, kn.nbr, kn.rank, a.xs, b.xs AS ys FROM kn JOIN w a ON a.id = kn.id JOIN w b ON b.id = kn.nbr)"
 
@@ -257,10 +285,10 @@ def dtw_pairs(spark, d):
 WARPED_KNN = f"{W}, pr AS (SELECT a.id, b.id AS nbr, a.xs, b.xs AS ys FROM w a JOIN w b ON a.id % 50 = 0 AND {APART}), dw AS ({warped_sql('pr')})"
 
 
-@query("dtw_knn", f"{WARPED_KNN} SELECT {AT}, {NBR}, round(dtw / 8, 5) AS dist, row_number() OVER (PARTITION BY id ORDER BY dtw, nbr) AS rank FROM dw QUALIFY rank <= 3")
+@query("dtw_knn", f"{WARPED_KNN} SELECT {AT}, {NBR}, round(dtw, 4) / 8 AS dist, row_number() OVER (PARTITION BY id ORDER BY dtw, nbr) AS rank FROM dw QUALIFY rank <= 3")
 def dtw_knn(spark, d):
     """Nearest windows by warping distance. Exact: a pair is left unmeasured only if its lower bound passes the query's third best."""
-    return window_knn(frames(spark, d), metric="dtw").select(*_at(), *_nbr(), F.round("dist", 5).alias("dist"), "rank")
+    return window_knn(frames(spark, d), metric="dtw").select(*_at(), *_nbr(), (F.round(F.col("dist") * SIZE, 4) / SIZE).alias("dist"), "rank")
 
 
 @query("descriptor_knn")

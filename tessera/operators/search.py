@@ -202,6 +202,47 @@ def best_per_series(queries: DataFrame, table: DataFrame, most: int, metric: str
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
 
 
+def pair_stats(queries: DataFrame, table: DataFrame, metric: str = "l2", apart: int = 0) -> DataFrame:
+    """g1, g2, n, low, mean and high of the distances of all queries of group g1 to all rows of group g2. Both have (id, v, g); tasks send a row a pair of groups."""
+    measure = METRICS[metric]
+    n = queries.count()
+    parts = -(-n // QUERY_ROWS) or 1
+    out = []
+    for p in range(parts):
+        got = queries.where("g is not null").where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).select("id", "v", F.col("g").cast("string").alias("g")).toArrow()
+        shared = table.sparkSession.sparkContext.broadcast((got.column("id").to_numpy(), _matrix(got.column("v")) if len(got) else np.zeros((0, 1)), np.array(got.column("g").to_pylist(), object)))
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, own = shared.value
+            if not len(q):
+                return
+            names, code = np.unique(own.astype(str), return_inverse=True)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                rows, x = batch.column("id").to_numpy(), _matrix(batch.column("v"))
+                theirs, other = np.unique(np.array(batch.column("g").to_pylist(), str), return_inverse=True)
+                step = max(1, BLOCK_PAIRS // len(x))
+                size = len(names) * len(theirs)
+                n, total, low, high = np.zeros(size, np.int64), np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
+                for at in range(0, len(q), step):
+                    dist = measure(q[at : at + step], x, _barred(ids[at : at + step], rows, apart))
+                    pair = (code[at : at + step, None] * len(theirs) + other).ravel()
+                    dist = dist.ravel()
+                    ok = np.isfinite(dist)
+                    n += np.bincount(pair[ok], minlength=size)
+                    total += np.bincount(pair[ok], dist[ok], size)
+                    np.minimum.at(low, pair[ok], dist[ok])
+                    np.maximum.at(high, pair[ok], dist[ok])
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(names[some // len(theirs)]), pa.array(theirs[some % len(theirs)]), pa.array(n[some]), pa.array(total[some]), pa.array(low[some]), pa.array(high[some])], ["g1", "g2", "n", "total", "low", "high"])
+
+        rows = table.where("g is not null").select("id", "v", F.col("g").cast("string").alias("g"))
+        out.append(rows.mapInArrow(each, "g1 string, g2 string, n long, total double, low double, high double"))
+    every = reduce(DataFrame.union, out).groupBy("g1", "g2")
+    return every.agg(F.sum("n").alias("n"), F.min("low").alias("low"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("high").alias("high"))
+
+
 def pivots(table: DataFrame, n: int) -> DataFrame:
     """A bounded sample of rows to fit an index on: the n rows whose ids have the least hashes."""
     return table.orderBy(F.xxhash64("id"), "id").limit(n)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import FRAMES, MARKUP, query
 from tessera.functions.vectors import paa, symbol, total
-from tessera.operators.windows import WINDOW8, at_offsets, sliding
+from tessera.operators.spans import complement, of_tag, whole
+from tessera.operators.windows import WINDOW8, sliding
 from tessera.sources.frames import frames, markup, runs, series, symbols
 
 PARTS, ALPHABET = 4, 4
@@ -378,12 +379,17 @@ def prefix_trie(spark, d):
     return s.groupBy("sub", "n").agg(F.count("*").alias("k"), F.countDistinct("series_id").alias("n_series")).where("k >= 20")
 
 
-@query("segment_mdl", f"WITH {MARKUP}, s AS (SELECT stop - start AS n FROM mk WHERE tag = 'click') SELECT round(2 * sum(ln(n)) + count(*) * ln((SELECT count(*) FROM fr)), 5) AS dl FROM s")
+FREE = "cl AS (SELECT series_id, start AS a, stop - 1 AS b FROM mk WHERE tag = 'click'), en AS (SELECT series_id, a, b FROM cl UNION ALL SELECT series_id, max(t) + 1, max(t) + 1 FROM fr GROUP BY 1), fs AS (SELECT series_id, coalesce(max(b) OVER (PARTITION BY series_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, 0) AS a, a - 1 AS b FROM en)"
+
+
+@query("segment_mdl", f"WITH {MARKUP}, {FREE} SELECT round(2 * (SELECT sum(ln(b - a + 1)) FROM fs WHERE a <= b) + (SELECT count(*) FROM cl) * ln((SELECT count(*) FROM fr)), 5) AS dl")
 def segment_mdl(spark, d):
-    """Twice the logarithms of segment lengths, and a place in the whole for each."""
-    n = F.col("stop") - F.col("start")
-    s = markup(spark, d).where("tag = 'click'").agg(F.sum(F.ln(n)).alias("l"), F.count("*").alias("m"))
-    return s.join(F.broadcast(frames(spark, d).agg(F.count("*").alias("total")))).select(F.round(2 * F.col("l") + F.col("m") * F.ln("total"), 5).alias("dl"))
+    """Twice the logarithms of the lengths of the segments that a motif's occurrences leave, and a place in the whole for each occurrence."""
+    rows = frames(spark, d)
+    taken = of_tag(runs(rows), "click")
+    free = complement(taken, whole(rows)).agg(F.sum(F.ln((F.col("b") - F.col("a") + 1).cast("double"))).alias("l"))
+    counts = taken.agg(F.count("*").alias("m")).join(rows.agg(F.count("*").alias("total")))
+    return free.join(counts).select(F.round(2 * F.coalesce("l", F.lit(0.0)) + F.col("m") * F.ln("total"), 5).alias("dl"))  # one row each
 
 
 @query("name_index", "SELECT DISTINCT source, regexp_extract(source, '^.*(\\d+).*$', 1) AS idx FROM documents")

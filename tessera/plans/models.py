@@ -417,15 +417,21 @@ def tree_clusters(spark, d, levels: int = 3):
 
 
 def _merges(spark, d, how: str):
-    from tessera.operators.neighbours import group_distance
-
-    rows = bounded(group_distance(spark, d), CLASSES_AT_MOST)  # pairs of labels
+    """Merges of labels; average linkage starts from the mean squared distances of all pairs, complete linkage from the greatest distance of the query vectors of two labels to all vectors of the other."""
+    from tessera.operators.neighbours import group_distance, group_extremes
+
+    if how == "average":
+        found = group_distance(spark, d).select("l1", "l2", F.col("mean_ssd").alias("dist"))
+    else:
+        found = group_extremes(spark, d).where("g1 <> g2").select(F.col("g1").cast("int").alias("l1"), F.col("g2").cast("int").alias("l2"), F.col("high").alias("dist"))
+        found = found.groupBy(F.least("l1", "l2").alias("l1"), F.greatest("l1", "l2").alias("l2")).agg(F.max("dist").alias("dist"))
+    rows = bounded(found, CLASSES_AT_MOST)  # pairs of labels
     labels = sorted({r["l1"] for r in rows} | {r["l2"] for r in rows})
+    at = {x: i for i, x in enumerate(labels)}
     dist = np.full((len(labels), len(labels)), np.inf)
     for r in rows:
-        i, j = labels.index(r["l1"]), labels.index(r["l2"])
-        dist[i, j] = dist[j, i] = r["mean_ssd"]
-    out = [(n, labels[i], labels[j], x) for n, (i, j, x) in enumerate(hmm.linkage(dist, how))] if len(labels) > 1 else []
+        dist[at[r["l1"]], at[r["l2"]]] = dist[at[r["l2"]], at[r["l1"]]] = r["dist"]
+    out = [(n, labels[i], labels[j], x) for n, (i, j, x) in enumerate(hmm.linkage(dist, how)) if np.isfinite(x)] if len(labels) > 1 else []
     return spark.createDataFrame(out, "step int, i int, j int, dist double").coalesce(1)
 
 

@@ -1,5 +1,6 @@
 """Too many classes or pairs of classes are an error, not a part of the rows."""
 
+import numpy as np
 import pytest
 
 from tessera.plans import models
@@ -12,3 +13,18 @@ def test_bounds(spark, data, monkeypatch):
     for query in (models.merge_groups_average, models.merge_groups_complete, models.best_label_mapping):
         with pytest.raises(ValueError, match="over"):
             query(spark, data)
+
+
+def test_merges_of_many_labels(spark, tmp_path):
+    """150 labels, 11,175 pairs: all of them count, and the merges join all labels at finite distances."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(0, 1, 64).tolist(), i % 150) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(ValueError, match="over"):
+        models.merge_groups_average(spark, str(tmp_path))
+    models.CLASSES_AT_MOST, was = 20_000, models.CLASSES_AT_MOST
+    try:
+        got = models.merge_groups_average(spark, str(tmp_path)).collect()
+    finally:
+        models.CLASSES_AT_MOST = was
+    assert len(got) == 149 and all(np.isfinite(r.dist) for r in got)

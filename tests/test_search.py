@@ -94,3 +94,28 @@ def test_recall_of_indexes(made, options):
     recall = len(exact & found) / len(exact)
     print(options, "recall", recall)
     assert recall >= 0.9
+
+
+def test_large_batches(spark):
+    """A batch of over 2,000 vectors is measured as exactly as a small one."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(0, 1, (3000, 16)) + 1000
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").coalesce(1)
+    got = {(r.id, r["rank"]): (r.nbr, r.dist) for r in search.nearest(search.asked(table), table, 3).collect()}
+    for i in range(0, 3000, 50):
+        dist = distances(v, i)
+        dist[i] = np.inf
+        order = np.lexsort((np.arange(3000), dist))[:3]
+        assert [got[i, k + 1][0] for k in range(3)] == order.tolist() and np.allclose([got[i, k + 1][1] for k in range(3)], dist[order], rtol=1e-12)
+
+
+def test_pair_stats(made):
+    rows, ids, v = made
+    w = search.windows(rows).selectExpr("id", "v", "id % 3 AS g")
+    got = {(int(r.g1), int(r.g2)): (r.n, r.low, r.mean, r.high) for r in search.pair_stats(search.asked(w), w, apart=8).collect()}
+    every = {}
+    for i in np.flatnonzero(ids % 50 == 0):
+        ok = apart(ids, i)
+        for g in range(3):
+            every.setdefault((ids[i] % 3, g), []).extend(distances(v, i)[ok & (ids % 3 == g)])
+    assert got == {k: pytest.approx((len(x), min(x), np.mean(x), max(x))) for k, x in every.items()}

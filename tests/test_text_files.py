@@ -38,3 +38,38 @@ def test_patterns_labels_indices(spark, tmp_path):
 def test_any_format(spark, data):
     got = files.read_with(spark, "parquet", f"{data}/events.parquet", lambda df: df.where("value > 10"), lambda df: df.select("value"))
     assert got.columns == ["value"] and got.where("value <= 10").count() == 0
+
+
+def test_neighbour_files(spark, tmp_path):
+    knn = spark.createDataFrame([(0, 1, 2, 0.5), (0, 2, 1, 0.75), (1, 1, 0, 0.25), (1, 2, 2, 1.5)], "win_id long, rank int, nbr_id long, dist double")
+    for sizes, want in (((8, 12, 4), {"n": 2, "k": 2, "low": 8, "high": 12, "step": 4}), ((8, 4), {"n": 2, "k": 2, "size": 8, "step": 4})):
+        path = f"{tmp_path}/knn{len(sizes)}"
+        files.write_neighbours(knn, path, *sizes)
+        assert files.neighbour_header(spark, f"{path}/*.txt") == want
+        assert sorted(map(tuple, files.read_neighbours(spark, f"{path}/*.txt").collect())) == sorted(map(tuple, knn.collect()))
+
+
+def test_definitions(spark, tmp_path):
+    entries = [{"name": "a", "data": "a.txt", "dataLoader": "DLRaw"}, {"name": "b", "data": "b.txt"}]
+    (tmp_path / "d.def").write_text("# all of it\n" + files.definition(entries))
+    assert files.read_definition(spark, f"{tmp_path}/d.def") == entries
+    (tmp_path / "l.def").write_text(files.looped_definition({"name": "s_$(i)", "data": "raw/$(i)"}, 3) + "!(for,k,2,2,6)\n<data>\nname = t_$(k)\n</data>\n!(endfor)\n")
+    assert [e["name"] for e in files.read_definition(spark, f"{tmp_path}/l.def")] == ["s_1", "s_2", "s_3", "t_2", "t_4", "t_6"]
+
+
+def test_dataset_round_trip(spark, tmp_path):
+    """A synthetic labelled data set is exported and read back through its definition."""
+    rows = spark.createDataFrame([(s, t, float(s + t)) for s in (1, 2) for t in range(6)], "series_id int, t int, x double")
+    labels = spark.createDataFrame([(s, "c", 1, 4) for s in (1, 2)], "series_id int, tag string, start int, stop int")
+    files.write_dataset(rows, labels, f"{tmp_path}/out")
+    entries = files.read_definition(spark, f"{tmp_path}/out/def/*.txt")
+    assert [e["name"] for e in entries] == ["set_1", "set_2"]
+    for s, e in zip((1, 2), entries):
+        got = files.read_raw(spark, f"{tmp_path}/out/{e['data']}/*.txt")
+        assert sorted((r.t, r.x[0]) for r in got.collect()) == [(t, float(s + t)) for t in range(6)]
+        assert [(r.tag, r.start, r.stop) for r in files.read_labels(spark, f"{tmp_path}/out/{e['labels']}/*.txt").collect()] == [("c", 1, 4)]
+
+
+def test_cuts(spark, tmp_path):
+    files.write_cuts(spark.createDataFrame([(3, 0, 9), (3, 12, 20)], "series_id int, a int, b int"), f"{tmp_path}/cuts")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/cuts").collect()) == ['"3" 0 9', '"3" 12 20']
