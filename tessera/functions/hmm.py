@@ -132,6 +132,11 @@ def join(models: list[Hmm]) -> tuple[Hmm, np.ndarray]:
     return Hmm(np.concatenate([m.mean for m in models]), np.concatenate([m.var for m in models]), trans, start, leave), owner
 
 
+def parse_mixture(paths: list[Hmm], wide: Hmm) -> Hmm:
+    """One model that parses a stretch into any of the paths, with a background before, between and after them."""
+    return join([wide, *paths])[0]
+
+
 def viterbi(model: Hmm, x: np.ndarray) -> tuple[np.ndarray, float]:
     """The best path of states and its log likelihood."""
     e = model.emit(x)

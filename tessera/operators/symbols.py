@@ -447,3 +447,13 @@ def labels_to_motifs(spark, d):
     """Each class of labels as a motif."""
     m = symbols(markup(spark, d))
     return m.select(F.col("sym").cast("long").alias("motif_id"), "series_id", "start", (F.col("stop") - F.col("start")).alias("len"))
+
+
+def motifs_to_labels(motifs: DataFrame) -> DataFrame:
+    """Motifs as classes of labels to train on: series_id, tag, start, stop."""
+    return motifs.select("series_id", F.concat(F.lit("motif"), F.col("motif_id").cast("string")).alias("tag"), "start", (F.col("start") + F.col("len")).alias("stop"))
+
+
+@query("motifs_as_classes", f"WITH {MARKUP} SELECT series_id, 'motif' || (dense_rank() OVER (ORDER BY tag) - 1) AS tag, start, stop FROM mk")
+def motifs_as_classes(spark, d):
+    return motifs_to_labels(labels_to_motifs(spark, d))

@@ -67,11 +67,9 @@ def without(rows: DataFrame, occs: DataFrame, size: int) -> DataFrame:
     return rows.join(gone.distinct(), ["series_id", "start"], "left_anti")
 
 
-@query("projection_motifs")
-def projection_motifs(spark, d, size: int = SIZE, rounds: int = 3, least: int = 2):
-    """Motifs by random projection over all series: the pair with most collisions, a radius about it, all windows within it, swept, which are then taken out; again."""
-    rows = frames(spark, d)
-    free = checkpointed(sax(rows, size).join(windows(rows, size).select(*unpacked("id", "series_id", "start"), "v"), ["series_id", "start"]))
+def projection_rounds(rows: DataFrame, size: int = SIZE, rounds: int = 3, least: int = 2, value: str = "x") -> DataFrame:
+    """motif, series_id, start, len by random projection over all series: the pair with most collisions, a radius about it, all windows within it, swept, which are then taken out; again, while `least` are found."""
+    free = checkpointed(sax(rows, size, value=value).join(windows(rows, size, value).select(*unpacked("id", "series_id", "start"), "v"), ["series_id", "start"]))
     found = None
     for n in range(rounds):
         words = free.select("series_id", "start", "word")
@@ -89,6 +87,22 @@ def projection_motifs(spark, d, size: int = SIZE, rounds: int = 3, least: int =
     return found if found is not None else rows.limit(0).select(F.lit(0).alias("motif"), "series_id", F.col("t").alias("start"), F.lit(size).alias("len"))
 
 
+@query("projection_motifs")
+def projection_motifs(spark, d, size: int = SIZE, rounds: int = 3, least: int = 2):
+    """Motifs by random projection."""
+    return projection_rounds(frames(spark, d), size, rounds, least)
+
+
+@query("dim_motifs")
+def dim_motifs(spark, d, rounds: int = 1):
+    """Motifs by random projection, of each dimension by itself."""
+    rows, out = checkpointed(frames(spark, d)), None
+    for i, value in enumerate(("x", "h")):
+        part = projection_rounds(rows, rounds=rounds, value=value).withColumn("dim", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def hash_rounds(rows: DataFrame, size: int = 6, limit: float | None = None) -> DataFrame:
     """motif, hash, mdl, series_id, start, len: the entry of least description length, its occurrences, which are taken out; again, while it is below `limit`.
 

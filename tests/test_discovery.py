@@ -247,6 +247,21 @@ def test_models_are_stored(spark, rows, tmp_path):
         assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("mean", "var", "trans", "start", "leave"))
 
 
+def test_models_are_cached_and_spots_stored(spark, rows, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return seeds.built_models(rows, seeds.seed_occurrences(rows), "window")
+
+    first, again = (seeds.held(seeds.cached_models(spark, f"{tmp_path}/m", build)) for _ in range(2))
+    assert len(calls) == 1 and first[0] == again[0]
+    spots = spark.createDataFrame([(1, "a", 2, 5, -1.5), (2, "b", 0, 3, -2.0)], "series_id long, tag string, start int, stop int, ll double")
+    seeds.save_spots(spots, f"{tmp_path}/s")
+    back = seeds.load_spots(spark, f"{tmp_path}/s").select(spots.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, spots.collect()))
+
+
 def test_reestimation_raises_likelihood(rows):
     from tessera.functions import hmm
 
