@@ -22,8 +22,8 @@ from tessera.operators.neighbours import APART, AT, DISJOINT, KNN, L2, OPTIMA, W
 from tessera.operators.search import SHIFT, asked, best_per_series, packed, unpacked, windows, within
 from tessera.operators.spans import coalesce, complement, whole
 from tessera.operators.stats import silence, worst_frames
-from tessera.operators.symbols import HASHED, entries, guarded_columns, hashed, letters, mdl, sax, swept, top_collision, warped, word_counts
-from tessera.operators.windows import sliding
+from tessera.operators.symbols import HASHED, SAX, entries, guarded_columns, hashed, letters, mdl, sax, swept, top_collision, warped, word_counts
+from tessera.operators.windows import WINDOW8, sliding
 from tessera.plans.rounds import checkpointed
 from tessera.sources.frames import frames
 
@@ -455,7 +455,16 @@ def presplit_silence(spark, d):
     return complement(long, whole(frames(spark, d))).where("b - a + 1 >= 6")
 
 
-@query("seed_pool")
+POOL = f"""{OPTIMA}, {SAX.replace(f'{WINDOW8}, ', '')}, nw AS (SELECT series_id, word, count(*) AS n, min(start) AS start FROM sx GROUP BY ALL), gs AS (SELECT avg(x) AS m, var_pop(x) AS v FROM fr),
+wf AS (SELECT series_id, t FROM fr, gs ORDER BY round(-0.5 * (ln(2 * pi() * v) + (x - m) * (x - m) / v), 6), series_id, t LIMIT 50)
+SELECT 'random' AS strategy, series_id, start::INT AS start FROM (SELECT series_id, start FROM w QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY md5('seed:' || series_id || ':' || start)) <= 2)
+UNION ALL SELECT 'unlikely', w.series_id, w.start::INT FROM wf JOIN w ON w.series_id = wf.series_id AND w.start = greatest(wf.t - 4, 0)
+UNION ALL SELECT 'cluster', id // 4294967296, (id % 4294967296)::INT FROM lo
+UNION ALL SELECT 'projection', series_id, start::INT FROM (SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY n DESC, start) = 1)
+UNION ALL SELECT 'exhaustive', series_id, start::INT FROM w"""
+
+
+@query("seed_pool", POOL)
 def seed_pool(spark, d, size: int = SIZE):
     """Seeds of several strategies, as they are: random, unlikely, clustered, projected and exhaustive."""
     rows = frames(spark, d)
