@@ -7,6 +7,9 @@ lines as long or a little shorter (the probes). Lines that meet are first held a
 modulo four, then by banded bit-parallel edit distance, a batch of pairs at a time. Near lines form classes by
 connected components, and a class keeps its first line by (doc_id, line number).
 
+Lines that share a segment, a place and a length (those of a template) meet in one task up to `PART_ROWS`. Beyond that
+the task passes their rows on; they are dealt to parts, and every two parts meet in a task of their own.
+
 Only hashes, ids and counts go through the index's shuffle; the strings of candidates are joined to them afterwards.
 Lines of under `MIN_CHARS` characters match only if equal. Lines without a word are neither counted nor dropped.
 
@@ -24,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.base import cut, table
+from tessera.llm.base import cut, small, table
 from tessera.llm.graph import components
+from tessera.llm.tree import whole_groups
 from tessera.llm.words import Prefix, chunks, mix
 
 LIMIT = 2
 MIN_CHARS = 12
 PAIRS_AT_ONCE = 1 << 20
+#: Lines of one key that one task compares; more are dealt out as pairs of parts of so many.
+PART_ROWS = 4096
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -114,47 +120,110 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(np.sort(first)))
 
 
-def _meet(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids that meet on a key and whose sketches are near; rows come sorted by key."""
-
-    def pairs(key, ids, sketch, index) -> Iterator[pa.RecordBatch]:
+def _near_in_groups(group: np.ndarray, ids: np.ndarray, sketch: np.ndarray, index: np.ndarray, own: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids of the same group, of which one is of the index, whose sketches are near; two rows of parts with the same number, other than -1, are left out. Rows come sorted by group."""
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    size = np.diff(at)
+    of = np.repeat(np.arange(len(size)), size)
+    left = np.flatnonzero(index & (size[of] > 1))
+    sizes = size[of[left]]
+    ends = np.cumsum(sizes)
+    done = 0
+    while done < len(left):
+        until = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS_AT_ONCE)))
+        n = sizes[done:until]
+        a = np.repeat(left[done:until], n)
+        b = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + at[of[a]]
+        ok = (ids[a] != ids[b]) & ((own[a] != own[b]) | (own[a] < 0))
+        a, b = a[ok], b[ok]
+        ok = _far(sketch[a], sketch[b]) <= 2 * limit
+        low, high = np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])
+        if len(low):
+            both = np.unique(np.stack([low, high]), axis=1)
+            yield both[0], both[1]
+        done = until
+
+
+#: Kinds of rows that a meeting gives: a pair of ids, or a key and an id that is met later, which is of the index or is not.
+PAIR, LATER, LATER_INDEX = 0, 1, 2
+MET = "a long, b long, sketch int, kind int"
+
+
+def _meet(batches: Iterator[pa.RecordBatch], limit: int, most: int, held: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids that meet on a key and whose sketches are near; rows come sorted by key. The rows of keys with over `most` different lines are passed on, and not held."""
+
+    def out(a, b, sketch, kind) -> pa.RecordBatch:
+        full = lambda v, t: pa.array(np.broadcast_to(np.asarray(v, t), len(a)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), full(sketch, np.int32), full(kind, np.int32)], ["a", "b", "sketch", "kind"])
+
+    def once(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        key, ids, _, index = rows
         order = np.lexsort((~index, ids, key))  # a line that many chunks send meets others once
-        once = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])])
-        key, ids, sketch, index = (x[order[once]] for x in (key, ids, sketch, index))
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        group = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        left = np.flatnonzero(index & (np.diff(at)[group] > 1))
-        sizes = np.diff(at)[group[left]]
-        ends = np.cumsum(sizes)
-        done = 0
-        while done < len(left):
-            until = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS_AT_ONCE)))
-            n = sizes[done:until]
-            a = np.repeat(left[done:until], n)
-            b = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + at[group[a]]
-            ok = ids[a] != ids[b]
-            a, b = a[ok], b[ok]
-            ok = _far(sketch[a], sketch[b]) <= 2 * limit
-            low, high = np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])
-            if len(low):
-                both = np.unique(np.stack([low, high]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-            done = until
+        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])])
+        return tuple(x[order[new]] for x in rows)
+
+    def later(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return out(rows[0], rows[1], rows[2].view(np.int32), np.where(rows[3], LATER_INDEX, LATER))
+
+    def pairs(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        rows = once(rows)
+        at = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1], [True]]))
+        hot = np.repeat(np.diff(at) > most, np.diff(at))
+        if hot.any():
+            yield later(tuple(x[hot] for x in rows))
+            rows = tuple(x[~hot] for x in rows)
+        key, ids, sketch, index = rows
+        for a, b in _near_in_groups(key, ids, sketch, index, np.full(len(key), -1), limit):
+            yield out(a, b, 0, PAIR)
 
     kept: list[tuple[np.ndarray, ...]] = []
+    hot = None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "sketch", "is_index"))
         rows = (rows[0], rows[1], rows[2].view(np.uint32), rows[3].astype(bool))
+        if hot is not None and rows[0][0] == hot:
+            n = int(np.searchsorted(rows[0], hot, "right"))
+            yield later(once(tuple(x[:n] for x in rows)))
+            rows = tuple(x[n:] for x in rows)
+            if not len(rows[0]):
+                continue
         kept.append(rows)
-        if rows[0][0] != rows[0][-1] and sum(len(x[0]) for x in kept) >= 100_000:
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            kept[-1] = tuple(x[:last] for x in rows)
-            yield from pairs(*(np.concatenate(x) for x in zip(*kept)))
+        if sum(len(x[0]) for x in kept) < held:
+            continue
+        rows = tuple(np.concatenate(x) for x in zip(*kept))
+        if last := int(np.searchsorted(rows[0], rows[0][-1])):
+            yield from pairs(tuple(x[:last] for x in rows))
             kept = [tuple(x[last:] for x in rows)]
+        else:  # all rows held are of one key
+            kept = [once(rows)]
+            if len(kept[0][0]) > most:
+                hot = rows[0][-1]
+                yield later(kept.pop())
     if kept:
-        yield from pairs(*(np.concatenate(x) for x in zip(*kept)))
+        yield from pairs(tuple(np.concatenate(x) for x in zip(*kept)))
+
+
+def _meet_parts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids of two parts of a key, or of one; rows come sorted by key, i and j."""
+    for table in whole_groups(batches, ("key", "i", "j")):
+        group, ids, sketch, own = (table.column(c).to_numpy() for c in ("group", "id", "sketch", "own"))
+        own = np.where(table.column("i").to_numpy() == table.column("j").to_numpy(), -1, own)
+        index = table.column("is_index").to_numpy(zero_copy_only=False).astype(bool)
+        for a, b in _near_in_groups(group, ids, sketch.view(np.uint32), index, own, limit):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _later_pairs(late: DataFrame, limit: int) -> DataFrame:
+    """Pairs a, b of the rows of hot keys: each key's lines are dealt to parts of about PART_ROWS, and every two parts meet in a task."""
+    rows = late.groupBy(F.col("a").alias("key"), F.col("b").alias("id")).agg(F.first("sketch").alias("sketch"), F.max(F.col("kind") == LATER_INDEX).alias("is_index"))
+    rows = cut(rows)
+    n = small(cut(rows.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("n"))))
+    dealt = rows.join(n, "key").withColumn("own", F.pmod(F.hash("id"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "sketch", "is_index")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(lambda x: _meet_parts(x, limit), "a long, b long")
 
 
 def within(a: list[str], b: list[str], limit: int = LIMIT) -> np.ndarray:
@@ -217,11 +286,16 @@ def near_lines(lines: DataFrame, limit: int = LIMIT, min_chars: int = MIN_CHARS)
     long = lines.where(F.length("line") >= min_chars).select("id", "line")
     sent = long.mapInArrow(lambda x: _index(x, limit), "key long, id long, sketch int, is_index boolean")
     sent = sent.repartition("key").sortWithinPartitions("key")
-    pairs = cut(sent.mapInArrow(lambda x: _meet(x, limit), "a long, b long").distinct())
+    most = PART_ROWS
+    met = cut(sent.mapInArrow(lambda x: _meet(x, limit, most), MET))
+    pairs, late = met.where(F.col("kind") == PAIR).select("a", "b"), met.where(F.col("kind") != PAIR)
+    if not late.isEmpty():
+        pairs = pairs.union(_later_pairs(late, limit))
+    pairs = cut(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
     strings = cut(long.mapInArrow(_once, "id long, line string").join(wanted, F.col("id") == F.col("w")).groupBy("id").agg(F.any_value("line").alias("line")))
-    met = pairs.join(strings.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(strings.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
-    return met.select("a", "b", "a_line", "b_line").mapInArrow(lambda x: _verify(x, limit), "a long, b long")
+    both = pairs.join(strings.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(strings.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
+    return both.select("a", "b", "a_line", "b_line").mapInArrow(lambda x: _verify(x, limit), "a long, b long")
 
 
 def dedup_lines(docs: DataFrame, limit: int = LIMIT, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -218,6 +218,35 @@ def test_lines(spark, none):
     assert len(dropped) == len(made) and {r.gone for r in dropped} == {"own"}
 
 
+def test_hot_segments(spark, monkeypatch):
+    """Lines of a template, over the size of a part, and all of their pairs within two edits are found."""
+    monkeypatch.setattr(lines, "PART_ROWS", 16)
+    rng = np.random.default_rng(11)
+    made = sorted({"template line with number " + "".join(rng.choice(list("01"), 9)) for _ in range(160)})
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "id long, line string")
+    got = {(r.a, r.b) for r in lines.near_lines(rows).collect()}
+    want = {(i, j) for j in range(len(made)) for i in range(j) if distance(made[i], made[j]) <= 2}
+    assert got == want and len(want) > 500
+
+
+def test_meeting_passes_hot_keys_on():
+    """A key that fills more than what is held goes on row by row, and its neighbours are compared."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    key = np.sort(np.concatenate([np.full(500, 7), rng.integers(0, 60, 300)]))
+    ids = rng.permutation(800).astype(np.int64)
+    sketch, index = rng.integers(0, 4, 800).astype(np.int32), rng.random(800) < 0.5
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 40]) for x in (key, ids, sketch, index)], ["key", "id", "sketch", "is_index"]) for i in range(0, 800, 40)]
+    got = pa.Table.from_batches(list(lines._meet(iter(batches), 2, 50, 100))).to_pylist()
+    later = {(r["a"], r["b"], r["kind"] == lines.LATER_INDEX) for r in got if r["kind"] != lines.PAIR}
+    n = collections.Counter(key.tolist())
+    assert later == {(k, i, x) for k, i, x in zip(key.tolist(), ids.tolist(), index.tolist()) if n[k] > 50}
+    pairs = {(r["a"], r["b"]) for r in got if r["kind"] == lines.PAIR}
+    near = lambda i, j: lines._far(sketch[i : i + 1].view(np.uint32), sketch[j : j + 1].view(np.uint32))[0] <= 4
+    assert pairs == {tuple(sorted((int(ids[i]), int(ids[j])))) for i in range(800) for j in range(i) if key[i] == key[j] and n[key[i]] <= 50 and (index[i] or index[j]) and near(i, j)}
+
+
 # 6 quality
 
 
