@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import FRAMES, MARKUP, query
 from tessera.operators.windows import WINDOW8, sliding
-from tessera.sources.frames import frames, load, markup, symbols
+from tessera.sources.frames import frames, load, markup, runs, symbols
 
 CODE = "c AS (SELECT tag, dense_rank() OVER (ORDER BY tag) - 1 AS code FROM (SELECT DISTINCT tag FROM fr)), v AS (SELECT series_id, t, tag, unnest([0, 1, 2]) AS dim, unnest([x, h, code::DOUBLE]) AS x FROM fr JOIN c USING (tag))"
 
@@ -257,13 +257,20 @@ def model_selection(spark, d):
     return ll.select("tag", F.lit(p).alias("params"), F.round(2.0 * p - 2 * ll_, 4).alias("aic"), F.round(2.0 * p - 2 * ll_ + 2.0 * p * (p + 1) / (n - p - 1), 4).alias("aicc"), F.round(-2 * ll_ + p * F.ln(n), 4).alias("bic"), F.round(-ll_ + p / 2 * F.ln(n), 4).alias("mdl"))
 
 
-SPOTS = "sp AS (SELECT series_id, tag, start + (start % 3 = 0)::INT AS start, stop + (start % 4 = 0)::INT AS stop FROM mk WHERE (series_id + start) % 5 <> 0)"
+SPOTS = """cg AS (SELECT tag, avg(x) AS mx, var_pop(x) AS vx, avg(h) AS mh, var_pop(h) AS vh FROM fr GROUP BY tag),
+cl AS (SELECT series_id, t, g.tag, round(-0.5 * (ln(2 * pi() * vx) + (x - mx) * (x - mx) / vx) - 0.5 * (ln(2 * pi() * vh) + (h - mh) * (h - mh) / vh), 9) AS ll FROM fr, cg g),
+pd AS (SELECT series_id, t, tag FROM cl QUALIFY row_number() OVER (PARTITION BY series_id, t ORDER BY ll DESC, tag) = 1),
+pi AS (SELECT series_id, t, tag, t - row_number() OVER (PARTITION BY series_id, tag ORDER BY t) AS g FROM pd), sp AS (SELECT series_id, tag, min(t) AS start, max(t) + 1 AS stop FROM pi GROUP BY series_id, tag, g)"""
 
 
-def spots(labels: DataFrame) -> DataFrame:
-    """Detections to be scored: the labels, some moved by a frame, some missing."""
-    moved = F.col("start") + (F.col("start") % 3 == 0).cast("int"), F.col("stop") + (F.col("start") % 4 == 0).cast("int")
-    return labels.where((F.col("series_id") + F.col("start")) % 5 != 0).select("series_id", "tag", moved[0].alias("start"), moved[1].alias("stop"))
+def spots(rows: DataFrame) -> DataFrame:
+    """Detections to be scored: runs of frames that one class's Gaussian explains best."""
+    g = rows.groupBy("tag").agg(F.avg("x").alias("mx"), F.var_pop("x").alias("vx"), F.avg("h").alias("mh"), F.var_pop("h").alias("vh")).withColumnRenamed("tag", "c")  # a row a class
+    one = lambda v, m, s: -0.5 * (F.ln(2 * F.pi() * F.col(s)) + (F.col(v) - F.col(m)) * (F.col(v) - F.col(m)) / F.col(s))
+    met = rows.select("series_id", "t", "x", "h").join(F.broadcast(g)).select("series_id", "t", "c", F.round(one("x", "mx", "vx") + one("h", "mh", "vh"), 9).alias("ll"))
+    best = met.groupBy("series_id", "t").agg(F.max("ll").alias("top"), F.collect_list(F.struct("ll", "c")).alias("all"))
+    tag = F.array_min(F.transform(F.filter("all", lambda r: r.ll == F.col("top")), lambda r: r.c))
+    return runs(best.select("series_id", "t", tag.alias("tag")))
 
 
 MATCHED = f"WITH {MARKUP}, {SPOTS}, m AS (SELECT a.series_id, a.tag AS truth, b.tag AS found, a.start AS a1, a.stop AS a2, b.start AS b1, b.stop AS b2 FROM mk a JOIN sp b ON a.series_id = b.series_id AND a.start < b.stop AND b.start < a.stop)"
@@ -279,7 +286,7 @@ def matched(labels: DataFrame, found: DataFrame) -> DataFrame:
 @query("frame_confusion", f"{MATCHED} SELECT truth, found, sum(least(a2, b2) - greatest(a1, b1))::BIGINT AS frames FROM m GROUP BY ALL")
 def frame_confusion(spark, d):
     m = markup(spark, d)
-    return matched(m, spots(m)).groupBy("truth", "found").agg(F.sum(F.least("a2", "b2") - F.greatest("a1", "b1")).alias("frames"))
+    return matched(m, spots(frames(spark, d))).groupBy("truth", "found").agg(F.sum(F.least("a2", "b2") - F.greatest("a1", "b1")).alias("frames"))
 
 
 EVENTS = f"""{MATCHED}, h AS (SELECT DISTINCT series_id, truth, a1, b1 FROM m WHERE truth = found AND 2 * (least(a2, b2) - greatest(a1, b1)) >= least(a2 - a1, b2 - b1)),
@@ -290,7 +297,7 @@ c AS (SELECT truth AS tag, count(DISTINCT (series_id, a1)) AS correct, count(DIS
 def event_scores(spark, d):
     """Correct, inserted and deleted events of each class: a detection is right if it shares half of the shorter of it and a label of its class."""
     m = markup(spark, d)
-    found = spots(m)
+    found = spots(frames(spark, d))
     same = matched(m, found).where("truth = found and 2 * (least(a2, b2) - greatest(a1, b1)) >= least(a2 - a1, b2 - b1)")
     hits = same.select(F.col("truth").alias("tag"), "series_id", "a1").distinct().groupBy("tag").agg(F.count("*").alias("correct"))
     right = same.select(F.col("truth").alias("tag"), "series_id", "b1").distinct().groupBy("tag").agg(F.count("*").alias("right_spots"))
@@ -324,10 +331,11 @@ def lower_tail(spark, d, share: float = 0.1):
     before = F.coalesce(F.sum("bn").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = bins.withColumn("before", before)
     goal = F.round(F.lit(share) * F.sum("bn").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    bins = bins.withColumn("goal", goal).where("before < goal").select("bin", "before", "goal")
+    bins = bins.withColumn("goal", goal).where("before < goal").select("bin", "before", "goal", (F.col("before") + F.col("bn") <= F.col("goal")).alias("whole"))
     near = rows.withColumn("bin", F.floor("x")).join(bins, "bin")
     place = F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy("x", "series_id", "t"))
-    return near.withColumn("place", place).where("place <= goal").select("series_id", "t", "x")
+    edge = near.where("not whole").withColumn("place", place).where("place <= goal")
+    return near.where("whole").select("series_id", "t", "x").union(edge.select("series_id", "t", "x"))
 
 
 @query("window_symbols", f"WITH {FRAMES}, w AS (SELECT series_id, t AS start, list(tag) OVER o AS q FROM fr WINDOW o AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) SELECT series_id, start, len(list_distinct(q)) AS uniq, list_sum([(q[i] <> q[i + 1])::INT FOR i IN range(1, 8)])::BIGINT AS trans FROM w WHERE len(q) = 8")
