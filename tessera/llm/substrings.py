@@ -7,7 +7,7 @@ overlap into maximal repeats.
 
 Documents are worked on in chunks. A window that a smaller document in the same chunk has too is settled there, and
 only anchors with an unsettled window are sent, so a passage in a third of all documents sends a row for each chunk,
-not for each document. A task holds one anchor's rows at a time, beside a batch.
+not for each document. A task holds a bounded number of rows, and of an anchor with more the different windows about it.
 
 Prints are 40 bits beside the anchor's 64. Nulls and odd rows: a null text has no words; a row without a doc_id keeps
 all its words and counts for no other; rows that share a doc_id are never compared with each other, and each loses the
@@ -81,10 +81,15 @@ def _anchors(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterato
             yield _rows(last.astype(np.uint64), s_doc, first, np.zeros(0, np.uint64), np.zeros(len(first), np.int64))
 
 
-def _extend(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Spans of words that a smaller document has; rows come sorted by anchor."""
+def _extend(batches: Iterator[pa.RecordBatch], size: int, held: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Spans of words that a smaller document has; rows come sorted by anchor and document.
 
-    def matched(rows: pa.Table) -> pa.RecordBatch:
+    About `held` rows are held. Of an anchor with more, what goes on from one part of its rows to the next is each
+    different window about it with the smallest document that has it.
+    """
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def matched(rows: pa.Table, before: tuple[np.ndarray, np.ndarray]) -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
         prints = rows.column("prints").combine_chunks()
         prints = prints.chunk(0) if isinstance(prints, pa.ChunkedArray) else prints
         offsets = np.frombuffer(prints.buffers()[1], np.int32)[prints.offset : prints.offset + len(prints) + 1]
@@ -95,31 +100,40 @@ def _extend(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         raw = np.zeros((total, 8), np.uint8)
         if total:
             raw[:, :PRINT] = np.frombuffer(prints.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, PRINT)
-        key = mix(np.repeat(anchor.view(np.uint64), counts) ^ mix(raw.view(np.uint64).ravel()))
-        docs = np.repeat(doc, counts)
+        known = len(before[0])
+        key = np.concatenate([before[0], mix(np.repeat(anchor.view(np.uint64), counts) ^ mix(raw.view(np.uint64).ravel()))])
+        docs = np.concatenate([before[1], np.repeat(doc, counts)])
         places = np.repeat(at, counts) + np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
         order = np.lexsort((docs, key))
-        new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if total else np.zeros(0, bool)
-        least = docs[order][np.maximum.accumulate(np.where(new, np.arange(total), 0))]
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, bool)
+        least = docs[order][np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
         hit = np.sort(order[docs[order] > least])
-        hit = hit[np.lexsort((places[hit], docs[hit]))]
-        out = _spans(docs[hit], places[hit].astype(np.int64), size)
+        hit = hit[hit >= known]
+        hit = hit[np.lexsort((places[hit - known], docs[hit]))]
+        out = _spans(docs[hit], places[hit - known].astype(np.int64), size)
         parts = [np.concatenate([a, b]) for a, b in zip(out, (doc[done], at[done].astype(np.int64), anchor[done]))]
-        return pa.RecordBatch.from_arrays([pa.array(parts[0]), pa.array(parts[1].astype(np.int32)), pa.array(parts[2].astype(np.int32))], ["doc_id", "start", "stop"])
+        first = order[new]
+        return pa.RecordBatch.from_arrays([pa.array(parts[0]), pa.array(parts[1].astype(np.int32)), pa.array(parts[2].astype(np.int32))], ["doc_id", "start", "stop"]), (key[first], docs[first])
 
     kept: list[pa.RecordBatch] = []
+    before = none
     for batch in batches:
         if not batch.num_rows:
             continue
         kept.append(batch)
-        anchor = batch.column("anchor").to_numpy()
-        held = sum(x.num_rows for x in kept)
-        if anchor[0] != anchor[-1] and held >= 50_000:
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            yield matched(pa.Table.from_batches([*kept[:-1], batch.slice(0, cut)]))
-            kept = [batch.slice(cut)]
+        if sum(x.num_rows for x in kept) < held:
+            continue
+        rows = pa.Table.from_batches(kept)
+        anchor = rows.column("anchor").to_numpy()
+        if cut := int(np.searchsorted(anchor, anchor[-1])):
+            yield matched(rows.slice(0, cut), before)[0]
+            before, kept = none, rows.slice(cut).to_batches()
+        else:  # all rows held are of one anchor
+            found, before = matched(rows, before)
+            kept = []
+            yield found
     if kept:
-        yield matched(pa.Table.from_batches(kept))
+        yield matched(pa.Table.from_batches(kept), before)[0]
 
 
 def repeats(docs: DataFrame, size: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
@@ -127,7 +141,7 @@ def repeats(docs: DataFrame, size: int = WINDOW, seed: int = SEED_WORDS) -> Data
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = own.mapInArrow(lambda x: _anchors(x, size, seed), ROW)
     rows = rows.withColumn("deal", F.when(F.octet_length("prints") > 0, F.col("anchor")).otherwise(F.xxhash64("doc_id", "at")))
-    rows = rows.repartition("deal").drop("deal").sortWithinPartitions("anchor")
+    rows = rows.repartition("deal").drop("deal").sortWithinPartitions("anchor", "doc_id")
     return rows.mapInArrow(lambda x: _extend(x, size), "doc_id long, start int, stop int")
 
 

@@ -156,6 +156,29 @@ def test_substrings(docs, rows, none):
     assert substrings.cut_repeats(none).count() == 0
 
 
+def test_extend_in_parts():
+    """Anchors with many more rows than are held give the same spans, however rows are cut to batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    n = 900
+    anchor = np.sort(np.where(rng.random(n) < 0.6, 5, rng.integers(0, 30, n))).astype(np.int64)
+    doc = rng.integers(0, 40, n)
+    order = np.lexsort((doc, anchor))
+    anchor, doc = anchor[order], doc[order].astype(np.int64)
+    at = rng.integers(0, 1000, n).astype(np.int32)
+    prints = [rng.integers(0, 3, k).astype(np.uint8).repeat(5).tobytes() for k in rng.integers(1, 4, n)]
+    least = {}
+    for a, d, p in zip(anchor, doc, prints):
+        for i in range(0, len(p), 5):
+            least[a, p[i : i + 5]] = min(d, least.get((a, p[i : i + 5]), d))
+    want = {(int(d), int(t) + i // 5 + k) for a, d, t, p in zip(anchor, doc, at, prints) for i in range(0, len(p), 5) if d > least[a, p[i : i + 5]] for k in range(13)}
+    for step, held in ((1000, 50_000), (50, 60), (7, 20)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(anchor[i : i + step]), pa.array(doc[i : i + step]), pa.array(at[i : i + step]), pa.array(prints[i : i + step], pa.binary())], ["anchor", "doc_id", "at", "prints"]) for i in range(0, n, step)]
+        got = pa.Table.from_batches(list(substrings._extend(iter(batches), 13, held))).to_pylist()
+        assert {(r["doc_id"], k) for r in got for k in range(r["start"], r["stop"])} == want and want
+
+
 # 5 lines
 
 
