@@ -1,4 +1,8 @@
-"""Connected components by alternating stars, each round a join, a grouping and a checkpoint."""
+"""Connected components by alternating stars, each round a join, a grouping and a checkpoint.
+
+Nulls and odd rows: a null end and a loop make no link, repeated links count once, no links give an empty table; other
+columns than the two ends are not read.
+"""
 
 from __future__ import annotations
 

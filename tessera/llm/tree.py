@@ -1,4 +1,7 @@
-"""A hierarchical index over bit prints in Gray order, and rows that come sorted, cut to whole groups."""
+"""A hierarchical index over bit prints in Gray order, and rows that come sorted, cut to whole groups.
+
+Nulls and odd rows: prints and groups have no nulls; equal prints are a pair at no distance; no rows give no pairs.
+"""
 
 from __future__ import annotations
 

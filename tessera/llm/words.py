@@ -1,4 +1,8 @@
-"""Words and their 64-bit hashes for whole Arrow columns of text, by numpy, with no Python object for each word."""
+"""Words and their 64-bit hashes for whole Arrow columns of text, by numpy, with no Python object for each word.
+
+Nulls and odd rows: null and empty texts, and texts of blanks alone, have no words; a text longer than a chunk is worked
+on by itself; an empty column gives no words and one place.
+"""
 
 from __future__ import annotations
 
