@@ -12,22 +12,24 @@ from pyspark.sql import functions as F
 from tessera.llm.base import cut
 
 
+def _settled(now: DataFrame) -> bool:
+    """Whether every node has one link upwards at most, to a node that has none: then all links lead to roots."""
+    ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """`node`, `root` for every node of an edge: root is the smallest node that it can reach.
 
-    Null ends and loops are left out; no edges give an empty table. The rounds end when no edge changes; a hub's
-    edges are met by its one minimum, so no pair of a hub's neighbours is ever formed.
+    Null ends and loops are left out; no edges give an empty table. The rounds end when every link leads to a root; a
+    hub's edges are met by its one minimum, so no pair of a hub's neighbours is ever formed.
     """
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    now, was = cut(now), None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if mark == was or not mark.n:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
-        was = mark
+    now = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    while not _settled(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         little = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = cut(little.union(least.select("a", F.col("m").alias("b"))).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
