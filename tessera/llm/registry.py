@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, licenses, lines, maxent, mixing, quality, sharding, simhash, substrings, urls
+from tessera.llm import decontaminate, exact, licenses, lines, maxent, mixing, negatives, quality, sharding, simhash, substrings, urls, vectorcodes
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,8 +16,11 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_maxent": maxent.op10_maxent,
+    "op11_codes": vectorcodes.op11_codes,
+    "op12_exact": exact.op12_exact,
+    "op13_negatives": negatives.op13_negatives,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op3_urls": urls.ORACLE, "op4_substrings": substrings.ORACLE, "op6_quality": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op3_urls": urls.ORACLE, "op4_substrings": substrings.ORACLE, "op6_quality": quality.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op11_codes": vectorcodes.ORACLE, "op12_exact": exact.ORACLE, "op13_negatives": negatives.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
