@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,24 +11,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@lru_cache(256)
+def reach(n: int, m: int, share: float = 0.1) -> tuple[tuple[int, int], ...]:
+    """For each place of a sequence of length m, the first and last place of one of length n that it may meet.
+
+    The places of the longer one are laid along the shorter one's length; each may meet those within max(1, floor(share *
+    longer length)) of it there.
+    """
+    long, short = max(n, m), min(n, m)
+    at = np.arange(long) * (short - 1) / max(long - 1, 1)
+    meets = np.abs(at[:, None] - np.arange(short)) <= max(1, int(share * long)) + 1e-9
+    meets = meets.T if n == long else meets  # a row for each place of the one of length m
+    return tuple((int(np.flatnonzero(row)[0]), int(np.flatnonzero(row)[-1])) for row in meets)
+
+
 def banded(a: np.ndarray, b: np.ndarray, share: float = 0.1) -> np.ndarray:
-    """Summed squared costs of the best warping of each pair of rows, within max(1, floor(share * length)) of the diagonal.
+    """Summed squared costs of the best warping of each pair of rows, within `reach` of the diagonal.
 
-    a and b are (pairs, length) or (pairs, length, dims) arrays of one length.
+    a and b are (pairs, length) or (pairs, length, dims) arrays; all rows of a have one length, and all of b.
     """
     if a.ndim == 2:
         a, b = a[:, :, None], b[:, :, None]
-    pairs, n, _ = a.shape
-    r = max(1, int(share * n))
-    before = np.full((pairs, n + 1), np.inf)
+    if a.shape[1] < b.shape[1]:
+        a, b = b, a
+    pairs, n, m = len(a), a.shape[1], b.shape[1]
+    before = np.full((pairs, m + 1), np.inf)
     before[:, 0] = 0
-    for i in range(n):
-        now = np.full((pairs, n + 1), np.inf)
-        for j in range(max(0, i - r), min(n, i + r + 1)):
+    for i, (first, last) in enumerate(reach(m, n, share)):
+        now = np.full((pairs, m + 1), np.inf)
+        for j in range(first, last + 1):
             cost = ((a[:, i] - b[:, j]) ** 2).sum(1)
             now[:, j + 1] = cost + np.minimum(np.minimum(before[:, j], before[:, j + 1]), now[:, j])
         before = now
-    return before[:, n]
+    return before[:, m]
 
 
 def extended(xs: list[np.ndarray]) -> np.ndarray:

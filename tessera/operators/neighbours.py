@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tessera.catalog import FRAMES, MARKUP, query
 from tessera.functions.dtw import dtw
 from tessera.functions.vectors import lower_bound, projection, squared_distance
-from tessera.operators.search import asked, indexed, nearest, packed, pair_stats, unpacked, windows, within
+from tessera.operators.search import asked, celled, indexed, nearest, nearest_any, packed, pair_stats, unpacked, windows, within
 from tessera.operators.spans import complement, of_tag, whole
 from tessera.operators.symbols import AVERAGE, LETTERS, WARPED, scored
 from tessera.operators.windows import WINDOW8
+from tessera.plans.rounds import checkpointed, written
 from tessera.sources.frames import frames, load, runs
 
 TAU = 1.2
@@ -91,7 +92,7 @@ def warped_sql(rows: str, size: int = 8) -> str:
 
 def window_knn(rows: DataFrame, size: int = SIZE, k: int = 3, metric: str = "l2") -> DataFrame:
     """id, nbr, dist and rank: nearest windows of all series that do not overlap the query."""
-    w = windows(rows, size)
+    w = celled(windows(rows, size))
     return nearest(asked(w), w, k, metric, size)
 
 
@@ -105,9 +106,9 @@ OPTIMA = f"{KNN}, p2 AS (SELECT a.id, {L2} AS dist, b.id AS nbr FROM w a JOIN w
 
 def optima(rows: DataFrame, size: int = SIZE, k: int = 3) -> DataFrame:
     """id and dist: queries none of whose neighbours has a smaller distance to its own k-th; neighbours are searched for in turn."""
-    w = windows(rows, size)
-    kn = nearest(asked(w), w, k, "l2", size)
-    theirs = nearest(w.join(kn.select(F.col("nbr").alias("id")).distinct(), "id", "left_semi"), w, k, "l2", size)
+    w = celled(windows(rows, size))
+    kn = checkpointed(nearest(asked(w), w, k, "l2", size))
+    theirs = nearest(w.rows.join(kn.select(F.col("nbr").alias("id")).distinct(), "id", "left_semi"), w, k, "l2", size)
     theirs = theirs.where(F.col("rank") == k).select(F.col("id").alias("nbr"), F.col("dist").alias("theirs"))
     dk = kn.where(F.col("rank") == k).select("id", "dist")
     better = kn.select("id", "nbr").join(theirs, "nbr").groupBy("id").agg(F.min("theirs").alias("theirs"))
@@ -131,10 +132,10 @@ CLOSE = 60.0
 @query("cluster_distance", f"{KNN}, o AS (SELECT id, id AS m FROM kn WHERE rank = 1 UNION SELECT id, nbr FROM kn WHERE rank = 1), ds AS (SELECT DISTINCT m FROM o), r AS (SELECT a.id AS m1, b.id AS m2, {L2} AS dist FROM w a JOIN ds x ON x.m = a.id, w b JOIN ds y ON y.m = b.id WHERE a.id = b.id OR {L2} <= {CLOSE}) SELECT x.id AS id1, y.id AS id2, round(min(dist), 5) AS dist FROM r JOIN o x ON x.m = r.m1 JOIN o y ON y.m = r.m2 WHERE x.id < y.id GROUP BY ALL")
 def cluster_distance(spark, d, radius: float = CLOSE):
     """The least distance between the members (a query and its nearest window) of two queries' clusters, where it is `radius` at most."""
-    w = windows(frames(spark, d))
-    kn = nearest(asked(w), w, 1, "l2", SIZE)
+    w = celled(windows(frames(spark, d)))
+    kn = checkpointed(nearest(asked(w), w, 1, "l2", SIZE))
     members = kn.select("id", F.explode(F.array("id", "nbr")).alias("m"))
-    held = w.join(members.select(F.col("m").alias("id")).distinct(), "id", "left_semi")
+    held = w.rows.join(members.select(F.col("m").alias("id")).distinct(), "id", "left_semi")
     near = within(held, held, radius).select(F.col("id").alias("m1"), F.col("nbr").alias("m2"), "dist")
     near = near.union(members.select("m", "m", F.lit(0.0)).distinct())
     a, b = (members.select(F.col("id").alias(f"id{i}"), F.col("m").alias(f"m{i}")) for i in (1, 2))
@@ -318,17 +319,15 @@ def motif_mean_error(spark, d):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, by min labels that go along edges until none changes; each round is checkpointed."""
-    from tessera.plans.rounds import checkpointed
-
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    """node and root, by min labels that go along edges until none changes; each round is written."""
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     while True:
         least = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         new = labels.join(least, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"), "root")
         new = new.toDF("node", "root", "was")
         jump = new.select(F.col("node").alias("j"), F.col("root").alias("up"))
-        new = checkpointed(new.join(jump, F.col("root") == F.col("j"), "left").select("node", F.coalesce("up", "root").alias("root"), "was"))
+        new = written(new.join(jump, F.col("root") == F.col("j"), "left").select("node", F.coalesce("up", "root").alias("root"), "was"))
         labels = new.select("node", "root")
         if not new.where("root <> was").limit(1).count():
             return labels
@@ -363,10 +362,40 @@ def disjoint_knn(spark, d):
     return disjoint(frames(spark, d)).select(*_at(), *_nbr(), "rank", F.round("dist", 5).alias("dist"))
 
 
+def windows_of(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """id and v of the windows of several lengths, all in one table."""
+    out = windows(rows, sizes[0])
+    for s in sizes[1:]:
+        out = out.union(windows(rows, s))
+    return out
+
+
+def disjoint_any(rows: DataFrame, sizes: tuple[int, ...], k: int = 3, metric: str = "dtw") -> DataFrame:
+    """id, len, rank, nbr, nbr_len and dist: each query's nearest windows of any of the lengths, by warping and the longer length, which overlap neither it nor each other.
+
+    One that is taken bars those of each length that begin less than that length before it or its own after it, so that
+    with (k - 1) times as many and one more there are k.
+    """
+    bars = sum(max(sizes) + s - 1 for s in sizes)
+    w = celled(windows_of(rows, sizes), sizes)
+    near = nearest_any(asked(w), w, (k - 1) * bars + 1, metric, True, sizes)
+    none = F.array().cast("array<struct<dist:double,nbr:bigint,nbr_len:int>>")
+    apart = lambda a, b: (F.floor(a.nbr / (1 << 32)) != F.floor(b.nbr / (1 << 32))) | (a.nbr + a.nbr_len <= b.nbr) | (b.nbr + b.nbr_len <= a.nbr)
+    step = lambda a, s: F.when((F.size(a) < k) & F.forall(a, lambda x: apart(x, s)), F.concat(a, F.array(s))).otherwise(a)
+    s = near.groupBy("id", "len").agg(F.sort_array(F.collect_list(F.struct("dist", "nbr", "nbr_len"))).alias("s"))
+    return s.select("id", "len", F.posexplode(F.aggregate("s", none, step)).alias("rank", "n")).select("id", "len", (F.col("rank") + 1).alias("rank"), "n.nbr", "n.nbr_len", "n.dist")
+
+
+@query("mixed_length_knn")
+def mixed_length_knn(spark, d, sizes: tuple[int, ...] = (6, 8, 10)):
+    """Nearest windows among those of several lengths, found in one search."""
+    return disjoint_any(frames(spark, d), sizes).select(*_at(), "len", *_nbr(), "nbr_len", "rank", "dist")
+
+
 @query("density_curve", f"{DISJOINT} SELECT {AT}, rank, round((rank + 1) / dist, 4) AS density FROM dj")
 def density_curve(spark, d):
-    """How dense a neighbourhood is at each of its disjoint members: members so far, by the distance."""
-    return disjoint(frames(spark, d)).select(*_at(), "rank", F.round((F.col("rank") + 1) / F.col("dist"), 4).alias("density"))
+    """How dense a neighbourhood is at each of its disjoint members: members so far, by the distance; null at equal windows, whose distance is 0."""
+    return disjoint(frames(spark, d)).select(*_at(), "rank", F.round(F.try_divide(F.col("rank") + 1, "dist"), 4).alias("density"))
 
 
 @query("edit_greedy", f"WITH RECURSIVE {MARKUP}, {LETTERS}, {WARPED}, {AVERAGE}, h2 AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY dist, start, len) AS r FROM ed), g AS (SELECT series_id, r, [[start, len]] AS t FROM h2 WHERE r = 1 UNION ALL SELECT h2.series_id, h2.r, CASE WHEN len(list_filter(g.t, lambda x: h2.start < x[1] + x[2] AND x[1] < h2.start + h2.len)) = 0 THEN list_append(g.t, [h2.start, h2.len]) ELSE g.t END FROM g JOIN h2 ON h2.series_id = g.series_id AND h2.r = g.r + 1), tk AS (SELECT series_id, unnest(arg_max(t, r)) AS x FROM g GROUP BY series_id) SELECT series_id, x[1]::INT AS start, x[2]::INT AS len FROM tk")
@@ -398,6 +427,6 @@ def length_winner(spark, d):
     rows = frames(spark, d)
     dk = lambda size: window_knn(rows, size).where("rank = 3").select("id", F.round(F.col("dist") / size, 6).alias(f"d{size}"))
     g = dk(8).join(dk(12), "id")
-    gap = (F.col("d12") - F.col("d8")) / F.col("d8")
+    gap = F.coalesce(F.try_divide(F.col("d12") - F.col("d8"), "d8"), F.lit(float("inf")))
     rule = F.when(F.col("d12") <= F.col("d8"), 1).when(gap < 0.1, 2).when(gap > 0.5, 4).otherwise(5)
     return g.select(*_at(), rule.alias("rule"), F.when(rule <= 2, 12).otherwise(8).alias("len"))

@@ -1,30 +1,35 @@
-"""Exact nearest-neighbour and range search of a stated set of queries among all rows, in blocks, and an index for it.
-
-Rows are (id, v). Queries go to every task in parts of `QUERY_ROWS`, each counted before it is sent; a task holds one
-batch of the table and, for each query, the best found so far. Windows of series have the id series * 2**32 + start,
-so a neighbour that overlaps its query can be told from the ids alone.
+"""Exact nearest-neighbour and range search of a stated set of queries among all rows, by a partitioned join, and an index for it.
+
+Rows are (id, v). They are dealt to cells about pivots, and a large cell to blocks. A query is sent to those cells only
+that may hold a row within its limit: a bound from the triangle inequality and the cell's box of values (for warping
+distances, from the query's envelope and the box) says so. The limit is the k-th distance to a bounded sample of rows,
+or the radius asked for. A task holds one block of rows and streams its queries past it, so nothing passes through the
+driver but the sample and a row a cell. Windows of series have the id series * 2**32 + start; windows of several
+lengths can be searched together, as the length of v tells them apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.dtw import banded
+from tessera.functions.dtw import banded, reach
 from tessera.operators.windows import sliding
+from tessera.plans.rounds import checkpointed
 
-#: Queries that are sent to the tasks at a time.
-QUERY_ROWS = 20_000
 SHIFT = 1 << 32
 #: Pairs whose distances a task holds at a time, and of those that are warped.
 BLOCK_PAIRS, WARP_PAIRS = 1 << 21, 1 << 16
 #: Of all windows, those are queries whose id this divides.
 EVERY = 50
+#: Rows by which limits are set, and how many of them are pivots of cells; rows of a block, and queries that meet a block in one task, at most.
+SAMPLE_ROWS, PIVOTS, BLOCK_ROWS, SLICE_ROWS = 1024, 64, 16_384, 65_536
 
 
 def packed(series: str, start: str) -> Column:
@@ -41,23 +46,20 @@ def windows(rows: DataFrame, size: int = 8, value: str = "x") -> DataFrame:
     return sliding(rows, size, 1, value).select(packed("series_id", "start").alias("id"), F.col("xs").alias("v"))
 
 
-def asked(table: DataFrame, every: int = EVERY) -> DataFrame:
-    """The queries of a table: rows whose id `every` divides."""
-    return table.where(F.col("id") % every == 0)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 class Euclid:
-    """Distances of queries to rows: the root of the sum of squares, added from the first dimension on."""
+    """Distances of queries to rows: the root of the sum of squares, added from the first dimension on. Vectors of two lengths are infinitely far."""
 
     def __init__(self, root: bool = True):
         self.root = root
 
     def __call__(self, q: np.ndarray, x: np.ndarray, barred: np.ndarray | None = None, limit: np.ndarray | None = None, k: int = 0) -> np.ndarray:
+        if q.shape[1] != x.shape[1]:
+            return np.full((len(q), len(x)), np.inf)
         out = np.zeros((len(q), len(x)))
         for i in range(q.shape[1]):
             step = q[:, i, None] - x[:, i]
@@ -67,31 +69,57 @@ class Euclid:
             out[barred] = np.inf
         return out
 
+    upper = __call__
+
+    def least(self, q: np.ndarray, cell: Cell) -> np.ndarray:
+        """For each query a bound below its distances to all rows of a cell."""
+        if q.shape[1] != len(cell.pivot):
+            return np.full(len(q), np.inf)
+        out = np.maximum(np.maximum(cell.low - q, q - cell.high), 0)
+        out = np.maximum(np.sqrt((out * out).sum(1)), np.sqrt(((q - cell.pivot) ** 2).sum(1)) - cell.radius)
+        return out if self.root else np.maximum(out, 0) ** 2
+
 
 class Warped:
-    """Banded warping distances by length. Only pairs are warped whose lower bound does not pass `limit`, a row for each query: the rest are infinite."""
+    """Banded warping distances by the longer length. Only pairs are warped whose lower bound does not pass `limit`, a row for each query: the rest are infinite."""
 
     def __init__(self, share: float = 0.1):
         self.share = share
 
+    def envelope(self, q: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest value of each query that each place of a row of `size` may meet."""
+        ends = reach(q.shape[1], size, self.share)
+        return np.stack([q[:, a : b + 1].min(1) for a, b in ends], axis=1), np.stack([q[:, a : b + 1].max(1) for a, b in ends], axis=1)
+
     def bound(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Squared distances of each row from the envelope of each query within the band."""
-        size = q.shape[1]
-        reach = max(1, int(self.share * size))
+        low, high = self.envelope(q, x.shape[1])
         out = np.zeros((len(q), len(x)))
-        for i in range(size):
-            near = q[:, max(0, i - reach) : i + reach + 1]
-            over, under = x[:, i] - near.max(1)[:, None], near.min(1)[:, None] - x[:, i]
-            step = np.maximum(np.maximum(over, under), 0)
+        for i in range(x.shape[1]):
+            step = np.maximum(np.maximum(x[:, i] - high[:, i, None], low[:, i, None] - x[:, i]), 0)
             out += step * step
         return out
 
+    def least(self, q: np.ndarray, cell: Cell) -> np.ndarray:
+        low, high = self.envelope(q, len(cell.low))
+        out = np.maximum(np.maximum(cell.low - high, low - cell.high), 0)
+        return (out * out).sum(1) / max(q.shape[1], len(cell.low))
+
+    def upper(self, q: np.ndarray, x: np.ndarray, barred: np.ndarray | None = None) -> np.ndarray:
+        """The cost of the path along the diagonal, which no warping passes."""
+        n = max(q.shape[1], x.shape[1])
+        at = lambda size: np.rint(np.arange(n) * (size - 1) / max(n - 1, 1)).astype(int)
+        out = Euclid(root=False)(q[:, at(q.shape[1])], x[:, at(x.shape[1])]) / n
+        if barred is not None:
+            out[barred] = np.inf
+        return out
+
     def warp(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        size = q.shape[1]
+        size = max(q.shape[1], x.shape[1])
         return np.concatenate([banded(q[i : i + WARP_PAIRS], x[i : i + WARP_PAIRS], self.share) / size for i in range(0, len(q), WARP_PAIRS)] or [np.zeros(0)])
 
     def __call__(self, q: np.ndarray, x: np.ndarray, barred: np.ndarray | None = None, limit: np.ndarray | None = None, k: int = 0) -> np.ndarray:
-        bound, out = self.bound(q, x) / q.shape[1], np.full((len(q), len(x)), np.inf)
+        bound, out = self.bound(q, x) / max(q.shape[1], x.shape[1]), np.full((len(q), len(x)), np.inf)
         limit = np.full(len(q), np.inf) if limit is None else limit
         if barred is not None:
             bound[barred] = np.inf
@@ -109,94 +137,268 @@ class Warped:
 METRICS = {"l2": Euclid(), "ssd": Euclid(root=False), "dtw": Warped()}
 
 
-def _barred(ids: np.ndarray, own: np.ndarray, apart: int) -> np.ndarray:
-    """Pairs that are no neighbours: a row and itself, or windows of one series less than `apart` from each other."""
+def _barred(ids: np.ndarray, n: int, own: np.ndarray, m: int, apart: bool) -> np.ndarray:
+    """Pairs that are no neighbours: a row and itself, or windows of one series, n and m frames long, that overlap."""
     if not apart:
-        return ids[:, None] == own
-    return ((ids[:, None] // SHIFT) == own // SHIFT) & (np.abs(ids[:, None] % SHIFT - own % SHIFT) < apart)
-
-
-def _in_parts(queries: DataFrame, table: DataFrame, each, schema: str) -> DataFrame:
-    """The union over parts of the queries of what `each` makes of the table's batches and the part: ids, vectors."""
-    n = queries.count()
-    parts = -(-n // QUERY_ROWS) or 1
-    out = []
-    for p in range(parts):
-        got = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).select("id", "v").toArrow() if n else None
-        ids = got.column("id").to_numpy() if n else np.zeros(0, np.int64)
-        shared = table.sparkSession.sparkContext.broadcast((ids, _matrix(got.column("v")) if len(ids) else np.zeros((0, 1))))
-        out.append(table.select("id", "v").mapInArrow(lambda batches, shared=shared: each(batches, *shared.value), schema))
-    return reduce(DataFrame.union, out)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """Ids and vectors of each batch, with each block of queries that is compared with them at a time."""
-    for batch in batches:
-        if batch.num_rows and len(q):
-            own, x = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-            step = max(1, BLOCK_PAIRS // len(x))
-            for at in range(0, len(q), step):
-                yield own, x, at, min(len(q), at + step)
-
-
-def nearest(queries: DataFrame, table: DataFrame, k: int, metric: str = "l2", apart: int = 0) -> DataFrame:
-    """id, nbr, dist and rank: the k nearest rows of the table to each query, ties by the smaller id. apart: see `_barred`."""
-    measure = METRICS[metric]
+        return (ids[:, None] == own) & (n == m)
+    gap = ids[:, None] % SHIFT - own % SHIFT
+    return ((ids[:, None] // SHIFT) == own // SHIFT) & (gap < m) & (gap > -n)
 
-    def each(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-        best, who = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
-        for own, x, at, end in _blocks(batches, q):
-            limit = best[at:end, -1].copy()
-            dist = measure(q[at:end], x, _barred(ids[at:end], own, apart), limit, k)
-            if len(x) > k:
-                limit = np.minimum(limit, np.partition(dist, k - 1, axis=1)[:, k - 1])
-            a, b = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
-            rows = np.concatenate([np.repeat(np.arange(end - at), k), a])
-            far, name = np.concatenate([best[at:end].ravel(), dist[a, b]]), np.concatenate([who[at:end].ravel(), own[b]])
-            order = np.lexsort((name, far, rows))
-            place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
-            order = order[place < k]
-            best[at:end], who[at:end] = far[order].reshape(-1, k), name[order].reshape(-1, k)
-        a, b = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(who[a, b]), pa.array(best[a, b])], ["id", "nbr", "dist"])
-
-    found = _in_parts(queries, table, each, "id long, nbr long, dist double")
-    order = Window.partitionBy("id").orderBy("dist", "nbr")
+
+@dataclass
+class Cell:
+    """Rows about a pivot: how far the farthest is, and the least and greatest value at each place."""
+
+    pivot: np.ndarray
+    rows: int
+    radius: float
+    low: np.ndarray
+    high: np.ndarray
+
+
+def pivots(table: DataFrame, n: int) -> DataFrame:
+    """A bounded sample of rows: the n rows whose ids have the least hashes."""
+    return table.orderBy(F.xxhash64("id"), "id").limit(n)
+
+
+@dataclass
+class Cells:
+    """A table dealt to cells: rows (id, v, cell), checkpointed, the cells, and the sample of rows, as ids and values by length."""
+
+    rows: DataFrame
+    cells: list[Cell]
+    sample: list[tuple[np.ndarray, np.ndarray]]
+
+
+def celled(table: DataFrame, sizes: tuple[int, ...] = ()) -> Cells:
+    """The rows (id, v) of a table dealt to the nearest of `PIVOTS` pivots of their length. sizes: the lengths of v, where there are several; rows of others, and without v, are left out."""
+    table = checkpointed(table.select("id", "v").where("v is not null"))
+    parts = [table.where(F.size("v") == s) for s in sizes] or [table]
+    taken = []
+    for part in parts:
+        if len(got := pivots(part, SAMPLE_ROWS).toArrow()):
+            own = pc.list_value_length(got.column("v"))
+            got = got.filter(pc.equal(own, own[0]))
+            taken.append((got.column("id").to_numpy(), _matrix(got.column("v"))))
+    chosen = [x[:PIVOTS] for _, x in taken]
+    first = np.cumsum([0, *map(len, chosen)])
+    sized = {x.shape[1]: i for i, x in enumerate(chosen)}
+    near = Euclid()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _by_length(batch):
+                x = _matrix(some.column("v"))
+                if x.shape[1] not in sized:
+                    continue
+                i = sized[x.shape[1]]
+                cell = np.concatenate([near(x[a : a + 4096], chosen[i]).argmin(1) for a in range(0, len(x), 4096)]) + first[i]
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("v"), pa.array(cell.astype(np.int32))], ["id", "v", "cell"])
+
+    rows = checkpointed(table.mapInArrow(deal, "id long, v array<double>, cell int"))
+
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            for c in np.unique(cells).tolist():
+                i = int(np.searchsorted(first, c, "right")) - 1
+                x = _matrix(batch.column("v").filter(pa.array(cells == c)))
+                far = near(chosen[i][[c - first[i]]], x).max()
+                yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int32()), "n": [len(x)], "far": [float(far)], "low": [x.min(0)], "high": [x.max(0)]})
+
+    ends = rows.mapInArrow(boxes, "cell int, n long, far double, low array<double>, high array<double>")
+    each = ends.select("cell", "n", "far", F.posexplode(F.arrays_zip("low", "high")).alias("i", "b")).groupBy("cell", "i").agg(F.sum("n").alias("n"), F.max("far").alias("far"), F.min("b.low").alias("low"), F.max("b.high").alias("high"))
+    found = each.groupBy("cell").agg(F.first("n").alias("n"), F.max("far").alias("far"), F.sort_array(F.collect_list(F.struct("i", "low", "high"))).alias("b")).collect()  # a row a cell
+    held = {r["cell"]: r for r in found}
+    cells = []
+    for i, points in enumerate(chosen):
+        for k, p in enumerate(points):
+            r = held.get(int(first[i]) + k)
+            cells.append(Cell(p, r["n"], r["far"], np.array([b["low"] for b in r["b"]]), np.array([b["high"] for b in r["b"]])) if r else Cell(p, 0, 0.0, p, p))
+    return Cells(rows, cells, taken)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch whose arrays v are of one length, for each length."""
+    sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+    for s in np.unique(sizes):
+        yield batch if (sizes == s).all() else batch.filter(pa.array(sizes == s))
+
+
+def asked(table: DataFrame | Cells, every: int = EVERY) -> DataFrame:
+    """The queries of a table: rows whose id `every` divides."""
+    rows = table.rows.drop("cell") if isinstance(table, Cells) else table
+    return rows.where(F.col("id") % every == 0)
+
+
+Block = tuple[np.ndarray, np.ndarray, pa.Table]
+
+
+def _streamed(rows: DataFrame, queries: DataFrame, each: Callable[[Block, Block], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `each` makes of every block of rows (at, id, v) and the queries (at, id, v) sent to it, a batch of queries of one length at a time.
+
+    Rows and queries are sorted by block, rows first; queries in slices of about SLICE_ROWS, to each of which the rows
+    are sent. Other columns of the two are passed on; those that the other lacks are null.
+    """
+    n = -(-queries.select("id").distinct().count() // SLICE_ROWS) or 1
+    left = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("asks", F.lit(False))
+    right = queries.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("asks", F.lit(True))
+    both = left.unionByName(right, allowMissingColumns=True).repartition("at", "slice").sortWithinPartitions("at", "slice", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept, block = None, [], None
+        for batch in batches:
+            at, part, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "slice", "asks"))
+            new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])])) if len(at) else []
+            for a, b in zip(new, [*new[1:], len(at)]):
+                own = batch.slice(a, b - a)
+                if not asks[a]:
+                    if key != (at[a], part[a]):
+                        key, kept = (at[a], part[a]), []
+                    kept.append(own)
+                    block = None
+                elif key == (at[a], part[a]):
+                    block = block or _block(pa.Table.from_batches(kept))
+                    for some in _by_length(own):
+                        q = _block(pa.Table.from_batches([some]))
+                        step = max(1, BLOCK_PAIRS // len(block[0]))
+                        for i in range(0, len(q[0]), step):
+                            yield from each(block, (q[0][i : i + step], q[1][i : i + step], q[2].slice(i, step)))
+
+    return both.mapInArrow(run, schema)
+
+
+def _block(rows: pa.Table) -> Block:
+    return rows.column("id").to_numpy(), _matrix(rows.column("v")), rows
+
+
+def _size(n: int, df: DataFrame) -> int:
+    """Rows of a block: as many as keep all partitions busy, but BLOCK_ROWS at most."""
+    return min(BLOCK_ROWS, max(1024, -(-n // (2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+
+
+def _to_cells(queries: DataFrame, cells: Cells, visits: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], each, schema: str) -> DataFrame:
+    """What `each` makes of the blocks of those cells that a query visits: `visits` gives, of ids and vectors, (queries, cells) and the limit of each query."""
+    size = _size(sum(c.rows for c in cells.cells), queries)
+    blocks = [-(-c.rows // size) for c in cells.cells]
+    first = np.cumsum([0, *blocks]).tolist()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _by_length(batch):
+                q, ids = _matrix(some.column("v")), some.column("id").to_numpy()
+                fits, limit = visits(ids, q)
+                where = [np.concatenate([np.arange(first[c], first[c + 1]) for c in np.flatnonzero(f)] or [np.zeros(0, int)]) for f in fits]
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("v"), pa.array(limit), pa.array(where, pa.list_(pa.int64()))], ["id", "v", "limit", "ats"])
+
+    sent = checkpointed(queries.select("id", "v").where("v is not null").mapInArrow(choose, "id long, v array<double>, limit double, ats array<long>"))
+    sent = sent.select(F.explode("ats").alias("at"), "id", "v", "limit")
+    own = F.pmod(F.xxhash64("id"), F.get(F.lit(blocks), F.col("cell"))) + F.get(F.lit(first), F.col("cell"))
+    return _streamed(cells.rows.select(own.cast("long").alias("at"), "id", "v"), sent, each, schema)
+
+
+def _limited(measure, cells: Cells, k: int, apart: bool):
+    """Visits to the cells that may hold one of the k nearest rows."""
+    held, sample = cells.cells, cells.sample
+
+    def visits(ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        far = np.concatenate([measure.upper(q, x, _barred(ids, q.shape[1], own, x.shape[1], apart)) for own, x in sample] or [np.zeros((len(q), 0))], axis=1)
+        limit = np.partition(far, k - 1, axis=1)[:, k - 1] if far.shape[1] >= k else np.full(len(q), np.inf)
+        return _within(measure, held, q, limit), limit
+
+    return visits
+
+
+def _within(measure, cells: list[Cell], q: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(q), len(cells)), bool)
+    for i, c in enumerate(cells):
+        if c.rows:
+            out[:, i] = measure.least(q, c) <= limit * (1 + 1e-9) + 1e-9
+    return out
+
+
+FOUND = "id long, len int, nbr long, nbr_len int, dist double"
+
+
+def _found(ids: np.ndarray, n: int, own: np.ndarray, m: int, dist: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), n, np.int32)), pa.array(own), pa.array(np.full(len(ids), m, np.int32)), pa.array(dist)], ["id", "len", "nbr", "nbr_len", "dist"])
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("id", "len").orderBy("dist", "nbr", "nbr_len")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def within(queries: DataFrame, table: DataFrame, radius: float, metric: str = "l2", apart: int = 0) -> DataFrame:
+def nearest_any(queries: DataFrame, table: DataFrame | Cells, k: int, metric: str = "dtw", apart: bool = True, sizes: tuple[int, ...] = ()) -> DataFrame:
+    """id, len, nbr, nbr_len, dist and rank: as `nearest`, for windows of several lengths (`sizes`) in one search."""
+    measure, cells = METRICS[metric], table if isinstance(table, Cells) else celled(table, sizes)
+
+    def each(rows: Block, asks: Block) -> Iterator[pa.RecordBatch]:
+        (own, x, _), (ids, q, given) = rows, asks
+        limit = given.column("limit").to_numpy() * (1 + 1e-9) + 1e-9
+        dist = measure(q, x, _barred(ids, q.shape[1], own, x.shape[1], apart), limit, k)
+        if len(x) > k:
+            limit = np.minimum(limit, np.partition(dist, k - 1, axis=1)[:, k - 1])
+        a, b = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
+        yield _found(ids[a], q.shape[1], own[b], x.shape[1], dist[a, b])
+
+    return _first(_to_cells(queries, cells, _limited(measure, cells, k, apart), each, FOUND), k)
+
+
+def nearest(queries: DataFrame, table: DataFrame | Cells, k: int, metric: str = "l2", apart: int = 0) -> DataFrame:
+    """id, nbr, dist and rank: the k nearest rows of the table to each query, ties by the smaller id. apart: windows that overlap the query are none of them."""
+    return nearest_any(queries, table, k, metric, bool(apart)).select("id", "nbr", "dist", "rank")
+
+
+def within(queries: DataFrame, table: DataFrame | Cells, radius: float, metric: str = "l2", apart: int = 0) -> DataFrame:
     """id, nbr and dist: all rows of the table that lie within `radius` of a query."""
-    measure = METRICS[metric]
+    measure, cells = METRICS[metric], table if isinstance(table, Cells) else celled(table)
+    held = cells.cells
+
+    def visits(ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        limit = np.full(len(q), radius)
+        return _within(measure, held, q, limit), limit
 
-    def each(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for own, x, at, end in _blocks(batches, q):
-            dist = measure(q[at:end], x, _barred(ids[at:end], own, apart), np.full(end - at, radius))
-            a, b = np.nonzero(dist <= radius)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + a]), pa.array(own[b]), pa.array(dist[a, b])], ["id", "nbr", "dist"])
+    def each(rows: Block, asks: Block) -> Iterator[pa.RecordBatch]:
+        (own, x, _), (ids, q, _) = rows, asks
+        dist = measure(q, x, _barred(ids, q.shape[1], own, x.shape[1], bool(apart)), np.full(len(q), radius))
+        a, b = np.nonzero(dist <= radius)
+        yield _found(ids[a], q.shape[1], own[b], x.shape[1], dist[a, b])
 
-    return _in_parts(queries, table, each, "id long, nbr long, dist double")
+    return _to_cells(queries, cells, visits, each, FOUND).select("id", "nbr", "dist")
+
+
+def _to_all(queries: DataFrame, table: DataFrame, place: list[Column], each, schema: str) -> DataFrame:
+    """What `each` makes of all blocks of a table, dealt by the columns `place`, and all queries."""
+    table, queries = checkpointed(table), checkpointed(queries)
+    n = table.count()
+    blocks = -(-n // _size(n, table)) or 1
+    sent = queries.select("*", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("at"))
+    return _streamed(table.select("*", F.pmod(F.xxhash64(*place), F.lit(blocks)).cast("long").alias("at")), sent, each, schema)
+
+
+#: Neighbouring windows of a series that are dealt to the same block.
+STRETCH = 2048
 
 
 def best_per_series(queries: DataFrame, table: DataFrame, most: int, metric: str = "l2", apart: int = 0) -> DataFrame:
     """id, series_id, nbr and dist: the best match of each query in each of the `most` series that match it best."""
     measure = METRICS[metric]
 
-    def each(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for own, x, at, end in _blocks(batches, q):
-            order = np.argsort(own)
-            own, x = own[order], x[order]
-            dist = measure(q[at:end], x, _barred(ids[at:end], own, apart))
-            new = np.flatnonzero(np.diff(own // SHIFT, prepend=-1 - (1 << 62)))
-            low = np.minimum.reduceat(dist, new, axis=1)
-            kth = np.partition(low, most - 1, axis=1)[:, most - 1] if low.shape[1] > most else np.full(len(low), np.inf)
-            a, b = np.nonzero((low <= kth[:, None]) & np.isfinite(low))
-            ends = np.append(new, len(own))
-            nbr = np.array([own[ends[j] + int(dist[i, ends[j] : ends[j + 1]].argmin())] for i, j in zip(a, b)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at + a]), pa.array(own[new[b]] // SHIFT), pa.array(nbr), pa.array(low[a, b])], ["id", "series_id", "nbr", "dist"])
-
-    found = _in_parts(queries, table, each, "id long, series_id long, nbr long, dist double")
+    def each(rows: Block, asks: Block) -> Iterator[pa.RecordBatch]:
+        (own, x, _), (ids, q, _) = rows, asks
+        order = np.argsort(own)
+        own, x = own[order], x[order]
+        dist = measure(q, x, _barred(ids, q.shape[1], own, x.shape[1], bool(apart)))
+        new = np.flatnonzero(np.diff(own // SHIFT, prepend=-1 - (1 << 62)))
+        low = np.minimum.reduceat(dist, new, axis=1)
+        ends = np.append(new, len(own))
+        a, b = np.nonzero(np.isfinite(low))
+        nbr = np.array([own[ends[j] + int(dist[i, ends[j] : ends[j + 1]].argmin())] for i, j in zip(a, b)], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own[new[b]] // SHIFT), pa.array(nbr), pa.array(low[a, b])], ["id", "series_id", "nbr", "dist"])
+
+    place = [F.floor(F.col("id") / SHIFT), F.floor(F.pmod(F.col("id"), F.lit(SHIFT)) / STRETCH)]
+    found = _to_all(queries.select("id", "v"), table.select("id", "v"), place, each, "id long, series_id long, nbr long, dist double")
     found = found.groupBy("id", "series_id").agg(F.min(F.struct("dist", "nbr")).alias("b")).select("id", "series_id", "b.nbr", "b.dist")
     order = Window.partitionBy("id").orderBy("dist", "series_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
@@ -205,47 +407,25 @@ def best_per_series(queries: DataFrame, table: DataFrame, most: int, metric: str
 def pair_stats(queries: DataFrame, table: DataFrame, metric: str = "l2", apart: int = 0) -> DataFrame:
     """g1, g2, n, low, mean and high of the distances of all queries of group g1 to all rows of group g2. Both have (id, v, g); tasks send a row a pair of groups."""
     measure = METRICS[metric]
-    n = queries.count()
-    parts = -(-n // QUERY_ROWS) or 1
-    out = []
-    for p in range(parts):
-        got = queries.where("g is not null").where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).select("id", "v", F.col("g").cast("string").alias("g")).toArrow()
-        shared = table.sparkSession.sparkContext.broadcast((got.column("id").to_numpy(), _matrix(got.column("v")) if len(got) else np.zeros((0, 1)), np.array(got.column("g").to_pylist(), object)))
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, own = shared.value
-            if not len(q):
-                return
-            names, code = np.unique(own.astype(str), return_inverse=True)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rows, x = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-                theirs, other = np.unique(np.array(batch.column("g").to_pylist(), str), return_inverse=True)
-                step = max(1, BLOCK_PAIRS // len(x))
-                size = len(names) * len(theirs)
-                n, total, low, high = np.zeros(size, np.int64), np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
-                for at in range(0, len(q), step):
-                    dist = measure(q[at : at + step], x, _barred(ids[at : at + step], rows, apart))
-                    pair = (code[at : at + step, None] * len(theirs) + other).ravel()
-                    dist = dist.ravel()
-                    ok = np.isfinite(dist)
-                    n += np.bincount(pair[ok], minlength=size)
-                    total += np.bincount(pair[ok], dist[ok], size)
-                    np.minimum.at(low, pair[ok], dist[ok])
-                    np.maximum.at(high, pair[ok], dist[ok])
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(names[some // len(theirs)]), pa.array(theirs[some % len(theirs)]), pa.array(n[some]), pa.array(total[some]), pa.array(low[some]), pa.array(high[some])], ["g1", "g2", "n", "total", "low", "high"])
-
-        rows = table.where("g is not null").select("id", "v", F.col("g").cast("string").alias("g"))
-        out.append(rows.mapInArrow(each, "g1 string, g2 string, n long, total double, low double, high double"))
-    every = reduce(DataFrame.union, out).groupBy("g1", "g2")
-    return every.agg(F.sum("n").alias("n"), F.min("low").alias("low"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("high").alias("high"))
-
 
-def pivots(table: DataFrame, n: int) -> DataFrame:
-    """A bounded sample of rows to fit an index on: the n rows whose ids have the least hashes."""
-    return table.orderBy(F.xxhash64("id"), "id").limit(n)
+    def each(rows: Block, asks: Block) -> Iterator[pa.RecordBatch]:
+        (own, x, theirs), (ids, q, mine) = rows, asks
+        names, code = np.unique(np.array(mine.column("g").to_pylist(), str), return_inverse=True)
+        others, other = np.unique(np.array(theirs.column("g").to_pylist(), str), return_inverse=True)
+        dist = measure(q, x, _barred(ids, q.shape[1], own, x.shape[1], bool(apart))).ravel()
+        pair, size = (code[:, None] * len(others) + other).ravel(), len(names) * len(others)
+        ok = np.isfinite(dist)
+        pair, dist = pair[ok], dist[ok]
+        order = np.argsort(pair, kind="stable")
+        pair, dist = pair[order], dist[order]
+        new = np.flatnonzero(np.diff(pair, prepend=-1))
+        if len(new):
+            some, total = pair[new], np.bincount(pair, dist, size)
+            yield pa.RecordBatch.from_arrays([pa.array(names[some // len(others)]), pa.array(others[some % len(others)]), pa.array(np.diff(np.append(new, len(pair)))), pa.array(total[some]), pa.array(np.minimum.reduceat(dist, new)), pa.array(np.maximum.reduceat(dist, new))], ["g1", "g2", "n", "total", "low", "high"])
+
+    rows, asks = (df.where("g is not null").select("id", "v", F.col("g").cast("string").alias("g")) for df in (table, queries))
+    found = _to_all(asks, rows, [F.col("id")], each, "g1 string, g2 string, n long, total double, low double, high double")
+    return found.groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.min("low").alias("low"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("high").alias("high"))
 
 
 def indexed(queries: DataFrame, table: DataFrame, k: int, n_pivots: int = 64, probes: int = 16, metric: str = "dtw", by: str = "l2", parts: int = 0, more: int = 4, apart: int = 0) -> DataFrame:
@@ -257,44 +437,50 @@ def indexed(queries: DataFrame, table: DataFrame, k: int, n_pivots: int = 64, pr
     fit on `n_pivots` rows; all rows are indexed.
     """
     low, fine = METRICS[by], METRICS[metric]
-    chosen = _matrix(pivots(table, n_pivots).select("v").toArrow().column("v"))
+    table = checkpointed(table.select("id", "v"))
+    got = pivots(table, n_pivots).select("v").toArrow()
+    if not len(got):
+        return table.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+    chosen = _matrix(got.column("v"))
 
     def short(x: np.ndarray) -> np.ndarray:
         return x.reshape(len(x), parts, -1).mean(2) if parts else x
 
     def to(x: np.ndarray) -> np.ndarray:
-        return low(short(x), short(chosen))
+        return np.concatenate([low(short(x[i : i + 4096]), short(chosen)) for i in range(0, len(x), 4096)])
 
-    def each(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(q):
-            return
-        visits = np.argsort(to(q), axis=1, kind="stable")[:, :probes]
-        asks = [np.flatnonzero((visits == p).any(1)) for p in range(len(chosen))]
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, x = batch.column("id").to_numpy(), _matrix(batch.column("v"))
-            home = to(x).argmin(1)
-            for p in np.unique(home).tolist():
-                mine, rows = asks[p], np.flatnonzero(home == p)
-                step = max(1, BLOCK_PAIRS // len(rows))
-                for at in range(0, len(mine), step):
-                    some = mine[at : at + step]
-                    barred = _barred(ids[some], own[rows], apart)
-                    if not more:
-                        exact = fine(q[some], x[rows], barred, None, k)
-                        kth = np.partition(exact, k - 1, axis=1)[:, k - 1] if len(rows) > k else np.full(len(some), np.inf)
-                        a, b = np.nonzero((exact <= kth[:, None]) & np.isfinite(exact))
-                        rough = exact = exact[a, b]
-                    else:
-                        dist = low(short(q[some]), short(x[rows]), barred)
-                        kth = np.partition(dist, more * k - 1, axis=1)[:, more * k - 1] if len(rows) > more * k else np.full(len(some), np.inf)
-                        a, b = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
-                        rough = dist[a, b]
-                        exact = fine.warp(q[some[a]], x[rows[b]]) if isinstance(fine, Warped) else rough
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some[a]]), pa.array(own[rows[b]]), pa.array(rough), pa.array(exact)], ["id", "nbr", "rough", "dist"])
-
-    found = _in_parts(queries, table, each, "id long, nbr long, rough double, dist double")
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(to(_matrix(batch.column("v"))).argmin(1).astype(np.int32))], ["id", "v", "cell"])
+
+    rows = checkpointed(table.mapInArrow(deal, "id long, v array<double>, cell int"))
+    counts = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # a row a pivot
+    cells = Cells(rows, [Cell(p, counts.get(i, 0), 0.0, p, p) for i, p in enumerate(chosen)], [])
+    some = np.array([c.rows > 0 for c in cells.cells])
+
+    def visits(ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros((len(q), len(chosen)), bool)
+        np.put_along_axis(out, np.argsort(to(q), axis=1, kind="stable")[:, :probes], True, axis=1)
+        return out & some, np.full(len(q), np.inf)
+
+    def each(block: Block, asks: Block) -> Iterator[pa.RecordBatch]:
+        (own, x, _), (ids, q, _) = block, asks
+        barred = _barred(ids, q.shape[1], own, x.shape[1], bool(apart))
+        if more:
+            dist = low(short(q), short(x), barred)
+            kth = np.partition(dist, more * k - 1, axis=1)[:, more * k - 1] if len(x) > more * k else np.full(len(q), np.inf)
+            a, b = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
+            rough = dist[a, b]
+            exact = fine.warp(q[a], x[b]) if isinstance(fine, Warped) else rough
+        else:
+            dist = fine(q, x, barred, None, k)
+            kth = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+            a, b = np.nonzero((dist <= kth[:, None]) & np.isfinite(dist))
+            rough = exact = dist[a, b]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own[b]), pa.array(rough), pa.array(exact)], ["id", "nbr", "rough", "dist"])
+
+    found = _to_cells(queries, cells, visits, each, "id long, nbr long, rough double, dist double")
     first = Window.partitionBy("id").orderBy("rough", "nbr")
     found = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= (more or 1) * k)
     order = Window.partitionBy("id").orderBy("dist", "nbr")

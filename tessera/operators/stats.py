@@ -18,6 +18,12 @@ def dims(rows: DataFrame) -> DataFrame:
     return symbols(rows).select("series_id", "t", "tag", F.posexplode(v).alias("dim", "x"))
 
 
+def gaussian(x: str, mean: str, var: str) -> Column:
+    """The log-likelihood of a column by a Gaussian; null where it has no variance."""
+    gap = F.col(x) - F.col(mean)
+    return -0.5 * (F.ln(2 * F.pi() * F.col(var)) + F.try_divide(gap * gap, F.col(var)))
+
+
 def _round(c: Column | str, name: str) -> Column:
     return F.round(c, 6).alias(name)
 
@@ -48,7 +54,8 @@ def class_gaussians(spark, d):
 def class_histogram(spark, d, bins: int = 10):
     rows = frames(spark, d)
     m = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # one row
-    at = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"), F.lit(bins - 1))
+    share = F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))  # equal values: all in the first bin
+    at = F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1))
     return rows.join(F.broadcast(m)).select("tag", at.alias("bin")).groupBy("tag", "bin").agg(F.count("*").alias("n"))
 
 
@@ -234,7 +241,7 @@ def worst_frames(spark, d, n: int = 50):
     """The frames least likely under one Gaussian, a top-n report."""
     rows = frames(spark, d)
     g = rows.agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"))  # one row
-    ll = -0.5 * (F.ln(2 * F.pi() * F.col("v")) + (F.col("x") - F.col("m")) * (F.col("x") - F.col("m")) / F.col("v"))
+    ll = gaussian("x", "m", "v")
     return rows.join(F.broadcast(g)).select("series_id", "t", _round(ll, "ll")).orderBy("ll", "series_id", "t").limit(n)
 
 
@@ -250,11 +257,11 @@ def model_selection(spark, d):
     """AIC, AICc, BIC and MDL of a one-state model for each class; parameters by 2 * states * dims + 2 * states - 3."""
     v = dims(frames(spark, d))
     k = v.groupBy("tag", "dim").agg(F.avg("x").alias("m"), F.greatest(F.var_pop("x"), F.lit(1e-6)).alias("s"))
-    one = -0.5 * (F.ln(2 * F.pi() * F.col("s")) + (F.col("x") - F.col("m")) * (F.col("x") - F.col("m")) / F.col("s"))
+    one = gaussian("x", "m", "s")
     ll = v.join(k, ["tag", "dim"]).groupBy("tag").agg((F.count("*") / 3).alias("n"), F.sum(one).alias("ll"))
     p = 2 * 1 * 3 + 2 * 1 - 3
     n, ll_ = F.col("n"), F.col("ll")
-    return ll.select("tag", F.lit(p).alias("params"), F.round(2.0 * p - 2 * ll_, 4).alias("aic"), F.round(2.0 * p - 2 * ll_ + 2.0 * p * (p + 1) / (n - p - 1), 4).alias("aicc"), F.round(-2 * ll_ + p * F.ln(n), 4).alias("bic"), F.round(-ll_ + p / 2 * F.ln(n), 4).alias("mdl"))
+    return ll.select("tag", F.lit(p).alias("params"), F.round(2.0 * p - 2 * ll_, 4).alias("aic"), F.round(2.0 * p - 2 * ll_ + F.try_divide(F.lit(2.0 * p * (p + 1)), n - p - 1), 4).alias("aicc"), F.round(-2 * ll_ + p * F.ln(n), 4).alias("bic"), F.round(-ll_ + p / 2 * F.ln(n), 4).alias("mdl"))
 
 
 SPOTS = """cg AS (SELECT tag, avg(x) AS mx, var_pop(x) AS vx, avg(h) AS mh, var_pop(h) AS vh FROM fr GROUP BY tag),
@@ -264,13 +271,12 @@ pi AS (SELECT series_id, t, tag, t - row_number() OVER (PARTITION BY series_id,
 
 
 def spots(rows: DataFrame) -> DataFrame:
-    """Detections to be scored: runs of frames that one class's Gaussian explains best."""
+    """Detections to be scored: runs of frames that one class's Gaussian explains best. A class without variance explains none."""
     g = rows.groupBy("tag").agg(F.avg("x").alias("mx"), F.var_pop("x").alias("vx"), F.avg("h").alias("mh"), F.var_pop("h").alias("vh")).withColumnRenamed("tag", "c")  # a row a class
-    one = lambda v, m, s: -0.5 * (F.ln(2 * F.pi() * F.col(s)) + (F.col(v) - F.col(m)) * (F.col(v) - F.col(m)) / F.col(s))
-    met = rows.select("series_id", "t", "x", "h").join(F.broadcast(g)).select("series_id", "t", "c", F.round(one("x", "mx", "vx") + one("h", "mh", "vh"), 9).alias("ll"))
+    met = rows.select("series_id", "t", "x", "h").join(F.broadcast(g)).select("series_id", "t", "c", F.round(gaussian("x", "mx", "vx") + gaussian("h", "mh", "vh"), 9).alias("ll"))
     best = met.groupBy("series_id", "t").agg(F.max("ll").alias("top"), F.collect_list(F.struct("ll", "c")).alias("all"))
     tag = F.array_min(F.transform(F.filter("all", lambda r: r.ll == F.col("top")), lambda r: r.c))
-    return runs(best.select("series_id", "t", tag.alias("tag")))
+    return runs(best.select("series_id", "t", tag.alias("tag")).where("tag is not null"))
 
 
 MATCHED = f"WITH {MARKUP}, {SPOTS}, m AS (SELECT a.series_id, a.tag AS truth, b.tag AS found, a.start AS a1, a.stop AS a2, b.start AS b1, b.stop AS b2 FROM mk a JOIN sp b ON a.series_id = b.series_id AND a.start < b.stop AND b.start < a.stop)"
@@ -295,7 +301,7 @@ c AS (SELECT truth AS tag, count(DISTINCT (series_id, a1)) AS correct, count(DIS
 
 @query("event_scores", f"{EVENTS} SELECT tag, coalesce(correct, 0) AS correct, labels - coalesce(correct, 0) AS deleted, coalesce(spots, 0) - coalesce(right_spots, 0) AS inserted, round(coalesce(correct, 0) / labels, 6) AS recall, round(coalesce(right_spots, 0) / spots, 6) AS precision, round((labels - (labels - coalesce(correct, 0)) - (coalesce(spots, 0) - coalesce(right_spots, 0))) / labels, 6) AS accuracy FROM n LEFT JOIN c USING (tag) LEFT JOIN s USING (tag)")
 def event_scores(spark, d):
-    """Correct, inserted and deleted events of each class: a detection is right if it shares half of the shorter of it and a label of its class."""
+    """Correct, inserted and deleted events of each class: a detection is right if it shares half of the shorter of it and a label of its class. A class that is never detected has no precision."""
     m = markup(spark, d)
     found = spots(frames(spark, d))
     same = matched(m, found).where("truth = found and 2 * (least(a2, b2) - greatest(a1, b1)) >= least(a2 - a1, b2 - b1)")
@@ -304,8 +310,8 @@ def event_scores(spark, d):
     out = m.groupBy("tag").agg(F.count("*").alias("labels"))
     for part in (found.groupBy("tag").agg(F.count("*").alias("spots")), hits, right):
         out = out.join(part, "tag", "left")
-    out = out.fillna(0, ["correct", "right_spots", "spots"])
-    inserted = F.col("spots") - F.col("right_spots")
+    out = out.fillna(0, ["correct", "right_spots"])
+    inserted = F.coalesce("spots", F.lit(0)) - F.col("right_spots")
     return out.select("tag", "correct", (F.col("labels") - F.col("correct")).alias("deleted"), inserted.alias("inserted"), F.round(F.col("correct") / F.col("labels"), 6).alias("recall"), F.round(F.col("right_spots") / F.col("spots"), 6).alias("precision"), F.round((F.col("correct") - inserted) / F.col("labels"), 6).alias("accuracy"))
 
 
@@ -316,7 +322,7 @@ def score_distribution(spark, d):
     g = rows.groupBy("tag").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     by = Window.partitionBy("series_id", "tag").orderBy("t")
     cut = rows.withColumn("g", F.col("t") - F.row_number().over(by)).join(g, "tag")
-    one = -0.5 * (F.ln(2 * F.pi() * F.col("v")) + (F.col("x") - F.col("m")) * (F.col("x") - F.col("m")) / F.col("v"))
+    one = gaussian("x", "m", "v")
     e = cut.groupBy("tag", "series_id", "g").agg(F.avg(one).alias("s"))
     return e.groupBy("tag").agg(F.count("*").alias("n"), _round(F.avg("s"), "mean"), _round(F.var_samp("s"), "var"))
 

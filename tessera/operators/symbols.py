@@ -72,7 +72,7 @@ def guard(counts: DataFrame, parts: int = PARTS) -> DataFrame:
     for columns in range(2, parts + 1):
         n = projected(counts, parts, columns).groupBy("round", "key").agg(F.sum("n").alias("n"))
         per = n.groupBy("round").agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("pairs"), F.sum("n").alias("k"))
-        part = per.agg(F.max("pairs").alias("pairs"), F.max(F.col("pairs") / (F.col("k") * (F.col("k") - 1) / 2)).alias("share")).withColumn("columns", F.lit(columns))
+        part = per.agg(F.max("pairs").alias("pairs"), F.max(F.try_divide("pairs", F.col("k") * (F.col("k") - 1) / 2)).alias("share")).withColumn("columns", F.lit(columns))
         out = part if out is None else out.unionByName(part)
     return out
 

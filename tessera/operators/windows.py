@@ -165,7 +165,7 @@ def extract_labelled(spark, d):
 def minmax_normalise(spark, d):
     rows = frames(spark, d)
     m = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # one row
-    return rows.join(F.broadcast(m)).select("series_id", "t", F.round((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("x"))
+    return rows.join(F.broadcast(m)).select("series_id", "t", F.round(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), 6).alias("x"))
 
 
 @query("not_finite", f"WITH {FRAMES}, z AS (SELECT series_id, t, CASE WHEN t % 50 = 7 THEN 'NaN'::DOUBLE WHEN t % 50 = 9 THEN 'Infinity'::DOUBLE ELSE x END AS x FROM fr) SELECT series_id, t, isnan(x) AS is_nan FROM z WHERE isnan(x) OR isinf(x)")

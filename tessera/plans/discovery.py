@@ -24,7 +24,7 @@ from tessera.operators.spans import coalesce, complement, whole
 from tessera.operators.stats import silence, worst_frames
 from tessera.operators.symbols import HASHED, SAX, entries, guarded_columns, hashed, letters, mdl, sax, swept, top_collision, warped, word_counts
 from tessera.operators.windows import WINDOW8, sliding
-from tessera.plans.rounds import checkpointed
+from tessera.plans.rounds import checkpointed, written
 from tessera.sources.frames import frames
 
 SIZE = 8
@@ -175,7 +175,7 @@ def affix_step(rows: DataFrame, motifs: DataFrame, share: float = AFFIX_SHARE) -
     s = open_.groupBy("series_id").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("s"))
     step = lambda a, x: F.when((F.size(a) == 0) | (x.start >= F.element_at(a, -1).start + F.element_at(a, -1).len), F.concat(a, F.array(x))).otherwise(a)
     new = s.select("series_id", F.explode(F.aggregate("s", none, step)).alias("x")).select(F.lit(best["m1"]).alias("motif"), F.lit(joined).alias("hash"), F.lit(0.0).alias("mdl"), "series_id", "x.start", "x.len")
-    return checkpointed(rest.unionByName(new))
+    return written(rest.unionByName(new))
 
 
 def member_vectors(rows: DataFrame, motifs: DataFrame, size: int) -> DataFrame:
@@ -194,7 +194,7 @@ def split_step(rows: DataFrame, motifs: DataFrame, size: int = 6, gap: float = S
     The clusters are those of at most `sample` occurrences of each motif, the ones with the least hashes; every other
     occurrence goes to the part whose mean is nearer.
     """
-    members = checkpointed(member_vectors(rows, motifs, size))
+    members = written(member_vectors(rows, motifs, size))
     order = Window.partitionBy("motif").orderBy(F.xxhash64("id"), "id")
     some = members.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
 
@@ -216,13 +216,13 @@ def split_step(rows: DataFrame, motifs: DataFrame, size: int = 6, gap: float = S
             return none
         return pd.DataFrame({"motif": g["motif"].iloc[0], "part": [0, 1], "mean": [x[a].mean(0), x[b].mean(0)]})
 
-    parts = checkpointed(some.select("motif", "id", "v").groupBy("motif").applyInPandas(each, "motif int, part int, mean array<double>"))
+    parts = written(some.select("motif", "id", "v").groupBy("motif").applyInPandas(each, "motif int, part int, mean array<double>"))
     means = F.broadcast(parts.groupBy("motif").agg(F.sort_array(F.collect_list(F.struct("part", "mean"))).alias("means")))  # a row a motif
     near = members.join(means, "motif").select("motif", "id", F.array_position(F.transform("means", lambda m: squared_distance(F.col("v"), m.mean)), F.array_min(F.transform("means", lambda m: squared_distance(F.col("v"), m.mean)))).alias("part"))
     most = F.broadcast(motifs.agg((F.max("motif") + 1).alias("most")))
     moved = near.where("part = 2").join(most).select("id", (F.col("motif") + F.col("most")).cast("int").alias("new"))
     out = motifs.withColumn("id", packed("series_id", "start")).join(moved, "id", "left")
-    return checkpointed(out.withColumn("motif", F.coalesce("new", "motif")).drop("id", "new"))
+    return written(out.withColumn("motif", F.coalesce("new", "motif")).drop("id", "new"))
 
 
 def motif_distances(members: DataFrame) -> DataFrame:
@@ -257,14 +257,14 @@ def merge_step(rows: DataFrame, motifs: DataFrame, size: int = 6, a: float = 50.
     moved = {m: to for m, to in into.items() if m != to}
     if not moved:
         return motifs
-    return checkpointed(motifs.withColumn("motif", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in moved.items() for x in kv]), F.col("motif")), "motif")))
+    return written(motifs.withColumn("motif", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in moved.items() for x in kv]), F.col("motif")), "motif")))
 
 
-def grow_step(rows: DataFrame, motifs: DataFrame, limit: float = 0.0) -> DataFrame | None:
-    """motifs, each longer by one frame on its better side, if that side is free for all its occurrences and its values vary less there than at its own places; None if none grows.
+def growths(rows: DataFrame, motifs: DataFrame) -> DataFrame:
+    """motif, side (front or back) and z of every growth by one frame that is open to all occurrences of a motif.
 
-    How much they vary: the variance over occurrences against the mean and deviation of those at the motif's places, in
-    deviations, added over dimensions.
+    z says how much values vary there: the variance over occurrences against the mean and deviation of those at the motif's
+    own places, in deviations, added over dimensions.
     """
     taken = motifs.select("series_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("t")).distinct().withColumn("taken", F.lit(True))
     reach = motifs.select("motif", "series_id", "start", "len", F.explode(F.sequence(F.lit(-1), F.col("len"))).alias("o")).withColumn("t", F.col("start") + F.col("o"))
@@ -274,27 +274,62 @@ def grow_step(rows: DataFrame, motifs: DataFrame, limit: float = 0.0) -> DataFra
     var = long.groupBy("motif", "side", "o", "dim").agg(F.var_pop("x").alias("v"), F.count(F.when((F.col("side") != "own") & F.col("taken"), 1)).alias("barred"), F.count("*").alias("n"))
     own = var.where("side = 'own'").groupBy("motif", "dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     ends = var.where("side <> 'own' and barred = 0").join(own, ["motif", "dim"]).join(motifs.groupBy("motif").agg(F.count("*").alias("all")), "motif").where("n = all and n > 1 and s > 0")
-    z = ends.groupBy("motif", "side").agg((F.sum((F.col("v") - F.col("m")) / F.col("s")) / F.sqrt(F.count("*").cast("double"))).alias("z"))
-    best = checkpointed(z.where(F.col("z") < limit).groupBy("motif").agg(F.min_by("side", F.struct("z", "side")).alias("side")))
+    return ends.groupBy("motif", "side").agg(F.round(F.sum(F.try_divide(F.col("v") - F.col("m"), "s")) / F.sqrt(F.count("*").cast("double")), 9).alias("z"))
+
+
+def claims(motifs: DataFrame, grown: DataFrame) -> DataFrame:
+    """motif, side, z, series_id and t: the frame that each growth would take from each occurrence of its motif."""
+    at = F.when(F.col("side") == "front", F.col("start") - 1).otherwise(F.col("start") + F.col("len"))
+    return motifs.join(grown, "motif").select("motif", "side", "z", "series_id", at.alias("t"))
+
+
+def settled(claimed: DataFrame) -> DataFrame:
+    """motif and side of growths of which no better one, by z, motif and side, wants a frame or the same motif: no two of them claim one frame, and the best of all is among them."""
+    place = F.struct("z", "motif", "side")
+    first = claimed.groupBy("series_id", "t").agg(F.min(place).alias("f"))  # of a frame, its first claim
+    own = claimed.select("motif", "side", "z").distinct().groupBy("motif").agg(F.min(place).alias("m"))
+    beaten = claimed.join(first, ["series_id", "t"]).where(place > F.col("f")).select("motif", "side").distinct()
+    best = own.select("m.motif", "m.side")
+    return best.join(beaten, ["motif", "side"], "left_anti")
+
+
+def grow_step(rows: DataFrame, motifs: DataFrame, limit: float = 0.0, one: bool = False) -> DataFrame | None:
+    """motifs, some of them longer by one frame; None if none may grow: no side has z below `limit`.
+
+    The best growth of all is taken, and with it (but for one=True) every other that no better one stands against, so
+    that no frame is taken twice.
+    """
+    open_ = written(claims(motifs, growths(rows, motifs).where(F.col("z") < limit)))
+    if one:
+        best = open_.orderBy("z", "motif", "side").select("motif", "side").limit(1)
+    else:
+        best = settled(open_)
+    best = written(best)
     if best.isEmpty():
         return None
-    out = motifs.join(F.broadcast(best), "motif", "left")
+    out = motifs.join(F.broadcast(best), "motif", "left")  # a row a motif at most
     front = F.when(F.col("side") == "front", 1).otherwise(0)
     grown = out.withColumn("start", (F.col("start") - front).cast("int")).withColumn("len", (F.col("len") + F.col("side").isNotNull().cast("int")).cast("int"))
-    return checkpointed(grown.select(*motifs.columns))
+    return written(grown.select(*motifs.columns))
+
+
+def grown(rows: DataFrame, motifs: DataFrame, limit: float = 0.0, steps: int | None = None) -> DataFrame:
+    """Motifs grown until none may grow, or for a number of steps."""
+    for _ in range(steps) if steps is not None else count():
+        if (new := grow_step(rows, motifs, limit)) is None:
+            break
+        motifs = new
+    return motifs
 
 
-def _steps(spark, d, *, split: bool = False, merge: bool = False, affix: bool = False, grow: int = 0) -> DataFrame:
-    rows = checkpointed(frames(spark, d))
-    m = checkpointed(hash_rounds(rows))
+def _steps(spark, d, *, split: bool = False, merge: bool = False, affix: bool = False, grow: bool = False) -> DataFrame:
+    rows = written(frames(spark, d))
+    m = written(hash_rounds(rows))
     m = split_step(rows, m) if split else m
     m = merge_step(rows, m) if merge else m
     while affix and (new := affix_step(rows, m)) is not None:
         m = new
-    for _ in range(grow):
-        if (new := grow_step(rows, m)) is None:
-            break
-        m = new
+    m = grown(rows, m) if grow else m
     return m.select("motif", "hash", "series_id", "start", "len")
 
 
@@ -318,14 +353,14 @@ def affix_motifs(spark, d):
 
 @query("grow_motifs")
 def grow_motifs(spark, d):
-    """Hashed motifs, grown frame by frame where their occurrences agree."""
-    return _steps(spark, d, grow=4)
+    """Hashed motifs, grown frame by frame where their occurrences agree, the best growth first, until none is left."""
+    return _steps(spark, d, grow=True)
 
 
 @query("auto_pipeline")
 def auto_pipeline(spark, d):
     """Discovery, split, merge, affix and growth, one after another."""
-    return _steps(spark, d, split=True, merge=True, affix=True, grow=2)
+    return _steps(spark, d, split=True, merge=True, affix=True, grow=True)
 
 
 @query("density_seeds", f"{OPTIMA.replace('WITH ', 'WITH RECURSIVE ', 1)}, ls AS (SELECT {AT}, dist FROM lo), {greedy_sql('ls', size=2)} SELECT series_id, start::INT AS start, round(dist, 5) AS dist FROM taken JOIN ls USING (series_id, start)")
@@ -569,4 +604,4 @@ def motif_radius(spark, d):
     far = own.join(first, "hash").select("hash", "id", "v", F.round(dist, 6).alias("dist"))
     second = far.groupBy("hash").agg(F.max_by("v", F.struct("dist", (-F.col("id")).alias("i"))).alias("f"))
     r = own.join(second, "hash").groupBy("hash").agg(F.count("*").alias("n"), (F.max(dist) / 2).alias("radius"))
-    return r.select("hash", "n", F.round("radius", 5).alias("radius"), F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.col("n") / F.col("radius"), 6)).alias("density"))
+    return r.select("hash", "n", F.round("radius", 5).alias("radius"), F.when(F.col("n") < 2, 0.0).otherwise(F.round(F.try_divide("n", "radius"), 6)).alias("density"))

@@ -241,7 +241,7 @@ def example_scores(spark, d) -> tuple[DataFrame, DataFrame]:
     found = checkpointed(decode(rows, *built(class_models(e), e)))
     at = rows.join(found.select("series_id", F.col("tag").alias("found"), "start", "stop"), "series_id").where("t >= start and t < stop")
     z = scored(at.select("series_id", F.col("found").alias("tag"), "start", "t", "x", "h")).join(F.broadcast(own), "tag")
-    return found, z.select("series_id", "tag", "start", ((F.col("s") - F.col("m")) / F.col("sd")).alias("z"))
+    return found, z.select("series_id", "tag", "start", F.try_divide(F.col("s") - F.col("m"), "sd").alias("z"))
 
 
 @query("rescored_spots")
@@ -445,13 +445,20 @@ def merge_groups_complete(spark, d):
     return _merges(spark, d, "complete")
 
 
+def _welch() -> tuple[Column, Column]:
+    """Welch's t and its degrees of freedom from means, variances and counts of two samples; null where they have no variance or too few members."""
+    a, b = F.try_divide("v0", "n0"), F.try_divide("v1", "n1")
+    within = F.try_divide(a * a, F.col("n0") - 1) + F.try_divide(b * b, F.col("n1") - 1)
+    return F.try_divide(F.col("m0") - F.col("m1"), F.sqrt(a + b)), F.try_divide((a + b) * (a + b), within)
+
+
 @query("growth_test", f"WITH {MARKUP}, e AS (SELECT m.tag, f.x, (f.t - m.start) AS o FROM mk m JOIN fr f ON f.series_id = m.series_id AND f.t >= m.start AND f.t < m.stop), s AS (SELECT tag, avg(x) FILTER (o = 0) AS m0, var_samp(x) FILTER (o = 0) AS v0, count(*) FILTER (o = 0) AS n0, avg(x) FILTER (o > 0) AS m1, var_samp(x) FILTER (o > 0) AS v1, count(*) FILTER (o > 0) AS n1 FROM e GROUP BY tag) SELECT tag, round((m0 - m1) / sqrt(v0 / n0 + v1 / n1), 5) AS t FROM s")
 def growth_test(spark, d):
     """Welch's t of the first frames of examples against the rest, from moments by one grouping."""
     e = examples(frames(spark, d))
     first, rest = F.when(F.col("o") == 0, F.col("x")), F.when(F.col("o") > 0, F.col("x"))
     s = e.groupBy("tag").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate((first, rest)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
-    return s.select("tag", F.round((F.col("m0") - F.col("m1")) / F.sqrt(F.col("v0") / F.col("n0") + F.col("v1") / F.col("n1")), 5).alias("t"))
+    return s.select("tag", F.round(_welch()[0], 5).alias("t"))
 
 
 @query("growth_accepted")
@@ -460,13 +467,12 @@ def growth_accepted(spark, d, level: float = 0.05):
     e = examples(frames(spark, d))
     first, rest = F.when(F.col("o") == 0, F.col("x")), F.when(F.col("o") > 0, F.col("x"))
     s = e.groupBy("tag").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate((first, rest)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
-    a, b = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
-    df = (a + b) * (a + b) / (a * a / (F.col("n0") - 1) + b * b / (F.col("n1") - 1))
-    s = s.select("tag", ((F.col("m0") - F.col("m1")) / F.sqrt(a + b)).alias("t"), df.alias("df"))
+    t, df = _welch()
+    s = s.select("tag", t.alias("t"), df.alias("df"))
 
     @F.pandas_udf("double")
     def tail(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([hmm.t_tail(x, n) if np.isfinite(x) and np.isfinite(n) else np.nan for x, n in zip(t, df)])
+        return pd.Series([hmm.t_tail(x, n) if np.isfinite(x) and np.isfinite(n) else None for x, n in zip(t, df)], dtype=object)
 
     return s.withColumn("p", tail("t", "df")).withColumn("accepted", F.col("p") >= level)
 
@@ -477,7 +483,8 @@ def state_means_scaled(spark, d):
     rows = frames(spark, d)
     lim = rows.select(F.posexplode(F.array("x", "h")).alias("dim", "v")).groupBy("dim").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     m = class_models(examples(rows)).join(lim, "dim")
-    level = F.least(F.greatest((F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
+    level = F.try_divide(F.col("mean") - F.col("lo"), F.col("hi") - F.col("lo"))
+    level = F.when(level.isNotNull(), F.least(F.greatest(level, F.lit(0.0)), F.lit(1.0)))
     return m.select("tag", "state", "dim", F.round(level, 5).alias("level"))
 
 

@@ -215,6 +215,77 @@ def test_grow(spark):
     assert discovery.grow_step(rows, full, 1e9) is None
 
 
+def plain_growths(x, motifs, limit):
+    """(z, motif, side, frames claimed) of every open growth below the limit, by hand. x: series to arrays (frames, dims); motifs: to lists of (series, start, len)."""
+    taken = {(s, t) for occs in motifs.values() for s, a, n in occs for t in range(a, a + n)}
+    out = []
+    for m, occs in motifs.items():
+        own = np.array([x[s][a : a + n] for s, a, n in occs]).var(0)
+        if len(occs) < 2 or (own.std(0) <= 0).any():
+            continue
+        for side in ("back", "front"):
+            at = [(s, a - 1 if side == "front" else a + n) for s, a, n in occs]
+            if all(0 <= t < len(x[s]) and (s, t) not in taken for s, t in at):
+                z = ((np.array([x[s][t] for s, t in at]).var(0) - own.mean(0)) / own.std(0)).sum() / np.sqrt(own.shape[1])
+                if round(z, 9) < limit:
+                    out.append((round(z, 9), m, side, set(at)))
+    return sorted(out, key=lambda g: g[:3])
+
+
+def plain_grow(x, motifs, limit, one):
+    """One step of growth: the best of all, or all that no better one wants a frame or the motif of."""
+    open_ = plain_growths(x, motifs, limit)
+    new = dict(motifs)
+    for k, (_, m, side, at) in enumerate(open_):
+        if not any(m == other or at & theirs for _, other, _, theirs in open_[:k]) and (not one or k == 0):
+            new[m] = [(s, a - (side == "front"), n + 1) for s, a, n in motifs[m]]
+    return new if open_ else None
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("one", [False, True])
+def test_growth_takes_no_frame_twice(spark, seed, one):
+    """Random motifs that stand close together, with a limit that lets all grow: each step is that of brute force, and no frame is ever in two occurrences."""
+    rng = np.random.default_rng(seed)
+    x = {s: np.round(rng.normal(0, 5, (60, 2)), 3) for s in range(3)}
+    rows = spark.createDataFrame([(s, t, float(a), float(b)) for s, v in x.items() for t, (a, b) in enumerate(v)], "series_id long, t int, x double, h double").cache()
+    motifs = {m: [] for m in range(4)}
+    for s in x:
+        at = 1
+        while at < 54:
+            motifs[int(rng.integers(0, 4))].append((s, at, 4))
+            at += 4 + int(rng.integers(1, 4))
+    table = lambda m: spark.createDataFrame([(k, s, a, n) for k, occs in m.items() for s, a, n in occs], "motif int, series_id long, start int, len int")
+    now, df, limit = motifs, table(motifs), 1e9 if seed % 2 else 0.5
+    for _ in range(4 if one else 6):
+        now, df = plain_grow(x, now, limit, one), discovery.grow_step(rows, df, limit, one)
+        if now is None:
+            assert df is None
+            break
+        got = sorted((r.motif, r.series_id, r.start, r.len) for r in df.collect())
+        assert got == sorted((k, *o) for k, occs in now.items() for o in occs)
+        frames = [(s, t) for _, s, a, n in got for t in range(a, a + n)]
+        assert len(frames) == len(set(frames))
+
+
+def test_growth_to_the_end(spark):
+    """Two motifs with one free frame between their occurrences: the better one takes it, and the other stays."""
+    rng = np.random.default_rng(1)
+    line = rng.normal(0, 9, 30)
+    rows, occs = [], []
+    for s in range(6):
+        v = line + rng.normal(0, 1, 30) * (1 + np.arange(30) % 2)
+        v[10] = line[10] + rng.normal(0, 0.01)
+        rows += [(s, t, float(a), float(a)) for t, a in enumerate(v)]
+        occs += [(0, s, 5, 5), (1, s, 11, 5)]
+    frames = spark.createDataFrame(rows, "series_id long, t int, x double, h double")
+    got = discovery.grown(frames, spark.createDataFrame(occs, "motif int, series_id long, start int, len int"), 1e9)
+    by = {m: {(r.start, r.len) for r in got.where(f"motif = {m}").collect()} for m in (0, 1)}
+    assert all(len(x) == 1 for x in by.values())
+    (a, n), (b, k) = by[0].pop(), by[1].pop()
+    assert a == 0 and b + k == 30 and a + n == b
+
+
 def test_mixture_fit(spark):
     rng = np.random.default_rng(9)
     v = np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(12, 2, (100, 2))])

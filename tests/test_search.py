@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessera.functions.dtw import banded
 from tessera.operators import neighbours, search
 from tests.test_functions import plain_dtw
 
@@ -42,9 +43,11 @@ def test_ids_do_not_clash(spark, made):
     assert sorted(r.id for r in search.windows(rows).collect()) == sorted(ids) and len(set(ids)) == len(ids)
 
 
-@pytest.mark.parametrize("rows_at_a_time", [20_000, 7])
-def test_nearest(spark, made, monkeypatch, rows_at_a_time):
-    monkeypatch.setattr(search, "QUERY_ROWS", rows_at_a_time)
+@pytest.mark.parametrize("limits", [{}, {"SLICE_ROWS": 20, "BLOCK_ROWS": 64, "PIVOTS": 5, "SAMPLE_ROWS": 40}, {"PIVOTS": 1, "SAMPLE_ROWS": 2}])
+def test_nearest(spark, made, monkeypatch, limits):
+    """However cells, blocks and slices are cut, the rows are those of brute force."""
+    for name, value in limits.items():
+        monkeypatch.setattr(search, name, value)
     rows, ids, v = made
     got = {}
     for r in neighbours.window_knn(rows).collect():
@@ -119,3 +122,61 @@ def test_pair_stats(made):
         for g in range(3):
             every.setdefault((ids[i] % 3, g), []).extend(distances(v, i)[ok & (ids % 3 == g)])
     assert got == {k: pytest.approx((len(x), min(x), np.mean(x), max(x))) for k, x in every.items()}
+
+
+def sloped_dtw(a, b, share=0.1):
+    """Warping of two lengths, cell by cell: place i of the longer meets places within the reach of i laid along the shorter."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    n, m = len(a), len(b)
+    r = max(1, int(share * n))
+    table = np.full((n + 1, m + 1), np.inf)
+    table[0, 0] = 0
+    for i in range(n):
+        for j in range(m):
+            if abs(i * (m - 1) / max(n - 1, 1) - j) <= r + 1e-9:
+                table[i + 1, j + 1] = (a[i] - b[j]) ** 2 + min(table[i, j], table[i, j + 1], table[i + 1, j])
+    return table[n, m]
+
+
+def test_warping_of_two_lengths():
+    rng = np.random.default_rng(4)
+    for n, m in [(8, 8), (6, 10), (10, 6), (5, 9), (30, 21), (1, 4), (7, 1), (40, 20)]:
+        a, b = rng.normal(0, 1, (5, n)), rng.normal(0, 1, (5, m))
+        got = banded(a, b)
+        assert np.allclose(got, [sloped_dtw(x, y) for x, y in zip(a, b)]) and np.allclose(got, banded(b, a)) and np.isfinite(got).all()
+        measure = search.Warped()
+        far = measure.warp(np.repeat(a, 5, 0), np.tile(b, (5, 1))).reshape(5, 5)
+        assert (measure.bound(a, b) / max(n, m) <= far + 1e-9).all() and (measure.upper(a, b) >= far - 1e-9).all()
+        cell = search.Cell(b[0], 5, np.sqrt(((b - b[0]) ** 2).sum(1)).max(), b.min(0), b.max(0))
+        assert (measure.least(a, cell) <= far.min(1) + 1e-9).all()
+        if n == m:
+            for metric in (search.Euclid(), search.Euclid(root=False)):
+                assert (metric.least(a, cell) <= metric(a, b).min(1) + 1e-9).all()
+
+
+@pytest.mark.parametrize("limits", [{}, {"SLICE_ROWS": 5, "BLOCK_ROWS": 50, "PIVOTS": 4, "SAMPLE_ROWS": 30}])
+def test_windows_of_several_lengths(spark, monkeypatch, limits):
+    """Neighbours of any of three lengths, nearest first, none of which overlaps the query or another, by brute force."""
+    for name, value in limits.items():
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(9)
+    x = {s: np.round(rng.normal(0, 10, n), 2) for s, n in [(0, 90), (1, 70), (2, 9), (3, 4)]}
+    for s, at, n in [(0, 50, 10), (1, 0, 8), (1, 40, 6), (0, 10, 10)]:  # one shape, stretched
+        x[s][at : at + n] = np.interp(np.linspace(0, 7, n), np.arange(8), [0, 30, -20, 40, 10, -30, 20, 0])
+    frames = spark.createDataFrame([(s, t, float(v)) for s, y in x.items() for t, v in enumerate(y)], "series_id long, t int, x double")
+    sizes = (6, 8, 10)
+    every = [(s * SHIFT + t, n) for s, y in x.items() for n in sizes for t in range(len(y) - n + 1)]
+    value = lambda w: x[w[0] // SHIFT][w[0] % SHIFT :][: w[1]]
+    apart = lambda a, b: a[0] // SHIFT != b[0] // SHIFT or a[0] + a[1] <= b[0] or b[0] + b[1] <= a[0]
+    got = {}
+    for r in neighbours.disjoint_any(frames, sizes).orderBy("id", "len", "rank").collect():
+        got.setdefault((r.id, r.len), []).append(((r.nbr, r.nbr_len), r.dist))
+    asks = [w for w in every if w[0] % 50 == 0]
+    assert set(got) == set(asks)
+    for w in asks:
+        order = sorted((sloped_dtw(value(w), value(o)) / max(w[1], o[1]), o) for o in every if apart(w, o))
+        want = []
+        for dist, o in order:
+            if len(want) < 3 and all(apart(o, p) for p, _ in want):
+                want.append((o, pytest.approx(dist)))
+        assert got[w] == want
