@@ -180,6 +180,57 @@ def viterbi_many(model: Hmm, xs: list[np.ndarray], block: int = 64) -> tuple[lis
     return paths, scores
 
 
+def block_products(model: Hmm, blocks: list[np.ndarray], first: list[bool], many: int = 32) -> list[np.ndarray]:
+    """For each block of frames the best scores from every state before it to every state at its end (states, states); of a series' first block, the best scores of its last states (states,).
+
+    These multiply: sums in place of products and maxima in place of sums. Blocks of one length are worked on together.
+    """
+    out: list[np.ndarray] = [np.zeros(0)] * len(blocks)
+    kinds: dict[tuple[int, bool], list[int]] = {}
+    for i, (x, f) in enumerate(zip(blocks, first)):
+        kinds.setdefault((len(x), bool(f)), []).append(i)
+    for (size, start), own in kinds.items():
+        for at in range(0, len(own), many):
+            some = own[at : at + many]
+            e = model.emit(np.concatenate([blocks[i] for i in some])).reshape(len(some), size, 1, -1)
+            score = model.start + e[:, 0] if start else model.trans + e[:, 0]
+            for t in range(1, size):
+                score = (score[:, :, :, None] + model.trans).max(2) + e[:, t]
+            for i, s in zip(some, score):
+                out[i] = s[0] if start else s
+    return out
+
+
+def composed(products: list[np.ndarray]) -> tuple[list[np.ndarray], list[int], list[int], float]:
+    """From the products of a series' blocks in order: the scores of all states before each block (none before the first), the best path's state before each block (-1) and at its end, and its log likelihood."""
+    before, score = [np.zeros(0)], products[0]
+    for m in products[1:]:
+        before.append(score)
+        score = (score[:, None] + m).max(0)
+    state, enters, ends = int(score.argmax()), [-1] * len(products), [0] * len(products)
+    for b in range(len(products) - 1, -1, -1):
+        ends[b] = state
+        if b:
+            state = enters[b] = int((before[b] + products[b][:, state]).argmax())
+    return before, enters, ends, float(score.max())
+
+
+def viterbi_within(model: Hmm, x: np.ndarray, before: np.ndarray, end: int) -> np.ndarray:
+    """The best path through a block that ends in a given state, from the scores of all states before it; without any the block is a series' first."""
+    e = model.emit(x)
+    back = np.zeros(e.shape, np.int32)
+    score = (before[:, None] + model.trans).max(0) + e[0] if len(before) else model.start + e[0]
+    for t in range(1, len(x)):
+        step = score[:, None] + model.trans
+        back[t] = step.argmax(0)
+        score = step.max(0) + e[t]
+    path = np.empty(len(x), int)
+    path[-1] = end
+    for t in range(len(x) - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return path
+
+
 def forward_backward(model: Hmm, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """State probabilities of each frame, summed transition probabilities, and the log likelihood."""
     e, t_end = model.emit(x), len(x)

@@ -3,6 +3,7 @@
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.functions import dtw, hmm
@@ -168,3 +169,34 @@ def test_dim_groups():
     assert dim_groups("AB, C ab") == [[0, 1], [2], [26, 27]]
     with pytest.raises(ValueError):
         dim_groups("A1")
+
+
+def test_viterbi_in_blocks(spark, monkeypatch):
+    """The products of blocks give the path and the likelihood of one pass, for blocks of any size, on 10^6 frames of one series too."""
+    from tessera.plans import models
+
+    rng = np.random.default_rng(3)
+    one = lambda n: hmm.left_right([rng.normal(m, 2, (9, 2)) for m in (n, n + 3)], 3, np.full(2, 0.5), 0.7)
+    parts = [one(k) for k in (0, 4, 8)]
+    joint, _ = hmm.join(parts)
+    x = rng.normal(4, 4, (1000, 2))
+    path, ll = hmm.viterbi(joint, x)
+    for size in (1, 7, 250, 1000):
+        cut = [x[i : i + size] for i in range(0, 1000, size)]
+        before, enters, ends, total = hmm.composed(hmm.block_products(joint, cut, [i == 0 for i in range(len(cut))]))
+        got = np.concatenate([hmm.viterbi_within(joint, c, b, e) for c, b, e in zip(cut, before, ends)])
+        assert (got == path).all() and total == pytest.approx(ll) and enters == [-1, *ends[:-1]]
+    n = {0: 1_000_000, 1: 3, 2: 4096, 3: 4097}
+    values = {s: rng.normal(4, 4, (k, 2)).round(3) for s, k in n.items()}
+    frames = spark.createDataFrame(pd.DataFrame({"series_id": np.repeat(list(n), list(n.values())), "t": np.concatenate([np.arange(k) for k in n.values()]), "x": np.concatenate([v[:, 0] for v in values.values()]), "h": np.concatenate([v[:, 1] for v in values.values()])})).repartition(4)
+    paths, scores = hmm.viterbi_many(joint, list(values.values()))
+    owner, first = np.repeat([0, 1, 2], 3), np.tile([True, False, False], 3)
+    names = ["a", "b", "c"]
+    for size, series in ((4096, [0, 1, 2, 3]), (5, [1, 2])):
+        got = {}
+        for r in models.decode(frames.where(frames.series_id.isin(series)), names, parts, size).collect():
+            got.setdefault(r.series_id, []).append((r.start, r.stop, r.tag, r.ll))
+        for s in series:
+            want = [(a, b, names[m]) for m, a, b in hmm.segments(paths[s], owner, first)]
+            own = sorted(got[s])
+            assert [o[:3] for o in own] == want and own[0][3] == pytest.approx(scores[s])
