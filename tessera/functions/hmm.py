@@ -21,6 +21,28 @@ class Hmm:
         d = x[:, None, :] - self.mean
         return -0.5 * (np.log(2 * np.pi * self.var) + d * d / self.var).sum(2)
 
+    @classmethod
+    def stack(cls, models: list, trans: np.ndarray, start: np.ndarray, leave: np.ndarray) -> Hmm:
+        return cls(np.concatenate([m.mean for m in models]), np.concatenate([m.var for m in models]), trans, start, leave)
+
+
+@dataclass
+class Discrete:
+    """Chances of symbols, a row a state, by logarithms; log start, transition and leave probabilities."""
+
+    symbols: np.ndarray
+    trans: np.ndarray
+    start: np.ndarray
+    leave: np.ndarray
+
+    def emit(self, x: np.ndarray) -> np.ndarray:
+        """x: symbols by number, in the first column."""
+        return self.symbols[:, x[:, 0].astype(int)].T
+
+    @classmethod
+    def stack(cls, models: list, trans: np.ndarray, start: np.ndarray, leave: np.ndarray) -> Discrete:
+        return cls(np.concatenate([m.symbols for m in models]), trans, start, leave)
+
 
 def odd(n: int) -> int:
     return n + 1 if n % 2 == 0 else n
@@ -120,16 +142,16 @@ def background(mean: np.ndarray, var: np.ndarray, leave: float = 0.2) -> Hmm:
 
 def join(models: list[Hmm]) -> tuple[Hmm, np.ndarray]:
     """One model in which any model may follow any other, and the model of each of its states."""
-    owner = np.concatenate([np.full(len(m.mean), i) for i, m in enumerate(models)])
+    owner = np.concatenate([np.full(len(m.start), i) for i, m in enumerate(models)])
     n = len(owner)
     trans = np.full((n, n), -np.inf)
-    at = np.concatenate([[0], np.cumsum([len(m.mean) for m in models])])
+    at = np.concatenate([[0], np.cumsum([len(m.start) for m in models])])
     start = np.concatenate([m.start for m in models]) - np.log(len(models))
     leave = np.concatenate([m.leave for m in models])
     for i, m in enumerate(models):
         trans[at[i] : at[i + 1], at[i] : at[i + 1]] = m.trans
     trans = np.logaddexp(trans, leave[:, None] + start[None])
-    return Hmm(np.concatenate([m.mean for m in models]), np.concatenate([m.var for m in models]), trans, start, leave), owner
+    return models[0].stack(models, trans, start, leave), owner
 
 
 def parse_mixture(paths: list[Hmm], wide: Hmm) -> Hmm:
@@ -247,6 +269,15 @@ def forward_backward(model: Hmm, x: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.exp(a + b - total), moves, total
 
 
+def forward(model: Hmm | Discrete, x: np.ndarray) -> float:
+    """The log likelihood of x over all paths."""
+    e = model.emit(x)
+    a = model.start + e[0]
+    for t in range(1, len(e)):
+        a = np.logaddexp.reduce(a[:, None] + model.trans, axis=0) + e[t]
+    return float(np.logaddexp.reduce(a))
+
+
 def segments(path: np.ndarray, owner: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs of one model as (model, start, stop); entering a model's first state from its own last begins a new run."""
     out, begin = [], 0

@@ -93,36 +93,36 @@ def _arrays(column: pd.Series) -> list[np.ndarray]:
 BLOCK_FRAMES = 4096
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """series_id, block, t, x, h and first: the frames of each stretch of `size` of a series in one row."""
+def blocks(rows: DataFrame, size: int, columns: tuple[str, ...] = ("x", "h")) -> DataFrame:
+    """series_id, block, t, the columns, and first: the frames of each stretch of `size` of a series in one row."""
     by = rows.groupBy("series_id", F.floor(F.col("t") / size).alias("block"))
-    out = by.agg(F.sort_array(F.collect_list(F.struct("t", "x", "h"))).alias("p")).select("series_id", "block", *[F.col(f"p.{c}").alias(c) for c in ("t", "x", "h")])
+    out = by.agg(F.sort_array(F.collect_list(F.struct("t", *columns))).alias("p")).select("series_id", "block", *[F.col(f"p.{c}").alias(c) for c in ("t", *columns)])
     start = out.groupBy("series_id").agg(F.min("block").alias("least"))
-    return out.join(start, "series_id").select("series_id", "block", "t", "x", "h", (F.col("block") == F.col("least")).alias("first"))
+    return out.join(start, "series_id").select("series_id", "block", "t", *columns, (F.col("block") == F.col("least")).alias("first"))
 
 
-def _frames(g: pd.DataFrame) -> list[np.ndarray]:
-    return [np.column_stack([x, h]).astype(float) for x, h in zip(g["x"], g["h"])]
+def _frames(g: pd.DataFrame, columns: tuple[str, ...] = ("x", "h")) -> list[np.ndarray]:
+    return [np.column_stack(v).astype(float) for v in zip(*[g[c] for c in columns])]
 
 
-def aligned(rows: DataFrame, joint: hmm.Hmm, size: int) -> DataFrame:
+def aligned(rows: DataFrame, joint: hmm.Hmm | hmm.Discrete, size: int, columns: tuple[str, ...] = ("x", "h")) -> DataFrame:
     """Blocks with the best joint path's state before and at the end of each (enters, -1 at a series' first; ends), the scores of all states before it, and ll, the path's log likelihood.
 
     A block gives a matrix of best scores between states; a series' matrices are composed in order, so what one task has of a
     series is a matrix a block.
     """
     shared = rows.sparkSession.sparkContext.broadcast(joint)
-    own = checkpointed(blocks(rows, size))
+    own = checkpointed(blocks(rows, size, columns))
 
     def multiply(batches):
         for g in batches:
             for k in range(0, len(g), 64):
                 some = g.iloc[k : k + 64]
-                m = hmm.block_products(shared.value, _frames(some), some["first"].tolist())
+                m = hmm.block_products(shared.value, _frames(some, columns), some["first"].tolist())
                 yield pd.DataFrame({"series_id": some["series_id"], "block": some["block"], "m": [x.ravel() for x in m]})
 
     def compose(g: pd.DataFrame) -> pd.DataFrame:
-        g, k = g.sort_values("block"), len(shared.value.mean)
+        g, k = g.sort_values("block"), len(shared.value.start)
         m = [np.asarray(x) for x in g["m"]]
         before, enters, ends, ll = hmm.composed([m[0], *[x.reshape(k, k) for x in m[1:]]])
         return pd.DataFrame({"series_id": g["series_id"], "block": g["block"], "before": before, "enters": enters, "ends": ends, "ll": ll})
@@ -132,17 +132,17 @@ def aligned(rows: DataFrame, joint: hmm.Hmm, size: int) -> DataFrame:
     return own.join(met, ["series_id", "block"])
 
 
-def decode(rows: DataFrame, names: list[str], models: list[hmm.Hmm], size: int = BLOCK_FRAMES) -> DataFrame:
+def decode(rows: DataFrame, names: list[str], models: list[hmm.Hmm] | list[hmm.Discrete], size: int = BLOCK_FRAMES, columns: tuple[str, ...] = ("x", "h")) -> DataFrame:
     """series_id, tag, start, stop and ll: the best joint path of all models through each series, in blocks of `size` frames, so that one long series is decoded by many tasks."""
     joint, owner = hmm.join(models)
-    first = np.concatenate([np.arange(len(m.mean)) == 0 for m in models])
+    first = np.concatenate([np.arange(len(m.start)) == 0 for m in models])
     shared = rows.sparkSession.sparkContext.broadcast((joint, owner, first, names))
 
     def each(batches):
         joint, owner, first, names = shared.value
         for g in batches:
             out = []
-            for series, block, t, x, before, enters, end, ll in zip(g["series_id"], g["block"], g["t"], _frames(g), g["before"], g["enters"], g["ends"], g["ll"]):
+            for series, block, t, x, before, enters, end, ll in zip(g["series_id"], g["block"], g["t"], _frames(g, columns), g["before"], g["enters"], g["ends"], g["ll"]):
                 path = hmm.viterbi_within(joint, x, np.asarray(before), end)
                 last = np.concatenate([[enters], path[:-1]])
                 new = (owner[path] != owner[last]) | (first[path] & (path < last)) | (last < 0)
@@ -152,7 +152,7 @@ def decode(rows: DataFrame, names: list[str], models: list[hmm.Hmm], size: int =
                     out.append((series, block, None, None, None, int(t[-1]) + 1, ll))
             yield pd.DataFrame(out, columns=["series_id", "block", "tag", "start", "stop", "until", "ll"]).astype({"start": "Int32", "stop": "Int32"})
 
-    runs_ = checkpointed(aligned(rows, joint, size).mapInPandas(each, "series_id long, block long, tag string, start int, stop int, until int, ll double"))
+    runs_ = checkpointed(aligned(rows, joint, size, columns).mapInPandas(each, "series_id long, block long, tag string, start int, stop int, until int, ll double"))
     after = Window.partitionBy("series_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)  # a row a block
     per = runs_.groupBy("series_id", "block").agg(F.min("start").alias("s"), F.max("until").alias("until"))
     per = per.select("series_id", "block", F.coalesce(F.first("s", True).over(after), F.max("until").over(Window.partitionBy("series_id"))).alias("next"))
