@@ -131,15 +131,14 @@ def collision_pairs(spark, d):
     return word_collisions(word_counts(sax(frames(spark, d))))
 
 
-#: A window is barred by 2 * size - 1 others at most, so these first ones of each word hold the best pair.
-FIRST = 64
-
-
 def top_collision(words: DataFrame, size: int = 8, columns: int = 2) -> DataFrame:
-    """One row (series1, start1, series2, start2, hits): the pair of windows with most hits that do not overlap, the first by series and start."""
+    """One row (series1, start1, series2, start2, hits): the pair of windows with most hits that do not overlap, the first by series and start.
+
+    A window is barred by 2 * size - 1 others at most, itself among them, so the first 2 * size of each word hold the pair.
+    """
     pairs = word_collisions(word_counts(words), columns)
     order = Window.partitionBy("word").orderBy("series_id", "start")
-    first = words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= FIRST)
+    first = words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * size)
     one = first.select(F.col("word").alias("word1"), F.struct("series_id", "start").alias("w1"))
     two = first.select(F.col("word").alias("word2"), F.struct("series_id", "start").alias("w2"))
     levels = [r["hits"] for r in pairs.select("hits").distinct().orderBy(F.desc("hits")).collect()]  # at most one a round

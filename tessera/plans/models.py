@@ -17,7 +17,7 @@ from tessera.catalog import FRAMES, MARKUP, query
 from tessera.functions import hmm
 from tessera.functions.vectors import squared_distance
 from tessera.operators.stats import event_scores, frame_confusion, matched  # noqa: F401
-from tessera.plans.rounds import checkpointed
+from tessera.plans.rounds import checkpointed, written
 from tessera.sources.frames import frames, load, markup
 
 STATES = 2
@@ -469,23 +469,43 @@ def tree_clusters(spark, d, levels: int = 3):
     return rows.join(F.broadcast(best), "leaf").select(F.col("id").alias("vec_id"), F.col("leaf").alias("cluster"), (F.col("id") == F.col("best")).alias("prototype"))
 
 
+def linked(pairs: DataFrame, how: str) -> DataFrame:
+    """step, i, j and dist: merges of an agglomerative clustering from the distances of all pairs (l1 < l2, dist), clusters named by their least member.
+
+    Pairs that are each other's nearest are merged at the same time: for complete and average linkage later merges bring
+    no cluster nearer, so these merges, in order of their distances, are those of one after another. Any number of labels will do.
+    """
+    now, out = written(pairs.select("l1", "l2", F.col("dist").cast("double").alias("dist"), F.lit(1.0).alias("n1"), F.lit(1.0).alias("n2"))), None
+    while not now.isEmpty():
+        both = now.select(F.col("l1").alias("a"), F.col("l2").alias("b"), "dist").union(now.select("l2", "l1", "dist"))
+        near = both.groupBy("a").agg(F.min(F.struct("dist", "b")).alias("m")).select("a", "m.b", "m.dist")
+        back = near.select(F.col("a").alias("b"), F.col("b").alias("a"))
+        met = written(near.where("a < b").join(back, ["a", "b"]).select(F.col("a").alias("i"), F.col("b").alias("j"), "dist"))
+        out = met if out is None else out.unionByName(met)
+        into = [met.select(F.col("j").alias(f"l{k}"), F.col("i").alias(f"to{k}")) for k in (1, 2)]
+        moved = now.join(into[0], "l1", "left").join(into[1], "l2", "left")
+        moved = moved.select(F.coalesce("to1", "l1").alias("a"), F.coalesce("to2", "l2").alias("b"), "dist", "n1", "n2", "l1", "l2").where("a <> b")
+        flip = F.col("a") > F.col("b")
+        moved = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist", *[F.when(flip, y).otherwise(F.col(x)).alias(n) for n, x, y in (("n1", "n1", F.col("n2")), ("n2", "n2", F.col("n1")), ("l1", "l1", F.col("l2")), ("l2", "l2", F.col("l1")))])
+        far = F.max("dist") if how == "complete" else F.sum(F.col("dist") * F.col("n1") * F.col("n2")) / F.sum(F.col("n1") * F.col("n2"))
+        total = lambda k: F.sum(f"n{k}") / F.count_distinct(f"l{3 - k}")  # noqa: E731  each part is there once for every part of the other
+        now = written(moved.groupBy("a", "b").agg(far.alias("dist"), total(1).alias("n1"), total(2).alias("n2")).select(F.col("a").alias("l1"), F.col("b").alias("l2"), "dist", "n1", "n2"))
+    if out is None:
+        out = pairs.select(F.col("l1").alias("i"), F.col("l2").alias("j"), F.col("dist").cast("double").alias("dist"))
+    return out.withColumn("step", F.row_number().over(Window.orderBy("dist", "i", "j")) - 1).select("step", "i", "j", "dist")  # a row a label
+
+
 def _merges(spark, d, how: str):
-    """Merges of labels; average linkage starts from the mean squared distances of all pairs, complete linkage from the greatest distance of the query vectors of two labels to all vectors of the other."""
-    from tessera.operators.neighbours import group_distance, group_extremes
+    """Merges of labels; average linkage starts from the mean squared distances of all pairs, complete linkage from the greatest distance of all vectors of two labels."""
+    from tessera.operators.neighbours import group_distance, vectors
+    from tessera.operators.search import pair_stats
 
     if how == "average":
         found = group_distance(spark, d).select("l1", "l2", F.col("mean_ssd").alias("dist"))
     else:
-        found = group_extremes(spark, d).where("g1 <> g2").select(F.col("g1").cast("int").alias("l1"), F.col("g2").cast("int").alias("l2"), F.col("high").alias("dist"))
-        found = found.groupBy(F.least("l1", "l2").alias("l1"), F.greatest("l1", "l2").alias("l2")).agg(F.max("dist").alias("dist"))
-    rows = bounded(found, CLASSES_AT_MOST)  # pairs of labels
-    labels = sorted({r["l1"] for r in rows} | {r["l2"] for r in rows})
-    at = {x: i for i, x in enumerate(labels)}
-    dist = np.full((len(labels), len(labels)), np.inf)
-    for r in rows:
-        dist[at[r["l1"]], at[r["l2"]]] = dist[at[r["l2"]], at[r["l1"]]] = r["dist"]
-    out = [(n, labels[i], labels[j], x) for n, (i, j, x) in enumerate(hmm.linkage(dist, how)) if np.isfinite(x)] if len(labels) > 1 else []
-    return spark.createDataFrame(out, "step int, i int, j int, dist double").coalesce(1)
+        v = vectors(spark, d).where("v is not null").select(F.col("vec_id").alias("id"), "v", F.col("label").alias("g"))
+        found = pair_stats(v, v).select(F.col("g1").cast("int").alias("l1"), F.col("g2").cast("int").alias("l2"), F.round("high", 5).alias("dist")).where("l1 < l2")
+    return linked(found, how)
 
 
 @query("merge_groups_average")
