@@ -103,13 +103,13 @@ def dim_motifs(spark, d, rounds: int = 1):
     return out
 
 
-def hash_rounds(rows: DataFrame, size: int = 6, limit: float | None = None) -> DataFrame:
-    """motif, hash, mdl, series_id, start, len: the entry of least description length, its occurrences, which are taken out; again, while it is below `limit`.
+#: A hashed motif must save so much of the description's length.
+LIMIT = -200.0
 
-    Description lengths grow with the frames; where no limit is given it is -25 and -0.004 a frame more.
-    """
+
+def hash_rounds(rows: DataFrame, size: int = 6, limit: float = LIMIT) -> DataFrame:
+    """motif, hash, mdl, series_id, start, len: the entry of least description length, its occurrences, which are taken out; again, while it is not above `limit`."""
     h, n_symbols = checkpointed(hashed(rows, size)), len(letters(rows)[1])
-    limit = -(25 + 0.004 * rows.count()) if limit is None else limit
     found = None
     for n in count():
         e = entries(h, size).select("*", mdl(size, n_symbols)[0])
@@ -125,10 +125,16 @@ def hash_rounds(rows: DataFrame, size: int = 6, limit: float | None = None) -> D
     return found
 
 
+def limit_by_frames(rows: DataFrame) -> float:
+    """The limit that queries set: description lengths grow with the frames, so -25 and -0.004 a frame more."""
+    return -(25 + 0.004 * rows.count())
+
+
 @query("hash_motifs")
 def hash_motifs(spark, d):
     """Motifs by symbolic hashing."""
-    return hash_rounds(frames(spark, d))
+    rows = frames(spark, d)
+    return hash_rounds(rows, limit=limit_by_frames(rows))
 
 
 AFFIX_SQL = f"{HASHED}, tp AS (SELECT hash FROM en ORDER BY n_dtw DESC, hash LIMIT 20), mo AS (SELECT oc.hash, series_id, start FROM oc JOIN tp USING (hash)), nn AS (SELECT hash, count(*) AS n FROM mo GROUP BY 1), pr AS (SELECT a.hash AS h1, b.hash AS h2, count(*) AS k FROM mo a JOIN mo b ON a.series_id = b.series_id AND a.hash <> b.hash AND b.start - (a.start + 5) IN (1, 2) GROUP BY ALL)"
@@ -324,7 +330,7 @@ def grown(rows: DataFrame, motifs: DataFrame, limit: float = 0.0, steps: int | N
 
 def _steps(spark, d, *, split: bool = False, merge: bool = False, affix: bool = False, grow: bool = False) -> DataFrame:
     rows = written(frames(spark, d))
-    m = written(hash_rounds(rows))
+    m = written(hash_rounds(rows, limit=limit_by_frames(rows)))
     m = split_step(rows, m) if split else m
     m = merge_step(rows, m) if merge else m
     while affix and (new := affix_step(rows, m)) is not None:

@@ -133,7 +133,9 @@ def aligned(rows: DataFrame, joint: hmm.Hmm | hmm.Discrete, size: int, columns:
 
 
 def decode(rows: DataFrame, names: list[str], models: list[hmm.Hmm] | list[hmm.Discrete], size: int = BLOCK_FRAMES, columns: tuple[str, ...] = ("x", "h")) -> DataFrame:
-    """series_id, tag, start, stop and ll: the best joint path of all models through each series, in blocks of `size` frames, so that one long series is decoded by many tasks."""
+    """series_id, tag, start, stop and ll: the best joint path of all models through each series, in blocks of `size` frames, so that one long series is decoded by many tasks. Without models there are no segments."""
+    if not models:
+        return rows.sparkSession.createDataFrame([], "series_id long, tag string, start int, stop int, ll double")
     joint, owner = hmm.join(models)
     first = np.concatenate([np.arange(len(m.start)) == 0 for m in models])
     shared = rows.sparkSession.sparkContext.broadcast((joint, owner, first, names))
