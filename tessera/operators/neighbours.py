@@ -6,6 +6,8 @@ at every start is searched.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -243,17 +245,23 @@ def safe_occurrences(spark, d, size: int = SIZE):
     return hits.join(free, inside).select("series_id", "start", F.round("dist", 5).alias("dist"))
 
 
+def spaced(starts: list[int], size: float) -> list[int]:
+    """Of starts in order of preference, each that is `size` or more away from all taken before, in order of place."""
+    taken: list[int] = []
+    for s in starts:
+        i = bisect_left(taken, s)
+        if (not i or s - taken[i - 1] >= size) and (i == len(taken) or taken[i] - s >= size):
+            taken.insert(i, s)
+    return taken
+
+
 @query("greedy_by_distance", HITS.replace("WITH ", "WITH RECURSIVE ", 1) + f", {greedy_sql('hit')} SELECT series_id, start::INT AS start, round(dist, 5) AS dist FROM taken JOIN hit USING (series_id, start)")
 def greedy_by_distance(spark, d, size: int = SIZE):
     """Of each series' hits, the nearest first, each that overlaps none taken before; ties by start."""
 
     def each(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["dist", "start"])
-        taken: list[int] = []
-        for s in g["start"]:
-            if all(abs(s - t) >= size for t in taken):
-                taken.append(s)
-        return g[g["start"].isin(taken)]
+        return g[g["start"].isin(spaced(g["start"].tolist(), size))]
 
     kept = occurrences(frames(spark, d)).groupBy("series_id").applyInPandas(each, "series_id long, start int, dist double")
     return kept.select("series_id", "start", F.round("dist", 5).alias("dist"))
@@ -408,6 +416,40 @@ def edit_greedy(spark, d):
     return hits.select("series_id", F.explode(F.aggregate("s", none, step)).alias("n")).select("series_id", "n.start", "n.len")
 
 
+class FreeSpans:
+    """Spans of free frames (first, last), disjoint and in order, from which ranges are taken."""
+
+    def __init__(self, spans):
+        self.first, self.last = [a for a, _ in spans], [b for _, b in spans]
+
+    def take(self, a: int, b: int) -> bool:
+        """Whether the frames a to b are all free; if so they are so no more."""
+        i = bisect_right(self.first, a) - 1
+        if i < 0 or b > self.last[i]:
+            return False
+        rest = [(x, y) for x, y in ((self.first[i], a - 1), (b + 1, self.last[i])) if x <= y]
+        self.first[i : i + 1], self.last[i : i + 1] = [x for x, _ in rest], [y for _, y in rest]
+        return True
+
+
+def greedy_in_free(hits: DataFrame, free: DataFrame) -> DataFrame:
+    """series_id, start and len of hits (series_id, start, len, dist), the nearest first, that lie whole in what is still free of spans (series_id, a, b); ties by start and length."""
+
+    def each(h: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        h, left = h.sort_values(["dist", "start", "len"]), FreeSpans(sorted(zip(f["a"], f["b"])))
+        return h[pd.Series([left.take(a, a + n - 1) for a, n in zip(h["start"], h["len"])], h.index, bool)][["series_id", "start", "len"]]
+
+    hits = hits.select("series_id", F.col("start").cast("int").alias("start"), F.col("len").cast("int").alias("len"), "dist")
+    return hits.groupBy("series_id").cogroup(free.select(F.col("series_id").alias("s"), "a", "b").groupBy("s")).applyInPandas(each, "series_id long, start int, len int")
+
+
+@query("edit_greedy_free", f"WITH RECURSIVE {MARKUP}, {LETTERS}, {WARPED}, {AVERAGE}, ef AS (SELECT * FROM ed WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.series_id = ed.series_id AND mk.tag = 'signup' AND mk.start < ed.start + ed.len AND ed.start < mk.stop)), h2 AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY dist, start, len) AS r FROM ef), g AS (SELECT series_id, r, [[start, len]] AS t FROM h2 WHERE r = 1 UNION ALL SELECT h2.series_id, h2.r, CASE WHEN len(list_filter(g.t, lambda x: h2.start < x[1] + x[2] AND x[1] < h2.start + h2.len)) = 0 THEN list_append(g.t, [h2.start, h2.len]) ELSE g.t END FROM g JOIN h2 ON h2.series_id = g.series_id AND h2.r = g.r + 1), tk AS (SELECT series_id, unnest(arg_max(t, r)) AS x FROM g GROUP BY series_id) SELECT series_id, x[1]::INT AS start, x[2]::INT AS len FROM tk")
+def edit_greedy_free(spark, d):
+    """Occurrences of a pattern by edit distance, the nearest first, in frames that are still free, at first all but those of one label."""
+    rows = frames(spark, d)
+    return greedy_in_free(scored(rows), complement(of_tag(runs(rows), "signup"), whole(rows)))
+
+
 @query("seed_dl", f"{SEEDS}, fa AS (SELECT series_id, start, max(dist) AS far FROM di GROUP BY ALL HAVING max(dist) < 130) SELECT count(*) AS n, round(avg(far) / 8, 5) AS dl FROM fa")
 def seed_dl(spark, d, radius: float = 130.0):
     """The mean of occurrences' larger distance to two seeds, by length."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import FRAMES, query
 from tessera.functions import hmm
 from tessera.functions.vectors import squared_distance
-from tessera.operators.neighbours import APART, AT, DISJOINT, KNN, L2, OPTIMA, W, density, disjoint, greedy_sql, optima, sweep, window_knn
+from tessera.operators.neighbours import APART, AT, DISJOINT, KNN, L2, OPTIMA, W, density, disjoint, greedy_sql, optima, spaced, sweep, window_knn
 from tessera.operators.search import SHIFT, asked, best_per_series, packed, unpacked, windows, within
 from tessera.operators.spans import coalesce, complement, whole
 from tessera.operators.stats import silence, worst_frames
@@ -39,8 +39,8 @@ def knee(values: Sequence) -> int:
     return int(np.abs(y - chord).argmax())
 
 
-def tail_radius(dists: DataFrame, share: float = 0.1, bins: int = 1000) -> float:
-    """The knee of the lowest `share` of distances (a column dist), from a histogram of equal bins: its mean distance at each bin, against how many lie below."""
+def tail_radius(dists: DataFrame, share: float = 0.1, bins: int = 1000, below: bool = False) -> float:
+    """The knee of the lowest `share` of distances (a column dist), from a histogram of equal bins: its mean distance at each bin, against how many lie below. below: the last of those that lie under the chord, where the curve begins to rise."""
     most = dists.agg(F.max("dist").alias("m")).first()["m"]
     if not most:
         return 0.0
@@ -53,7 +53,7 @@ def tail_radius(dists: DataFrame, share: float = 0.1, bins: int = 1000) -> float
     if held < 3:
         return float(y[-1])
     chord = y[0] + (y[-1] - y[0]) * (x - x[0]) / (x[-1] - x[0])
-    return float(y[int(np.abs(y - chord).argmax())])
+    return float(y[int((chord - y if below else np.abs(y - chord)).argmax())])
 
 
 def _near(vectors: list[list[float]]) -> Column:
@@ -375,11 +375,8 @@ def density_seeds(spark, d, size: int = SIZE, share: float = 0.8):
 
     def each(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["dist", "start"])
-        kept: list[int] = []
-        for s in g["start"]:
-            if all(max(0, size - abs(s - k)) < share * size for k in kept):
-                kept.append(s)
-        return g[g["start"].isin(kept)]
+        gap = next(d for d in range(size + 1) if size - d < share * size)  # the least distance at which two overlap by less
+        return g[g["start"].isin(spaced(g["start"].tolist(), gap))]
 
     rows = optima(frames(spark, d)).select(*unpacked("id", "series_id", "start"), "dist")
     kept = rows.groupBy("series_id").applyInPandas(each, "series_id long, start int, dist double")
