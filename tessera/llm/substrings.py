@@ -9,9 +9,10 @@ Documents are worked on in chunks. A window that a smaller document in the same
 only anchors with an unsettled window are sent, so a passage in a third of all documents sends a row for each chunk,
 not for each document. A task holds a bounded number of rows, and of an anchor with more the different windows about it.
 
-Prints are 40 bits beside the anchor's 64. Nulls and odd rows: a null text has no words; a row without a doc_id keeps
-all its words and counts for no other; rows that share a doc_id are never compared with each other, and each loses the
-words at the places found for either (for repeated rows: the same). Empty texts and tables give empty results.
+Prints are 40 bits beside the anchor's 64. A place is a word's number, below the mark of its text: 24 bits of a hash.
+Nulls and odd rows: a null text has no words; a row without a doc_id keeps all its words and counts for no other; rows
+that share a doc_id are never compared with each other, and each loses its own repeated words, told from the others'
+by the mark. Empty texts and tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.base import table
@@ -30,7 +31,9 @@ WINDOW = 13
 SEED_WORDS = 4
 CHUNK = 4 << 20
 PRINT = 5
-ROW = "anchor long, doc_id long, at int, prints binary"
+ROW = "anchor long, doc_id long, at long, prints binary"
+#: A place has its text's mark above so many bits.
+PLACE_BITS, MARK_BITS = 39, 24
 
 
 def _spans(doc: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +49,7 @@ def _rows(anchor: np.ndarray, doc: np.ndarray, at: np.ndarray, prints: np.ndarra
     offsets = np.concatenate([[0], np.cumsum(counts * PRINT)]).astype(np.int32)
     data = np.ascontiguousarray(prints.view(np.uint8).reshape(-1, 8)[:, :PRINT])
     binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), binary], ["anchor", "doc_id", "at", "prints"])
+    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int64)), binary], ["anchor", "doc_id", "at", "prints"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
@@ -66,7 +69,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterato
             continue
         wide, place, text = wide[window], place[window], words.text[window]
         doc = batch.column("doc_id").to_numpy()[text]
-        at = window - words.first[text]
+        at = window - words.first[text] + (batch.column("mark").to_numpy()[text] << PLACE_BITS)
         order = np.lexsort((doc, wide))
         new = np.concatenate([[True], wide[order][1:] != wide[order][:-1]])
         least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
@@ -113,7 +116,7 @@ def _extend(batches: Iterator[pa.RecordBatch], size: int, held: int = 50_000) ->
         out = _spans(docs[hit], places[hit - known].astype(np.int64), size)
         parts = [np.concatenate([a, b]) for a, b in zip(out, (doc[done], at[done].astype(np.int64), anchor[done]))]
         first = order[new]
-        return pa.RecordBatch.from_arrays([pa.array(parts[0]), pa.array(parts[1].astype(np.int32)), pa.array(parts[2].astype(np.int32))], ["doc_id", "start", "stop"]), (key[first], docs[first])
+        return pa.RecordBatch.from_arrays([pa.array(parts[0]), pa.array(parts[1].astype(np.int64)), pa.array(parts[2].astype(np.int64))], ["doc_id", "start", "stop"]), (key[first], docs[first])
 
     kept: list[pa.RecordBatch] = []
     before = none
@@ -136,20 +139,28 @@ def _extend(batches: Iterator[pa.RecordBatch], size: int, held: int = 50_000) ->
         yield matched(pa.Table.from_batches(kept), before)[0]
 
 
+def mark(text: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(1 << MARK_BITS))
+
+
 def repeats(docs: DataFrame, size: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
-    """doc_id, start and stop, in words: spans of words that a document with a smaller id has; they may overlap."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, mark (of the row's text), start and stop, in words: spans of words that a document with a smaller id has; they may overlap."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark("text").alias("mark"))
     rows = own.mapInArrow(lambda x: _anchors(x, size, seed), ROW)
     rows = rows.withColumn("deal", F.when(F.octet_length("prints") > 0, F.col("anchor")).otherwise(F.xxhash64("doc_id", "at")))
     rows = rows.repartition("deal").drop("deal").sortWithinPartitions("anchor", "doc_id")
-    return rows.mapInArrow(lambda x: _extend(x, size), "doc_id long, start int, stop int")
+    found = rows.mapInArrow(lambda x: _extend(x, size), "doc_id long, start long, stop long")
+    word = lambda c: F.col(c).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias(c)
+    return found.select("doc_id", F.shiftright("start", PLACE_BITS).alias("mark"), word("start"), word("stop"))
 
 
 def cut_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words left, joined by single blanks) and removed, the spans of words cut."""
-    spans = repeats(docs, size).groupBy(F.col("doc_id").alias("s_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    spans = repeats(docs, size).groupBy(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = own.join(spans, F.col("doc_id") == F.col("s_id"), "left").select("doc_id", "text", "spans")
+    # rows without a doc_id have no spans; a number of their own deals them to all tasks, and -1 is no mark
+    own = own.select("doc_id", "text", F.coalesce("doc_id", F.monotonically_increasing_id()).alias("k_id"), F.when(F.col("doc_id").isNull(), -1).otherwise(mark("text")).alias("k_mark"))
+    joined = own.join(spans, (F.col("k_id") == F.col("s_id")) & (F.col("k_mark") == F.col("s_mark")), "left").select("doc_id", "text", "spans")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
