@@ -4,9 +4,11 @@ Texts are lower-cased and cut to words, joined by single blanks; a window is fou
 automaton sees whole words only. Offsets are mapped back to the original text for the spans that are returned.
 
 The items are broadcast, and each Python worker builds the automaton once. Its size is checked: items are dealt by a
-hash into slices of about `SLICE_BYTES` of text, each an automaton of its own, and the hits of several slices are
-joined per document. The driver collects one slice at a time. Windows overlap, so an automaton takes about 360 MB for
-1 MB of items (measured), 180 MB for a slice; a slice is one more pass over the texts. Items of over a slice stay whole.
+hash into slices of about `SLICE_BYTES` of text, each an automaton of its own. The driver collects one slice at a time.
+Windows overlap, so an automaton takes about 360 MB for 1 MB of items (measured), 180 MB for a slice. Of several slices
+a worker has one automaton at a time: it holds about `HELD_BYTES` of texts, goes over them slice by slice, and joins
+the hits per document. So its memory is the same for any number of slices, of which each is one more pass over the texts
+in hand. Items of over a slice stay whole.
 
 Nulls and odd rows: null texts and items have no words; an item without item_id marks words but is not listed; equal
 item_ids count once. Repeated rows get equal results, empty tables give no rows or no hits, and other columns pass
@@ -30,7 +32,7 @@ from tessera.llm.base import fresh, table
 from tessera.llm.words import chunks
 
 WINDOW = 10
-SLICE_BYTES = 1 << 19
+SLICE_BYTES, HELD_BYTES = 1 << 19, 64 << 20
 #: Maps bytes of text: capitals to small letters, all other ASCII but letters and digits to blanks.
 PLAIN = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -94,64 +96,57 @@ _built: dict[str, Scanner] = {}
 
 
 def _scanner(name: str, items: list[tuple[str | None, str | None]], size: int) -> Scanner:
-    """The scanner of a slice, which a worker keeps until it is asked for another one."""
+    """The scanner of a slice, the only one that a worker keeps."""
     if name not in _built:
         _built.clear()
         _built[name] = Scanner(windows(items, size))
     return _built[name]
 
 
+def _joined(x: tuple, y: tuple, whole: str) -> tuple:
+    """The hits of two automata as one: spans are joined where they overlap, and hit words counted again in them."""
+    spans = sorted([*x[3], *y[3]])
+    joined = [spans[0]]
+    for s, e in spans[1:]:
+        if s <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
+        else:
+            joined.append((s, e))
+    return x[0], sum(len(WORD.findall(whole[s:e])) for s, e in joined), sorted({*x[2], *y[2]}), joined
+
+
+def _held(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Chunks of batches, together about `size` bytes of text."""
+    kept: list[pa.RecordBatch] = []
+    for batch in chunks(batches, text=text):
+        kept.append(batch)
+        if sum(b.nbytes for b in kept) >= size:
+            yield kept
+            kept = []
+    if kept:
+        yield kept
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str = "text", out: str = "benchmark_hits") -> DataFrame:
     """docs with a struct column `out`: n_words, n_hit, items and spans, which has the places of hit words in the text."""
-    schema = docs.drop(out).withColumn(out, F.lit(None).cast(HIT)).schema
-    arrow = to_arrow_schema(schema)
-    for i, items in enumerate(_slices(benchmark)):
-        name = out if not i else f"{out}_{i}"
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        slice_id = str(uuid.uuid4())
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared, name=name, slice_id=slice_id) -> Iterator[pa.RecordBatch]:
-            scan = _scanner(slice_id, shared.value, size)
-            kind = arrow.field(out).type
-            for batch in chunks(batches, text=text):
-                found = [dict(zip(("n_words", "n_hit", "items", "spans"), scan(x))) for x in batch.column(text).to_pylist()]
-                for x in found:
-                    x["spans"] = [{"start": a, "end": b} for a, b in x["spans"]]
-                keep = [c for c in batch.schema.names if c != name]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, kind)], [*keep, name])
-
-        before = docs.drop(name)
-        docs = before.mapInArrow(each, before.withColumn(name, F.lit(None).cast(HIT)).schema)
-        if i:
-            docs = _merged(docs, out, name, text)
-    return docs
-
-
-def _merged(docs: DataFrame, out: str, other: str, text: str) -> DataFrame:
-    """The hits of two automata as one: spans are joined where they overlap, and words recounted in them.
-
-    n_hit is of the larger union: words of spans, counted again from the text.
-    """
+    before = docs.drop(out)
+    schema = before.withColumn(out, F.lit(None).cast(HIT)).schema
+    kind = to_arrow_schema(schema).field(out).type
+    slices = [(str(uuid.uuid4()), docs.sparkSession.sparkContext.broadcast(items)) for items in _slices(benchmark)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text=text):
-            a, b, texts = (batch.column(c).to_pylist() for c in (out, other, text))
-            for x, y, whole in zip(a, b, texts):
-                if y["spans"]:
-                    x["items"] = sorted({*x["items"], *y["items"]})
-                    spans = sorted((s["start"], s["end"]) for s in [*x["spans"], *y["spans"]])
-                    joined = [spans[0]]
-                    for s, e in spans[1:]:
-                        if s <= joined[-1][1]:
-                            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
-                        else:
-                            joined.append((s, e))
-                    x["spans"] = [{"start": s, "end": e} for s, e in joined]
-                    x["n_hit"] = sum(len(WORD.findall(whole[s:e])) for s, e in joined)
-            keep = [c for c in batch.schema.names if c not in (out, other)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(a, batch.schema.field(out).type)], [*keep, out])
-
-    return docs.mapInArrow(each, docs.drop(out, other).withColumn(out, F.lit(None).cast(HIT)).schema)
+        for held in _held(batches, text, HELD_BYTES if len(slices) > 1 else 1):
+            texts = [batch.column(text).to_pylist() for batch in held]
+            found: list[list[tuple]] = []
+            for name, shared in slices:
+                scan = _scanner(name, shared.value, size)
+                new = [[scan(t) for t in own] for own in texts]
+                found = [[_joined(x, y, t) if y[3] else x for x, y, t in zip(*rows)] for rows in zip(found, new, texts)] if found else new
+            for batch, own in zip(held, found):
+                rows = [{"n_words": n, "n_hit": k, "items": ids, "spans": [{"start": a, "end": b} for a, b in spans]} for n, k, ids, spans in own]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names], pa.array(rows, kind)], [*batch.schema.names, out])
+
+    return before.mapInArrow(each, schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
