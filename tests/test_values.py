@@ -135,3 +135,16 @@ def test_growth_accepted(spark, data, plain):
         df = (va + vb) ** 2 / (va**2 / (len(a) - 1) + vb**2 / (len(b) - 1))
         assert (r.t, r.df) == (pytest.approx(t), pytest.approx(df)) and r.accepted == (r.p >= 0.05)
         assert abs((rng.standard_t(df, 200_000) > abs(t)).mean() - r.p) < 0.01
+
+
+def test_models_of_all_strategies(spark, data, plain):
+    """A model of each seed's window, whatever strategy gave the seed."""
+    pool = {(r.strategy, r.series_id * (1 << 32) + r.start) for r in entry.queries()["seed_pool"](spark, data).collect()}
+    want = {(s, i) for s, i in pool if s != "exhaustive" or i % 50 == 0}
+    got = {(r.strategy, r.model_id): r for r in entry.queries()["seed_pool_hmms"](spark, data).collect()}
+    assert set(got) == want and {s for s, _ in want} == {"random", "unlikely", "cluster", "projection", "exhaustive"}
+    var = np.concatenate(list(plain[0].values())).var(0)
+    for (s, i), r in list(got.items())[::7]:
+        x = plain[0][i >> 32][i % (1 << 32) :][:8]
+        m = hmm.from_window(x, np.maximum(var, 1e-3))
+        assert (r.states, r["mean"], r["var"]) == (len(m.start), pytest.approx(m.mean.mean(), abs=1e-5), pytest.approx(m.var.mean(), abs=1e-5))
