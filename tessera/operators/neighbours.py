@@ -210,12 +210,12 @@ def occurrences(rows: DataFrame, size: int = SIZE, radius: float = RADIUS) -> Da
     return met.where(F.col("near") < radius).select("series_id", "start", F.col("near").alias("dist"))
 
 
-def sweep(hits: DataFrame, size: int) -> DataFrame:
-    """From left to right, each hit that begins after the last one taken has ended: a fold over a series' own hits."""
+def sweep(hits: DataFrame, size: int, by: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """From left to right, each hit that begins after the last one taken has ended: a fold over a series' own hits, for each value of other columns in `by`."""
     starts = F.sort_array(F.collect_list("start"))
     none = F.array().cast("array<int>")
     taken = F.aggregate("starts", none, lambda a, s: F.when((F.size(a) == 0) | (s >= F.element_at(a, -1) + size), F.concat(a, F.array(s))).otherwise(a))
-    return hits.groupBy("series_id").agg(starts.cast("array<int>").alias("starts")).select("series_id", F.explode(taken).alias("start"))
+    return hits.groupBy(*by).agg(starts.cast("array<int>").alias("starts")).select(*by, F.explode(taken).alias("start"))
 
 
 @query("range_occurrences", f"{HITS} SELECT series_id, start, round(dist, 5) AS dist FROM hit")
@@ -228,6 +228,18 @@ def greedy_sweep(spark, d):
     return sweep(occurrences(frames(spark, d)), SIZE)
 
 
+@query("motif_scan")
+def motif_scan(spark, d, sizes: tuple[int, ...] = (6, 8, 10), radii: tuple[float, ...] = (40.0, 80.0, 120.0)):
+    """For several lengths and radii, the occurrences that the closest pair of windows has, and the series in which they are."""
+    rows, out = checkpointed(frames(spark, d)), None
+    for size in sizes:
+        near = to_seeds(rows, closest(rows, size), size).select("series_id", "start", "near", F.explode(F.array(*map(F.lit, radii))).alias("radius"))
+        occs = sweep(near.where(F.col("near") < F.col("radius")), size, ("series_id", "radius"))
+        part = occs.groupBy("radius").agg(F.count("*").alias("n"), F.countDistinct("series_id").alias("n_series")).withColumn("size", F.lit(size))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def greedy_sql(rows: str, by: str = "dist, start", size: int = 8) -> str:
     """SQL for the greedy choice, within each series, of rows (series_id, start, dist) that lie `size` apart; the table is `taken`."""
     return f"""h2 AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY {by}) AS r FROM {rows}),

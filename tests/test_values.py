@@ -148,3 +148,28 @@ def test_models_of_all_strategies(spark, data, plain):
         x = plain[0][i >> 32][i % (1 << 32) :][:8]
         m = hmm.from_window(x, np.maximum(var, 1e-3))
         assert (r.states, r["mean"], r["var"]) == (len(m.start), pytest.approx(m.mean.mean(), abs=1e-5), pytest.approx(m.var.mean(), abs=1e-5))
+
+
+def test_motif_scan(spark, data, plain):
+    """Occurrences of the closest pair of a query window and any other, for each length and radius."""
+    got = {(r["size"], r.radius): (r.n, r.n_series) for r in entry.queries()["motif_scan"](spark, data).collect()}
+    want = {}
+    for size in (6, 8, 10):
+        w = [(s * (1 << 32) + t, s, t, v[t : t + size, 0]) for s, v in sorted(plain[0].items()) for t in range(len(v) - size + 1)]
+        x = np.array([v for *_, v in w])
+        far = lambda i: np.sqrt(((x - x[i]) ** 2).sum(1))
+        best = None
+        for i, (a, s, t, _) in enumerate(w):
+            if a % 50 == 0:
+                for j in np.argsort(far(i), kind="stable")[: 4 * size]:
+                    if w[j][1] != s or abs(w[j][2] - t) >= size:
+                        best = min(best or (np.inf,), (far(i)[j], a, i, j))
+                        break
+        near = np.minimum(far(best[2]), far(best[3]))
+        for radius in (40.0, 80.0, 120.0):
+            kept = []
+            for k in np.flatnonzero(near < radius):
+                if not kept or kept[-1][0] != w[k][1] or w[k][2] >= kept[-1][1] + size:
+                    kept.append((w[k][1], w[k][2]))
+            want[size, radius] = (len(kept), len({s for s, _ in kept}))
+    assert got == want
