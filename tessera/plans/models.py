@@ -222,24 +222,57 @@ class Mixture:
         return top + F.ln(F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
 
 
-def model_scores(rows: DataFrame, fit) -> DataFrame:
-    """tag, n and ll: the mean log-likelihood of each class's frames (tag, v) under its own model, which `fit` makes of them. A class for each, at most CLASSES_AT_MOST."""
-    tags = sorted(r["tag"] for r in bounded(rows.select("tag").distinct(), CLASSES_AT_MOST))
-    scored = [rows.where(F.col("tag") == t).select("tag", fit(rows.where(F.col("tag") == t)).log_likelihood("v").alias("ll")) for t in tags]
-    out = scored[0] if scored else rows.select("tag", F.lit(0.0).alias("ll"))
-    for s in scored[1:]:
-        out = out.union(s)
-    return out.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg("ll"), 6).alias("ll"))
+def _weighed(parts: str) -> Column:
+    """The logarithm of weight and density of v in each component of an array of (w, mean, var)."""
+    one = lambda x, m, z: -0.5 * (F.ln(2 * F.pi() * z) + (x - m) * (x - m) / z)
+    density = lambda p: F.aggregate(F.zip_with(F.arrays_zip("v", p["mean"].alias("m")), p["var"], lambda a, z: one(a["v"], a["m"], z)), F.lit(0.0), lambda a, x: a + x)
+    return F.transform(parts, lambda p: F.ln(p["w"]) + density(p))
+
+
+def _total(logs: str) -> Column:
+    top = F.array_max(logs)
+    return top + F.ln(F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+
+def mixtures(rows: DataFrame, k: int, rounds: int = 5) -> DataFrame:
+    """tag and parts, an array of (w, mean, var): a mixture of k Gaussians for each class of frames (tag, v), all classes at the same time.
+
+    It begins with the k different frames of each class whose hashes are least; each round is one grouping by class,
+    component and dimension. A component that has no share of any frame goes.
+    """
+    order = Window.partitionBy("tag").orderBy(F.xxhash64("v"), "v")
+    first = rows.select("tag", "v").distinct().withColumn("c", F.row_number().over(order) - 1).where(F.col("c") < k)
+    spread = rows.select("tag", F.posexplode("v").alias("i", "x")).groupBy("tag", "i").agg(F.greatest(F.var_pop("x"), F.lit(FLOOR)).alias("z"))
+    spread = spread.groupBy("tag").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "z"))), lambda p: p["z"]).alias("var"))
+    size = Window.partitionBy("tag")
+    parts = first.join(spread, "tag").select("tag", "c", F.struct((1 / F.count("*").over(size)).alias("w"), F.col("v").alias("mean"), "var").alias("p"))
+    gather = lambda df: written(df.groupBy("tag").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "p"))), lambda x: x["p"]).alias("parts")))
+    parts = gather(parts)
+    for _ in range(rounds):
+        met = rows.join(parts, "tag").withColumn("logs", _weighed("parts")).withColumn("total", _total("logs"))
+        long = met.select("tag", "v", F.posexplode(F.transform("logs", lambda x: F.exp(x - F.col("total")))).alias("c", "share")).select("tag", "c", "share", F.posexplode("v").alias("i", "x"))
+        g = long.groupBy("tag", "c", "i").agg(F.sum("share").alias("n"), F.sum(F.col("share") * F.col("x")).alias("s"), F.sum(F.col("share") * F.col("x") * F.col("x")).alias("q")).where("n > 1e-9")
+        mean = F.col("s") / F.col("n")
+        g = g.select("tag", "c", "n", F.struct("i", mean.alias("m"), F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(FLOOR)).alias("z")).alias("d"))
+        g = g.groupBy("tag", "c").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("d")).alias("d"))
+        parts = gather(g.select("tag", "c", F.struct((F.col("n") / F.sum("n").over(size)).alias("w"), F.col("d.m").alias("mean"), F.col("d.z").alias("var")).alias("p")))
+    return parts
+
+
+def model_scores(rows: DataFrame, k: int) -> DataFrame:
+    """tag, n and ll: the mean log-likelihood of each class's frames (tag, v) under its own mixture of k Gaussians; k = 1 is one Gaussian."""
+    met = rows.join(mixtures(rows, k, 5 if k > 1 else 1), "tag").withColumn("logs", _weighed("parts"))
+    return met.groupBy("tag").agg(F.count("*").alias("n"), F.round(F.avg(_total("logs")), 6).alias("ll"))
 
 
 @query("gaussian_scores", f"WITH {FRAMES}, g AS (SELECT tag, avg(x) AS mx, greatest(var_pop(x), 1e-3) AS vx, avg(h) AS mh, greatest(var_pop(h), 1e-3) AS vh FROM fr GROUP BY tag) SELECT tag, count(*) AS n, round(avg(-0.5 * (ln(2 * pi() * vx) + (x - mx) * (x - mx) / vx) - 0.5 * (ln(2 * pi() * vh) + (h - mh) * (h - mh) / vh)), 6) AS ll FROM fr JOIN g USING (tag) GROUP BY tag")
 def gaussian_scores(spark, d):
-    return model_scores(checkpointed(frames(spark, d).select("tag", F.array("x", "h").alias("v"))), Gaussian.fit)
+    return model_scores(checkpointed(frames(spark, d).select("tag", F.array("x", "h").alias("v"))), 1)
 
 
 @query("mixture_scores")
 def mixture_scores(spark, d):
-    return model_scores(checkpointed(frames(spark, d).select("tag", F.array("x", "h").alias("v"))), Mixture.fit)
+    return model_scores(checkpointed(frames(spark, d).select("tag", F.array("x", "h").alias("v"))), 2)
 
 
 @query("hmm_spot_scores")
@@ -403,7 +436,7 @@ def mixture_fit(rows: DataFrame, k: int, restarts: int = 3, rounds: int = 12, fl
     var = [max(floor, r["s"]) for r in spread]
     best = (-np.inf, [])
     for seed in range(restarts):
-        start = rows.orderBy(F.xxhash64(F.lit(seed), "v"), "v").select("v").distinct().limit(k).collect()
+        start = rows.select("v").distinct().orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(k).collect()
         parts = [(1 / len(start), list(r["v"]), list(var)) for r in start]
         for _ in range(rounds):
             logs = [F.lit(float(np.log(w))) + sum((-0.5 * (F.lit(float(np.log(2 * np.pi * s))) + (F.get("v", F.lit(i)) - m) * (F.get("v", F.lit(i)) - m) / s) for i, (m, s) in enumerate(zip(mean, var_))), F.lit(0.0)) for w, mean, var_ in parts]

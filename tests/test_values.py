@@ -173,3 +173,27 @@ def test_motif_scan(spark, data, plain):
                     kept.append((w[k][1], w[k][2]))
             want[size, radius] = (len(kept), len({s for s, _ in kept}))
     assert got == want
+
+
+def test_mixtures_of_all_classes(spark):
+    """A mixture a class, all in one grouping: likelihoods by plain numpy from the same start; one Gaussian is exact; classes of one frame, or of equal frames."""
+    rng = np.random.default_rng(2)
+    x = {"a": np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(9, 2, (40, 2))]).round(4), "b": rng.normal(3, 1, (50, 2)).round(4), "c": np.array([[1.0, 2.0]]), "d": np.array([[5.0, 5.0]] * 4)}
+    rows = spark.createDataFrame([(t, [float(p) for p in q]) for t, v in x.items() for q in v], "tag string, v array<double>").cache()
+
+    def logs(parts, v):
+        return np.array([np.log(w) - 0.5 * (np.log(2 * np.pi * np.array(z)) + (v - np.array(m)) ** 2 / np.array(z)).sum(1) for w, m, z in parts])
+
+    for k in (1, 2):
+        start = {r.tag: [(p.w, p["mean"], p["var"]) for p in r.parts] for r in models.mixtures(rows, k, 0).collect()}
+        assert {t: len(p) for t, p in start.items()} == {"a": k, "b": k, "c": 1, "d": 1}
+        got = {r.tag: (r.n, r.ll) for r in models.model_scores(rows, k).collect()}
+        for t, v in x.items():
+            parts = start[t]
+            for _ in range(5 if k > 1 else 1):
+                share = logs(parts, v)
+                share = np.exp(share - np.logaddexp.reduce(share, axis=0))
+                n = share.sum(1)
+                mean = [s @ v / m for s, m in zip(share, n)]
+                parts = [(m / len(v), mu, np.maximum(s @ (v * v) / m - mu**2, 1e-3)) for s, m, mu in zip(share, n, mean)]
+            assert got[t] == (len(v), pytest.approx(np.logaddexp.reduce(logs(parts, v), axis=0).mean(), abs=1e-5))
