@@ -1,4 +1,8 @@
-"""Reading tables, cutting lineage and joining small tables: what every operator here shares."""
+"""Reading tables, cutting lineage and joining small tables: what every operator here shares.
+
+Nulls and odd rows: none of these functions reads a value, so nulls, repeated rows and empty tables pass as they are; an
+empty table is small, and a name that a column has in other capitals counts as taken.
+"""
 
 from __future__ import annotations
 
