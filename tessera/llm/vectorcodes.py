@@ -32,6 +32,8 @@ from tessera.llm.base import checkpoint_dir, cut, small, table
 
 PARTS, ENTRIES, ROUNDS = 8, 16, 6
 LIMIT = 1 << 24
+#: Components of a block at most, so that a task's memory does not grow with their number in a vector.
+BLOCK_NUMBERS = 1 << 20
 BLOCK = "ids array<long>, labels array<long>, x binary, codes binary, deltas array<long>"
 
 
@@ -62,10 +64,11 @@ def _read(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(rows: DataFrame, width: int) -> DataFrame:
-    """A row for each Arrow batch of (vec_id, label, x), components in as few bytes as they need, codes all zero."""
+    """A row for each Arrow batch of (vec_id, label, x), or for BLOCK_NUMBERS components of it; these in as few bytes as they need, codes all zero."""
+    step = max(1, BLOCK_NUMBERS // (PARTS * width))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             if n := batch.num_rows:
                 x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.int32).reshape(n, -1)
                 x = np.pad(x, ((0, 0), (0, PARTS * width - x.shape[1])))
@@ -84,7 +87,7 @@ def step(state: DataFrame, books: np.ndarray, moved: np.ndarray, first: bool) ->
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 x, own = _read(row, width)
                 codes, deltas = own.copy(), np.zeros((PARTS, books.shape[1], 1 + width), np.int64)
                 for p in range(PARTS):
@@ -106,7 +109,7 @@ def coded(state: DataFrame, books: np.ndarray, moved: np.ndarray) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 x, own = _read(row, width)
                 codes, error = own.copy(), np.zeros(len(x), np.int64)
                 for p in range(PARTS):

@@ -77,8 +77,9 @@ def brute(rows):
     return sorted(((r[0], "".join(f"{c[0][k]:02x}" for c in codes), int(error[k]), by[r[1]], digest) for k, r in enumerate(kept)), key=str)
 
 
-@pytest.mark.parametrize("dims", [16, 64, 5])
-def test_codes(spark, dims):
+@pytest.mark.parametrize("dims,numbers", [(16, 1 << 20), (64, 640), (5, 1)])
+def test_codes(spark, monkeypatch, dims, numbers):
+    monkeypatch.setattr(vectorcodes, "BLOCK_NUMBERS", numbers)
     rng = np.random.default_rng(dims)
     rows = [(100 - i, (rng.normal(0, 1, dims) + 3 * (i % 3)).astype(np.float32).tolist(), [1, 2, None][i % 3]) for i in range(120)]
     rows += [(500, None, 1), (501, [None] * dims, 1), (502, [float("nan")] * dims, 1), (503, [float("inf")] + [0.0] * (dims - 1), 2), (None, rows[4][1], 1), (504, [1.0] * (dims + 1), 1), (505, [], 1), (506, rows[9][1], 7), rows[7], rows[7]]
