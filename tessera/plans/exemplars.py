@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
-from tessera.operators.search import asked, packed, unpacked, windows
+from tessera.operators.search import asked, unpacked, windows
 from tessera.plans.rounds import checkpointed, written
 from tessera.sources.frames import frames
 
