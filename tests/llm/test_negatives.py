@@ -85,3 +85,22 @@ def test_repeated_rows_and_empty_table(spark):
     assert sorted(tuple(r) for r in got.collect()) == brute(twice)
     assert negatives.mine(spark.createDataFrame([], SCHEMA)).count() == 0
     assert negatives.mine(spark.createDataFrame([(1, [1.0], 2)], SCHEMA)).count() == 0
+
+
+def test_components_of_any_size(spark):
+    """Beyond 2^27 after scaling, with scores that fit a long; a few whose scores do not, met by vectors that have zeros there."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(0, 1, 12) * (3e6 if i % 3 else 1.0)).astype(np.float32).tolist() + [0.0], i % 2) for i in range(200)]
+    rows += [(200 + i, [0.0] * 12 + [3e38], 1) for i in range(1, 4)]
+    rows += [(250, [1.0] * 12 + [1e30], 0), (300, [2.0] * 12 + [-1e30], 1), (301, [2.0**40] + [0.0] * 12, 1), (350, [2.0**46] + [0.0] * 12, 0), (351, [-(2.0**8)] + [0.0] * 12, 1)]
+    end = (1 << 63) - 1
+    held = lambda s: max(min(s, end), -end)
+    kept = [(i, [math.floor(256 * float(np.float32(x))) for x in v], (label + 1) % 10 if i % 7 == 0 else label) for i, v, label in rows]
+    want = []
+    for a, va, la in (r for r in kept if r[0] % 50 == 0):
+        scored = [(held(sum(x * y for x, y in zip(va, v))), i, label) for i, v, label in kept if i != a]
+        for p_score, p in sorted((-s, i) for s, i, label in scored if label == la)[:5]:
+            fit = sorted((-s, i) for s, i, label in scored if label != la and -50 * p_score <= 100 * s <= -95 * p_score)[:3]
+            want += [(a, p, k + 1, i, -p_score, -s) for k, (s, i) in enumerate(fit)]
+    assert max(r[4] for r in want) > 1 << 55
+    assert sorted(tuple(r) for r in negatives.mine(spark.createDataFrame(rows, SCHEMA)).collect()) == sorted(want)
