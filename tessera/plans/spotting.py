@@ -7,6 +7,7 @@ of the models, and sums of the same number.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from tessera.catalog import query
 from tessera.functions import hmm
 from tessera.functions.vectors import symbol
 from tessera.operators.stats import matched
-from tessera.plans.models import CLASSES_AT_MOST, FLOOR, bounded, decode
+from tessera.plans.models import CHUNK_ROWS, CLASSES_AT_MOST, FLOOR, bounded, decode
 from tessera.plans.rounds import checkpointed
 from tessera.sources.frames import frames, markup
 
@@ -74,14 +75,22 @@ def _arrays(g: pd.DataFrame, columns: tuple[str, ...]) -> list[np.ndarray]:
     return [np.column_stack(v).astype(float) for v in zip(*[g[c] for c in columns])]
 
 
+def _by_tag(g: pd.DataFrame, columns: tuple[str, ...]) -> Iterator[tuple[str | None, pd.DataFrame, list[np.ndarray]]]:
+    """The examples of each class of a batch, as rows and arrays, CHUNK_ROWS at a time at most."""
+    for tag, own in g.groupby("tag", sort=False, dropna=False):
+        for k in range(0, len(own), CHUNK_ROWS):
+            some = own.iloc[k : k + CHUNK_ROWS]
+            yield tag if isinstance(tag, str) else None, some, _arrays(some, columns)
+
+
 def _counted(examples: DataFrame, kind: Kind, count) -> dict[str, dict[str, np.ndarray]]:
-    """Sums over all examples of each class of what `count` gives for (tag, x): arrays by name."""
+    """Sums over all examples of each class of what `count` gives for (tag, xs), some of them: arrays by name."""
 
     def each(batches):
         for g in batches:
             total: dict[tuple[str, str], np.ndarray] = {}
-            for tag, x in zip(g["tag"], _arrays(g, kind.columns)):
-                for name, a in count(tag, x).items():
+            for tag, _, xs in _by_tag(g, kind.columns):
+                for name, a in count(tag, xs).items():
                     total[tag, name] = total[tag, name] + a if (tag, name) in total else a
             rows = [pd.DataFrame({"tag": tag, "name": name, "at": np.arange(a.size), "v": a.ravel().astype(float)}) for (tag, name), a in total.items()]
             yield pd.concat(rows) if rows else pd.DataFrame(columns=["tag", "name", "at", "v"])
@@ -102,8 +111,9 @@ def train(examples: DataFrame, kind: Kind = VALUES, states: int = STATES, rounds
     bounded(examples.select("tag").distinct(), CLASSES_AT_MOST)
     eye = np.eye(states)
 
-    def even(tag: str, x: np.ndarray) -> dict[str, np.ndarray]:
-        return {"sums": kind.sums(eye[np.arange(len(x)) * states // len(x)], x), "size": np.array([len(x), 1.0])}
+    def even(tag: str, xs: list[np.ndarray]) -> dict[str, np.ndarray]:
+        p = np.concatenate([eye[np.arange(len(x)) * states // len(x)] for x in xs])
+        return {"sums": kind.sums(p, np.concatenate(xs)), "size": np.array([len(p), float(len(xs))])}
 
     models = {}
     for tag, c in _counted(examples, kind, even).items():
@@ -119,15 +129,17 @@ def train(examples: DataFrame, kind: Kind = VALUES, states: int = STATES, rounds
     for n in range(rounds):
         shared = examples.sparkSession.sparkContext.broadcast(models)
 
-        def expected(tag: str, x: np.ndarray, shared=shared) -> dict[str, np.ndarray]:
-            m = shared.value[tag]
+        def expected(tag: str, xs: list[np.ndarray], shared=shared) -> dict[str, np.ndarray]:
+            m, moves = shared.value[tag], np.zeros((states, states))
             if how == "viterbi":
-                path, ll = hmm.viterbi(m, x)
-                p, moves = eye[path], np.zeros((states, states))
-                np.add.at(moves, (path[:-1], path[1:]), 1)
+                paths, lls = hmm.viterbi_many(m, xs)
+                ps = [eye[path] for path in paths]
+                for path in paths:
+                    np.add.at(moves, (path[:-1], path[1:]), 1)
             else:
-                p, moves, ll = hmm.forward_backward(m, x)
-            return {"sums": kind.sums(p, x), "moves": moves, "start": p[0], "ll": np.array([ll])}
+                ps, each, lls = zip(*hmm.forward_backward_many(m, xs))
+                moves = np.sum(each, axis=0)
+            return {"sums": kind.sums(np.concatenate(ps), np.concatenate(xs)), "moves": moves, "start": np.sum([p[0] for p in ps], axis=0), "ll": np.array([sum(lls)])}
 
         new = {}
         counts = _counted(examples, kind, expected)
@@ -148,8 +160,9 @@ def scores(examples: DataFrame, models: dict, kind: Kind, how: str = "forward")
 
     def each(batches):
         for g in batches:
-            own = [(hmm.forward(shared.value[t], x) if how == "forward" else hmm.viterbi(shared.value[t], x)[1]) / len(x) for t, x in zip(g["tag"], _arrays(g, kind.columns))]
-            yield g[["series_id", "tag", "start", "n"]].assign(score=np.array(own, float))
+            for tag, some, xs in _by_tag(g, kind.columns):
+                lls = hmm.forward_many(shared.value[tag], xs) if how == "forward" else hmm.viterbi_many(shared.value[tag], xs)[1]
+                yield some[["series_id", "tag", "start", "n"]].assign(score=np.array(lls, float) / [len(x) for x in xs])
 
     return examples.select("series_id", "tag", "start", "n", *kind.columns).mapInPandas(each, "series_id long, tag string, start int, n int, score double")
 
