@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.base import cut, small, table
-from tessera.llm.graph import components
+from tessera.llm.graph import Forest, components
 from tessera.llm.jaccard import near_copies
 from tessera.llm.tree import gray_order, gray_rank, near_pairs, whole_groups
 from tessera.llm.words import chunks
@@ -64,25 +64,6 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, print long")
 
 
-class Forest:
-    """Union-find over positions, a block of links at a time."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.root[a], self.root[b]
-            apart = a != b
-            high, low = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
-            if not len(high):
-                return
-            np.minimum.at(self.root, high, low)
-            while not np.array_equal(above := self.root[self.root], self.root):
-                self.root = above
-            a, b = high, low
-
-
 def forest(prints: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """For each of some distinct prints, which are sorted by Gray rank, the position of its tree's first."""
     trees = Forest(len(prints))
