@@ -34,3 +34,14 @@ def seeds(every):
 def test_local_optima(spark, data, seeds):
     got = {r.series_id * SHIFT + r.start: r.dist for r in entry.queries()["local_optima"](spark, data).collect()}
     assert got == {i: pytest.approx(d, abs=1e-5) for i, d in seeds.items()} and any(i % 50 for i in got)
+
+
+def test_dtw_knn(spark, data, every):
+    from tessera.functions.dtw import banded
+
+    ids, v, dist = every
+    got = {(r.series_id * SHIFT + r.start, r["rank"]): r.dist for r in entry.queries()["dtw_knn"](spark, data).collect()}
+    assert {i for i, _ in got} == set(ids.tolist())
+    for i in range(3, len(ids), 97):
+        far = np.where(np.isfinite(dist[i]), banded(np.repeat(v[i : i + 1], len(v), 0), v, 0.1) / 8, np.inf)
+        assert [got[ids[i], k] for k in (1, 2, 3)] == pytest.approx(np.sort(far)[:3], abs=1e-4)
