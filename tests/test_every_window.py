@@ -45,3 +45,44 @@ def test_dtw_knn(spark, data, every):
     for i in range(3, len(ids), 97):
         far = np.where(np.isfinite(dist[i]), banded(np.repeat(v[i : i + 1], len(v), 0), v, 0.1) / 8, np.inf)
         assert [got[ids[i], k] for k in (1, 2, 3)] == pytest.approx(np.sort(far)[:3], abs=1e-4)
+
+
+def test_density_curve(spark, data, every):
+    got = {(r.series_id * SHIFT + r.start, r["rank"]): r.density for r in entry.queries()["density_curve"](spark, data).collect()}
+    ids, _, dist = every
+    assert {i for i, _ in got} == set(ids.tolist())
+    for i in range(3, len(ids), 97):
+        taken = []
+        for j in np.lexsort((ids, dist[i])):
+            if len(taken) < 3 and all(ids[j] // SHIFT != ids[t] // SHIFT or abs(ids[j] - ids[t]) >= 8 for t in taken):
+                taken.append(j)
+        assert [got[ids[i], k + 1] for k in range(3)] == [pytest.approx((k + 2) / dist[i, j], abs=1e-4) for k, j in enumerate(taken)]
+
+
+def test_attractor_knn(spark, data, every):
+    got = {r.series_id * SHIFT + r.start for r in entry.queries()["attractor_knn"](spark, data).collect()}
+    assert got == set(every[0].tolist())
+
+
+def test_density_seeds(spark, data, seeds):
+    """Of each series' local optima the densest first, each that is two frames or more from all taken before."""
+    taken = []
+    for _, i in sorted((d, i) for i, d in seeds.items()):
+        if all(i // SHIFT != t // SHIFT or abs(i - t) >= 2 for t in taken):
+            taken.append(i)
+    got = [r.series_id * SHIFT + r.start for r in entry.queries()["density_seeds"](spark, data).collect()]
+    assert sorted(got) == sorted(taken) and any(i % 50 for i in got)
+
+
+def test_seed_pool(spark, data, seeds):
+    got = {r.series_id * SHIFT + r.start for r in entry.queries()["seed_pool"](spark, data).where("strategy = 'cluster'").collect()}
+    assert got == set(seeds)
+
+
+def test_mixture_hmms(spark, data, seeds):
+    assert {r.model_id for r in entry.queries()["mixture_hmms"](spark, data).collect()} == set(seeds)
+
+
+def test_parse_mixture_scores(spark, data, seeds):
+    got = {r.series_id * SHIFT + r.start for r in entry.queries()["parse_mixture_scores"](spark, data).collect()}
+    assert got == {i for _, i in sorted((d, i) for i, d in seeds.items())[:5]}
